@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op10_language_id
+from .packing import op1_best_fit_packing
 from .quality_classifier import op5_quality_classifier
 from .secret_scan import op2_secret_scan
 from .token_counts import op6_token_counts
 from .url_filter import OP8_SQL, op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_classifier": op5_quality_classifier,
