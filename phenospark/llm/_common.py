@@ -88,3 +88,39 @@ def per_batch(fn: Callable) -> Callable:
                 yield fn(batch)
 
     return run
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, the same in every process; remembers a bounded number of them."""
+
+    most = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.most:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, ws: list[bytes]):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
+
+
+_ROLL = 0x9E3779B97F4A7C15 | 1
+
+
+def rolling(h, k: int):
+    """Hash of each run of k word hashes: Karp-Rabin's polynomial modulo 2**64, all starts at once."""
+    import numpy as np
+
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = h[:n].copy()
+    for i in range(1, k):
+        out *= np.uint64(_ROLL)
+        out += h[i : i + n]
+    return out

@@ -10,37 +10,21 @@ joined. A false positive costs a row's trip through the shuffle, never a wrong r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from ._common import materialize
 
-BITMAP_BITS = 32_768  # of bitmap_construct_agg
-#: The filter is broadcast. This many bits (32 MB) is the most it takes, whatever the input is.
-MAX_FILTER_BITS = 1 << 28
-BITS_PER_ROW = 16
-HASHES = 2
 #: A hash with more than this share of the repeated rows is heavy; so at most its inverse are.
 HEAVY_SHARE = 1 / 1000
 HEAVY_ROWS = 64
 
 
-def _slots(digest: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(digest, F.lit(i)), F.lit(bits)) for i in range(HASHES)]
-
-
-def repeated_filter(digests: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap) of the slots that two rows or more have set; at most ``bits`` / 8 bytes."""
-    slots = digests.select(F.explode(F.array(*_slots(F.col("__digest"), bits))).alias("__slot"))
-    twice = slots.groupBy("__slot").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    return twice.groupBy(F.floor(F.col("__slot") / BITMAP_BITS).alias("__bucket")).agg(
-        F.bitmap_construct_agg(F.col("__slot") % BITMAP_BITS).alias("__bitmap")
-    )
-
-
-def _bit(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-    return F.coalesce(F.getbit(byte.cast("long"), (position % 8).cast("int")) == 1, F.lit(False))
+def repeated_filter(digests: DataFrame, column: str, bits: int) -> DataFrame:
+    """The second filter: the slots that two rows or more have set."""
+    taken = digests.select(F.explode(F.array(*bitmaps.slots(F.col(column), bits))).alias("__slot"))
+    return bitmaps.pack(taken.groupBy("__slot").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"))
 
 
 def annotate_copies(
@@ -48,7 +32,7 @@ def annotate_copies(
     id_col: str = "doc_id",
     text_col: str = "text",
     payload: list[str] | None = None,
-    max_filter_bits: int = MAX_FILTER_BITS,
+    max_filter_bits: int = bitmaps.MAX_FILTER_BITS,
 ) -> DataFrame:
     """Every row of ``docs`` with ``__digest, __keep_id, __group_size, __kept`` added.
 
@@ -59,21 +43,10 @@ def annotate_copies(
     """
     cols = payload if payload is not None else docs.columns
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    rows = max(1, docs.count())
-    bits = BITMAP_BITS
-    while bits < min(BITS_PER_ROW * rows, max_filter_bits):
-        bits *= 2
-    found = F.broadcast(repeated_filter(docs.select(digest.alias("__digest")), bits))
-    probed = docs.select(*cols, digest.alias("__digest"))
-    for i, slot in enumerate(_slots(F.col("__digest"), bits)):
-        part = found.select(F.col("__bucket").alias(f"__b{i}"), F.col("__bitmap").alias(f"__m{i}"))
-        probed = probed.withColumn(f"__s{i}", slot)
-        probed = probed.join(part, F.floor(F.col(f"__s{i}") / BITMAP_BITS) == F.col(f"__b{i}"), "left")
-        probed = probed.withColumn(f"__hit{i}", _bit(F.col(f"__m{i}"), F.col(f"__s{i}") % BITMAP_BITS))
-        probed = probed.drop(f"__b{i}", f"__m{i}", f"__s{i}")
-    hit = F.col("__hit0")
-    for i in range(1, HASHES):
-        hit = hit & F.col(f"__hit{i}")
+    bits = bitmaps.filter_bits(docs.count(), max_filter_bits)
+    found = repeated_filter(docs.select(digest.alias("__digest")), "__digest", bits)
+    probed = bitmaps.probe(docs.select(*cols, digest.alias("__digest")), F.col("__digest"), found, bits)
+    hit = F.col("__hit")
 
     alone = probed.filter(~hit).select(
         *cols, "__digest", F.col(id_col).alias("__keep_id"), F.lit(1).cast("long").alias("__group_size"), F.lit(True).alias("__kept")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op3_benchmark_decontamination
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op10_language_id
 from .packing import op1_best_fit_packing
@@ -17,6 +18,7 @@ from .url_filter import OP8_SQL, op8_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_secret_scan": op2_secret_scan,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
