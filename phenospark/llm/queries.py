@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op3_benchmark_decontamination
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op10_language_id
+from .lm_scoring import op7_lm_scoring
 from .ngram_join import op9_ngram_join
 from .packing import op1_best_fit_packing
 from .quality_classifier import op5_quality_classifier
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_counts": op6_token_counts,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_url_filter": op8_url_filter,
     "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
