@@ -107,24 +107,24 @@ def band_keys(sets: list[np.ndarray], join: Join) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
-    """``id, n, node, bands`` of each row; the node (16 bytes) stands for the set, null for the empty one."""
+    """``id, text_hash, n, node, bands`` of each row; the node (16 bytes) stands for the set, null for the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes = WordHashes()
         for b in batches:
-            sets = [shingles(t or b"", join.shingle, hashes) for t in b.column(1).to_pylist()]
+            sets = [shingles(t or b"", join.shingle, hashes) for t in b.column("text").to_pylist()]
             node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             large = [i for i, s in enumerate(sets) if len(s) >= join.smallest]
             keys = band_keys([sets[i] for i in large], join) if large else np.zeros((0, join.bands), np.uint64)
             offsets = np.zeros(len(sets) + 1, np.int32)
             offsets[np.array(large, np.int64) + 1] = join.bands
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), bands], names=["id", "n", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), bands], names=["id", "text_hash", "n", "node", "bands"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, n long, node binary, bands array<long>")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, text_hash long, n long, node binary, bands array<long>")
 
 
 class SignatureTree:
@@ -299,13 +299,8 @@ def document_nodes(sets: DataFrame) -> DataFrame:
 HEAVY_SHARE, HEAVY_ROWS = 1 / 1000, 64
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
-    """``id, n_shingles, component_id`` for each row: the smallest id that links lead to.
-
-    A-Z count as a-z; words are runs of characters other than ASCII white space. A null text, or one
-    without words, has the empty set and is linked with nothing. A null id is never the smallest if
-    there is another. Repeated rows are rows of one component. Other columns are not read.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
+    """``id, text_hash, n, node, root, component_id`` of each row; node and root are null for empty sets."""
     sets = materialize(document_sets(docs, id_col, text_col, join), "sets")
     nodes = materialize(document_nodes(sets), "nodes")
     linked = components(linked_nodes(docs, nodes, id_col, text_col, join).select("a", "b"))
@@ -313,15 +308,58 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Only nodes with a link, and the roots that they lead to, need to be grouped.
     grouped = rooted.join(linked.select("root").distinct(), "root", "left_semi")
     least = grouped.groupBy("root").agg(F.min("rep").alias("least"))
-    named = rooted.join(least, "root", "left").select("node", F.coalesce("least", "rep").alias("component_id"), "copies")
+    named = rooted.join(least, "root", "left").select("node", "root", F.coalesce("least", "rep").alias("component_id"), "copies")
     named = materialize(named, "named")
     most = max(HEAVY_ROWS, int(sets.count() * HEAVY_SHARE))
-    own = sets.select("id", "n", "node")
+    own = sets.select("id", "text_hash", "n", "node")
     heavy = F.broadcast(named.filter(F.col("copies") > most).drop("copies"))  # fewer than 1 / HEAVY_SHARE rows
     first = own.join(heavy, "node", "left")
-    rest = first.filter("component_id is null and node is not null").drop("component_id").join(named.filter(F.col("copies") <= most).drop("copies"), "node", "left")
-    out = first.filter("component_id is not null or node is null").unionByName(rest)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    rest = first.filter("root is null and node is not null").drop("root", "component_id").join(named.filter(F.col("copies") <= most).drop("copies"), "node")
+    out = first.filter("root is not null or node is null").unionByName(rest)
+    return out.withColumn("component_id", F.coalesce("component_id", "id"))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
+    """``id, n_shingles, component_id`` for each row: the smallest id that links lead to.
+
+    A-Z count as a-z; words are runs of characters other than ASCII white space. A null text, or one
+    without words, has the empty set and is linked with nothing. A null id is never the smallest if
+    there is another. Repeated rows are rows of one component. Other columns are not read.
+    """
+    return _classes(docs, id_col, text_col, join).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> tuple[DataFrame, DataFrame]:
+    """All links and who they hold for: (``a, b, overlap, size_a, size_b`` with the smallest ids of
+    two different sets; ``rep, id`` for each row). Copies aren't expanded into pairs."""
+    sets = materialize(document_sets(docs, id_col, text_col, join), "sets")
+    nodes = materialize(document_nodes(sets), "nodes")
+    links = linked_nodes(docs, nodes, id_col, text_col, join, every=True).dropDuplicates(["a", "b"])
+    rep = nodes.select("node", "rep")
+    pairs = links.join(rep.toDF("a", "rep_a"), "a").join(rep.toDF("b", "rep_b"), "b")
+    pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "overlap", "size_a", "size_b")
+    return pairs, sets.select("id", "node").join(rep, "node", "left").select(F.coalesce("rep", "id").alias("rep"), "id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
+    """One document of each component stays: that with the smallest id. All columns are kept.
+
+    If several texts have that id, one of the texts stays; rows that are the same in id and text
+    stay or go together. Texts with the empty set stay.
+    """
+    rows = materialize(_classes(docs, id_col, text_col, join), "classes").filter("node is not null")
+    heads = rows.filter(F.col("id").eqNullSafe(F.col("component_id")))
+    one = heads.groupBy("root").agg(F.min("text_hash").alias("stays"))
+    doubled = heads.select("root", "id", "text_hash").join(one, "root").filter("text_hash != stays").select("id", "text_hash")
+    gone = rows.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "text_hash").unionByName(doubled).distinct()
+    gone = materialize(gone.select(F.xxhash64("id", "text_hash").alias("__k"), F.col("id").alias("__id"), F.col("text_hash").alias("__text")), "gone")
+    bits = bitmaps.filter_bits(gone.count())
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    keyed = docs.withColumn("__own", text).withColumn("__key", F.xxhash64(F.col(id_col), F.col("__own")))
+    keyed = bitmaps.probe(keyed, F.col("__key"), bitmaps.member_filter(gone, "__k", bits), bits)
+    same = (F.col("__key") == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__text"))
+    maybe = keyed.filter("__hit").join(gone, same, "left_anti")
+    return keyed.filter("not __hit").unionByName(maybe).select(*docs.columns)
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
