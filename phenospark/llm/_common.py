@@ -2,68 +2,28 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
-_written: list[tuple[SparkSession, str]] = []
+from phenospark.storage import materialize, shared_dir
 
+__all__ = ["WordHashes", "crc_mod", "materialize", "per_batch", "rolling", "shared_dir", "slices", "small_batches", "words"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
 
-    It is the one named by ``spark.checkpoint.dir``. Only where that setting is absent (local
-    tests, one machine) a temporary folder takes its place.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="phenospark-"))
-    return _own_dir[0]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@atexit.register
-def release() -> None:
-    """Delete the tables that materialize() wrote; runs by itself when the driver ends."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            _delete(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python in batches of 1,000 rows, unless the session says otherwise.
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: an executor that is lost later costs no recomputation of what stands
-    above, and a result that is read several times is computed once.
+    Spark's own 10,000 would hold some tens of MB of text outside the heap for each task.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/phenospark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_or_empty(text: str = "text"):
-    return F.coalesce(F.col(text), F.lit(""))
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, str(rows))
 
 
 def crc_mod(column: str, n: int):
@@ -83,17 +43,38 @@ def per_batch(fn: Callable) -> Callable:
     """Lift a function from one Arrow batch to another to an iterator of them, for mapInArrow."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        for batch in slices(batches):
+            yield fn(batch)
 
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most_bytes`` of text, or one row: what a worker unpacks at
+    once stays small, however many long texts meet."""
+    for b in batches:
+        if b.nbytes <= most_bytes:
+            if b.num_rows:
+                yield b
+            continue
+        size = None
+        for c in b.columns:
+            if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                n = pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype("int64")
+                size = n if size is None else size + n
+        start, held = 0, 0
+        for i, n in enumerate([] if size is None else size.tolist()):
+            if held and held + n > most_bytes:
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        yield b.slice(start)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, the same in every process; remembers a bounded number of them."""
 
-    most = 500_000
+    most = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

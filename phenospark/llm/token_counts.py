@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import slices
+
 SPACE = "▁"
 #: Bounds of what a worker remembers; beyond them it starts anew, which costs time only.
 MOST_NODES, MOST_COUNTS, LONGEST_IN_TRIE = 200_000, 400_000, 64
@@ -49,6 +51,8 @@ class TrieCounter:
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0.0) - 1.0
+        #: Every ending of a piece: the score of those that are pieces, None of the others.
+        self.endings: dict[str, float | None] = {p[i:]: None for p in scores for i in range(1, len(p))} | scores
         self.done: dict[str, int] = {}
         self._reset()
 
@@ -65,8 +69,12 @@ class TrieCounter:
             n = len(ch.encode("utf-8", "surrogatepass"))
             s, t = before[i - 1]
             top = (s + n * self.byte, t - n)
-        for j in range(max(0, i - self.longest), i):
-            s = self.scores.get(word[j:i])
+        endings = self.endings
+        for j in range(i - 1, max(0, i - self.longest) - 1, -1):
+            ending = word[j:i]
+            if ending not in endings:
+                break
+            s = endings[ending]
             if s is not None:
                 p, t = before[j]
                 if (p + s, t - 1) > top:
@@ -117,7 +125,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         else:
             counter = _counters[vocabulary] = TrieCounter(zipf_scores(vocabulary))
         count = counter.count
-        for b in batches:
+        for b in slices(batches):
             texts = [(t or b"").split() for t in b.column(1).to_pylist()]
             distinct = Counter()
             for t in texts:
