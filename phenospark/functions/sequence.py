@@ -64,7 +64,11 @@ def token_hash(c: Column) -> Column:
 def minhash(tokens: Column, seeds: list[int]) -> Column:
     """Signature: for each seed the smallest (hash xor seed); null for no tokens."""
     hashes = F.transform(tokens, lambda t: token_hash(t.cast("binary")))
-    return F.array(*[F.array_min(F.transform(hashes, lambda h, s=s: h.bitwiseXOR(F.lit(s)))) for s in seeds])
+    table = F.array(*[F.lit(s).cast("long") for s in seeds])
+    none = F.transform(table, lambda s: F.lit((1 << 63) - 1))
+    # One pass over the tokens; each is hashed once.
+    least = F.aggregate(hashes, none, lambda acc, h: F.zip_with(acc, table, lambda a, s: F.least(a, h.bitwiseXOR(s))))
+    return F.when(F.size(tokens) > 0, least)
 
 
 def signature_agreement(a: Column, b: Column) -> Column:

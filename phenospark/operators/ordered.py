@@ -26,11 +26,11 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], by:
     dealt = materialize(dealt, "ordered")
     totals = dealt.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__t{c}") for c in tmp])
     before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "__part", *[F.coalesce(F.sum(f"__t{c}").over(before), F.lit(0)).alias(f"__t{c}") for c in tmp])
-    same = dealt["__part"] == totals["__part"]
+    totals = totals.select(*[F.col(c).alias(f"__g_{c}") for c in by], F.col("__part").alias("__of"), *[F.coalesce(F.sum(f"__t{c}").over(before), F.lit(0)).alias(f"__t{c}") for c in tmp])
+    same = F.col("__part") == F.col("__of")
     for c in by:
-        same = same & dealt[c].eqNullSafe(totals[c])
-    joined = dealt.join(totals, same).select(*[dealt[c] for c in cols], dealt["__part"], *[F.col(c) for c in tmp], *[F.col(f"__t{c}") for c in tmp])
+        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    joined = dealt.join(totals, same)
     within = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(*cols, *[(F.sum(f"__v_{k}").over(within) + F.col(f"__t__v_{k}")).alias(k) for k in sums])
 
