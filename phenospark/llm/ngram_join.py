@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from ._common import WordHashes, materialize, rolling, words
+from ._common import WordHashes, materialize, rolling, slices, small_batches, words
 from .components import UnionFind, components
 
 
@@ -107,24 +107,29 @@ def band_keys(sets: list[np.ndarray], join: Join) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
-    """``id, text_hash, n, node, bands`` of each row; the node (16 bytes) stands for the set, null for the empty one."""
+    """``id, text_hash, n, node, short, bands`` of each row.
+
+    The node (16 bytes) stands for the set, null for the empty one. Its first 8 bytes are its short
+    name, which serves in routing alone: there a clash brings more sets together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes = WordHashes()
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t or b"", join.shingle, hashes) for t in b.column("text").to_pylist()]
             node = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            short = pa.array([int.from_bytes(x[:8], "little", signed=True) if x else None for x in node], pa.int64())
             large = [i for i, s in enumerate(sets) if len(s) >= join.smallest]
             keys = band_keys([sets[i] for i in large], join) if large else np.zeros((0, join.bands), np.uint64)
             offsets = np.zeros(len(sets) + 1, np.int32)
             offsets[np.array(large, np.int64) + 1] = join.bands
             bands = pa.ListArray.from_arrays(pa.array(np.cumsum(offsets), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), bands], names=["id", "text_hash", "n", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.binary()), short, bands], names=["id", "text_hash", "n", "node", "short", "bands"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
-    return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, text_hash long, n long, node binary, bands array<long>")
+    return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, text_hash long, n long, node binary, short long, bands array<long>")
 
 
 class SignatureTree:
@@ -220,21 +225,24 @@ def tree_join(sets: list[np.ndarray], join: Join, side: list[int] | None = None,
     return out
 
 
-def _routes(nodes: DataFrame, join: Join) -> DataFrame:
-    """(a, b): nodes that share a band with the smallest node of the band."""
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last").select("key", "first")
+def _routes(sets: DataFrame) -> DataFrame:
+    """(a, b): short names of nodes that share a band with the smallest of the band.
+
+    In the first pass the tasks combine; in the second only bands that two nodes share are shuffled.
+    """
+    keyed = sets.select("short", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("short").alias("first"), F.max("short").alias("last")).filter("first != last").select("key", "first")
     shared = materialize(shared, "bands")
     bits = bitmaps.filter_bits(shared.count())
-    hits = bitmaps.probe(keyed, F.col("key"), bitmaps.member_filter(shared, "key", bits), bits).filter("__hit").drop("__hit")
-    return hits.join(shared, "key").filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    hits = bitmaps.probe(keyed, F.col("key"), bitmaps.member_filter(shared, "key", bits), bits).filter("__hit").drop("__hit").distinct()
+    return hits.join(shared, "key").filter("short != first").select(F.col("short").alias("a"), F.col("first").alias("b"))
 
 
-def linked_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, join: Join, every: bool = False) -> DataFrame:
-    """``a, b, overlap, size_a, size_b`` of linked nodes; ``nodes`` has ``node, rep, n, bands``."""
-    near = components(_routes(nodes, join))
-    roots = near.select(F.col("root").alias("node"), "root").distinct()
-    members = near.unionByName(roots).join(nodes.select("node", "rep", "n"), "node")
+def linked_nodes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, text_col: str, join: Join, every: bool = False) -> DataFrame:
+    """``a, b, overlap, size_a, size_b`` of linked nodes, given document_sets() and document_nodes()."""
+    near = components(_routes(sets)).withColumnRenamed("node", "short")
+    roots = near.select(F.col("root").alias("short"), "root").distinct()
+    members = near.unionByName(roots).join(nodes.select("node", "short", "rep", "n"), "short").drop("short")
     members = materialize(members, "members")
     groups = members.groupBy("root").agg(F.count(F.lit(1)).alias("__c"), F.sum("n").alias("__t"))
     blocks = F.greatest(F.ceil(F.col("__c") / join.block), F.ceil(F.col("__t") / join.block_tokens)).cast("int")
@@ -251,7 +259,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
         import xxhash
 
         hashes, before = WordHashes(), set()
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t or b"", join.shingle, hashes) for t in b.column(0).to_pylist()]
             sets = {xxhash.xxh3_128_digest(s.tobytes()): s for s in sets if len(s) >= join.smallest}
             sets = {k: s for k, s in sets.items() if k not in before}
@@ -292,8 +300,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
 
 
 def document_nodes(sets: DataFrame) -> DataFrame:
-    """One row per node: ``node, rep`` (smallest id), ``n, bands, copies``."""
-    return sets.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    """One row per node: ``node, short, rep`` (smallest id), ``n, copies``."""
+    return sets.filter(F.col("node").isNotNull()).groupBy("node", "short", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
 HEAVY_SHARE, HEAVY_ROWS = 1 / 1000, 64
@@ -301,9 +309,10 @@ HEAVY_SHARE, HEAVY_ROWS = 1 / 1000, 64
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
     """``id, text_hash, n, node, root, component_id`` of each row; node and root are null for empty sets."""
+    small_batches(docs.sparkSession)
     sets = materialize(document_sets(docs, id_col, text_col, join), "sets")
     nodes = materialize(document_nodes(sets), "nodes")
-    linked = components(linked_nodes(docs, nodes, id_col, text_col, join).select("a", "b"))
+    linked = components(linked_nodes(docs, sets, nodes, id_col, text_col, join).select("a", "b"))
     rooted = nodes.select("node", "rep", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Only nodes with a link, and the roots that they lead to, need to be grouped.
     grouped = rooted.join(linked.select("root").distinct(), "root", "left_semi")
@@ -332,9 +341,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> tuple[DataFrame, DataFrame]:
     """All links and who they hold for: (``a, b, overlap, size_a, size_b`` with the smallest ids of
     two different sets; ``rep, id`` for each row). Copies aren't expanded into pairs."""
+    small_batches(docs.sparkSession)
     sets = materialize(document_sets(docs, id_col, text_col, join), "sets")
     nodes = materialize(document_nodes(sets), "nodes")
-    links = linked_nodes(docs, nodes, id_col, text_col, join, every=True).dropDuplicates(["a", "b"])
+    links = linked_nodes(docs, sets, nodes, id_col, text_col, join, every=True).dropDuplicates(["a", "b"])
     rep = nodes.select("node", "rep")
     pairs = links.join(rep.toDF("a", "rep_a"), "a").join(rep.toDF("b", "rep_b"), "b")
     pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "overlap", "size_a", "size_b")
