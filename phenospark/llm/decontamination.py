@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import WordHashes, rolling
+from ._common import WordHashes, rolling, slices
 
 _PUNCTUATION = string.punctuation.encode()
 #: Characters of benchmark text in one index; a larger benchmark is taken in several blocks, one scan each.
@@ -160,7 +160,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             index = Index(items, tiling, hashes)
             like = pa.array(index.ids, to_arrow_type(item_type))
             tile = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("words", pa.int32())]))
-            for b in batches:
+            for b in slices(batches):
                 row, item, covered, tiles = [], [], [], []
                 for i, text in enumerate(b.column(1).to_pylist()):
                     for k, n, t in index.found(hashes.of(normal_words(text or ""))):
@@ -185,7 +185,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             index = Index(items, tiling, hashes)
-            for b in batches:
+            for b in slices(batches):
                 clean = [not any(True for _ in index.found(hashes.of(normal_words(t or "")))) for t in b.column(at).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod
+from ._common import crc_mod, slices
 
 DIMS = 4096
 #: Bounds of the training sample: documents a language, and in all.
@@ -128,7 +128,7 @@ def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str =
     picked = usable.filter(draw < share[F.col("lang")])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [(features(t.encode("utf-8", "surrogatepass")).astype(np.float16).tobytes(), v) for t, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=["v", "lang"])
 
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: EcocModel, id_col: str = "doc_id", text_col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             good = [i for i, t in enumerate(texts) if model.languages and has_letter(t)]
             lang, score, doubt = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)

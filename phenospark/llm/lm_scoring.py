@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, materialize, words
+from ._common import crc_mod, materialize, slices, words
 
 #: The end of a text is a token; no word is empty.
 END = b""
@@ -139,7 +139,7 @@ def count_tokens(train: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "c"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in b.column("text").to_pylist():
                 seen.update(words(t or b""))
                 seen[END] += 1
@@ -205,7 +205,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
                 learner.step(a[at], b[at], t[at])
 
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             for raw in batch.column("text").to_pylist():
                 s = index.of([*words(raw or b""), END])
                 held.append((*_contexts(s, index.size), s))
@@ -232,7 +232,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
         to10 = np.log10(np.e)
         log_of = {t: float(np.log10(c + 0.5)) for t, c in known.items()}
         pair = pa.struct([("token", pa.binary()), ("tf", pa.int64())])
-        for batch in batches:
+        for batch in slices(batches):
             n, n_head, base, lm, tails = [], [], [], [], []
             for raw in batch.column("text").to_pylist():
                 tokens = [*words(raw or b""), END]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, materialize
+from ._common import crc_mod, materialize, slices
 
 FEATURES = ("length", "upper", "symbols", "exclamations", "bars", "stops", "digits", "other", "echo", "distinct", "word_length", "lines")
 SHRINK, RIDGE = 0.1, 0.05
@@ -88,7 +88,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``id`` and one double column for each of FEATURES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array([statistics(t or b"") for t in b.column(1).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, i]) for i in range(x.shape[1]))], names=["id", *FEATURES])
 
@@ -132,10 +132,9 @@ def keep_good(docs: DataFrame, model: QuadraticDiscriminant, text_col: str = "te
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x = np.array([statistics((t or "").encode("utf-8", "surrogatepass")) for t in b.column(at).to_pylist()])
-                yield b.filter(pa.array(model.score(x) >= threshold))
+        for b in slices(batches):
+            x = np.array([statistics((t or "").encode("utf-8", "surrogatepass")) for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(model.score(x) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
