@@ -59,19 +59,21 @@ def _stars(seen: UnionFind, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], names=["a", "b"])
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Connect the neighbours of each node (the larger ones, or the smaller ones and itself) to the smallest."""
-    if large:
-        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    moved = near.join(least, "a")
-    if large:
-        moved = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        moved = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return moved.filter("a != b").distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) have a > b. Move each from b to the smallest neighbour of b, if that is smaller.
+
+    The smallest neighbours are written first: then both sides of the join come from shuffles that
+    Spark may split, as a hub is the smaller end of very many edges.
+    """
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("hub"), "m"), "least")
+    return edges.join(least, F.col("b") == F.col("hub"), "left").select("a", F.coalesce("m", "b").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Connect the smaller neighbours of each node, and the node, to the smallest of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     last = mark(edges)
     while last[0]:
-        edges = materialize(_star(_star(edges, True), False), "edges")
+        edges = materialize(_small_star(_large_star(edges)), "edges")
         now = mark(edges)
         if now == last:
             break
