@@ -9,12 +9,17 @@ from phenospark.storage import materialize
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+    """One round over edges (a, b) with a > b.
+
+    First each edge moves from b to the smallest neighbour of b. Those are written before the join:
+    a hub is the smaller end of very many edges, and Spark can split such a join only if both sides
+    come straight from a shuffle. Then the smaller neighbours of a node join the smallest of them.
+    """
+    hubs = materialize(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("hub"), "m"), "hubs")
+    large = edges.join(hubs, F.col("b") == F.col("hub"), "left").select("a", F.coalesce("m", "b").alias("b"))
     least = large.groupBy("a").agg(F.min("b").alias("m"))
-    small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return small.filter("a != b").distinct()
+    small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
+    return small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def connected_components(edges: DataFrame, a: str, b: str, nodes: DataFrame | None = None, node: str | None = None) -> DataFrame:
