@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
-    """``w``: rows over twice the class's rows, so both classes weigh the same."""
+    """``__w``: rows over twice the class's rows, so both classes weigh the same."""
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # two rows
     total = sum(counts.values())
     w = F.lit(1.0)
     for k, n in counts.items():
         w = F.when(F.col(label) == k, total / (len(counts) * n)).otherwise(w)
-    return df.withColumn("w", w)
+    return df.withColumn("__w", w)
 
 
 def elastic_net(df: DataFrame, features: list[str], label: str, c: float = 1.0, l1_ratio: float = 0.5, rounds: int = 200) -> PipelineModel:
@@ -27,17 +27,17 @@ def elastic_net(df: DataFrame, features: list[str], label: str, c: float = 1.0,
     rows = balanced_weights(df, label)
     n = rows.count()
     stages = [
-        VectorAssembler(inputCols=features, outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="x", withMean=True),
-        LogisticRegression(featuresCol="x", labelCol=label, weightCol="w", elasticNetParam=l1_ratio, regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=rounds),
+        VectorAssembler(inputCols=features, outputCol="__raw"),
+        StandardScaler(inputCol="__raw", outputCol="__x", withMean=True),
+        LogisticRegression(featuresCol="__x", labelCol=label, weightCol="__w", elasticNetParam=l1_ratio, regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=rounds),
     ]
     return Pipeline(stages=stages).fit(rows)
 
 
 def random_forest(df: DataFrame, features: list[str], label: str, trees: int = 300, depth: int = 12, leaf: int = 5, seed: int = 0) -> PipelineModel:
     rows = balanced_weights(df, label)
-    forest = RandomForestClassifier(featuresCol="x", labelCol=label, weightCol="w", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), forest]).fit(rows)
+    forest = RandomForestClassifier(featuresCol="__x", labelCol=label, weightCol="__w", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="sqrt", seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__x"), forest]).fit(rows)
 
 
 def probability(model: PipelineModel, df: DataFrame, out: str = "p") -> DataFrame:
@@ -49,7 +49,7 @@ def platt(df: DataFrame, score: str, label: str) -> tuple[float, float]:
     """Slope and intercept of a logistic curve over the log-odds of a frozen model's score."""
     q = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col(score)))
     x = df.select(F.log(q / (1 - q)).alias("z"), F.col(label).cast("double").alias("y"))
-    m = LogisticRegression(featuresCol="v", labelCol="y", regParam=0.0).fit(VectorAssembler(inputCols=["z"], outputCol="v").transform(x))
+    m = LogisticRegression(featuresCol="__v", labelCol="y", regParam=0.0).fit(VectorAssembler(inputCols=["z"], outputCol="__v").transform(x))
     return float(m.coefficients[0]), float(m.intercept)
 
 
@@ -59,12 +59,12 @@ def apply_platt(df: DataFrame, score: str, slope: float, intercept: float, out:
 
 
 def isotonic(df: DataFrame, score: str, label: str):
-    return IsotonicRegression(featuresCol="v", labelCol=label).fit(VectorAssembler(inputCols=[score], outputCol="v").transform(df))
+    return IsotonicRegression(featuresCol="__v", labelCol=label).fit(VectorAssembler(inputCols=[score], outputCol="__v").transform(df))
 
 
 def apply_isotonic(model, df: DataFrame, score: str, out: str = "p_calibrated") -> DataFrame:
     keep = df.columns
-    got = model.transform(VectorAssembler(inputCols=[score], outputCol="v").transform(df))
+    got = model.transform(VectorAssembler(inputCols=[score], outputCol="__v").transform(df))
     return got.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias(out))
 
 
