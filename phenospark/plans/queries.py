@@ -14,7 +14,7 @@ from phenospark.functions import constants as K
 from phenospark.functions import normalize as N
 from phenospark.functions import scoring as S
 from phenospark.functions import sequence as Q
-from phenospark.operators import evidence, features, gates, graph, labels, metrics, models, nocall, similarity, splits, store
+from phenospark.operators import evidence, features, gates, graph, labels, metrics, models, nocall, serving, similarity, splits, store
 from phenospark.sources import readers
 from phenospark.streaming import counts
 
@@ -824,6 +824,105 @@ def stream_counts(spark, d):
 def class_rates(spark, d):
     return counts.class_counts(table(spark, d, "part"), F.replace("p_name", F.lit(" "), F.lit("/")))
 
+# ---------------------------------------------------------------- serving
+
+_WEIGHTS_SQL = """w AS (SELECT dr.drug, b.p_brand AS feature, ((CAST(substr(b.p_brand, 7) AS INT) * (37 + dr.k)) % 101 - 50) / 100.0::DOUBLE AS coef, 0.25::DOUBLE AS mean, 0.5::DOUBLE AS std
+  FROM (SELECT DISTINCT p_brand FROM part) b, (VALUES ('a', 1), ('b', 2)) dr(drug, k))"""
+
+
+def _weights(spark, d):
+    b = table(spark, d, "part").select("p_brand").distinct()
+    dr = F.explode(F.array(F.struct(F.lit("a").alias("drug"), F.lit(1).alias("k")), F.struct(F.lit("b").alias("drug"), F.lit(2).alias("k"))))
+    w = b.select("p_brand", dr.alias("x")).select("x.drug", F.col("p_brand").alias("feature"), (((F.substring("p_brand", 7, 9).cast("int") * (37 + F.col("x.k"))) % 101 - 50) / 100.0).alias("coef"), F.lit(0.25).alias("mean"), F.lit(0.5).alias("std"))
+    return w.unionByName(spark.createDataFrame([("a", None, 0.3, 0.0, 1.0), ("b", None, -0.2, 0.0, 1.0)], w.schema))
+
+
+_SCORES_SQL = f"""{PRESENCE_SQL}, {_WEIGHTS_SQL}, z0 AS (SELECT drug, CASE drug WHEN 'a' THEN 0.3::DOUBLE ELSE -0.2::DOUBLE END + sum(-coef / std * mean) AS z FROM w GROUP BY drug),
+dz AS (SELECT l_suppkey, drug, sum(coef / std) AS dz, count(*) AS n_used FROM presence JOIN w ON feature = p_brand GROUP BY ALL),
+scores AS (SELECT s_suppkey, z0.drug, 1 / (1 + exp(-(z + coalesce(dz, 0)))) AS p, coalesce(n_used, 0) AS n_used FROM supplier CROSS JOIN z0 LEFT JOIN dz ON dz.l_suppkey = s_suppkey AND dz.drug = z0.drug)"""
+
+
+def _scores(spark, d):
+    long = presence(spark, d).withColumnRenamed("l_suppkey", "s_suppkey")
+    return serving.linear_scores(long, table(spark, d, "supplier"), _weights(spark, d), "s_suppkey", "p_brand")
+
+
+@query("linear_scores", f"WITH {_SCORES_SQL} SELECT s_suppkey, drug, round(p, 6) AS p, n_used FROM scores")
+def linear_scores(spark, d):
+    return _scores(spark, d).withColumn("p", F.round("p", 6))
+
+
+@query(
+    "scored_panel",
+    f"""WITH {_SCORES_SQL}, panel(drug, skip) AS (VALUES ('a', NULL), ('b', NULL), ('c', 'single_class_all_resistant'), ('d', NULL))
+SELECT s.s_suppkey, panel.drug, round(p, 6) AS p, CASE WHEN p IS NULL THEN coalesce(skip, 'model_not_trained') END AS skip FROM supplier s CROSS JOIN panel LEFT JOIN scores ON scores.s_suppkey = s.s_suppkey AND scores.drug = panel.drug""",
+)
+def scored_panel(spark, d):
+    panel = spark.createDataFrame([("a", None), ("b", None), ("c", "single_class_all_resistant"), ("d", None)], "drug string, skip string")
+    return serving.with_unscored(_scores(spark, d), table(spark, d, "supplier"), panel, "s_suppkey").select("s_suppkey", "drug", r6("p", "p"), "skip")
+
+
+@query(
+    "verdict_rows",
+    f"""WITH {_SCORES_SQL}, b(drug, q_s, q_r, threshold) AS (VALUES ('a', 0.4::DOUBLE, 0.3::DOUBLE, 7000.0::DOUBLE), ('b', 0.7::DOUBLE, 0.6::DOUBLE, 8000.0::DOUBLE)),
+x AS (SELECT s_suppkey, drug, s_acctbal > threshold AS far, CAST(p <= q_s AS INT) + 2 * CAST(1 - p <= q_r AS INT) AS st FROM scores JOIN b USING (drug) JOIN supplier USING (s_suppkey))
+SELECT s_suppkey, drug, CASE WHEN far THEN 'no_call' WHEN st = 2 THEN 'likely_to_fail' WHEN st = 1 THEN 'likely_to_work' ELSE 'no_call' END AS verdict, CASE WHEN far THEN 'distance' WHEN st IN (0, 3) THEN 'band' END AS reason FROM x""",
+)
+def verdict_rows(spark, d):
+    bands = spark.createDataFrame([("a", 0.4, 0.3, 7000.0), ("b", 0.7, 0.6, 8000.0)], "drug string, q_s double, q_r double, threshold double")
+    far = table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("distance"))
+    return serving.verdict_rows(_scores(spark, d), bands, far, "s_suppkey").select("s_suppkey", "drug", "verdict", "reason")
+
+
+@query(
+    "report_rows",
+    f"WITH {_SCORES_SQL} SELECT s_suppkey, string_agg(drug || ':' || CAST(n_used AS VARCHAR), ',' ORDER BY drug) AS drugs FROM scores GROUP BY ALL",
+)
+def report_rows(spark, d):
+    r = serving.reports(_scores(spark, d), "s_suppkey", "drug", ["n_used"])
+    return r.select("s_suppkey", F.array_join(F.transform("drugs", lambda x: F.concat(x["drug"], F.lit(":"), x["n_used"].cast("string"))), ",").alias("drugs"))
+
+
+@query(
+    "evidence_counts",
+    """WITH h AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49 GROUP BY ALL), u AS (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 50 GROUP BY ALL)
+SELECT s_suppkey, coalesce(h.n, 0) AS n_curated, coalesce(u.n, 0) AS n_model FROM supplier LEFT JOIN h ON h.l_suppkey = s_suppkey LEFT JOIN u ON u.l_suppkey = s_suppkey""",
+)
+def evidence_counts(spark, d):
+    l = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "s_suppkey")
+    return serving.evidence_counts(table(spark, d, "supplier").select("s_suppkey"), l.filter("l_returnflag = 'R' and l_quantity >= 49"), l.filter("l_returnflag = 'A' and l_quantity >= 50"), ["s_suppkey"])
+
+
+@query(
+    "curated_picks",
+    f"""WITH {SCORED_SQL}, a AS (SELECT 'resistant' AS slot, doc_id FROM scored WHERE y = 1 AND p >= 0.7 ORDER BY p DESC, doc_id DESC LIMIT 1), b AS (SELECT 'susceptible', doc_id FROM scored WHERE y = 0 AND p <= 0.5 ORDER BY p, doc_id LIMIT 1),
+c AS (SELECT 'refusal', doc_id FROM scored WHERE y = 1 AND p > 0.45 AND p < 0.5 ORDER BY p, doc_id LIMIT 1) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""",
+)
+def curated_picks(spark, d):
+    s = scored(spark, d)
+    two = serving.pick(s, [("resistant", F.expr("y = 1 and p >= 0.7"), [F.desc("p"), F.desc("doc_id")]), ("susceptible", F.expr("y = 0 and p <= 0.5"), [F.col("p"), F.col("doc_id")])])
+    third = serving.first_choice(s, "refusal", [(F.expr("p > 2"), [F.col("doc_id")]), (F.expr("y = 1 and p > 0.45 and p < 0.5"), [F.col("p"), F.col("doc_id")])])
+    return two.unionByName(third).select("slot", "doc_id")
+
+
+@query("pending_first", "SELECT c_custkey, c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS pending FROM customer ORDER BY pending DESC, c_custkey LIMIT 250")
+def pending_first(spark, d):
+    done = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return serving.pending_first(table(spark, d, "customer").select("c_custkey"), done, "c_custkey", 250)
+
+
+@query(
+    "service_response",
+    """WITH j AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'broken' ELSE '{"score": ' || CAST(event_id % 13 AS VARCHAR) || 'e-1, "classification": "' || CASE event_id % 3 WHEN 0 THEN 'uncertain' WHEN 1 THEN 'likely_effective' ELSE 'other' END || '"}' END AS raw FROM events)
+SELECT event_id, event_id % 7 <> 0 AND event_id % 13 <= 10 AND event_id % 3 <> 2 AS valid, CASE WHEN event_id % 7 <> 0 THEN event_id % 3 = 0 END AS no_call FROM j""",
+)
+def service_response(spark, d):
+    k = F.col("event_id")
+    cls = F.when(k % 3 == 0, "uncertain").when(k % 3 == 1, "likely_effective").otherwise("other")
+    raw = F.when(k % 7 == 0, "broken").otherwise(F.concat(F.lit('{"score": '), (k % 13).cast("string"), F.lit('e-1, "classification": "'), cls, F.lit('"}')))
+    x = table(spark, d, "events").select("event_id", serving.parse_response(raw).alias("x"))
+    return x.select("event_id", "x.valid", "x.no_call")
+
 
 # ---------------------------------------------------------------- models: no SQL says the same
 
