@@ -69,12 +69,24 @@ def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 4_000_000) -> It
                 start, held = i, 0
             held += n
         yield b.slice(start)
+    _give_back()
+
+
+def _give_back() -> None:
+    """At the end of a task, return freed memory to the system: the worker stays for later tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class WordHashes(dict):
     """64-bit hashes of words, the same in every process; remembers a bounded number of them."""
 
-    most = 200_000
+    most = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -76,11 +76,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, contract: bool = True) -> DataFrame:
     """``node, root`` for each node of ``edges`` (columns ``a, b``) that isn't the smallest of its
-    component; a node appears once. Edges may repeat, in either direction, and join a node to itself."""
+    component; a node appears once. Edges may repeat, in either direction, and join a node to itself.
+
+    Without ``contract`` tasks don't contract their edges first; edges that come out of Python need
+    no second Python worker beside the first then.
+    """
     kind = dict(edges.dtypes)["a"]
-    edges = materialize(edges.mapInArrow(_contract, f"a {kind}, b {kind}").distinct(), "edges")
+    if contract:
+        edges = edges.mapInArrow(_contract, f"a {kind}, b {kind}")
+    else:
+        edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = materialize(edges.distinct(), "edges")
 
     def mark(df: DataFrame):
         r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"), F.countDistinct("a").alias("k")).first()

@@ -312,7 +312,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFra
     small_batches(docs.sparkSession)
     sets = materialize(document_sets(docs, id_col, text_col, join), "sets")
     nodes = materialize(document_nodes(sets), "nodes")
-    linked = components(linked_nodes(docs, sets, nodes, id_col, text_col, join).select("a", "b"))
+    linked = components(linked_nodes(docs, sets, nodes, id_col, text_col, join).select("a", "b"), contract=False)
     rooted = nodes.select("node", "rep", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Only nodes with a link, and the roots that they lead to, need to be grouped.
     grouped = rooted.join(linked.select("root").distinct(), "root", "left_semi")
