@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -102,6 +105,30 @@ def linkage_clusters(pairs: DataFrame, group: str, a: str, b: str, distance: str
     return pairs.groupBy(group).applyInArrow(run, f"{group} {gkind}, node {kind}, cluster int")
 
 
+def minhash_signatures(rows: DataFrame, id_col: str, tokens: str, seeds: list[int]) -> DataFrame:
+    """``id, signature``: for each seed the smallest (hash xor seed) over the row's tokens; null for none.
+
+    The same numbers as functions.sequence.minhash(), which is one expression. Here the minima of a row
+    are one matrix operation, which is several times faster for a hundred seeds.
+    """
+    table = np.array(seeds, np.int64)
+    kind = dict(rows.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            out = []
+            for ts in b.column(1).to_pylist():
+                h = np.array([known[t] if t in known else known.setdefault(t, int(hashlib.md5(t.encode()).hexdigest()[:15], 16)) for t in ts or ()], np.int64)
+                if len(known) > 200_000:
+                    known.clear()
+                out.append((h[:, None] ^ table).min(0) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "signature"])
+
+    picked = rows.select(F.col(id_col).alias("id"), F.col(tokens).alias("tokens"))
+    return picked.mapInArrow(run, f"id {kind}, signature array<long>").withColumnRenamed("id", id_col)
+
+
 def minhash_pairs(signatures: DataFrame, id_col: str, signature: str, bands: int, rows: int) -> DataFrame:
     """Candidate pairs ``a, b`` that agree in a whole band of their signatures."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(F.col(signature), i * rows + 1, rows)))

@@ -727,7 +727,8 @@ mi AS (SELECT doc_id, i, min(xor(h, s)) AS v FROM u, sd GROUP BY ALL), sig AS (S
 
 def _signatures(spark, d):
     tokens = F.array_distinct(F.split(F.lower("text"), " ", -1))
-    return table(spark, d, "documents").select("doc_id", Q.minhash(tokens, SEEDS).alias("sig"))
+    rows = table(spark, d, "documents").select("doc_id", tokens.alias("tokens"))
+    return similarity.minhash_signatures(rows, "doc_id", "tokens", SEEDS).withColumnRenamed("signature", "sig")
 
 
 @query("minhash_signature", f"WITH {_SIGNATURE_SQL} SELECT doc_id, md5(array_to_string(sig, ',')) AS digest FROM sig")
