@@ -10,7 +10,8 @@
    members are known to be connected. What is left is compared exactly.
 4. Links join nodes to components.
 
-A group larger than a block is split into blocks that meet in pairs, so no task gets a whole group.
+A group larger than a block is split into blocks, so no task gets a whole group; component_links()
+says which of them meet.
 """
 
 from __future__ import annotations
@@ -238,18 +239,21 @@ def _routes(sets: DataFrame) -> DataFrame:
     return hits.join(shared, "key").filter("short != first").select(F.col("short").alias("a"), F.col("first").alias("b"))
 
 
-def linked_nodes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, text_col: str, join: Join, every: bool = False) -> DataFrame:
-    """``a, b, overlap, size_a, size_b`` of linked nodes, given document_sets() and document_nodes()."""
+def _members(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
+    """``node, tokens, root, size, blocks, at`` of the nodes that others are routed to.
+
+    ``root`` names the group, ``size`` is its number of nodes, ``at`` the node's block of ``blocks``.
+    The sets are made again from the texts: other documents pass no shuffle, as a filter of ids stops them.
+    """
     near = components(_routes(sets)).withColumnRenamed("node", "short")
     roots = near.select(F.col("root").alias("short"), "root").distinct()
     members = near.unionByName(roots).join(nodes.select("node", "short", "rep", "n"), "short").drop("short")
     members = materialize(members, "members")
-    groups = members.groupBy("root").agg(F.count(F.lit(1)).alias("__c"), F.sum("n").alias("__t"))
-    blocks = F.greatest(F.ceil(F.col("__c") / join.block), F.ceil(F.col("__t") / join.block_tokens)).cast("int")
-    groups = groups.select("root", blocks.alias("blocks"))
-    dealt = members.join(groups, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at"))
+    groups = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("__t"))
+    blocks = F.greatest(F.ceil(F.col("size") / join.block), F.ceil(F.col("__t") / join.block_tokens)).cast("int")
+    groups = groups.select("root", "size", blocks.alias("blocks"))
+    dealt = members.join(groups, "root").select("node", "root", "size", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at"))
 
-    # The members' sets come from their texts. Other documents pass no shuffle: a filter of ids stops them.
     bits = bitmaps.filter_bits(members.count())
     wanted = bitmaps.member_filter(members.select("rep"), "rep", bits)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -266,37 +270,89 @@ def linked_nodes(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str
             before = (before if len(before) < 100_000 else set()) | set(sets)
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["node", "tokens"])
 
-    tokens = own.mapInArrow(again, "node binary, tokens binary").join(dealt, "node")
-    meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tokens = tokens.select("node", "tokens", "root", "at", meet)
-    tokens = tokens.select("node", "tokens", "at", "root", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = tokens.repartition(parts, "root", "low", "high").sortWithinPartitions("root", "low", "high", "node")
+    return materialize(own.mapInArrow(again, "node binary, tokens binary").join(dealt, "node"), "tokens")
+
+
+def _join_groups(rows: DataFrame, keys: list[str], join: Join, every: bool = False) -> DataFrame:
+    """Tree joins of the groups of ``keys``: ``a, b, overlap, size_a, size_b``.
+
+    ``rows`` has ``node, tokens, side``: of a group with more than one side, only nodes of different
+    sides are compared. A node may come several times.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "node", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
 
         def done() -> pa.RecordBatch:
             names = list(held)
-            sets = [np.frombuffer(held[x][0], np.uint64) for x in names]
-            links = tree_join(sets, join, [held[x][1] for x in names], every) if len(names) > 1 else []
-            a, b = [names[i] for i, _, _ in links], [names[j] for _, j, _ in links]
+            sets = [np.frombuffer(held[x], np.uint64) for x in names]
+            links = tree_join(sets, join, [x[1] for x in names], every)
+            a, b = [names[i][0] for i, _, _ in links], [names[j][0] for _, j, _ in links]
             n = [[x[2] for x in links], [len(sets[x[0]]) for x in links], [len(sets[x[1]]) for x in links]]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), *(pa.array(x, pa.int64()) for x in n)], names=["a", "b", "overlap", "size_a", "size_b"])
 
-        for batch in batches:
-            node, data, at = (batch.column(c).to_pylist() for c in ("node", "tokens", "at"))
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high"))))
-            for i, k in enumerate(keys):
+        for batch in slices(batches):
+            node, data, side = (batch.column(c).to_pylist() for c in ("node", "tokens", "side"))
+            for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in keys))):
                 if k != key:
                     if len(held) > 1:
                         yield done()
                     key, held = k, {}
-                held[node[i]] = (data[i], at[i])  # a node that several documents have comes several times
+                held[node[i], side[i]] = data[i]
         if len(held) > 1:
             yield done()
 
-    return sorted_.mapInArrow(run, "a binary, b binary, overlap long, size_a long, size_b long")
+    return sorted_.mapInArrow(run, "a binary, b binary, overlap long, size_a long, size_b long").filter("a != b")
+
+
+def _all_pairs(members: DataFrame, join: Join, every: bool = False) -> DataFrame:
+    """Every two blocks of a group meet, so a node travels once for each block."""
+    meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = members.select("node", "tokens", "root", F.col("at").alias("side"), meet)
+    pairs = pairs.select("node", "tokens", "side", "root", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+    return _join_groups(pairs, ["root", "low", "high"], join, every)
+
+
+#: About so many nodes of a large group stand in each of its blocks, to connect them.
+HUBS = 8
+
+
+def component_links(members: DataFrame, join: Join) -> DataFrame:
+    """Links (a, b) that connect what all links would connect.
+
+    A group of one block is joined as it is. A larger one takes two rounds. In the first, each block
+    is joined in itself, with some hubs that stand in all blocks. What hangs together then, mostly the
+    group of copies around the hubs, needs no further comparison in itself. In the second, only nodes
+    outside their group's largest part, the strays, meet all blocks. So the work follows a group's
+    size, not its square, unless its parts are many; then all blocks meet, which costs no more.
+    """
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < HUBS)
+    places = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))
+    first = _join_groups(members.select("node", "tokens", "root", F.lit(0).alias("side"), F.explode(places).alias("at")), ["root", "at"], join)
+    first = materialize(first.select("a", "b"), "links")
+
+    large = members.filter("blocks > 1").drop("tokens")
+    if large.isEmpty():
+        return first
+    label = components(first, contract=False).withColumnRenamed("root", "label")
+    named = large.join(label, "node", "left").select("node", "root", "blocks", "at", F.coalesce("label", "node").alias("label"))
+    named = materialize(named, "parts")
+    sizes = named.groupBy("root", "label").agg(F.count(F.lit(1)).alias("k"))
+    groups = sizes.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k_all"))
+    groups = materialize(groups.filter("k_main < k_all").withColumn("few", F.expr("2 * (k_all - k_main) <= k_all")), "groups")
+    if groups.isEmpty():
+        return first
+    tokens = members.filter("blocks > 1").select("node", "tokens", "root", "blocks", "at")
+    many = _all_pairs(tokens.join(groups.filter("not few").select("root"), "root"), join)
+    stray_blocks = F.ceil((F.col("k_all") - F.col("k_main")) / join.block).cast("int")
+    known = named.join(groups.filter("few").select("root", "main", stray_blocks.alias("strays")), "root").select("node", "strays", (F.col("label") != F.col("main")).alias("stray"))
+    known = tokens.join(known, "node")
+    every_stray = known.select("node", "tokens", "root", F.lit(0).alias("side"), "at", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("with"))
+    strays = known.filter("stray").select("node", "tokens", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("strays")).cast("int").alias("with"))
+    second = _join_groups(every_stray.unionByName(strays), ["root", "at", "with"], join)
+    return first.unionByName(many.select("a", "b")).unionByName(second.select("a", "b"))
 
 
 def document_nodes(sets: DataFrame) -> DataFrame:
@@ -312,7 +368,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFra
     small_batches(docs.sparkSession)
     sets = materialize(document_sets(docs, id_col, text_col, join), "sets")
     nodes = materialize(document_nodes(sets), "nodes")
-    linked = components(linked_nodes(docs, sets, nodes, id_col, text_col, join).select("a", "b"), contract=False)
+    linked = components(component_links(_members(docs, sets, nodes, id_col, text_col, join), join), contract=False)
     rooted = nodes.select("node", "rep", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Only nodes with a link, and the roots that they lead to, need to be grouped.
     grouped = rooted.join(linked.select("root").distinct(), "root", "left_semi")
@@ -344,7 +400,8 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     sets = materialize(document_sets(docs, id_col, text_col, join), "sets")
     nodes = materialize(document_nodes(sets), "nodes")
-    links = linked_nodes(docs, sets, nodes, id_col, text_col, join, every=True).dropDuplicates(["a", "b"])
+    links = _all_pairs(_members(docs, sets, nodes, id_col, text_col, join), join, every=True)
+    links = links.dropDuplicates(["a", "b"])
     rep = nodes.select("node", "rep")
     pairs = links.join(rep.toDF("a", "rep_a"), "a").join(rep.toDF("b", "rep_b"), "b")
     pairs = pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "overlap", "size_a", "size_b")

@@ -171,3 +171,26 @@ def test_contamination(spark):
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 8]
     assert D.contamination(d, b.limit(0)).count() == 0 and D.drop_contaminated(d, b.limit(0)).count() == len(docs)
     assert D.contamination(d.limit(0), b).count() == 0
+
+
+def hot_group(rng, n):
+    """Near copies of one text, some so far from it that they hang on by others or not at all."""
+    base = [f"h{i}" for i in range(60)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("seed,percent,block", [(1, 80, 16), (2, 70, 10), (3, 88, 8)])
+def test_large_groups_in_rounds(spark, seed, percent, block):
+    rng = random.Random(seed)
+    rows = list(enumerate(hot_group(rng, 140) + near_copies(rng, 30)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, _ = brute_components(rows, 3, percent)
+    got = [tuple(r) for r in N.ngram_components(docs, join=N.Join(shingle=3, percent=percent, block=block, leaf=4, fan=2)).collect()]
+    assert sorted(got) == sorted(want)
+    assert len({c for _, _, c in want}) > 5
