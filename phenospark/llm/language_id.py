@@ -141,7 +141,7 @@ def identify(docs: DataFrame, model: EcocModel, id_col: str = "doc_id", text_col
     """``id, lang_pred, score, ambiguous`` for each row, from its whole text.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing has been learned.
-    Repeated rows give repeated results; other columns are not read.
+    Repeated rows give repeated results; other columns are not read. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

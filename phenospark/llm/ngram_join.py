@@ -389,7 +389,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A-Z count as a-z; words are runs of characters other than ASCII white space. A null text, or one
     without words, has the empty set and is linked with nothing. A null id is never the smallest if
-    there is another. Repeated rows are rows of one component. Other columns are not read.
+    there is another. Repeated rows are rows of one component. Other columns are not read. An empty table gives an
+    empty result.
     """
     return _classes(docs, id_col, text_col, join).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 

@@ -85,7 +85,11 @@ class QuadraticDiscriminant:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and one double column for each of FEATURES."""
+    """``id`` and one double column for each of FEATURES, from the whole text of each row.
+
+    A null text is empty. Repeated rows give repeated results; other columns, under whatever name,
+    are not read. An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -117,7 +121,7 @@ def fit(stats: DataFrame, labels: DataFrame, label_id: str = "doc_id", label: st
 
 
 def score_statistics(stats: DataFrame, model: QuadraticDiscriminant) -> DataFrame:
-    """``id, score`` for each row of document_statistics()."""
+    """``id, score`` for each row of document_statistics(); without training rows all score one half or near it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,7 +132,10 @@ def score_statistics(stats: DataFrame, model: QuadraticDiscriminant) -> DataFram
 
 
 def keep_good(docs: DataFrame, model: QuadraticDiscriminant, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns, in one pass."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns, in one pass.
+
+    A null text is scored as the empty one. Rows that are the same stay or go together.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,7 +110,7 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of ``docs``: the id and ``spans``, an array of (start, end, kind).
 
     A null text counts as empty and has no spans; other columns are not read; repeated rows give
-    repeated results. Whole texts are scanned, one at a time.
+    repeated results. Whole texts are scanned, one at a time. An empty table gives an empty result.
     """
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
 

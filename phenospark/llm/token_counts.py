@@ -114,7 +114,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Pre-tokens are the maximal runs of characters other than ASCII white space, each with a mark
     for the space before it. A null or empty text has none and no tokens. Repeated rows give
-    repeated results; other columns are not read.
+    repeated results; other columns are not read. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

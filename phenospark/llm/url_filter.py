@@ -57,7 +57,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     ``host + path`` wins, of equally long ones the one with the longer host; a rule that is given
     twice counts with the verdict that sorts first. Where none fits, ``rule`` is null and the verdict
     is ``default``. A null url, or one without ``://``, has an empty host and path. Repeated rows
-    give repeated results; other columns are not read.
+    give repeated results; other columns are not read. Without pages the result is empty, without
+    rules all urls get ``default``.
     """
     spark = pages.sparkSession
     urls = parse_urls(pages, id_col, url_col)
