@@ -57,6 +57,32 @@ def assign_splits(clusters: DataFrame, node: str, cluster: str, labels: DataFram
     return joined.select(node, cluster, F.coalesce("split", F.lit("heldout_group")).alias("split"))
 
 
+def reserve_test(clusters: DataFrame, cluster: str, positive: str, train: float = 0.7, calibration: float = 0.15, seed: int = 13) -> DataFrame:
+    """``cluster, split`` with quotas by number of clusters; clusters with a positive member reach the
+    test split first.
+
+    Half the test quota (two clusters at least) is theirs, if there are so many; the rest of the quota
+    comes from all others. Orders are by hash, so any number of clusters can be split.
+    """
+    flags = clusters.groupBy(cluster).agg(F.max(F.col(positive).cast("int")).alias("__pos"))
+    n = flags.count()
+    n_train, n_cal = max(1, round(n * train)), max(1, round(n * calibration))
+    if n_train + n_cal >= n:
+        n_cal = max(1, n - n_train - 1)
+    n_test = max(1, n - n_train - n_cal)
+
+    def ranked(df: DataFrame, salt: int, by: list[str]) -> DataFrame:
+        keyed = df.withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed + salt), F.col(cluster).cast("string")).cast("binary")))
+        return prefix_sums(keyed, [F.col("__h"), F.col(cluster)], {"__rank": F.lit(1)}, by).drop("__h")
+
+    first = ranked(flags, 0, ["__pos"]).withColumn("__test", (F.col("__pos") == 1) & (F.col("__rank") <= max(2, n_test // 2))).drop("__rank")
+    taken = first.filter("__test").count()
+    second = ranked(first, 1, ["__test"]).withColumn("__test", F.col("__test") | (F.col("__rank") <= n_test - taken)).drop("__rank")
+    third = ranked(second, 2, ["__test"])
+    split = F.when(F.col("__test"), "test").when(F.col("__rank") <= n_train, "train").when(F.col("__rank") <= n_train + n_cal, "calibration").otherwise("test")
+    return third.select(cluster, split.alias("split"))
+
+
 def hash_split(clusters: DataFrame, cluster: str, shares: dict[str, float] | None = None) -> DataFrame:
     """Whole clusters by hash; no state, so any number of clusters."""
     u = F.pmod(F.xxhash64(cluster), F.lit(1_000_003)) / 1_000_003.0

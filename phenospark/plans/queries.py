@@ -24,11 +24,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Columns of sums: DuckDB adds integers up to 128 bits, Spark to 64.
+SUMS = {
+    "flip_rate": ["flips"],
+    "class_counts": ["n_resistant", "n_susceptible"],
+    "entity_score_rank": ["n_good"],
+    "cluster_sizes": ["nodes"],
+    "leakage_audit": ["spanning_clusters", "violations"],
+    "leakage_audit_by_label": ["spanning_clusters", "violations"],
+    "cassette_jaccard": ["n_one", "n_two", "n_both", "n_any"],
+    "confusion_metrics": ["n_resistant", "n_susceptible"],
+    "split_and_group_metrics": ["n_resistant", "n_susceptible"],
+    "benchmark_status": ["n_test"],
+    "nocall_metrics": ["n_called"],
+    "assembly_qc": ["total_bp"],
+    "tree_layout": ["top"],
+}
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLE_SQL[name] = sql
+            casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in SUMS.get(name, []))
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
         return fn
 
     return add
@@ -458,6 +477,19 @@ def stratified_group_split(spark, d):
     return splits.assign_splits(s.select("doc_id", "cluster"), "doc_id", "cluster", s.select("doc_id", "y"))
 
 
+@query(
+    "reserved_test_split",
+    f"""WITH {SCORED_SQL}, f AS (SELECT doc_id % 97 AS cluster, max(CAST(y = 0 AS INT)) AS pos FROM scored GROUP BY ALL), q AS (SELECT count(*) AS n, CAST(greatest(1, round_even(count(*) * 0.7::DOUBLE, 0)) AS BIGINT) AS tr, CAST(greatest(1, round_even(count(*) * 0.15::DOUBLE, 0)) AS BIGINT) AS ca FROM f),
+k AS (SELECT tr, ca, n - tr - ca AS te FROM q), a AS (SELECT cluster, pos = 1 AND row_number() OVER (PARTITION BY pos ORDER BY md5('13:' || cluster), cluster) <= greatest(2, te // 2) AS t FROM f, k),
+b AS (SELECT cluster, t OR row_number() OVER (PARTITION BY t ORDER BY md5('14:' || cluster), cluster) <= te - (SELECT count(*) FROM a WHERE t) AS t FROM a, k),
+c AS (SELECT cluster, t, row_number() OVER (PARTITION BY t ORDER BY md5('15:' || cluster), cluster) AS r FROM b)
+SELECT cluster, CASE WHEN t THEN 'test' WHEN r <= tr THEN 'train' WHEN r <= tr + ca THEN 'calibration' ELSE 'test' END AS split FROM c, k""",
+)
+def reserved_test_split(spark, d):
+    s = scored(spark, d).select((F.col("doc_id") % 97).alias("cluster"), (F.col("y") == 0).alias("rare"))
+    return splits.reserve_test(s, "cluster", "rare")
+
+
 @query("oversample", f"WITH {SCORED_SQL} SELECT y, max(n) OVER () AS n FROM (SELECT y, count(*) AS n FROM scored GROUP BY ALL)")
 def oversample(spark, d):
     return splits.oversample(scored(spark, d), "y").groupBy("y").agg(F.count(F.lit(1)).alias("n"))
@@ -659,6 +691,18 @@ def training_skip_reason(spark, d):
     return g.select("source", "lang", S.skip_reason(F.col("n"), F.col("r"), F.col("s"), F.col("f")).alias("reason"))
 
 
+@query(
+    "quality_issues",
+    f"""WITH {SCORED_SQL}, g AS (SELECT source, count(*) AS n, sum(y) AS r, sum(1 - y) AS s, sum(CAST(lang = 'en' AND y = 1 AS INT)) AS tr, avg(CASE WHEN y = 1 THEN CAST(p >= 0.9 AS DOUBLE) END) AS rec FROM scored GROUP BY ALL)
+SELECT source, concat_ws(',', CASE WHEN n < 10 THEN 'small_test' END, CASE WHEN r = 0 THEN 'no_resistant_in_test' END, CASE WHEN s = 0 THEN 'no_susceptible_in_test' END, CASE WHEN tr < 5 THEN 'few_resistant_in_train' END, CASE WHEN rec = 0 AND r > 0 THEN 'zero_resistant_recall' END) AS issues FROM g""",
+)
+def quality_issues(spark, d):
+    g = scored(spark, d).groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("r"), F.sum(1 - F.col("y")).alias("s"), F.sum(((F.col("lang") == "en") & (F.col("y") == 1)).cast("int")).alias("tr"), F.avg(F.when(F.col("y") == 1, (F.col("p") >= 0.9).cast("double"))).alias("rec")
+    )
+    return g.select("source", F.array_join(S.quality_issues(F.col("n"), F.col("r"), F.col("s"), F.col("tr"), F.col("rec")), ",").alias("issues"))
+
+
 @query("marker_labels", "SELECT p_partkey, p_brand || ' (' || p_name || ') [' || p_type || ']' AS marker FROM part")
 def marker_labels(spark, d):
     return table(spark, d, "part").select("p_partkey", S.marker_label(F.col("p_brand"), F.col("p_name"), F.col("p_type")).alias("marker"))
@@ -675,7 +719,7 @@ def _dna(spark, d):
 
 @query("seq_stats", f"WITH {_DNA_SQL} SELECT doc_id, length(seq) AS bases, round(100.0 * length(regexp_replace(seq, '[^GC]', '', 'g')) / nullif(length(seq), 0), 6) AS gc FROM dna")
 def seq_stats(spark, d):
-    return _dna(spark, d).select("doc_id", Q.base_count(F.col("seq")).alias("bases"), r6(Q.gc_percent(F.col("seq")), "gc"))
+    return _dna(spark, d).select("doc_id", Q.base_count(F.col("seq")).cast("long").alias("bases"), r6(Q.gc_percent(F.col("seq")), "gc"))
 
 
 @query("revcomp", f"WITH {_DNA_SQL} SELECT doc_id, md5(reverse(translate(seq, 'ACGTN', 'TGCAN'))) AS digest, substr(seq, 5, 16) AS locus FROM dna")
@@ -779,7 +823,7 @@ def knowledge_tree(spark, d):
     f"WITH {_TREE_SQL}, n AS (SELECT c_custkey, c_nationkey, greatest(count(o_orderkey), 1) * 64 AS height FROM customer LEFT JOIN k ON c_custkey = o_custkey GROUP BY ALL) SELECT c_custkey, height, coalesce(sum(height) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM n",
 )
 def tree_layout(spark, d):
-    return store.layout(_tree(spark, d), "c_nationkey", [F.col("c_custkey")], F.size("children")).select("c_custkey", "height", "top")
+    return store.layout(_tree(spark, d), "c_nationkey", [F.col("c_custkey")], F.size("children").cast("long")).select("c_custkey", "height", "top")
 
 
 @query("entity_search", "WITH a AS (SELECT c_custkey, c_name FROM customer WHERE lower(c_name) LIKE 'customer%' ORDER BY c_custkey LIMIT 20), b AS (SELECT c_custkey, c_name FROM customer WHERE false) SELECT * FROM a UNION SELECT * FROM b")

@@ -26,6 +26,12 @@ def as_json_map(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
 
 
+def as_nested_json(df: DataFrame, outer: str, inner: str, fields: list[str]) -> DataFrame:
+    """One row ``key, value`` for each outer key: a JSON object from inner key to fields, keys sorted."""
+    entry = F.struct(F.col(inner).cast("string").alias("key"), F.struct(*fields).alias("value"))
+    return df.groupBy(F.col(outer).alias("key")).agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(entry)))).alias("value"))
+
+
 def json_document(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").text(path)
 
