@@ -39,13 +39,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote and that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        known = [x for x in _written if x[1].rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]]
+        for spark, own in known:
+            _delete(spark, own)
+            _written.remove((spark, own))
+
+
 @atexit.register
 def release() -> None:
     """Delete the tables that materialize() wrote; runs by itself when the driver ends."""
     while _written:
         spark, path = _written.pop()
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone already
             return
