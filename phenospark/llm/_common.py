@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenospark.storage import materialize, shared_dir
+from phenospark.storage import discard, materialize, shared_dir
 
-__all__ = ["WordHashes", "crc_mod", "materialize", "per_batch", "rolling", "shared_dir", "slices", "small_batches", "words"]
+__all__ = ["WordHashes", "crc_mod", "discard", "materialize", "per_batch", "rolling", "shared_dir", "slices", "small_batches", "words"]
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"

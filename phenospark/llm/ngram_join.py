@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from ._common import WordHashes, materialize, rolling, slices, small_batches, words
+from ._common import WordHashes, discard, materialize, rolling, slices, small_batches, words
 from .components import UnionFind, components
 
 
@@ -239,21 +239,24 @@ def _routes(sets: DataFrame) -> DataFrame:
     return hits.join(shared, "key").filter("short != first").select(F.col("short").alias("a"), F.col("first").alias("b"))
 
 
-def _members(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
-    """``node, tokens, root, size, blocks, at`` of the nodes that others are routed to.
+def _members(near: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """``node, rep, root, size, blocks, at`` of the nodes that others are routed to.
 
     ``root`` names the group, ``size`` is its number of nodes, ``at`` the node's block of ``blocks``.
-    The sets are made again from the texts: other documents pass no shuffle, as a filter of ids stops them.
     """
-    near = components(_routes(sets)).withColumnRenamed("node", "short")
+    near = near.withColumnRenamed("node", "short")
     roots = near.select(F.col("root").alias("short"), "root").distinct()
     members = near.unionByName(roots).join(nodes.select("node", "short", "rep", "n"), "short").drop("short")
-    members = materialize(members, "members")
     groups = members.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("__t"))
     blocks = F.greatest(F.ceil(F.col("size") / join.block), F.ceil(F.col("__t") / join.block_tokens)).cast("int")
     groups = groups.select("root", "size", blocks.alias("blocks"))
-    dealt = members.join(groups, "root").select("node", "root", "size", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at"))
+    dealt = members.join(groups, "root")
+    return materialize(dealt.select("node", "rep", "root", "size", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at")), "members")
 
+
+def _with_tokens(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
+    """``members`` with ``tokens``. The sets are made again from the texts: other documents pass no
+    shuffle, as a filter of ids stops them where they are read."""
     bits = bitmaps.filter_bits(members.count())
     wanted = bitmaps.member_filter(members.select("rep"), "rep", bits)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -270,7 +273,7 @@ def _members(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, te
             before = (before if len(before) < 100_000 else set()) | set(sets)
             yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.binary()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["node", "tokens"])
 
-    return materialize(own.mapInArrow(again, "node binary, tokens binary").join(dealt, "node"), "tokens")
+    return own.mapInArrow(again, "node binary, tokens binary").join(members.drop("rep"), "node")
 
 
 def _join_groups(rows: DataFrame, keys: list[str], join: Join, every: bool = False) -> DataFrame:
@@ -319,7 +322,7 @@ def _all_pairs(members: DataFrame, join: Join, every: bool = False) -> DataFrame
 HUBS = 8
 
 
-def component_links(members: DataFrame, join: Join) -> DataFrame:
+def component_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
     """Links (a, b) that connect what all links would connect.
 
     A group of one block is joined as it is. A larger one takes two rounds. In the first, each block
@@ -328,15 +331,19 @@ def component_links(members: DataFrame, join: Join) -> DataFrame:
     outside their group's largest part, the strays, meet all blocks. So the work follows a group's
     size, not its square, unless its parts are many; then all blocks meet, which costs no more.
     """
-    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < HUBS)
-    places = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))
-    first = _join_groups(members.select("node", "tokens", "root", F.lit(0).alias("side"), F.explode(places).alias("at")), ["root", "at"], join)
+    small = _with_tokens(docs, members.filter("blocks = 1"), id_col, text_col, join)
+    first = _join_groups(small.select("node", "tokens", "root", F.lit(0).alias("side")), ["root"], join)
     first = materialize(first.select("a", "b"), "links")
-
-    large = members.filter("blocks > 1").drop("tokens")
+    large = members.filter("blocks > 1")
     if large.isEmpty():
         return first
-    label = components(first, contract=False).withColumnRenamed("root", "label")
+    members = materialize(_with_tokens(docs, large, id_col, text_col, join), "tokens")
+    hub = (F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < HUBS)
+    places = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))
+    own = _join_groups(members.select("node", "tokens", "root", F.lit(0).alias("side"), F.explode(places).alias("at")), ["root", "at"], join)
+    own = materialize(own.select("a", "b"), "links")
+    first = first.unionByName(own)
+    label = components(own).withColumnRenamed("root", "label")
     named = large.join(label, "node", "left").select("node", "root", "blocks", "at", F.coalesce("label", "node").alias("label"))
     named = materialize(named, "parts")
     sizes = named.groupBy("root", "label").agg(F.count(F.lit(1)).alias("k"))
@@ -344,7 +351,7 @@ def component_links(members: DataFrame, join: Join) -> DataFrame:
     groups = materialize(groups.filter("k_main < k_all").withColumn("few", F.expr("2 * (k_all - k_main) <= k_all")), "groups")
     if groups.isEmpty():
         return first
-    tokens = members.filter("blocks > 1").select("node", "tokens", "root", "blocks", "at")
+    tokens = members.select("node", "tokens", "root", "blocks", "at")
     many = _all_pairs(tokens.join(groups.filter("not few").select("root"), "root"), join)
     stray_blocks = F.ceil((F.col("k_all") - F.col("k_main")) / join.block).cast("int")
     known = named.join(groups.filter("few").select("root", "main", stray_blocks.alias("strays")), "root").select("node", "strays", (F.col("label") != F.col("main")).alias("stray"))
@@ -363,12 +370,20 @@ def document_nodes(sets: DataFrame) -> DataFrame:
 HEAVY_SHARE, HEAVY_ROWS = 1 / 1000, 64
 
 
+def _routed(docs: DataFrame, id_col: str, text_col: str, join: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """document_sets() without bands, document_nodes(), and (short name, root) of nodes in a group."""
+    small_batches(docs.sparkSession)
+    full = materialize(document_sets(docs, id_col, text_col, join), "sets")
+    sets = materialize(full.drop("bands"), "sets")
+    near = components(_routes(full))
+    discard(full)  # the bands take more room than all else
+    return sets, materialize(document_nodes(sets), "nodes"), near
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
     """``id, text_hash, n, node, root, component_id`` of each row; node and root are null for empty sets."""
-    small_batches(docs.sparkSession)
-    sets = materialize(document_sets(docs, id_col, text_col, join), "sets")
-    nodes = materialize(document_nodes(sets), "nodes")
-    linked = components(component_links(_members(docs, sets, nodes, id_col, text_col, join), join), contract=False)
+    sets, nodes, near = _routed(docs, id_col, text_col, join)
+    linked = components(component_links(docs, _members(near, nodes, join), id_col, text_col, join))
     rooted = nodes.select("node", "rep", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Only nodes with a link, and the roots that they lead to, need to be grouped.
     grouped = rooted.join(linked.select("root").distinct(), "root", "left_semi")
@@ -398,10 +413,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> tuple[DataFrame, DataFrame]:
     """All links and who they hold for: (``a, b, overlap, size_a, size_b`` with the smallest ids of
     two different sets; ``rep, id`` for each row). Copies aren't expanded into pairs."""
-    small_batches(docs.sparkSession)
-    sets = materialize(document_sets(docs, id_col, text_col, join), "sets")
-    nodes = materialize(document_nodes(sets), "nodes")
-    links = _all_pairs(_members(docs, sets, nodes, id_col, text_col, join), join, every=True)
+    sets, nodes, near = _routed(docs, id_col, text_col, join)
+    links = _all_pairs(_with_tokens(docs, _members(near, nodes, join), id_col, text_col, join), join, every=True)
     links = links.dropDuplicates(["a", "b"])
     rep = nodes.select("node", "rep")
     pairs = links.join(rep.toDF("a", "rep_a"), "a").join(rep.toDF("b", "rep_b"), "b")
