@@ -1,14 +1,11 @@
 """Connected components by alternating large-star and small-star steps.
 
 Edges shrink to stars around the smallest node of each component. All steps are group-bys with
-map-side combination and joins; before the first, each task contracts the edges that it holds.
+map-side combination and joins; what a round leaves is written, which cuts the lineage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,25 +37,6 @@ class UnionFind:
         return True
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, kind = UnionFind(), None
-    for b in batches:
-        kind = b.schema.field(0).type
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            seen.join(x, y)
-        if len(seen.up) > 200_000:  # bounded memory; what is emitted early is joined in later steps
-            yield from _stars(seen, kind)
-            seen = UnionFind()
-    if kind is not None:
-        yield from _stars(seen, kind)
-
-
-def _stars(seen: UnionFind, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    pairs = [(x, seen.root(x)) for x in list(seen.up)]
-    pairs = [p for p in pairs if p[0] != p[1]]
-    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], names=["a", "b"])
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
     """Edges (a, b) have a > b. Move each from b to the smallest neighbour of b, if that is smaller.
 
@@ -76,19 +54,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, contract: bool = True) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for each node of ``edges`` (columns ``a, b``) that isn't the smallest of its
-    component; a node appears once. Edges may repeat, in either direction, and join a node to itself.
-
-    Without ``contract`` tasks don't contract their edges first; edges that come out of Python need
-    no second Python worker beside the first then.
-    """
-    kind = dict(edges.dtypes)["a"]
-    if contract:
-        edges = edges.mapInArrow(_contract, f"a {kind}, b {kind}")
-    else:
-        edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = materialize(edges.distinct(), "edges")
+    component; a node appears once. Edges may repeat, in either direction, and join a node to itself."""
+    edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # Nodes start with many smaller neighbours; then each keeps one, and those are few.
+    edges = materialize(_small_star(edges.distinct()), "edges")
 
     def mark(df: DataFrame):
         r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"), F.countDistinct("a").alias("k")).first()
