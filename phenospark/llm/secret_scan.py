@@ -63,14 +63,14 @@ def high_entropy_spans(s: str, rule: EntropyRule) -> list[tuple[int, int]]:
     total = 0.0
     spans: list[tuple[int, int]] = []
     for i, ch in enumerate(s):
-        c = count.get(ch, 0)
-        total += term[c + 1] - term[c]
-        count[ch] = c + 1
-        if i >= width:
+        if i >= width:  # first one leaves, so no count passes the width
             old = s[i - width]
             c = count[old]
             total += term[c - 1] - term[c]
             count[old] = c - 1
+        c = count.get(ch, 0)
+        total += term[c + 1] - term[c]
+        count[ch] = c + 1
         if i >= width - 1 and total <= most:
             start = i - width + 1
             if spans and start <= spans[-1][1]:
