@@ -44,19 +44,34 @@ def kmer_codes(seq: bytes, k: int) -> np.ndarray:
 def kmer_share(contigs: DataFrame, genome: str, ref: DataFrame, most: int = 20_000) -> DataFrame:
     """``genome, locus, share`` of the reference k-mers found, on the better strand.
 
-    The probes are a panel of fixed size (checked). A contig's k-mers become numbers and are looked up
-    in the sorted probes, all at once, where the contig is read; only matches leave the scan. Searching
-    a sequence for hundreds of probes one by one, or making a row of each k-mer, took 20 times as long.
+    The probes are taken in blocks of whole loci, of about ``most`` probes each, one scan a block. A
+    contig's k-mers become numbers and are looked up in the sorted probes, all at once, where the
+    contig is read; only matches leave the scan. Searching a sequence for hundreds of probes one by
+    one, or making a row of each k-mer, took 20 times as long.
     """
-    probes = sorted((r.kmer, r.locus, r.strand) for r in ref.select("locus", "strand", "kmer").distinct().limit(most + 1).collect())
-    if len(probes) > most:
-        raise ValueError(f"more than {most} reference k-mers")
-    if not probes:
-        return contigs.select(genome, F.lit(None).cast("string").alias("locus"), F.lit(None).cast("double").alias("share")).limit(0)
-    size = {x: len({k for k, locus_, s in probes if locus_ == x and s == "fwd"}) for x in sorted({p[1] for p in probes})}
+    ref = ref.select("locus", "strand", "kmer").distinct()
+    blocks = max(1, -(-ref.count() // most))
+    empty = contigs.select(genome, F.lit(None).cast("string").alias("locus"), F.lit(None).cast("double").alias("share")).limit(0)
+    out = None
+    for i in range(blocks):
+        part = ref.filter(F.pmod(F.xxhash64("locus"), F.lit(blocks)) == i) if blocks > 1 else ref
+        probes = sorted((r.kmer, r.locus, r.strand) for r in part.collect())
+        if probes:
+            share = _probe_share(contigs, genome, probes)
+            out = share if out is None else out.unionByName(share)
+    return empty if out is None else out
+
+
+def _probe_share(contigs: DataFrame, genome: str, probes: list[tuple[str, str, str]]) -> DataFrame:
+    """kmer_share() for one block of (kmer, locus, strand)."""
+    forward: dict[str, set[str]] = {}
+    for kmer, x, s in probes:
+        forward.setdefault(x, set()).update([kmer] if s == "fwd" else [])
+    size = {x: len(forward[x]) for x in sorted(forward)}
     k = len(probes[0][0])
     plain = [p for p in probes if len(p[0]) == k <= 32 and set(p[0]) <= set("ACGT")]
-    odd = [p for p in probes if p not in set(plain)]
+    known = set(plain)
+    odd = [p for p in probes if p not in known]
     codes = np.array([kmer_codes(p[0].encode(), k)[0] for p in plain], np.uint64)
     order = np.argsort(codes, kind="stable")
     plain, codes = [plain[i] for i in order], codes[order]
@@ -78,9 +93,11 @@ def kmer_share(contigs: DataFrame, genome: str, ref: DataFrame, most: int = 20_0
     picked = contigs.select(F.col(genome).alias("g"), F.col("seq").cast("binary").alias("seq"))
     found = picked.mapInArrow(run, f"g {kind}, locus string, strand string, kmer string").withColumnRenamed("g", genome)
     n = found.groupBy(genome, "locus", "strand").agg(F.countDistinct("kmer").alias("n")).groupBy(genome, "locus").agg(F.max("n").alias("n"))
-    frame = contigs.select(genome).distinct().withColumn("x", F.explode(F.array(*[F.struct(F.lit(k).alias("locus"), F.lit(v).alias("size")) for k, v in size.items()])))
-    j = frame.select(genome, "x.locus", "x.size").join(n, [genome, "locus"], "left")
-    return j.select(genome, "locus", F.round(F.coalesce("n", F.lit(0)) / F.col("size"), 4).alias("share"))
+    # A genome's matches travel as one map, so its row for each locus is made after the join.
+    n = n.groupBy(genome).agg(F.map_from_entries(F.collect_list(F.struct("locus", "n"))).alias("hits"))
+    sizes = F.array(*[F.struct(F.lit(k).alias("locus"), F.lit(v).alias("size")) for k, v in size.items()])
+    j = contigs.select(genome).distinct().join(n, genome, "left").select(genome, "hits", F.explode(sizes).alias("x"))
+    return j.select(genome, "x.locus", F.round(F.coalesce(F.try_element_at("hits", F.col("x.locus")), F.lit(0)) / F.col("x.size"), 4).alias("share"))
 
 
 def locus_evidence(hits: DataFrame, genome: str, symbol: str, name: str, subtype: str, loci: list[str]) -> DataFrame:

@@ -747,6 +747,16 @@ SELECT doc_id, CAST(item_id AS VARCHAR) AS locus, round(greatest(fw, rc) / size,
 )
 def kmer_callability(spark, d):
     b = table(spark, d, "benchmark").filter("item_id < 5").select(F.col("item_id").cast("string").alias("contig"), Q.to_dna(F.col("text")).alias("seq"))
+    return _callability(spark, d, b)
+
+
+@query("kmer_callability_all")
+def kmer_callability_all(spark, d):
+    """Every item as a locus; kmer_callability and its SQL take five of them. An item with fewer than 31 letters has no probe and no row."""
+    return _callability(spark, d, table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("contig"), Q.to_dna(F.col("text")).alias("seq")))
+
+
+def _callability(spark, d, b):
     loci = b.select(F.col("contig").alias("locus"), "contig", F.lit(1).alias("start"), F.length("seq").alias("stop"))
     return gates.kmer_share(_dna(spark, d), "doc_id", gates.reference_kmers(b, loci))
 

@@ -14,6 +14,7 @@ from phenospark.functions import normalize as N
 from phenospark.functions import scoring as S
 from phenospark.functions import sequence as Q
 from phenospark.operators import evidence, features, gates, graph, labels, metrics, models, nocall, ordered, similarity, splits, store
+from phenospark.plans import queries as plans
 from phenospark.sources import readers, writers
 from phenospark.streaming import counts
 
@@ -425,3 +426,39 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = counts.stream_folder(spark, str(tmp_path / "in/*"), batch.schema, files=1)
     want = {(r.cls, r.n) for r in counts.class_counts(batch, F.col("c")).collect()}
     assert {(r.cls, r.n) for r in counts.run_available(counts.class_counts(stream, F.col("c")), "t").collect()} == want == {("A", 30), ("B0", 15), ("B1", 15)}
+
+
+# ---------------------------------------------------------------- whole jobs
+
+
+def test_callability_of_every_item_against_brute_force(spark, tmp_path):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(12)]
+    docs = [(i, texts[i][: 40 + 20 * i] + " " + texts[(i + 3) % 12][100:]) for i in range(12)]
+    items = [(i, t) for i, t in enumerate(texts)] + [(12, "too short"), (13, texts[9][:80])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    dna = lambda t: "".join("ACGT"[(ord(c) - 97) % 4] for c in t if c.isalpha())
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGTN", "TGCAN"))
+    want = {}
+    for item, t in items:
+        s = dna(t)
+        probes = {s[i : i + 31] for i in range(0, len(s) - 30, max(1, (len(s) - 31) // 48))}
+        for doc, u in docs:
+            if probes:
+                u = dna(u)
+                want[doc, str(item)] = max(sum(p in u for p in probes), sum(rc(p) in u for p in probes)) / len(probes)
+    got = {(r.doc_id, r.locus): r.share for r in plans.kmer_callability_all(spark, str(tmp_path)).collect()}
+    assert len({k[1] for k in want}) == 13 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_kmer_share_goes_through_the_panel_in_blocks(spark):
+    rng = random.Random(3)
+    seqs = {f"l{i}": "".join(rng.choice("ACGT") for _ in range(500)) for i in range(6)}
+    contigs = spark.createDataFrame([(k, k, s) for k, s in seqs.items()], "genome string, contig string, seq string")
+    where = spark.createDataFrame([(k, k, 1, 500) for k in seqs], "locus string, contig string, start int, stop int")
+    ref = gates.reference_kmers(contigs.select("contig", "seq"), where)
+    got = {(r.genome, r.locus): r.share for r in gates.kmer_share(contigs, "genome", ref, most=150).collect()}
+    assert got == {(g, x): float(g == x) for g in seqs for x in seqs}
