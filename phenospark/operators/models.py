@@ -92,12 +92,20 @@ def best_threshold(oof: DataFrame, p: str, y: str, points: int = 99) -> float:
 
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str = "fold", k: int = 5) -> DataFrame:
-    """Probabilities of each fold by a model of the others."""
+    """Probabilities of each fold by a model of the others; every row once, so a row outside the ``k``
+    folds or a fold whose others lack a class is an error."""
+    outside = df.filter(~F.coalesce(F.col(fold).between(0, k - 1), F.lit(False))).count()
+    if outside:
+        raise ValueError(f"{outside} rows are in none of the folds 0 to {k - 1}")
+    held = {r[fold] for r in df.select(fold).distinct().collect()}  # at most k rows
     parts = []
-    for i in range(k):
+    for i in sorted(held):
         rest = df.filter(F.col(fold) != i)
-        if rest.select(label).distinct().count() == 2:
-            parts.append(probability(elastic_net(rest, features, label), df.filter(F.col(fold) == i)))
+        if rest.select(label).distinct().count() < 2:
+            raise ValueError(f"the rows outside fold {i} have fewer than two classes")
+        parts.append(probability(elastic_net(rest, features, label), df.filter(F.col(fold) == i)))
+    if not parts:
+        return df.withColumn("p", F.lit(None).cast("double"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -102,7 +102,11 @@ def random_split(rows: DataFrame, key: str, label: str, share: float = 0.8) -> D
     return ranked.join(F.broadcast(n), label).withColumn("part", part).drop("__h", "__rn", "__n")  # one row a class
 
 
-def group_folds(rows: DataFrame, group: str, k: int = 5) -> DataFrame:
+#: Folds that groups are dealt to; scoring out of fold goes through all of them.
+FOLDS = 5
+
+
+def group_folds(rows: DataFrame, group: str, k: int = FOLDS) -> DataFrame:
     return rows.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
 
 

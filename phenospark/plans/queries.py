@@ -1017,7 +1017,7 @@ def platt_scores(spark, d):
 @query("grouped_cv_threshold")
 def grouped_cv_threshold(spark, d):
     r = _model_rows(spark, d).select("doc_id", "y", "fold", *FEATURES)
-    tau = models.best_threshold(models.out_of_fold(r, FEATURES, "y", k=3), "p", "y")
+    tau = models.best_threshold(models.out_of_fold(r, FEATURES, "y", k=splits.FOLDS), "p", "y")
     return spark.createDataFrame([(tau,)], "tau double")
 
 

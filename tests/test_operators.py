@@ -462,3 +462,27 @@ def test_kmer_share_goes_through_the_panel_in_blocks(spark):
     ref = gates.reference_kmers(contigs.select("contig", "seq"), where)
     got = {(r.genome, r.locus): r.share for r in gates.kmer_share(contigs, "genome", ref, most=150).collect()}
     assert got == {(g, x): float(g == x) for g in seqs for x in seqs}
+
+
+def test_out_of_fold_returns_every_row_once(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, i % 2, f"s{i % 23}", rng.random() + 0.3 * (i % 2)) for i in range(230)], "i int, y int, g string, x double")
+    r = splits.group_folds(df, "g")
+    assert r.select("fold").distinct().count() == splits.FOLDS
+    got = [x.i for x in models.out_of_fold(r, ["x"], "y").select("i").collect()]
+    assert sorted(got) == list(range(230))
+    with pytest.raises(ValueError):
+        models.out_of_fold(r, ["x"], "y", k=3)
+    with pytest.raises(ValueError):
+        models.out_of_fold(df.withColumn("fold", F.col("y")), ["x"], "y")
+
+
+def test_threshold_counts_every_labelled_row(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    docs = [(i, "en" if i % 3 else "de", f"s{i % 23}", rng.randint(50, 5000)) for i in range(230)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, rng.randint(0, 1), 0) for i in range(230)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    monkeypatch.setattr(models, "best_threshold", lambda oof, p, y: seen.extend(r.doc_id for r in oof.select("doc_id").collect()) or 0.5)
+    assert plans.grouped_cv_threshold(spark, str(tmp_path)).first().tau == 0.5
+    assert sorted(seen) == list(range(230))
