@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,26 +86,132 @@ def average_linkage(distances: np.ndarray, cut: float) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def vector_average_linkage(vectors: np.ndarray, cut: float) -> np.ndarray:
+    """average_linkage() over cosine distances of all pairs of rows, without their matrix.
+
+    The mean distance of two clusters is 1 minus the product of their mean unit vectors, so a cluster
+    is its mean and its size. Chains of nearest neighbours give the same tree as always merging the
+    nearest pair, as a merge never brings a cluster nearer to a third. Memory is in proportion to the
+    rows, time to their square.
+    """
+    x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    n = len(x)
+    # Rows 0 to live-1 are the clusters that can still merge; ``of`` is the label of each.
+    size, of, parent, live = np.ones(n), np.arange(n), np.arange(n), n
+    chain: list[int] = []
+    while live > 1:
+        if not chain:
+            chain.append(live - 1)
+        top = chain[-1]
+        near = x[:live] @ x[top]
+        near[top] = -np.inf
+        best = int(near.argmax())
+        if len(chain) > 1 and near[chain[-2]] >= near[best] - 1e-12:  # equal but for rounding: no cycles
+            best = chain[-2]
+        gone = top
+        if 1 - near[best] > cut + 1e-12:
+            # Beyond the cut for good: merges of others don't bring them nearer to this one.
+            chain.pop()
+        elif len(chain) > 1 and best == chain[-2]:
+            del chain[-2:]
+            x[best] = (size[best] * x[best] + size[top] * x[top]) / (size[best] + size[top])
+            size[best] += size[top]
+            parent[of[top]] = of[best]
+        else:
+            chain.append(best)
+            continue
+        live -= 1
+        if gone != live:  # the last one moves to the free place
+            x[gone], size[gone], of[gone] = x[live], size[live], of[live]
+            chain = [gone if c == live else c for c in chain]
+    for i in range(n):
+        r = i
+        while parent[r] != r:
+            r = parent[r]
+        while parent[i] != r:
+            parent[i], i = r, parent[i]
+    return np.unique(parent, return_inverse=True)[1]
+
+
+def sparse_average_linkage(n: int, a: np.ndarray, b: np.ndarray, distance: np.ndarray, cut: float) -> np.ndarray:
+    """average_linkage() where pairs that aren't given are at distance 1, without the matrix.
+
+    Two clusters hold the sum of 1 minus distance over their given pairs; those without one stay at
+    distance 1. Memory is in proportion to the pairs.
+    """
+    links: list[dict[int, float]] = [{} for _ in range(n)]
+    for p, q, w in zip(a.tolist(), b.tolist(), distance.tolist()):
+        links[p][q] = links[q][p] = 1 - w
+    size, label = [1] * n, np.arange(n)
+    mean = lambda p, q: 1 - links[p][q] / (size[p] * size[q])
+    heap = [(mean(p, q), p, q) for p in range(n) for q in links[p] if p < q and mean(p, q) <= cut]
+    heapq.heapify(heap)
+    while heap:
+        d, p, q = heapq.heappop(heap)
+        if q not in links[p] or d != mean(p, q):
+            continue
+        for k, w in links[q].items():
+            del links[k][q]
+            if k != p:
+                links[p][k] = links[k][p] = links[p].get(k, 0.0) + w
+        links[q] = {}
+        size[p] += size[q]
+        label[q] = p
+        for k in links[p]:
+            d = mean(p, k)
+            if d <= cut:
+                heapq.heappush(heap, (d, min(p, k), max(p, k)))
+    for i in range(n):  # a label points to a smaller node or to itself
+        label[i] = label[label[i]]
+    return np.unique(label, return_inverse=True)[1]
+
+
 def linkage_clusters(pairs: DataFrame, group: str, a: str, b: str, distance: str, cut: float = 0.05, largest: int = 5000) -> DataFrame:
     """``group, node, cluster`` by average linkage within each group (e.g. a connected component of
-    pairs below a looser cut). A missing pair is at distance 1. A group beyond ``largest`` nodes is
-    refused, as its matrix would not fit a task."""
+    pairs below a looser cut). A missing pair is at distance 1. A group beyond ``largest`` nodes, whose
+    matrix would not fit a task, is clustered over its given pairs alone, with the same result for a
+    cut below 1."""
+    if cut >= 1:
+        raise ValueError("at a cut of 1 pairs that aren't given would merge")
     kind, gkind = dict(pairs.dtypes)[a], dict(pairs.dtypes)[group]
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        x, y, v = t[a].to_pylist(), t[b].to_pylist(), t[distance].to_pylist()
+        x, y, v = t[a].to_pylist(), t[b].to_pylist(), t[distance].to_numpy()
         names = sorted(set(x) | set(y))
-        if len(names) > largest:
-            raise ValueError(f"group {key} has {len(names)} nodes; at most {largest} fit a matrix")
         at = {n: i for i, n in enumerate(names)}
-        m = np.ones((len(names), len(names)))
-        for p, q, w in zip(x, y, v):
-            m[at[p], at[q]] = m[at[q], at[p]] = w
-        return pa.table({group: pa.array([key[0].as_py()] * len(names), t.schema.field(group).type), "node": pa.array(names, t.schema.field(a).type), "cluster": pa.array(average_linkage(m, cut), pa.int32())})
+        p, q = np.array([at[n] for n in x], np.int64), np.array([at[n] for n in y], np.int64)
+        if len(names) > largest:
+            found = sparse_average_linkage(len(names), p, q, v, cut)
+        else:
+            m = np.ones((len(names), len(names)))
+            m[p, q] = m[q, p] = v
+            found = average_linkage(m, cut)
+        return pa.table({group: pa.array([key[0].as_py()] * len(names), t.schema.field(group).type), "node": pa.array(names, t.schema.field(a).type), "cluster": pa.array(found, pa.int32())})
 
     return pairs.groupBy(group).applyInArrow(run, f"{group} {gkind}, node {kind}, cluster int")
 
 
+def linkage_vectors(rows: DataFrame, group: str, node: str, vector: str, cut: float) -> DataFrame:
+    """``group, node, cluster`` of every row by average linkage over the cosine distances of all pairs
+    of a group. Groups that are connected components of pairs below a cut no tighter than ``cut``
+    give the clusters of the whole table. A null vector is a cluster of its own."""
+    kind, gkind = dict(rows.dtypes)[node], dict(rows.dtypes)[group]
+    picked = rows.select(F.col(group).alias(group), F.col(node).alias("node"), F.col(vector).cast("array<double>").alias("v"))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("node")
+        v = t["v"].combine_chunks()
+        known = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+        found = np.arange(t.num_rows) + t.num_rows
+        if len(known):
+            flat = v.drop_null().flatten().to_numpy(zero_copy_only=False)
+            found[known] = vector_average_linkage(flat.reshape(len(known), -1).copy(), cut)
+        found = np.unique(found, return_inverse=True)[1]
+        return pa.table({group: t[group], "node": t["node"], "cluster": pa.array(found, pa.int32())})
+
+    return picked.groupBy(group).applyInArrow(run, f"{group} {gkind}, node {kind}, cluster int")
+
+
 def minhash_signatures(rows: DataFrame, id_col: str, tokens: str, seeds: list[int]) -> DataFrame:
     """``id, signature``: for each seed the smallest (hash xor seed) over the row's tokens; null for none.
 

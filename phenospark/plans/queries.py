@@ -1032,7 +1032,7 @@ def grouped_vs_random_gap(spark, d):
 
 @query("linkage_clusters")
 def linkage_clusters(spark, d):
-    e = edges(spark, d)
-    roots = graph.connected_components(e, "a", "b")
-    pairs = e.join(roots.withColumnRenamed("node", "a"), "a").select("root", "a", "b", (1 - F.col("cosine")).alias("distance"))
-    return similarity.linkage_clusters(pairs, "root", "a", "b", "distance", cut=0.62)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), "embedding")
+    # Parts of different components are beyond the edges' distance, so no average below it joins them.
+    roots = graph.connected_components(edges(spark, d), "a", "b", v, "node")
+    return similarity.linkage_vectors(v.join(roots, "node"), "root", "node", "embedding", cut=0.62)

@@ -486,3 +486,35 @@ def test_threshold_counts_every_labelled_row(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(models, "best_threshold", lambda oof, p, y: seen.extend(r.doc_id for r in oof.select("doc_id").collect()) or 0.5)
     assert plans.grouped_cv_threshold(spark, str(tmp_path)).first().tau == 0.5
     assert sorted(seen) == list(range(230))
+
+
+def test_linkage_of_vectors_and_pairs_equals_the_matrix(spark):
+    rng = np.random.default_rng(8)
+    for n, cut in ((40, 0.3), (90, 0.62), (60, 0.9), (1, 0.5)):
+        x = rng.normal(size=(n, 6)) + 2 * rng.normal(size=(5, 6))[rng.integers(0, 5, n)]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        d = 1 - u @ u.T
+        assert same_parts(similarity.vector_average_linkage(x.copy(), cut), similarity.average_linkage(d, cut))
+        i, j = np.nonzero(np.triu(d < 0.8, 1))
+        far = np.ones_like(d)
+        far[i, j] = far[j, i] = d[i, j]
+        assert same_parts(similarity.sparse_average_linkage(n, i, j, d[i, j], cut), similarity.average_linkage(far, cut))
+    names = [(int(a), int(b), float(d[a, b])) for a, b in zip(i, j)] or [(0, 1, 0.2), (1, 2, 0.9)]
+    pairs = spark.createDataFrame([("g", *p) for p in names], "g string, a int, b int, distance double")
+    by = lambda **k: {r.node: r.cluster for r in similarity.linkage_clusters(pairs, "g", "a", "b", "distance", 0.62, **k).collect()}
+    assert by() == by(largest=2)
+
+
+def same_parts(one, two) -> bool:
+    return len(set(zip(one.tolist(), two.tolist()))) == len(set(one.tolist())) == len(set(two.tolist()))
+
+
+def test_linkage_query_gives_every_embedding_the_cluster_of_the_whole_matrix(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(50, 8)) + 3 * rng.normal(size=(4, 8))[rng.integers(0, 4, 50)], 9 * np.eye(8)[:3] * -1])
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.node: (r.root, r.cluster) for r in plans.linkage_clusters(spark, str(tmp_path)).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = similarity.average_linkage(1 - u @ u.T, 0.62)
+    assert sorted(got) == list(range(53))
+    assert len(set(zip(want.tolist(), (got[i] for i in range(53))))) == len(set(want.tolist())) == len(set(got.values()))
