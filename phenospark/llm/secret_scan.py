@@ -3,7 +3,9 @@
 A candidate is a maximal run of token characters. A window slides over it; the counts of its
 characters, and with them the Shannon entropy, change by one character that leaves and one that
 comes, so a string costs time in proportion to its length. Which threshold holds depends on the
-class of the characters in the string. Runs of windows above the threshold become one span.
+class of the characters: the whole candidate is judged by its own class and each maximal run of one
+class in it by the run's, so a key keeps its threshold behind a prefix. Runs of windows above the
+threshold become one span.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _MIXED = re.compile(r"[0-9]")
+_ALNUM_RUN = re.compile(r"[A-Za-z0-9]+")
+_HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
+#: Hex in groups; the separators don't count as characters of the key.
+_HEX_GROUPS = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{4,}(?:[-_][0-9A-Fa-f]{4,})+(?![A-Za-z0-9])")
 
 
 @dataclass(frozen=True)
@@ -35,13 +41,14 @@ class EntropyRule:
     hex_bits: float = 3.0
     alnum_bits: float = 3.7
     base64_bits: float = 3.9
-    #: A candidate that one of these matches in full is no secret.
+    #: A candidate, or a run in it, that one of these matches in full is no secret.
     allow: tuple[str, ...] = (
         r"[A-Za-z_-]+",  # no digit at all: words, identifiers
         r"[0-9_=+/-]+",  # digits only: numbers, dates, rules
         r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # UUID
-        r"(?i:.*(example|sample|dummy|placeholder|x{6,}|0{8,}|1234567890|abcdefgh).*)",
     )
+    #: A run of letters and digits that one of these matches in full is no secret; what stands beside it may be.
+    placeholders: tuple[str, ...] = (r"(?i:.*(example|sample|dummy|placeholder|x{6,}|0{8,}|1234567890|abcdefgh).*)",)
 
 
 def char_class(s: str) -> str:
@@ -80,6 +87,46 @@ def high_entropy_spans(s: str, rule: EntropyRule) -> list[tuple[int, int]]:
     return spans
 
 
+def candidate_spans(s: str, rule: EntropyRule, allow: list[re.Pattern], placeholders: list[re.Pattern]) -> list[tuple[int, int]]:
+    """The parts of a candidate that count, by the class of the whole and by that of each run."""
+
+    def allowed(t: str) -> bool:
+        return not _MIXED.search(t) or any(p.fullmatch(t) for p in allow)
+
+    if allowed(s):
+        return []
+    pieces, start = [], 0
+    if any(p.fullmatch(s) for p in placeholders):
+        named = [m.span() for m in _ALNUM_RUN.finditer(s) if any(p.fullmatch(m[0]) for p in placeholders)]
+        for a, b in named:
+            pieces.append((start, a))
+            start = b
+        if not named:
+            return []
+    pieces.append((start, len(s)))
+    found = []
+    for start, end in pieces:
+        piece = s[start:end]
+        if len(piece) < rule.window or allowed(piece):
+            continue
+        found += [(start + a, start + b) for a, b in high_entropy_spans(piece, rule)]
+        for runs in (_ALNUM_RUN, _HEX_RUN):
+            for m in runs.finditer(piece):
+                if rule.window <= len(m[0]) < len(piece) and not allowed(m[0]):
+                    found += [(start + m.start() + a, start + m.start() + b) for a, b in high_entropy_spans(m[0], rule)]
+        for m in _HEX_GROUPS.finditer(piece):
+            if not allowed(m[0]) and not allowed(m[0].lower()):
+                at = [i for i, c in enumerate(m[0], start + m.start()) if c not in "-_"]
+                found += [(at[a], at[b - 1] + 1) for a, b in high_entropy_spans("".join(s[i] for i in at), rule)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def scan(text: str, rule: EntropyRule = EntropyRule()) -> list[tuple[int, int, str]]:
     """All (start, end, kind) of a text by start, then kind; offsets are code points.
 
@@ -93,12 +140,9 @@ def scan(text: str, rule: EntropyRule = EntropyRule()) -> list[tuple[int, int, s
         out += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     fixed = sorted(out)
-    allow = [re.compile(p) for p in rule.allow]
+    allow, placeholders = [re.compile(p) for p in rule.allow], [re.compile(p) for p in rule.placeholders]
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if not _MIXED.search(s) or any(p.fullmatch(s) for p in allow):
-            continue
-        for a, b in high_entropy_spans(s, rule):
+        for a, b in candidate_spans(m[0], rule, allow, placeholders):
             a, b = a + m.start(), b + m.start()
             if not any(x <= a and b <= y for x, y, _ in fixed):
                 out.append((a, b, "entropy"))

@@ -93,6 +93,22 @@ def test_entropy_finds_keys_and_leaves_the_allowed():
         assert not [x for x in secret_scan.scan(allowed) if x[2] == "entropy"], allowed
 
 
+def test_entropy_finds_keys_beside_other_text():
+    rng = random.Random(6)
+    found = lambda t: [t[a:b] for a, b, k in secret_scan.scan(t) if k == "entropy"]
+    for form in ("{}", "id={}", "key_{}", "key-{}-v2", "path/to/sample/{}", "{}/example.txt", "sample_{}"):
+        hits = 0
+        for _ in range(300):
+            key = "".join(rng.choice("0123456789ABCDEF") for _ in range(32))
+            hits += any(len(set(key) & set(f)) > 8 for f in found(form.format(key)))
+        assert hits >= 294, (form, hits)
+    grouped = ["-".join("".join(rng.choice("0123456789ABCDEF") for _ in range(8)) for _ in range(4)) for _ in range(300)]
+    assert sum(bool(found(t)) for t in grouped) >= 294
+    uuid = "123e4567-e89b-12d3-a456-426614174000"
+    for allowed in ("id=" + uuid, "path/20240115103022123456/x", "path/internationalizationandlocalization/v2", "to/Zk9x7QmP2vexampleL8sR4tYw3N"):
+        assert not found(allowed), allowed
+
+
 def test_scan_documents_handles_nulls(spark):
     docs = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (2, "AKIA" + "A" * 14, "s"), (None, "x", "s")], "doc_id long, text string, spans string")
     got = sorted((r.id is None, r.id or 0, len(r.spans)) for r in secret_scan.scan_documents(docs).collect())
