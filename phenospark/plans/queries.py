@@ -999,7 +999,7 @@ def elastic_net(spark, d):
 @query("random_forest")
 def random_forest(spark, d):
     r = _model_rows(spark, d)
-    return models.probability(models.random_forest(r.filter("part = 'train'"), FEATURES, "y", trees=50), r.select("doc_id", "y", *FEATURES), "prob").select("doc_id", "y", "prob")
+    return models.probability(models.random_forest(r.filter("part = 'train'"), FEATURES, "y"), r.select("doc_id", "y", *FEATURES), "prob").select("doc_id", "y", "prob")
 
 
 @query("calibrated_scores")

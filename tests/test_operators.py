@@ -518,3 +518,14 @@ def test_linkage_query_gives_every_embedding_the_cluster_of_the_whole_matrix(spa
     want = similarity.average_linkage(1 - u @ u.T, 0.62)
     assert sorted(got) == list(range(53))
     assert len(set(zip(want.tolist(), (got[i] for i in range(53))))) == len(set(want.tolist())) == len(set(got.values()))
+
+
+def test_forest_query_grows_the_operators_trees(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    spark.createDataFrame([(i, "en", f"s{i % 23}", rng.randint(50, 5000)) for i in range(230)], "doc_id long, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, rng.randint(0, 1), 0) for i in range(230)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    grown = []
+    real = models.probability
+    monkeypatch.setattr(models, "probability", lambda m, *rest: grown.append(m.stages[-1].getNumTrees) or real(m, *rest))
+    assert plans.random_forest(spark, str(tmp_path)).count() == 230
+    assert grown == [300]
