@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,29 +15,43 @@ _own_dir: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Files of a table for each core of the cluster, at most. More would be small files.
+FILES_PER_CORE = 8
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one named by ``spark.checkpoint.dir``. Only where that setting is absent (local
-    tests, one machine) a temporary folder takes its place.
+    It is the one named by ``spark.checkpoint.dir``, or else the one given to ``setCheckpointDir``.
+    Only on one machine (a local master) a temporary folder takes its place; a cluster that names
+    no folder is an error, as files of one executor would be missing on the others.
     """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"name a folder that driver and executors share in spark.checkpoint.dir; the master is {master}")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="phenospark-"))
     return _own_dir[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def tables_dir(spark: SparkSession) -> str:
+    """Of this application, so what a killed driver leaves can be told apart."""
+    return f"{shared_dir(spark)}/phenospark/{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame, name: str, files_per_core: int = FILES_PER_CORE) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: an executor that is lost later costs no recomputation of what stands
-    above, and a result that is read several times is computed once.
+    above, and a result that is read several times is computed once. Partitions beyond
+    ``files_per_core`` for each core are written one after the other by the same tasks.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/phenospark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.coalesce(max(1, files_per_core * spark.sparkContext.defaultParallelism)).write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,13 +61,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote and that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        known = [x for x in _written if x[1].rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]]
-        for spark, own in known:
-            _delete(spark, own)
-            _written.remove((spark, own))
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that nothing will read again."""
+    names = {f.rsplit("/", 2)[-2] for df in tables for f in df.inputFiles()}
+    for known in [x for x in _written if x[1].rsplit("/", 1)[-1] in names]:
+        _delete(*known)
+        _written.remove(known)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes on leaving what operators wrote within. For long sessions: write or collect results inside."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > before:
+            _delete(*_written.pop())
 
 
 @atexit.register
