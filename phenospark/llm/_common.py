@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,13 +18,20 @@ __all__ = ["WordHashes", "crc_mod", "discard", "materialize", "per_batch", "roll
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send texts to Python in batches of 1,000 rows, unless the session says otherwise.
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Tables written within get texts to Python in batches of 1,000 rows, unless the session says otherwise.
 
-    Spark's own 10,000 would hold some tens of MB of text outside the heap for each task.
+    Spark's own 10,000 would hold some tens of MB of text outside the heap for each task. The
+    session's setting is put back on leaving.
     """
-    if spark.conf.get(ARROW_ROWS) == "10000":
+    before = spark.conf.get(ARROW_ROWS)
+    if before == "10000":
         spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
 
 
 def crc_mod(column: str, n: int):

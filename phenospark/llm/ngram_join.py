@@ -12,6 +12,8 @@
 
 A group larger than a block is split into blocks, so no task gets a whole group; component_links()
 says which of them meet.
+
+A node here is a distinct set; a tree node is always called one.
 """
 
 from __future__ import annotations
@@ -276,11 +278,11 @@ def _with_tokens(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
     return own.mapInArrow(again, "node binary, tokens binary").join(members.drop("rep"), "node")
 
 
-def _join_groups(rows: DataFrame, keys: list[str], join: Join, every: bool = False) -> DataFrame:
+def _join_groups(rows: DataFrame, keys: list[str], join: Join, every: bool = False, apart: bool = False) -> DataFrame:
     """Tree joins of the groups of ``keys``: ``a, b, overlap, size_a, size_b``.
 
     ``rows`` has ``node, tokens, side``: of a group with more than one side, only nodes of different
-    sides are compared. A node may come several times.
+    sides are compared, and with ``apart`` none of a group with one side. A node may come several times.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "node", "side")
@@ -288,6 +290,9 @@ def _join_groups(rows: DataFrame, keys: list[str], join: Join, every: bool = Fal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, {}
 
+        def joined() -> bool:
+            return len(held) > 1 and not (apart and len({x[1] for x in held}) == 1)
+
         def done() -> pa.RecordBatch:
             names = list(held)
             sets = [np.frombuffer(held[x], np.uint64) for x in names]
@@ -300,22 +305,42 @@ def _join_groups(rows: DataFrame, keys: list[str], join: Join, every: bool = Fal
             node, data, side = (batch.column(c).to_pylist() for c in ("node", "tokens", "side"))
             for i, k in enumerate(zip(*(batch.column(c).to_pylist() for c in keys))):
                 if k != key:
-                    if len(held) > 1:
+                    if joined():
                         yield done()
                     key, held = k, {}
                 held[node[i], side[i]] = data[i]
-        if len(held) > 1:
+        if joined():
             yield done()
 
     return sorted_.mapInArrow(run, "a binary, b binary, overlap long, size_a long, size_b long").filter("a != b")
 
 
-def _all_pairs(members: DataFrame, join: Join, every: bool = False) -> DataFrame:
-    """Every two blocks of a group meet, so a node travels once for each block."""
-    meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = members.select("node", "tokens", "root", F.col("at").alias("side"), meet)
-    pairs = pairs.select("node", "tokens", "side", "root", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
-    return _join_groups(pairs, ["root", "low", "high"], join, every)
+def _bucket_pairs(members: DataFrame, join: Join, every: bool = False) -> DataFrame:
+    """Tree joins within the buckets of nodes that agree in a band, for groups too large to be joined
+    as a whole: ``a, b, overlap, size_a, size_b`` of linked nodes with different ``label``.
+
+    ``members`` has ``node, tokens, label``. A node takes part only in buckets with two labels or
+    more, so at most once for each band; a bucket larger than a block is dealt to blocks, and there
+    every two blocks meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [np.frombuffer(t, np.uint64) for t in b.column("tokens").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(sets)), join.bands))
+            size = pa.array(np.repeat([len(s) for s in sets], join.bands).astype(np.int64))
+            keys = pa.array(band_keys(sets, join).view(np.int64).ravel())
+            yield pa.RecordBatch.from_arrays([b.column("node").take(at), b.column("label").take(at), keys, size], names=["node", "label", "key", "n"])
+
+    keyed = members.select("node", "label", "tokens").mapInArrow(run, "node binary, label binary, key long, n long")
+    keyed = materialize(keyed, "buckets")
+    mixed = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    blocks = F.greatest(F.ceil(F.col("c") / join.block), F.ceil(F.col("t") / join.block_tokens)).cast("int")
+    mixed = materialize(mixed.select("key", blocks.alias("blocks")), "mixed")
+    dealt = keyed.join(mixed, "key").select("node", "label", "key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("node", F.col("label").alias("side"), "key", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"))
+    return _join_groups(dealt.join(members.select("node", "tokens"), "node"), ["key", "low", "high"], join, every, apart=True)
 
 
 #: About so many nodes of a large group stand in each of its blocks, to connect them.
@@ -327,9 +352,10 @@ def component_links(docs: DataFrame, members: DataFrame, id_col: str, text_col:
 
     A group of one block is joined as it is. A larger one takes two rounds. In the first, each block
     is joined in itself, with some hubs that stand in all blocks. What hangs together then, mostly the
-    group of copies around the hubs, needs no further comparison in itself. In the second, only nodes
-    outside their group's largest part, the strays, meet all blocks. So the work follows a group's
-    size, not its square, unless its parts are many; then all blocks meet, which costs no more.
+    group of copies around the hubs, needs no further comparison in itself. In the second, nodes
+    outside their group's largest part, the strays, meet all blocks if they are few. If more than
+    half of a group are strays, its nodes meet in the buckets of their bands instead, those that hang
+    together left out. So the work follows a group's size, not its square.
     """
     small = _with_tokens(docs, members.filter("blocks = 1"), id_col, text_col, join)
     first = _join_groups(small.select("node", "tokens", "root", F.lit(0).alias("side")), ["root"], join)
@@ -352,14 +378,20 @@ def component_links(docs: DataFrame, members: DataFrame, id_col: str, text_col:
     if groups.isEmpty():
         return first
     tokens = members.select("node", "tokens", "root", "blocks", "at")
-    many = _all_pairs(tokens.join(groups.filter("not few").select("root"), "root"), join)
+    scattered = groups.filter("not few")
+    second = []
+    if not scattered.isEmpty():
+        mixed = named.join(scattered.select("root"), "root").select("node", "label")
+        second.append(_bucket_pairs(materialize(members.select("node", "tokens").join(mixed, "node"), "scattered"), join))
     stray_blocks = F.ceil((F.col("k_all") - F.col("k_main")) / join.block).cast("int")
     known = named.join(groups.filter("few").select("root", "main", stray_blocks.alias("strays")), "root").select("node", "strays", (F.col("label") != F.col("main")).alias("stray"))
     known = tokens.join(known, "node")
     every_stray = known.select("node", "tokens", "root", F.lit(0).alias("side"), "at", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("with"))
     strays = known.filter("stray").select("node", "tokens", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("strays")).cast("int").alias("with"))
-    second = _join_groups(every_stray.unionByName(strays), ["root", "at", "with"], join)
-    return first.unionByName(many.select("a", "b")).unionByName(second.select("a", "b"))
+    second.append(_join_groups(every_stray.unionByName(strays), ["root", "at", "with"], join))
+    for links in second:
+        first = first.unionByName(links.select("a", "b"))
+    return first
 
 
 def document_nodes(sets: DataFrame) -> DataFrame:
@@ -372,7 +404,6 @@ HEAVY_SHARE, HEAVY_ROWS = 1 / 1000, 64
 
 def _routed(docs: DataFrame, id_col: str, text_col: str, join: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
     """document_sets() without bands, document_nodes(), and (short name, root) of nodes in a group."""
-    small_batches(docs.sparkSession)
     full = materialize(document_sets(docs, id_col, text_col, join), "sets")
     sets = materialize(full.drop("bands"), "sets")
     near = components(_routes(full))
@@ -382,8 +413,9 @@ def _routed(docs: DataFrame, id_col: str, text_col: str, join: Join) -> tuple[Da
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
     """``id, text_hash, n, node, root, component_id`` of each row; node and root are null for empty sets."""
-    sets, nodes, near = _routed(docs, id_col, text_col, join)
-    linked = components(component_links(docs, _members(near, nodes, join), id_col, text_col, join))
+    with small_batches(docs.sparkSession):
+        sets, nodes, near = _routed(docs, id_col, text_col, join)
+        linked = components(component_links(docs, _members(near, nodes, join), id_col, text_col, join))
     rooted = nodes.select("node", "rep", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Only nodes with a link, and the roots that they lead to, need to be grouped.
     grouped = rooted.join(linked.select("root").distinct(), "root", "left_semi")
@@ -412,9 +444,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> tuple[DataFrame, DataFrame]:
     """All links and who they hold for: (``a, b, overlap, size_a, size_b`` with the smallest ids of
-    two different sets; ``rep, id`` for each row). Copies aren't expanded into pairs."""
-    sets, nodes, near = _routed(docs, id_col, text_col, join)
-    links = _all_pairs(_with_tokens(docs, _members(near, nodes, join), id_col, text_col, join), join, every=True)
+    two different sets; ``rep, id`` for each row). Copies aren't expanded into pairs.
+
+    Nulls, empty texts and repeated rows are as in ngram_components(): a row with the empty set is its
+    own ``rep`` and in no link. Two sets are in one row at most; which of them is ``a`` isn't defined.
+    Links between nearly all sets of a large group are as many as its pairs, as is the result then.
+    """
+    with small_batches(docs.sparkSession):
+        sets, nodes, near = _routed(docs, id_col, text_col, join)
+        members = materialize(_with_tokens(docs, _members(near, nodes, join), id_col, text_col, join), "tokens")
+        small = members.filter("blocks = 1").select("node", "tokens", "root", F.lit(0).alias("side"))
+        large = members.filter("blocks > 1").select("node", "tokens", F.col("node").alias("label"))
+        links = _join_groups(small, ["root"], join, every=True).unionByName(_bucket_pairs(large, join, every=True))
+        links = materialize(links.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}), "links")
     links = links.dropDuplicates(["a", "b"])
     rep = nodes.select("node", "rep")
     pairs = links.join(rep.toDF("a", "rep_a"), "a").join(rep.toDF("b", "rep_b"), "b")

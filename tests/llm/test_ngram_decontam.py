@@ -68,6 +68,39 @@ def test_components_against_brute_force(spark, seed, k, percent, block):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_scattered_large_group(spark, monkeypatch):
+    """Texts of one template: routed to one group, most of them not linked, some pairs linked."""
+    taken, buckets = [], N._bucket_pairs
+    monkeypatch.setattr(N, "_bucket_pairs", lambda *a, **k: taken.append(1) or buckets(*a, **k))
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        w = template[:60] + [f"v{i % 40}_{k}" for k in range(14)]
+        w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    join = N.Join(shingle=2, percent=85, block=8)
+    want, links = brute_components(rows, 2, 85)
+    assert 10 < len({c for _, _, c in want}) < 110 and links
+    assert sorted(tuple(r) for r in N.ngram_components(docs, join=join).collect()) == sorted(want)
+    assert taken
+
+
+def test_very_long_and_repetitive_texts(spark):
+    long = " ".join(f"w{i % 7919} q{i}" for i in range(150_000))
+    rows = [(1, long), (2, long + " end"), (3, "same " * 300_000), (4, "same " * 5), (5, None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), join=N.Join(shingle=4, percent=85)).collect()}
+    assert got == {1: (299_997, 1), 2: (299_998, 1), 3: (1, 3), 4: (1, 3), 5: (0, 5)}
+
+
+def test_session_is_left_as_it_was(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    N.ngram_components(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))
+    assert spark.conf.get(key) == before
+
+
 def test_all_links(spark):
     rng = random.Random(9)
     texts = list(dict.fromkeys(near_copies(rng, 80)))
