@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ._common import materialize
 
 BITMAP_BITS = 32_768  # of bitmap_construct_agg
-#: A filter is broadcast. This many bits (32 MB) is the most it takes, whatever the input is.
-MAX_FILTER_BITS = 1 << 28
+#: A filter is broadcast. This many bits (128 MB) is the most it takes, whatever the input is.
+MAX_FILTER_BITS = 1 << 30
 BITS_PER_KEY = 16
 HASHES = 2
 

@@ -1,10 +1,13 @@
 """Exact deduplication by a two-pass Bloom filter. DataFrame functions only.
 
-Pass 1 sends every text hash through two filters. A slot that has been set before is set in the
-second filter, so that one ends up holding the slots that two rows or more have asked for. The
-slots are counted with map-side combination and packed to bitmaps of 32,768 bits. Pass 2 probes
-the second filter: a hash with a slot missing there is certainly unique, so its row passes
-straight through, in the same stage as the scan. Only rows that hit are written, grouped and
+Pass 1 sends every text hash through two filters. Slots that have been set before are set in the
+second filter, so that one ends up holding the slots that two rows or more have asked for. A task
+packs the slots that it sets to arrays of two bytes a slot, one for each of the filter's bitmaps of
+32,768 bits, so its shuffle has as many rows as the filter has bitmaps, not as the input has rows.
+Arrays of 64 tasks at a time become slots set once and slots set again; these meet by bitmap.
+
+Pass 2 probes the second filter: a hash with a slot missing there is certainly unique, so its row
+passes straight through, in the same stage as the scan. Only rows that hit are written, grouped and
 joined. A false positive costs a row's trip through the shuffle, never a wrong result.
 """
 
@@ -21,10 +24,24 @@ HEAVY_SHARE = 1 / 1000
 HEAVY_ROWS = 64
 
 
+#: Tasks whose slots are merged first. So what meets in a task has a bound, even for a slot that every row sets.
+TASKS_MERGED = 64
+
+
 def repeated_filter(digests: DataFrame, column: str, bits: int) -> DataFrame:
     """The second filter: the slots that two rows or more have set."""
-    taken = digests.select(F.explode(F.array(*bitmaps.slots(F.col(column), bits))).alias("__slot"))
-    return bitmaps.pack(taken.groupBy("__slot").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"))
+    slot = F.explode(F.array(*bitmaps.slots(F.col(column), bits)))
+    merged = F.floor(F.spark_partition_id() / TASKS_MERGED).cast("int")
+    taken = digests.select(slot.alias("__slot"), merged.alias("__merged"))
+    bucket, low = F.floor(F.col("__slot") / bitmaps.BITMAP_BITS).alias("__bucket"), (F.col("__slot") % bitmaps.BITMAP_BITS).cast("short")
+    lows = taken.groupBy(bucket, "__merged").agg(F.collect_list(low).alias("__lows"))
+    # The following steps keep the partitioning by bucket and merged tasks: no row moves.
+    counted = lows.select("__bucket", "__merged", F.explode("__lows").alias("__low")).groupBy("__bucket", "__merged", "__low").agg(F.count(F.lit(1)).alias("__n"))
+    times = F.when(F.col("__n") > 1, F.array("__low", "__low")).otherwise(F.array("__low"))
+    own = counted.groupBy("__bucket", "__merged").agg(F.flatten(F.collect_list(times)).alias("__lows"))
+    by_bucket = own.select("__bucket", "__lows").repartition("__bucket")
+    again = by_bucket.select("__bucket", F.explode("__lows").alias("__low")).groupBy("__bucket", "__low").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    return materialize(again.groupBy("__bucket").agg(F.bitmap_construct_agg("__low").alias("__bitmap")), "filter")
 
 
 def annotate_copies(
@@ -38,14 +55,18 @@ def annotate_copies(
 
     Texts are equal when they are identical; a null text counts as empty. Of a group the row with
     the largest id stays; a null id is the smallest. Of repeated rows that tie, one stays. With
-    ``payload`` only those columns are carried on. Other columns, under any name that has no
-    leading ``__``, pass through unchanged. An empty table gives an empty result.
+    ``payload`` only those columns are carried on, and texts are read and hashed once: both passes
+    read what is written of them. Other columns, under any name that has no leading ``__``, pass
+    through unchanged. Very long texts are hashed like others. An empty table gives an empty result.
     """
     cols = payload if payload is not None else docs.columns
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    bits = bitmaps.filter_bits(docs.count(), max_filter_bits)
-    found = repeated_filter(docs.select(digest.alias("__digest")), "__digest", bits)
-    probed = bitmaps.probe(docs.select(*cols, digest.alias("__digest")), F.col("__digest"), found, bits)
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
+    hashed = docs.select(*cols, digest.alias("__digest"))
+    if payload is not None:
+        hashed = materialize(hashed, "digests")
+    bits = bitmaps.filter_bits(hashed.count(), max_filter_bits)
+    found = repeated_filter(hashed.select("__digest"), "__digest", bits)
+    probed = bitmaps.probe(hashed, F.col("__digest"), found, bits)
     hit = F.col("__hit")
 
     alone = probed.filter(~hit).select(

@@ -44,6 +44,39 @@ def test_exact_dedup_ties_nulls_and_empty(spark):
     assert exact_dedup.annotate_copies(docs.limit(0)).count() == 0
 
 
+def test_repeated_filter_against_counts(spark):
+    """Slots of the second filter are those set twice or more, over many tasks and in one."""
+    from collections import Counter
+
+    from phenospark.llm import bitmaps
+
+    rng = random.Random(5)
+    keys = [rng.choice(["hot", f"k{i}", f"k{i}", f"r{rng.randrange(300)}"]) for i in range(3000)]
+    bits = 1 << 17
+    for parts in (1, 7, 150):
+        rows = spark.createDataFrame([(k,) for k in keys], "key string").repartition(parts)
+        slots = [s for r in rows.select(*bitmaps.slots(rows["key"], bits)).collect() for s in r]
+        want = {s for s, n in Counter(slots).items() if n > 1}
+        got = {r["__bucket"] * bitmaps.BITMAP_BITS + i * 8 + b for r in exact_dedup.repeated_filter(rows, "key", bits).collect() for i, byte in enumerate(r["__bitmap"]) for b in range(8) if byte >> b & 1}
+        assert got == want
+
+
+def test_no_stage_before_the_probe_moves_a_row_for_each_row(spark):
+    rows = spark.range(20_000).selectExpr("cast(id as string) as key").repartition(4)
+    lows = exact_dedup.repeated_filter
+    from phenospark.llm import bitmaps
+
+    held = []
+    original = exact_dedup.materialize
+    try:
+        exact_dedup.materialize = lambda df, name: held.append(df) or df
+        lows(rows, "key", bitmaps.filter_bits(20_000))
+    finally:
+        exact_dedup.materialize = original
+    plan = held[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_a_full_filter_changes_nothing(spark):
     docs = spark.createDataFrame([(i, f"t{i % 700}") for i in range(1000)], "doc_id long, text string")
     got = exact_dedup.annotate_copies(docs, max_filter_bits=32_768).filter("__kept")
