@@ -2,8 +2,9 @@
 
 A piece needs tokens, one document place and attention cost (its length squared). A bin has a
 capacity of each. Pieces are placed by falling length. Of the bins with room in every resource, the
-one with the least weighted norm of what would be left ("norm"), or with the largest weighted dot
-product of residual and need ("dot"), takes the piece; if none has room, a bin is opened.
+one with the least weighted norm of what would be left of all three ("norm"), or with the largest
+weighted dot product of residual and need ("dot"), takes the piece; if none has room, a bin is
+opened.
 
 The decision depends on lengths alone, and lengths are at most the token capacity. So it is taken
 on the histogram of lengths, for all pieces of a length and all bins of a residual at once: the
@@ -13,6 +14,7 @@ place from its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,15 +31,22 @@ from ._common import materialize, slices
 
 @dataclass(frozen=True)
 class Capacity:
-    """Of one bin. A resource that can't run out before the tokens do is left out of the search."""
+    """Of one bin. All three resources are in every bin's residual and in the rule's value.
+
+    A resource without a number has the most that a bin full of tokens can take: then it can't run
+    out, but still weighs on which bin is chosen.
+    """
 
     tokens: int = 2048
     documents: int | None = None
     attention: int | None = None
     weights: tuple[float, float, float] = (1.0, 0.1, 0.1)
     rule: str = "norm"
-    #: Residual places and cost are rounded down to so many steps, which bounds the kinds of bins.
-    steps: int = 64
+    #: Residual places and cost are rounded down to so many steps, which bounds the kinds of bins;
+    #: None keeps them exact. Each piece so costs a bin up to 1 / steps of its places and cost beyond
+    #: its own, but never more than the tokens used imply: where those two can't run out before the
+    #: tokens, rounding closes no bin.
+    steps: int | None = 64
 
 
 @dataclass
@@ -59,75 +68,120 @@ class Plan:
         return self.sequence[at] + behind // self.per_bin[at], self.offset[at] + behind % self.per_bin[at] * length
 
 
+class _Kinds:
+    """Bins of one residual are a kind: rows of an array, each with runs of (first sequence, number)."""
+
+    def __init__(self) -> None:
+        self.residual = np.zeros((1024, 3), np.int64)
+        self.alive = np.zeros(1024, bool)
+        self.runs: list[list[tuple[int, int]]] = []
+        self.row: dict[tuple[int, int, int], int] = {}
+
+    def add(self, key: tuple[int, int, int], run: tuple[int, int]) -> int | None:
+        """The row, if it is a new one."""
+        at = self.row.get(key)
+        if at is not None:
+            self.runs[at].append(run)
+            return None
+        at = self.row[key] = len(self.runs)
+        if at == len(self.alive):
+            self.residual = np.concatenate([self.residual, np.zeros_like(self.residual)])
+            self.alive = np.concatenate([self.alive, np.zeros_like(self.alive)])
+        self.residual[at], self.alive[at] = key, True
+        self.runs.append([run])
+        return at
+
+    def take(self, at: int) -> list[tuple[int, int]]:
+        runs, self.runs[at], self.alive[at] = self.runs[at], [], False
+        del self.row[tuple(self.residual[at].tolist())]
+        return runs
+
+    def compact(self) -> None:
+        if len(self.runs) > 2 * len(self.row) + 1024:
+            rows = np.flatnonzero(self.alive)
+            self.residual, self.runs = self.residual[rows], [self.runs[i] for i in rows.tolist()]
+            self.alive = np.ones(len(rows), bool)
+            self.row = {tuple(r): i for i, r in enumerate(self.residual.tolist())}
+
+
 def best_fit(histogram: dict[int, int], capacity: Capacity = Capacity()) -> Plan:
-    """Pack ``histogram[length]`` pieces of each length, none longer than a bin."""
-    full = [capacity.tokens]
-    need_of = [lambda n: n]
-    shortest = min(histogram, default=1)
-    weights = [capacity.weights[0]]
-    if capacity.documents is not None and capacity.documents < capacity.tokens // shortest:
-        full.append(capacity.documents)
-        need_of.append(lambda n: 1)
-        weights.append(capacity.weights[1])
-    if capacity.attention is not None and capacity.attention < capacity.tokens**2:
-        full.append(capacity.attention)
-        need_of.append(lambda n: n * n)
-        weights.append(capacity.weights[2])
-    full_v, w = np.array(full, np.int64), np.array(weights) / np.array(full, float) ** 2
-    grain = np.maximum(1, full_v // capacity.steps)
-    grain[0] = 1  # tokens are exact: offsets follow from them
-    bins: dict[tuple[int, ...], list[tuple[int, int]]] = {}  # residual -> runs of (first sequence, number)
-    rows: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def put(residual: np.ndarray, run: tuple[int, int]) -> None:
-        key = tuple(int(x) for x in residual // grain * grain)
-        if run[1] and key[0] > 0 and all(key):
-            bins.setdefault(key, []).append(run)
-
-    def fill(length: int, rank: int, run: tuple[int, int], residual: np.ndarray, need: np.ndarray, per: int, n: int) -> int:
-        """Up to ``per`` pieces into each bin of ``run``; returns the number placed."""
-        first, count = run
-        whole = min(count, n // per)
-        if whole:
-            rows.append((length, rank, first, per, capacity.tokens - int(residual[0])))
-            put(residual - per * need, (first, whole))
-        placed = whole * per
-        part = n - placed
-        if whole < count and 0 < part < per:
-            rows.append((length, rank + placed, first + whole, part, capacity.tokens - int(residual[0])))
-            put(residual - part * need, (first + whole, 1))
-            placed, whole = n, whole + 1
-        if whole < count:
-            put(residual, (first + whole, count - whole))
-        return placed
+    """Pack ``histogram[length]`` pieces of each length, none longer than a bin.
+
+    Bins of the same value are taken by least residual: tokens, then places, then cost.
+    """
+    tokens, shortest = capacity.tokens, min(histogram, default=1)
+    full = (tokens, tokens // shortest if capacity.documents is None else capacity.documents, tokens**2 if capacity.attention is None else capacity.attention)
+    w = np.array(capacity.weights) / np.maximum(1.0, np.array(full, float)) ** 2
+    grain = [1, 1, 1] if capacity.steps is None else [1, *(max(1, f // capacity.steps) for f in full[1:])]
+    kinds, rows, opened = _Kinds(), [], 0
+    by_norm = capacity.rule == "norm"
+
+    def value(residual, need):
+        return (w * (residual - need) ** 2).sum(-1) if by_norm else -(w * residual * need).sum(-1)
+
+    def put(residual: tuple[int, ...], run: tuple[int, int]) -> int | None:
+        used = tokens - residual[0]
+        least = (0, full[1] - used // shortest, full[2] - used * used)
+        key = tuple(max(r // g * g, m) for r, g, m in zip(residual, grain, least))
+        return kinds.add(key, run) if run[1] and min(key) > 0 else None
+
+    def per_bin(residual: tuple[int, ...], need: tuple[int, ...]) -> int:
+        # By norm the bin just used is the best as long as it has room; by dot product it isn't.
+        return min(r // x for r, x in zip(residual, need)) if by_norm else 1
 
     for length in sorted(histogram, reverse=True):
-        need = np.array([f(length) for f in need_of], np.int64)
-        if length > capacity.tokens or (need > full_v).any():
+        need = (length, 1, length * length)
+        if any(x > f for x, f in zip(need, full)):
             raise ValueError(f"a piece of {length} tokens doesn't fit an empty bin")
-        n, rank = histogram[length], 0
+        kinds.compact()
+        n, rank, need_v = histogram[length], 0, np.array(need, np.int64)
+        known = np.flatnonzero(kinds.alive[: len(kinds.runs)] & (kinds.residual[: len(kinds.runs)] >= need_v).all(1))
+        room = kinds.residual[known]
+        values = value(room, need_v)
+        order = np.lexsort((room[:, 2], room[:, 1], room[:, 0], values))
+        queue = zip(values[order].tolist(), map(tuple, room[order].tolist()), known[order].tolist())
+        fresh: list[tuple] = []  # kinds that came up while this length is placed
+
+        def offer(residual: tuple[int, ...], run: tuple[int, int]) -> None:
+            at = put(residual, run)
+            if at is not None:
+                r = kinds.residual[at]
+                if (r >= need_v).all():
+                    heapq.heappush(fresh, (float(value(r, need_v)), tuple(r.tolist()), at))
+
+        head = next(queue, None)
         while rank < n:
-            keys = np.array(list(bins), np.int64).reshape(-1, len(full))
-            open_ = (keys >= need).all(1)
-            if open_.any():
-                room = keys[open_]
-                value = (w * (room - need) ** 2).sum(1) if capacity.rule == "norm" else -(w * room * need).sum(1)
-                residual = room[np.lexsort((*room.T, value))[0]]
-                runs = bins.pop(tuple(int(x) for x in residual))
-                # By norm the bin just used stays the best while it has room; by dot product it doesn't.
-                per = int((residual // need).min()) if capacity.rule == "norm" else 1
-                for i, run in enumerate(runs):
-                    rank += fill(length, rank, run, residual, need, per, n - rank)
-                    if rank == n:
-                        for rest in runs[i + 1 :]:
-                            put(residual, rest)
-                        break
-            else:
-                per = int((full_v // need).min())
+            best = None
+            while head is not None or fresh:
+                if fresh and (head is None or fresh[0][:2] <= head[:2]):
+                    best = heapq.heappop(fresh)
+                else:
+                    best, head = head, next(queue, None)
+                if kinds.alive[best[2]]:
+                    break
+                best = None
+            if best is None:
+                # No other bin has room, so by either rule the new one is the best as long as it has.
+                residual, per = full, min(f // x for f, x in zip(full, need))
                 count = -(-(n - rank) // per)
-                run, opened = (opened, count), opened + count
-                rank += fill(length, rank, run, full_v, need, per, n - rank)
+                runs, opened = [(opened, count)], opened + count
+            else:
+                residual, per = best[1], per_bin(best[1], need)
+                runs = kinds.take(best[2])
+            for first, count in runs:
+                left, offset = n - rank, tokens - residual[0]
+                whole = min(count, left // per)
+                if whole:
+                    rows.append((length, rank, first, per, offset))
+                    offer(tuple(r - per * x for r, x in zip(residual, need)), (first, whole))
+                    rank += whole * per
+                part = min(left - whole * per, per - 1) if whole < count else 0
+                if part:
+                    rows.append((length, rank, first + whole, part, offset))
+                    offer(tuple(r - part * x for r, x in zip(residual, need)), (first + whole, 1))
+                    rank, whole = rank + part, whole + 1
+                if whole < count:
+                    put(residual, (first + whole, count - whole))
     rows.sort()
     columns = [np.array([r[i] for r in rows], np.int64) for i in range(5)]
     return Plan(*columns, sequences=opened)
@@ -213,8 +267,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     """One row per piece: ``id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     A document's ids are the tokenizer's and then ``end_id``. Documents longer than a bin are cut.
-    A null text is empty and gives one piece of length 1. Repeated rows are packed each; other
-    columns are not read. An empty table gives an empty result.
+    A null text is empty and gives one piece of length 1. Very long texts are cut, in as many pieces
+    as they need. Repeated rows are packed each; other columns are not read. Which of the pieces of
+    one length goes where follows their order in the input; the numbers of sequences and of pieces of
+    each length in them don't. An empty table gives an empty result.
     """
     longest = capacity.tokens
     while capacity.attention is not None and longest > 1 and longest**2 > capacity.attention:
@@ -240,5 +296,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    """2048 tokens; places and cost are set where a full bin of the shortest or longest pieces just fits."""
+    """2048 tokens; places and cost can't run out before the tokens, but weigh in the choice of a bin."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), capacity=Capacity(tokens=2048, documents=2048, attention=2048**2))

@@ -52,21 +52,61 @@ def test_best_fit_is_near_the_lower_bound():
     assert bound <= plan.sequences <= bound + 2
 
 
-def test_best_fit_matches_one_by_one():
-    """Placing all pieces of a length at once is the same as placing them one at a time."""
-    rng = random.Random(3)
-    histogram = {n: rng.randint(1, 9) for n in range(3, 30)}
+def one_by_one(histogram, cap):
+    """The rule as it is stated, a piece at a time: sorted contents of the bins."""
+    full = (cap.tokens, cap.documents or cap.tokens // min(histogram), cap.attention or cap.tokens**2)
+    w = [x / f**2 for x, f in zip(cap.weights, full)]
     bins = []
     for n in sorted(histogram, reverse=True):
+        need = (n, 1, n * n)
         for _ in range(histogram[n]):
-            room = [(r - n, i) for i, r in enumerate(bins) if r >= n]
-            if room:
-                bins[min(room)[1]] -= n
-            else:
-                bins.append(64 - n)
-    plan = packing.best_fit(histogram, packing.Capacity(tokens=64))
-    left = sorted(64 - sum(n for _, n in c) for c in placed(histogram, plan).values())
-    assert left == sorted(bins)
+            best = None
+            for i, (left, _) in enumerate(bins):
+                if all(r >= x for r, x in zip(left, need)):
+                    v = sum(a * (r - x) ** 2 for a, r, x in zip(w, left, need)) if cap.rule == "norm" else -sum(a * r * x for a, r, x in zip(w, left, need))
+                    if best is None or (round(v, 12), left) < best[:2]:
+                        best = (round(v, 12), left, i)
+            if best is None:
+                bins.append((full, []))
+                best = (0, full, len(bins) - 1)
+            left, content = bins[best[2]]
+            bins[best[2]] = (tuple(r - x for r, x in zip(left, need)), [*content, n])
+    return sorted(sorted(c) for _, c in bins)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [(None, None), (3, None), (None, 600), (4, 900), (64, 64**2)])
+@pytest.mark.parametrize("seed", range(4))
+def test_best_fit_matches_one_by_one(rule, limits, seed):
+    """Placing all pieces of a length at once is the same as placing them one at a time."""
+    rng = random.Random(seed)
+    histogram = {n: rng.randint(1, 9) for n in rng.sample(range(2, 25), 14)}
+    cap = packing.Capacity(tokens=64, documents=limits[0], attention=limits[1], rule=rule, steps=None, weights=(1.0, 0.37, 0.21))
+    got = placed(histogram, packing.best_fit(histogram, cap))
+    assert sorted(sorted(n for _, n in c) for c in got.values()) == one_by_one(histogram, cap)
+
+
+def test_places_and_cost_weigh_in_where_only_tokens_can_run_out():
+    """Two bins with 10 tokens left, of one long piece and of many short ones: the vector tells them apart."""
+    rng = random.Random(8)
+    histogram = {n: rng.randint(1, 60) for n in rng.sample(range(1, 2049), 400)}
+    contents = {}
+    for weights in [(1.0, 0.1, 0.1), (1.0, 0.0, 0.0)]:
+        cap = packing.Capacity(documents=2048, attention=2048**2, weights=weights)
+        bins = placed(histogram, packing.best_fit(histogram, cap))
+        contents[weights] = sorted(sorted(n for _, n in c) for c in bins.values())
+    a, b = contents.values()
+    assert a != b and len(a) <= len(b) + 2
+
+
+def test_rounding_closes_no_bin_that_tokens_leave_open():
+    rng = random.Random(2)
+    for _ in range(20):
+        histogram = {n: rng.randint(1, 200) for n in rng.sample(range(1, 257), 60)}
+        coarse = packing.best_fit(histogram, packing.Capacity(tokens=256, documents=256, attention=256**2, steps=4))
+        exact = packing.best_fit(histogram, packing.Capacity(tokens=256, documents=256, attention=256**2, steps=None))
+        bound = -(-sum(n * c for n, c in histogram.items()) // 256)
+        assert coarse.sequences <= exact.sequences + max(2, bound // 100)
 
 
 def test_empty_and_too_long():
