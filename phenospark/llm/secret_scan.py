@@ -1,15 +1,17 @@
-"""Secret scan: fixed patterns plus sliding-window entropy over candidate strings.
+"""Secret scan: fixed patterns, and beside them sliding-window entropy over candidate strings.
 
 A candidate is a maximal run of token characters. A window slides over it; the counts of its
-characters, and with them the Shannon entropy, change by one character that leaves and one that
-comes, so a string costs time in proportion to its length. Which threshold holds depends on the
-class of the characters: the whole candidate is judged by its own class and each maximal run of one
-class in it by the run's, so a key keeps its threshold behind a prefix. Runs of windows above the
-threshold become one span.
+characters and of their classes, and with them the Shannon entropy, change by one character that
+leaves and one that comes, so a string costs time in proportion to its length. The class of what is
+in the window just then (hex digits alone, letters and digits, or with other signs) says which
+threshold holds, so a key keeps its own behind a prefix. A window of letters alone or of digits
+alone is no secret: words and numbers are not. Runs of windows above their threshold become one
+span. An allow-list cuts out the parts of a candidate that are known to be none.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -25,48 +27,44 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 # Runs are maximal, so a lower bound on the length finds the same matches as a filter afterwards.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-_MIXED = re.compile(r"[0-9]")
-_ALNUM_RUN = re.compile(r"[A-Za-z0-9]+")
-_HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Hex in groups; the separators don't count as characters of the key.
 _HEX_GROUPS = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{4,}(?:[-_][0-9A-Fa-f]{4,})+(?![A-Za-z0-9])")
 
+# What a character adds to the counts of digits, letters, letters beyond f, and other signs.
+_DIGIT, _HEX_LETTER, _LETTER, _SIGN = range(4)
+_CLASS = {c: _DIGIT for c in "0123456789"} | {c: _HEX_LETTER for c in "abcdefABCDEF"} | {c: _LETTER for c in "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ"}
+
 
 @dataclass(frozen=True)
 class EntropyRule:
-    """Window length in characters and least bits a character, by class of the characters."""
+    """Window length in characters and least bits a character, by class of the characters in the window."""
 
-    window: int = 20
-    hex_bits: float = 3.0
-    alnum_bits: float = 3.7
-    base64_bits: float = 3.9
-    #: A candidate, or a run in it, that one of these matches in full is no secret.
+    window: int = 16
+    hex_bits: float = 2.9
+    alnum_bits: float = 3.5
+    base64_bits: float = 3.75
+    #: A part of a candidate that one of these matches, between ends of runs of letters and digits, is no secret.
     allow: tuple[str, ...] = (
-        r"[A-Za-z_-]+",  # no digit at all: words, identifiers
-        r"[0-9_=+/-]+",  # digits only: numbers, dates, rules
-        r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",  # UUID
+        r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",  # UUID
+        r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:T[0-9]{2,6}Z?)?",  # date
+        r"[A-Za-z0-9]*(?i:example|sample|dummy|placeholder|x{6}|0{8}|1234567890|abcdefgh)[A-Za-z0-9]*",
     )
-    #: A run of letters and digits that one of these matches in full is no secret; what stands beside it may be.
-    placeholders: tuple[str, ...] = (r"(?i:.*(example|sample|dummy|placeholder|x{6,}|0{8,}|1234567890|abcdefgh).*)",)
-
 
-def char_class(s: str) -> str:
-    if re.fullmatch(r"[0-9a-fA-F]+", s):
-        return "hex"
-    return "alnum" if s.isalnum() else "base64"
+    def allowed(self) -> list[re.Pattern]:
+        return [re.compile(rf"(?<![A-Za-z0-9])(?:{p})(?![A-Za-z0-9])") for p in self.allow]
 
 
 def high_entropy_spans(s: str, rule: EntropyRule) -> list[tuple[int, int]]:
-    """The parts of ``s`` that windows with enough entropy cover, as (start, end)."""
+    """The parts of ``s`` that windows with enough entropy for their class cover, as (start, end)."""
     width = rule.window
     if len(s) < width:
         return []
-    least = {"hex": rule.hex_bits, "alnum": rule.alnum_bits, "base64": rule.base64_bits}[char_class(s)]
     # H = log2(w) - sum(c log2 c) / w: a threshold on H is an upper bound on the sum.
-    most = (math.log2(width) - least) * width + 1e-9
+    hex_most, alnum_most, base64_most = ((math.log2(width) - bits) * width + 1e-9 for bits in (rule.hex_bits, rule.alnum_bits, rule.base64_bits))
     term = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
     count: dict[str, int] = {}
+    of_class = [0, 0, 0, 0]
     total = 0.0
     spans: list[tuple[int, int]] = []
     for i, ch in enumerate(s):
@@ -75,49 +73,35 @@ def high_entropy_spans(s: str, rule: EntropyRule) -> list[tuple[int, int]]:
             c = count[old]
             total += term[c - 1] - term[c]
             count[old] = c - 1
+            of_class[_CLASS.get(old, _SIGN)] -= 1
         c = count.get(ch, 0)
         total += term[c + 1] - term[c]
         count[ch] = c + 1
-        if i >= width - 1 and total <= most:
-            start = i - width + 1
-            if spans and start <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], i + 1)
-            else:
-                spans.append((start, i + 1))
+        of_class[_CLASS.get(ch, _SIGN)] += 1
+        if i >= width - 1 and of_class[_DIGIT] and of_class[_HEX_LETTER] + of_class[_LETTER]:
+            if total <= (base64_most if of_class[_SIGN] else alnum_most if of_class[_LETTER] else hex_most):
+                start = i - width + 1
+                if spans and start <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], i + 1)
+                else:
+                    spans.append((start, i + 1))
     return spans
 
 
-def candidate_spans(s: str, rule: EntropyRule, allow: list[re.Pattern], placeholders: list[re.Pattern]) -> list[tuple[int, int]]:
-    """The parts of a candidate that count, by the class of the whole and by that of each run."""
-
-    def allowed(t: str) -> bool:
-        return not _MIXED.search(t) or any(p.fullmatch(t) for p in allow)
-
-    if allowed(s):
-        return []
+def candidate_spans(s: str, rule: EntropyRule, allow: list[re.Pattern]) -> list[tuple[int, int]]:
+    """The parts of a candidate that count: what the allow-list leaves is searched piece by piece."""
+    cuts = sorted(m.span() for p in allow for m in p.finditer(s))
     pieces, start = [], 0
-    if any(p.fullmatch(s) for p in placeholders):
-        named = [m.span() for m in _ALNUM_RUN.finditer(s) if any(p.fullmatch(m[0]) for p in placeholders)]
-        for a, b in named:
+    for a, b in [*cuts, (len(s), len(s))]:
+        if a - start >= rule.window:
             pieces.append((start, a))
-            start = b
-        if not named:
-            return []
-    pieces.append((start, len(s)))
+        start = max(start, b)
     found = []
     for start, end in pieces:
-        piece = s[start:end]
-        if len(piece) < rule.window or allowed(piece):
-            continue
-        found += [(start + a, start + b) for a, b in high_entropy_spans(piece, rule)]
-        for runs in (_ALNUM_RUN, _HEX_RUN):
-            for m in runs.finditer(piece):
-                if rule.window <= len(m[0]) < len(piece) and not allowed(m[0]):
-                    found += [(start + m.start() + a, start + m.start() + b) for a, b in high_entropy_spans(m[0], rule)]
-        for m in _HEX_GROUPS.finditer(piece):
-            if not allowed(m[0]) and not allowed(m[0].lower()):
-                at = [i for i, c in enumerate(m[0], start + m.start()) if c not in "-_"]
-                found += [(at[a], at[b - 1] + 1) for a, b in high_entropy_spans("".join(s[i] for i in at), rule)]
+        found += [(start + a, start + b) for a, b in high_entropy_spans(s[start:end], rule)]
+        for m in _HEX_GROUPS.finditer(s, start, end):
+            at = [i for i, c in enumerate(m[0], m.start()) if c not in "-_"]
+            found += [(at[a], at[b - 1] + 1) for a, b in high_entropy_spans("".join(s[i] for i in at), rule)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:
@@ -130,7 +114,7 @@ def candidate_spans(s: str, rule: EntropyRule, allow: list[re.Pattern], placehol
 def scan(text: str, rule: EntropyRule = EntropyRule()) -> list[tuple[int, int, str]]:
     """All (start, end, kind) of a text by start, then kind; offsets are code points.
 
-    An entropy span that lies within a span of the fixed patterns isn't reported again.
+    Spans of the fixed patterns and of the entropy stand side by side, also where they overlap.
     """
     out: list[tuple[int, int, str]] = []
     for m in _ASSIGN.finditer(text):
@@ -139,22 +123,25 @@ def scan(text: str, rule: EntropyRule = EntropyRule()) -> list[tuple[int, int, s
     if "AKIA" in text:
         out += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text)]
     out += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
-    fixed = sorted(out)
-    allow, placeholders = [re.compile(p) for p in rule.allow], [re.compile(p) for p in rule.placeholders]
+    allow = _compiled(rule)
     for m in _CANDIDATE.finditer(text):
-        for a, b in candidate_spans(m[0], rule, allow, placeholders):
-            a, b = a + m.start(), b + m.start()
-            if not any(x <= a and b <= y for x, y, _ in fixed):
-                out.append((a, b, "entropy"))
+        if m.end() - m.start() >= rule.window and not m[0].isalpha():
+            out += [(a + m.start(), b + m.start(), "entropy") for a, b in candidate_spans(m[0], rule, allow)]
     out.sort(key=lambda x: (x[0], KINDS.index(x[2])))
     return out
 
 
+@functools.cache
+def _compiled(rule: EntropyRule) -> list[re.Pattern]:
+    return rule.allowed()
+
+
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: EntropyRule = EntropyRule()) -> DataFrame:
     """One row per row of ``docs``: the id and ``spans``, an array of (start, end, kind).
 
     A null text counts as empty and has no spans; other columns are not read; repeated rows give
-    repeated results. Whole texts are scanned, one at a time. An empty table gives an empty result.
+    repeated results. Whole texts are scanned, one at a time, however long. Spans with the same start
+    come in the order of KINDS. The id keeps its type. An empty table gives an empty result.
     """
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
 
@@ -162,8 +149,8 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = [[{"start": a, "end": b, "kind": k} for a, b, k in scan(t or "", rule)] for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(span))], names=["id", "spans"])
 
-    picked = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    return picked.mapInArrow(per_batch(run), "id long, spans array<struct<start:int,end:int,kind:string>>")
+    picked = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    return picked.mapInArrow(per_batch(run), f"id {dict(picked.dtypes)['id']}, spans array<struct<start:int,end:int,kind:string>>")
 
 
 def _joined(spans) -> str:
