@@ -17,7 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -25,7 +26,7 @@ from ._common import WordHashes, rolling, slices
 
 _PUNCTUATION = string.punctuation.encode()
 #: Characters of benchmark text in one index; a larger benchmark is taken in several blocks, one scan each.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,7 @@ class Tiling:
     """An item is found where its coverage reaches ``coverage`` and ``least`` words are marked.
 
     Items with fewer words than ``least`` must be covered whole; those with fewer than ``seed``
-    words can't be told from chance and are left out.
+    words, which any text may hold by chance, are found where a document has just their words.
     """
 
     seed: int = 5
@@ -48,88 +49,165 @@ def normal_words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION).split()
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class _Sums:
+    """Karp-Rabin hashes of any run of a text, from sums of its prefixes."""
+
+    def __init__(self, h: np.ndarray):
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_INVERSE, len(h)), dtype=np.uint64)])
+        self.power = _powers(_BASE, len(h) + 1)
+
+    def of(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return (self.prefix[start + length] - self.prefix[start]) * self.power[start]
+
+
 class Index:
-    """The runs of ``seed`` words of all items of a block."""
+    """The runs of ``seed`` words of all items of a block; places are those in all items' words.
+
+    Runs that are equal are sorted by the word before them. So where a match with a document begins,
+    which is where the words before differ, is found without a look at where it goes on.
+    """
 
     def __init__(self, items: list[tuple[object, str]], tiling: Tiling, hashes: WordHashes):
         self.tiling = tiling
-        self.ids, self.words, starts, owners, runs = [], [], [], [], []
+        self.ids, words, self.short, ends = [], [], defaultdict(list), []
+        at, total = [], 0
         for item, text in items:
-            h = hashes.of(normal_words(text or ""))
-            r = rolling(h, tiling.seed)
-            if len(r):
-                runs.append(r)
-                starts.append(np.arange(len(r)))
-                owners.append(np.full(len(r), len(self.ids)))
+            w = normal_words(text or "")
+            h = hashes.of(w)
+            if len(h) >= tiling.seed:
+                at.append(np.arange(total, total + len(h) - tiling.seed + 1))
+                words.append(h)
                 self.ids.append(item)
-                self.words.append(h)
-        join = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.zeros(0, t)
-        runs = join(runs, np.uint64)
-        order = np.argsort(runs, kind="stable")
-        self.runs, self.starts, self.owners = runs[order], join(starts, np.int64)[order], join(owners, np.int64)[order]
-        self.bits = max(16, int(np.ceil(np.log2(len(runs) * 16 + 1))))
+                total += len(h)
+                ends.append(total)
+            elif w:
+                self.short[b" ".join(w)].append(item)
+        self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
+        self.ends = np.array(ends, np.int64)
+        self.sums = _Sums(self.words)
+        at = np.concatenate(at) if at else np.zeros(0, np.int64)
+        runs, before = rolling(self.words, tiling.seed)[at], self._before(self.words)[at]
+        before[np.isin(at, np.concatenate([[0], self.ends]))] = 0  # no word is before an item's first
+        order = np.lexsort((at, before, runs))
+        self.at, runs, before = at[order].astype(np.int32), runs[order], before[order]
+        self.runs, first = np.unique(runs, return_index=True)
+        self.first = np.append(first, len(runs))
+        self.befores, rank = np.unique(before, return_inverse=True)
+        self.both = (np.repeat(np.arange(len(self.runs)), np.diff(self.first)) << 32) | rank
+        self.bits = max(16, int(np.ceil(np.log2(len(runs) * 8 + 1))))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.runs >> np.uint64(64 - self.bits)] = True
 
-    def seeds(self, h: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """item -> (position in the document, position in the item) of all shared runs."""
+    @staticmethod
+    def _before(h: np.ndarray) -> np.ndarray:
+        """The word before each place; 0 before the first."""
+        return np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
+
+    def matches(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the document, place in the items, words) of all maximal matches of ``seed`` words or more."""
+        none = np.zeros(0, np.int64)
         r = rolling(h, self.tiling.seed)
-        at = np.flatnonzero(self.seen[r >> np.uint64(64 - self.bits)])
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        if len(at):
-            lo, hi = np.searchsorted(self.runs, r[at], "left"), np.searchsorted(self.runs, r[at], "right")
-            for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
-                for k in range(a, b):
-                    out[int(self.owners[k])].append((p, int(self.starts[k])))
-        return out
-
-    def found(self, h: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(item, marked words, tiles) of the items that the document holds."""
-        for item, pairs in self.seeds(h).items():
-            n, need = len(self.words[item]), self.tiling.need(len(self.words[item]))
-            most = np.zeros(n, bool)  # what any tiling can cover at most
-            for _, q in pairs:
-                most[q : q + self.tiling.seed] = True
-            if most.sum() >= need:
-                tiles = greedy_tiles(pairs, self.tiling.seed)
+        p = np.flatnonzero(self.seen[r >> np.uint64(64 - self.bits)])
+        k = np.searchsorted(self.runs, r[p])
+        k[k == len(self.runs)] = 0
+        hit = self.runs[k] == r[p] if len(self.runs) else np.zeros(len(p), bool)
+        p, k = p[hit], k[hit]
+        if not len(p):
+            return none, none, none
+        before = self._before(h)[p]
+        rank = np.searchsorted(self.befores, before)
+        rank[rank == len(self.befores)] = 0
+        same = (self.befores[rank] == before) & (p > 0)  # these go on from a place before
+        low, high = self.first[k], self.first[k + 1]
+        key = (k << 32) | rank
+        skip_low = np.where(same, np.searchsorted(self.both, key, "left"), high)
+        skip_high = np.where(same, np.searchsorted(self.both, key, "right"), high)
+        starts, ends, own = np.concatenate([low, skip_high]), np.concatenate([skip_low, high]), np.concatenate([p, p])
+        n = ends - starts
+        p = np.repeat(own, n)
+        q = self.at[np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())].astype(np.int64)
+        return p, q, self._lengths(h, p, q)
+
+    def _lengths(self, h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """How many words match from (p, q) on: bisection by hashes."""
+        sums = _Sums(h)
+        low = np.full(len(p), self.tiling.seed, np.int64)
+        high = np.minimum(len(h) - p, self.ends[np.searchsorted(self.ends, q, "right")] - q)
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_] + 1) // 2
+            fits = sums.of(p[open_], mid) == self.sums.of(q[open_], mid)
+            low[open_] = np.where(fits, mid, low[open_])
+            high[open_] = np.where(fits, high[open_], mid - 1)
+        return low
+
+    def found(self, words: list[bytes], hashes: WordHashes) -> Iterator[tuple[object, int, int, list[tuple[int, int, int]]]]:
+        """(item, its words, marked words, tiles) of the items that the document holds."""
+        if len(words) < self.tiling.seed:
+            for item in self.short.get(b" ".join(words), ()) if words else ():
+                yield item, len(words), len(words), [(0, 0, len(words))]
+            return
+        p, q, n = self.matches(hashes.of(words))
+        owner = np.searchsorted(self.ends, q, "right")
+        order = np.lexsort((q, p, -n, owner))
+        cuts = np.flatnonzero(np.diff(owner[order])) + 1
+        for rows in np.split(order, cuts) if len(order) else ():
+            k = int(owner[rows[0]])
+            start = int(self.ends[k - 1]) if k else 0
+            size = int(self.ends[k]) - start
+            need = self.tiling.need(size)
+            edge = np.zeros(size + 1, np.int64)  # what any tiling can cover at most
+            np.add.at(edge, q[rows] - start, 1)
+            np.add.at(edge, q[rows] - start + n[rows], -1)
+            if (np.cumsum(edge) > 0).sum() >= need:
+                tiles = greedy_tiles(p[rows], q[rows] - start, n[rows], len(words), size, self.tiling.seed)
                 covered = sum(t[2] for t in tiles)
                 if covered >= need:
-                    yield item, covered, tiles
+                    yield self.ids[k], size, covered, tiles
+
+
+def _longest(used: np.ndarray) -> int:
+    """Of the runs that aren't used."""
+    at = np.flatnonzero(np.concatenate([[True], used, [True]]))
+    return int(np.diff(at).max()) - 1
 
 
-def greedy_tiles(pairs: list[tuple[int, int]], seed: int) -> list[tuple[int, int, int]]:
+def greedy_tiles(p: np.ndarray, q: np.ndarray, n: np.ndarray, doc_words: int, item_words: int, seed: int) -> list[tuple[int, int, int]]:
     """(start in the document, start in the item, words) of tiles, longest first.
 
-    Equally long matches are taken by their place in the document, then in the item.
+    ``p, q, n`` are the maximal matches, longest first. Equally long ones are taken by their place in
+    the document, then in the item. It ends when no unmarked run of either text has ``seed`` words.
     """
-    lines: dict[int, list[int]] = defaultdict(list)
-    for p, q in pairs:
-        lines[p - q].append(p)
-    heap: list[tuple[int, int, int]] = []
-    for diagonal, ps in lines.items():
-        ps.sort()
-        first = prev = ps[0]
-        for p in [*ps[1:], None]:
-            if p is None or p != prev + 1:  # overlapping seeds of a diagonal make one maximal match
-                heap.append((-(prev - first + seed), first, first - diagonal))
-                first = p
-            prev = p
-    heapq.heapify(heap)
-    used_p, used_q, tiles = set(), set(), []
-    while heap:
-        n, p, q = heapq.heappop(heap)
-        free = [i for i in range(-n) if p + i not in used_p and q + i not in used_q]
-        if len(free) == -n:
-            used_p.update(range(p, p - n))
-            used_q.update(range(q, q - n))
-            tiles.append((p, q, -n))
+    used_p, used_q, tiles = np.zeros(doc_words, bool), np.zeros(item_words, bool), []
+    rest: list[tuple[int, int, int]] = []
+    i = 0
+    while i < len(p) or rest:
+        head = (-int(n[i]), int(p[i]), int(q[i])) if i < len(p) else None
+        if head is None or rest and rest[0] < head:
+            size, a, b = heapq.heappop(rest)
+        else:
+            (size, a, b), i = head, i + 1
+        marked = used_p[a : a - size] | used_q[b : b - size]
+        if not marked.any():
+            used_p[a : a - size] = used_q[b : b - size] = True
+            tiles.append((a, b, -size))
+            if _longest(used_q) < seed or _longest(used_p) < seed:
+                break
             continue
-        begin = 0
-        for i in range(1, len(free) + 1):  # what is left unmarked of it comes up again, if long enough
-            if i == len(free) or free[i] != free[i - 1] + 1:
-                if i - begin >= seed:
-                    heapq.heappush(heap, (begin - i, p + free[begin], q + free[begin]))
-                begin = i
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], marked, [True]]).astype(np.int8)))
+        for x, y in zip(edges[::2].tolist(), edges[1::2].tolist()):  # what is left unmarked comes up again, if long enough
+            if y - x >= seed:
+                heapq.heappush(rest, (x - y, a + x, b + x))
     return tiles
 
 
@@ -142,35 +220,40 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str, text_col: str, block_ch
         yield [(r[0], r[1]) for r in part.select(item_id, text_col).collect()]
 
 
+def _indexes(spark: SparkSession, benchmark: DataFrame, item_id: str, text_col: str, tiling: Tiling, block_chars: int) -> Iterator[Broadcast]:
+    """The blocks' indexes, each built once and sent to the executors: about 30 bytes for each word of a block."""
+    for items in benchmark_blocks(benchmark, item_id, text_col, block_chars):
+        yield spark.sparkContext.broadcast(Index(items, tiling, WordHashes()))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tiling: Tiling = Tiling(), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item that it holds: ids, ``item_words, covered, coverage, tiles``.
 
     A null or empty text, of a document or an item, holds and is nothing; an empty benchmark gives
-    no rows. Repeated documents or items give repeated rows. Other columns are not read.
+    no rows. Repeated documents or items give repeated rows. Other columns are not read. Very long and
+    repetitive texts take memory in proportion to their words.
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = dict(picked.dtypes)["doc_id"], dict(benchmark.dtypes)[item_id]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, item_words int, covered int, coverage double, tiles array<struct<doc_start:int,item_start:int,words:int>>"
     out = docs.sparkSession.createDataFrame([], schema)
     item_type = benchmark.schema[item_id].dataType
-    for items in benchmark_blocks(benchmark, item_id, item_text, block_chars):
+    for index in _indexes(docs.sparkSession, benchmark, item_id, item_text, tiling, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
-            index = Index(items, tiling, hashes)
-            like = pa.array(index.ids, to_arrow_type(item_type))
             tile = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("words", pa.int32())]))
             for b in slices(batches):
-                row, item, covered, tiles = [], [], [], []
+                row, item, size, covered, tiles = [], [], [], [], []
                 for i, text in enumerate(b.column(1).to_pylist()):
-                    for k, n, t in index.found(hashes.of(normal_words(text or ""))):
+                    for k, m, n, t in index.value.found(normal_words(text or ""), hashes):
                         row.append(i)
                         item.append(k)
+                        size.append(m)
                         covered.append(n)
                         tiles.append([dict(zip(("doc_start", "item_start", "words"), x)) for x in sorted(t)])
-                size = [len(index.words[k]) for k in item]
                 share = [n / m for n, m in zip(covered, size)]
-                cols = [b.column(0).take(pa.array(row, pa.int64())), like.take(pa.array(item, pa.int64())), pa.array(size, pa.int32()), pa.array(covered, pa.int32()), pa.array(share, pa.float64()), pa.array(tiles, tile)]
+                cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(item, to_arrow_type(item_type)), pa.array(size, pa.int32()), pa.array(covered, pa.int32()), pa.array(share, pa.float64()), pa.array(tiles, tile)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "item_words", "covered", "coverage", "tiles"])
 
         out = out.unionByName(picked.mapInArrow(run, schema))
@@ -178,15 +261,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tiling: Tiling = Tiling(), block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns, in one pass a block."""
+    """The rows of ``docs`` that hold no item, with all their columns, in one pass over them.
+
+    Nulls, empty texts and repeated rows are as in contamination(): they stay if they hold nothing.
+    """
     at = docs.columns.index(text_col)
-    for items in benchmark_blocks(benchmark, item_id, item_text, block_chars):
+    for index in _indexes(docs.sparkSession, benchmark, item_id, item_text, tiling, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
-            index = Index(items, tiling, hashes)
             for b in slices(batches):
-                clean = [not any(True for _ in index.found(hashes.of(normal_words(t or "")))) for t in b.column(at).to_pylist()]
+                clean = [not any(True for _ in index.value.found(normal_words(t or ""), hashes)) for t in b.column(at).cast(pa.string()).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -173,14 +173,74 @@ def brute_tiles(p, q, seed):
         used_q |= set(range(best[1], best[1] + best[2]))
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(12))
 def test_tiles_against_brute_force(seed):
+    """Index and tiling of several items at once, from two words that repeat all the time to seven."""
     rng = random.Random(seed)
-    words = "abcdefg"[: 2 + seed]
-    q = [rng.choice(words) for _ in range(25)]
-    p = [rng.choice(words) for _ in range(10)] + q[12:22] + [rng.choice(words) for _ in range(5)] + q[:13]
-    pairs = [(i, j) for i in range(len(p) - 2) for j in range(len(q) - 2) if p[i : i + 3] == q[j : j + 3]]
-    assert sorted(D.greedy_tiles(pairs, 3)) == sorted(brute_tiles(p, q, 3))
+    words = "abcdefg"[: 1 + seed % 7]
+    items = [[rng.choice(words) for _ in range(rng.randint(1, 25))] for _ in range(5)]
+    q = items[2]
+    p = [rng.choice(words) for _ in range(10)] + q[len(q) // 2 :] + [rng.choice(words) for _ in range(5)] + q[:13] + items[0]
+    tiling = D.Tiling(seed=3, coverage=0.0, least=0)
+    hashes = D.WordHashes()
+    index = D.Index([(k, " ".join(w)) for k, w in enumerate(items)], tiling, hashes)
+    got = {k: (m, n, sorted(t)) for k, m, n, t in index.found([x.encode() for x in p], hashes)}
+    want = {}
+    for k, w in enumerate(items):
+        tiles = brute_tiles(p, w, 3)
+        if tiles:
+            want[k] = (len(w), sum(t[2] for t in tiles), sorted(tiles))
+    assert got == want
+
+
+def test_a_million_repeated_words_take_memory_in_proportion():
+    tiling, hashes = D.Tiling(), D.WordHashes()
+    index = D.Index([(0, "la " * 60), (1, "la la la " * 20 + "end " * 30), (2, "none of these words is there at all " * 3)], tiling, hashes)
+    h = hashes.of([b"la"] * 1_000_000)
+    p, q, n = index.matches(h)
+    assert len(p) < 2 * 1_000_200 and n.max() == 60
+    assert {k: n for k, _, n, _ in index.found([b"la"] * 1_000_000, hashes)} == {0: 60, 1: 60}
+
+
+def test_short_items_are_found_whole():
+    tiling, hashes = D.Tiling(), D.WordHashes()
+    index = D.Index([(7, "Yes, indeed."), (8, ""), (9, None)], tiling, hashes)
+    found = lambda t: [x[:3] for x in index.found(D.normal_words(t), hashes)]
+    assert found("yes indeed") == [(7, 2, 2)]
+    assert found("yes indeed it is") == found("") == found("yes indeed it is so and so on") == []
+
+
+def test_op3_against_brute_force(spark, tmp_path):
+    """The registered query over a fixture with reordered, cut, repeated and clean passages."""
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 60)))) for i in range(25)] + [(25, "so so so " * 15), (26, None)]
+    docs = []
+    for i in range(150):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 80))]
+        if rng.random() < 0.7:
+            t = rng.choice(items)[1] or ""
+            t = t.split()
+            cut = rng.randint(0, len(t))
+            w[rng.randint(0, len(w)) : 0] = rng.choice([t, t[cut:] + ["gap"] + t[:cut], t[:cut]])
+        docs.append((i, " ".join(w)))
+    docs += [(150, None), (151, ""), (3, items[4][1]), (152, "so " * 5000)]
+    spark.createDataFrame([(i, t, 1.0) for i, t in docs], "doc_id long, text string, covered double").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tiling, want = D.Tiling(), []
+    for d, text in docs:
+        if d == 152:
+            want.append((152, 25, 45, 45))
+            continue
+        p = (text or "").lower().split()
+        for k, item in items:
+            q = (item or "").lower().split()
+            tiles = brute_tiles(p, q, 5) if len(q) >= 5 else [(0, 0, len(q))] if q and p == q else []
+            covered = sum(t[2] for t in tiles)
+            if covered and covered >= tiling.need(len(q)):
+                want.append((d, k, len(q), covered))
+    got = D.op3_benchmark_decontamination(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id, r.item_words, r.covered) for r in got) == sorted(want) and len(want) > 40
 
 
 def test_contamination(spark):
