@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import crc_mod, slices
 
@@ -115,24 +116,31 @@ def has_letter(text: str | None) -> bool:
 def fit_language_model(train: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most: int = MOST_DOCUMENTS) -> EcocModel:
     """Fit on at most about ``per_language`` documents of each language and ``most`` in all.
 
-    The sample is drawn by a hash, so it is spread over all documents. Only feature vectors reach
-    the driver: ``most`` times 8 kB.
+    The sample is drawn by a hash of the text, so it is spread over all documents and doesn't depend
+    on how they are stored; equal texts are drawn once. Only feature vectors reach the driver: ``most``
+    times 8 kB, or one a language where there are more languages than ``most``. Null texts or languages
+    teach nothing.
     """
-    usable = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()}
+    usable = train.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return EcocModel([], codewords(0), np.zeros((DIMS + 1, 0), np.float32), np.ones(0))
+    # The rows with the smallest hashes of each language, whatever the order of the input is. The draw
+    # is cut near the number wanted before anything is ranked; equal texts have one hash and rank by nothing else.
     each = min(per_language, max(1, most // len(counts)))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1_000_000)) / 1_000_000
-    picked = usable.filter(draw < share[F.col("lang")])
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, (each + 4 * each**0.5 + 8) / n))])
+    draw = F.xxhash64("text", F.lit("draw"))
+    near = usable.withColumn("draw", draw).filter((F.pmod("draw", F.lit(1_000_000)) / 1_000_000 < share[F.col("lang")]) | (share[F.col("lang")] >= 1))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1_000_000)), "draw"))
+    best = near.select("lang", "draw").distinct().withColumn("rank", rank).filter(F.col("rank") <= each).select("lang", "draw")
+    picked = near.join(F.broadcast(best), ["lang", "draw"], "left_semi").dropDuplicates(["lang", "draw"]).select("text", "lang")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = [(features(t.encode("utf-8", "surrogatepass")).astype(np.float16).tobytes(), v) for t, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=["v", "lang"])
 
-    got = picked.mapInArrow(vectors, "v binary, lang string").limit(2 * most).collect()
+    got = picked.mapInArrow(vectors, "v binary, lang string").collect()
     x = np.stack([np.frombuffer(r.v, np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, DIMS), np.float32)
     return EcocModel.fit(x, [r.lang for r in got])
 

@@ -6,9 +6,11 @@ each through a matrix of its place; its products with the symbols' vectors, plus
 log-odds. A token that is no symbol of its own has the probability of its class times its share of
 the class, smoothed as in the base score. All probabilities of a context add up to one.
 
-Training runs on all training documents: every task goes through its own once, from a common start,
-and the parameters are averaged by rows, weighted by tokens. The normaliser of every context comes
-from one matrix product, so a token costs three look-ups.
+Training runs on all training documents, each in one of a few rounds that a hash of its text names.
+In a round every task goes through its own from a common start; then the parameters are averaged,
+each symbol's rows weighted by the tokens that a task had of it, and the next round starts there. The
+normaliser of every context comes from one matrix product, so a token costs three look-ups. How the
+input is dealt to tasks changes the model, so scores (not base scores) differ a little by file layout.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,9 @@ END = b""
 SYMBOLS, DIMS = 2048, 16
 #: Tokens whose counts every task holds; the counts of all others are joined.
 HEAD = 150_000
-NOISE, BATCH, RATE = 48, 2048, 0.08
+NOISE, BATCH, RATE = 48, 2048, 0.25
+#: Shares of the learning rate in the rounds; each training document is in one of them.
+ROUNDS = (1.0, 0.5)
 
 # Shape classes: the last byte (letter, digit, mark, other) and whether a byte is beyond ASCII.
 _LAST = np.full(256, 29, np.int64)
@@ -70,6 +75,7 @@ class LogBilinear:
         self.b = np.log(self.prior)
         self.squares = [np.full_like(x, 0.1) for x in (self.r, self.q, self.c, self.b)]
         self.rng = np.random.default_rng(seed + 1)
+        self.met = np.zeros((2, n + 1))  # tokens of each symbol, as context and as target
 
     def step(self, a: np.ndarray, b: np.ndarray, t: np.ndarray, noise: int = NOISE, rate: float = RATE) -> None:
         """One AdaGrad step for targets ``t`` after ``a``, ``b``; all share the noise samples."""
@@ -84,6 +90,8 @@ class LogBilinear:
         gk = 1 / (1 + np.exp(-np.clip(sk, -30, 30)))
         gh = gt[:, None] * qt + gk @ qk
         scale = np.float32(1 / len(t))
+        self.met[0] += np.bincount(a, minlength=m + 1) + np.bincount(b, minlength=m + 1)
+        self.met[1] += np.bincount(t, minlength=m + 1)
 
         def rows(index: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
             at = (index[:, None] * d + np.arange(d)).ravel()
@@ -110,6 +118,12 @@ class LogBilinear:
         mats = np.concatenate([self.c.reshape(-1, d), np.zeros((2 * d, d + 1))], 1)
         return np.vstack([own, mats])
 
+    def weights(self) -> np.ndarray:
+        """Of each row of to_rows(): for the context vector, and for the vector and bias. A symbol that
+        was never met has a tiny weight, the same in all tasks."""
+        every = self.met[1].sum()
+        return np.concatenate([self.met + 1e-6, np.full((2, 2 * self.r.shape[1]), every + 1e-6)], 1).T
+
     def from_rows(self, x: np.ndarray) -> None:
         n, d = self.r.shape
         x = x.astype(np.float32)
@@ -151,11 +165,53 @@ def count_tokens(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", symbols: int = SYMBOLS, head: int = HEAD) -> DataFrame:
+def _train(train: DataFrame, model: LogBilinear, index: Broadcast, rounds: tuple[float, ...]) -> None:
+    """Rounds over ``train``, whose texts are in column ``text``; ``model`` gets the result."""
+    width = 2 * DIMS + 1
+    which = F.pmod(F.xxhash64("text"), F.lit(len(rounds)))
+    for k, slower in enumerate(rounds):
+        start = train.sparkSession.sparkContext.broadcast((model.prior, model.to_rows()))
+
+        def fit(batches: Iterator[pa.RecordBatch], slower=slower, start=start) -> Iterator[pa.RecordBatch]:
+            prior, rows = start.value
+            learner, held, size = LogBilinear(prior), [], 0
+            learner.from_rows(rows.copy())
+            rng = np.random.default_rng(5)
+
+            def learn() -> None:
+                a, b, t = (np.concatenate(x) for x in zip(*held))
+                order = rng.permutation(len(t))
+                for i in range(0, len(t), BATCH):
+                    at = order[i : i + BATCH]
+                    learner.step(a[at], b[at], t[at], rate=RATE * slower)
+
+            for batch in slices(batches):
+                for raw in batch.column("text").to_pylist():
+                    s = index.value.of([*words(raw or b""), END])
+                    held.append((*_contexts(s, index.value.size), s))
+                    size += len(s)
+                    if size > 400_000:
+                        learn()
+                        held, size = [], 0
+            if held:
+                learn()
+            if learner.met.any():
+                rows, w = learner.to_rows(), learner.weights()
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(list(rows), pa.list_(pa.float64()))], names=["row", "wr", "wq", "v"])
+
+        trained = train.filter(which == k).select("text").mapInArrow(fit, "row int, wr double, wq double, v array<double>")
+        mean = [F.sum(F.col(w) * F.col("v")[i]) / F.sum(w) for i in range(width) for w in ["wr" if i < DIMS else "wq"]]
+        got = trained.groupBy("row").agg(F.array(*mean).alias("v")).collect()  # one row a symbol
+        if got:
+            model.from_rows(np.array([r.v for r in sorted(got, key=lambda r: r.row)]))
+        start.unpersist()
+
+
+def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", symbols: int = SYMBOLS, head: int = HEAD, rounds: tuple[float, ...] = ROUNDS) -> DataFrame:
     """``id, n_tokens, n_known, train_tokens, base_score, score`` of each row of ``docs``.
 
-    A null text counts as empty; it has one token, its end. Repeated rows count and are scored each.
-    Other columns are not read. With nothing to learn from, all tokens are unknown.
+    A null text counts as empty; it has one token, its end. Repeated rows count and are scored each;
+    very long texts are scored whole. Other columns are not read. With nothing to learn from, all tokens are unknown.
     """
     text = lambda df: df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     docs, train = text(docs), text(train)
@@ -193,44 +249,13 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     mass = np.concatenate([n_class, [known[t] for t in own]]) + 0.5
     model = LogBilinear(mass / mass.sum())
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, tokens, held = LogBilinear(model.prior), 0, []
-        rng = np.random.default_rng(5)
-
-        def learn() -> None:
-            a, b, t = (np.concatenate(x) for x in zip(*held))
-            order = rng.permutation(len(t))
-            for i in range(0, len(t), BATCH):
-                at = order[i : i + BATCH]
-                learner.step(a[at], b[at], t[at])
-
-        size = 0
-        for batch in slices(batches):
-            for raw in batch.column("text").to_pylist():
-                s = index.of([*words(raw or b""), END])
-                held.append((*_contexts(s, index.size), s))
-                size += len(s)
-                tokens += len(s)
-                if size > 400_000:
-                    learn()
-                    held, size = [], 0
-        if held:
-            learn()
-        rows = learner.to_rows()
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([tokens] * len(rows), pa.float64()), pa.array(list(rows), pa.list_(pa.float64()))], names=["row", "w", "v"])
-
-    width = 2 * DIMS + 1
-    trained = train.select("text").mapInArrow(fit, "row int, w double, v array<double>")
-    mean = trained.groupBy("row").agg(F.array(*[F.sum(F.col("w") * F.col("v")[i]) / F.sum("w") for i in range(width)]).alias("v")).collect()
-    if mean:  # one row a symbol
-        model.from_rows(np.array([r.v for r in sorted(mean, key=lambda r: r.row)]))
-    tables = model.tables()
+    share = docs.sparkSession.sparkContext.broadcast
+    _train(train, model, share(index), rounds)
+    scorer = share((index, {t: float(np.log10(c + 0.5)) for t, c in known.items()}, model.tables()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second, norm = tables
+        index, log_of, (first, second, norm) = scorer.value
         to10 = np.log10(np.e)
-        log_of = {t: float(np.log10(c + 0.5)) for t, c in known.items()}
         pair = pa.struct([("token", pa.binary()), ("tf", pa.int64())])
         for batch in slices(batches):
             n, n_head, base, lm, tails = [], [], [], [], []
