@@ -1,7 +1,9 @@
 """Words, tables and limits that results depend on."""
 
+#: Words that tell methods and platforms that measure a concentration.
 MIC_METHODS = ("broth dilution", "agar dilution", "microdilution", "broth microdilution")
 MIC_PLATFORMS = ("vitek", "phoenix", "sensititre", "microscan", "etest", "micronaut")
+#: The year from which "I" means another thing, and the classes of "I".
 I_REDEFINED = 2019
 I_CATEGORIES = (
     "I EUCAST >=2019 (susceptible, increased exposure)",
@@ -9,6 +11,7 @@ I_CATEGORIES = (
     "I CLSI (uncertain)",
     "I other/unknown standard",
 )
+#: Methods and subtypes of annotation hits.
 FULL_GENE_METHODS = ("EXACT", "ALLELE", "BLAST")
 DEGRADED_METHODS = ("PARTIAL", "PARTIAL_CONTIG_END", "INTERNAL_STOP", "HMM")
 POINT_SUBTYPES = ("POINT", "POINT_DISRUPT")
@@ -36,26 +39,26 @@ SYNONYMS = [
 ]
 
 #: Canonical names accepted as they are.
-CANONICAL = """
-ciprofloxacin; gentamicin; ampicillin; trimethoprim/sulfamethoxazole; cefotaxime;
-amikacin; tobramycin; kanamycin; neomycin; netilmicin; streptomycin; spectinomycin; apramycin;
-amoxicillin; amoxicillin/clavulanic acid; ampicillin/sulbactam; carbenicillin; piperacillin;
-piperacillin/tazobactam; ticarcillin; ticarcillin/clavulanic acid; temocillin; penicillin;
-cephalexin; cephalothin; cefazolin; cefoxitin; cefotetan; cefmetazole; cefuroxime; cefpodoxime;
-cefpodoxime/clavulanic acid; ceftibuten; cefixime; ceftriaxone; ceftazidime; ceftazidime/avibactam;
-ceftazidime/clavulanic acid; cefotaxime/clavulanic acid; cefepime; cefepime_taniborbactam; cefpirome;
-cefoperazone; cefoperazone/sulbactam; cefozopran; ceftaroline; ceftobiprole; ceftolozane/tazobactam;
-cefiderocol; ceftiofur; cefquinome; aztreonam; ertapenem; imipenem; imipenem/relebactam; meropenem;
-doripenem; sulbactam; nalidixic acid; norfloxacin; ofloxacin; levofloxacin; moxifloxacin; delafloxacin;
-gemifloxacin; colistin; polymyxin b; tetracycline; doxycycline; minocycline; oxytetracycline; tigecycline;
-azithromycin; erythromycin; clarithromycin; clindamycin; spiramycin; lincomycin; chloramphenicol;
-florfenicol; fosfomycin; nitrofurantoin; trimethoprim; sulfamethoxazole; sulfisoxazole; rifampin;
-rifaximin; daptomycin; linezolid; metronidazole; teicoplanin; vancomycin
-"""
+CANONICAL = [
+    "ciprofloxacin", "gentamicin", "ampicillin", "trimethoprim/sulfamethoxazole", "cefotaxime", "amikacin",
+    "tobramycin", "kanamycin", "neomycin", "netilmicin", "streptomycin", "spectinomycin", "apramycin", "amoxicillin",
+    "amoxicillin/clavulanic acid", "ampicillin/sulbactam", "carbenicillin", "piperacillin", "piperacillin/tazobactam",
+    "ticarcillin", "ticarcillin/clavulanic acid", "temocillin", "penicillin", "cephalexin", "cephalothin",
+    "cefazolin", "cefoxitin", "cefotetan", "cefmetazole", "cefuroxime", "cefpodoxime", "cefpodoxime/clavulanic acid",
+    "ceftibuten", "cefixime", "ceftriaxone", "ceftazidime", "ceftazidime/avibactam", "ceftazidime/clavulanic acid",
+    "cefotaxime/clavulanic acid", "cefepime", "cefepime_taniborbactam", "cefpirome", "cefoperazone",
+    "cefoperazone/sulbactam", "cefozopran", "ceftaroline", "ceftobiprole", "ceftolozane/tazobactam", "cefiderocol",
+    "ceftiofur", "cefquinome", "aztreonam", "ertapenem", "imipenem", "imipenem/relebactam", "meropenem", "doripenem",
+    "sulbactam", "nalidixic acid", "norfloxacin", "ofloxacin", "levofloxacin", "moxifloxacin", "delafloxacin",
+    "gemifloxacin", "colistin", "polymyxin b", "tetracycline", "doxycycline", "minocycline", "oxytetracycline",
+    "tigecycline", "azithromycin", "erythromycin", "clarithromycin", "clindamycin", "spiramycin", "lincomycin",
+    "chloramphenicol", "florfenicol", "fosfomycin", "nitrofurantoin", "trimethoprim", "sulfamethoxazole",
+    "sulfisoxazole", "rifampin", "rifaximin", "daptomycin", "linezolid", "metronidazole", "teicoplanin", "vancomycin",
+]
 
 
 def canonical_names() -> list[str]:
-    return sorted({x.strip() for x in CANONICAL.replace("\n", " ").split(";")})
+    return sorted(CANONICAL)
 
 
 #: Drug, rule, subtype, symbol, class and subclass patterns, confidence, component.
@@ -106,6 +109,7 @@ DRUG_ALIASES = {
     "trimethoprim_sulfamethoxazole": "trimethoprim-sulfamethoxazole",
 }
 
+#: K-mers of a locus, assembly limits, error rates of bands, similarity limits, shares of splits.
 KMER, KMERS_PER_LOCUS, CALLABLE_SHARE, CALLABLE_SHARE_DEMO = 31, 48, 0.75, 0.30
 QC_BASES, QC_CONTIGS, QC_CONTIGS_LOOSE = (4_000_000, 6_000_000), 500, 800
 ALPHA_S, ALPHA_R, DISTANCE_QUANTILE = 0.02, 0.10, 0.99

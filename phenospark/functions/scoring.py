@@ -80,6 +80,41 @@ def sentence(prediction: Column, p: Column, category: Column, markers: Column) -
     )
 
 
+def gate_text(status: Column, missing: Column) -> Column:
+    """Why a target gate passed or not, from its status and the loci that weren't seen."""
+    loci = F.array_join(missing, ", ")
+    return (
+        F.when(status == "pass", "All target loci were seen in the assembly.")
+        .when((status == "not_callable") & (F.size(missing) > 0), F.concat(F.lit("Not callable: no evidence for "), loci, F.lit(".")))
+        .when(status == "not_callable", "Not callable: the assembly is not good enough.")
+        .when(status == "absence_of_evidence", "No locus is defined for this drug; silence is no evidence.")
+        .otherwise("The gate was not run.")
+    )
+
+
+def no_call_text(reason: Column, p: Column) -> Column:
+    """Why no call was made; null for a call."""
+    at = F.format_string(" (P(fail)=%.3f)", p)
+    return (
+        F.when(reason == "missing_drug_target", "No call: the drug's target was not found.")
+        .when(reason == "uncertain_probability_band", F.concat(F.lit("No call: the probability lies in the uncertain band"), at, F.lit(".")))
+        .when(reason == "conformal_band", F.concat(F.lit("No call: neither class or both are plausible"), at, F.lit(".")))
+        .when(reason == "ani_ood", "No call: the genome is too far from all training genomes.")
+        .when(reason == "conformal_band+ani_ood", F.concat(F.lit("No call: the genome is far from training genomes and neither class or both are plausible"), at, F.lit(".")))
+    )
+
+
+def node_label(text: Column, most: int = 24) -> Column:
+    """A label of at most ``most`` characters; a longer one ends with an ellipsis."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…")))
+
+
+def node_class(status: Column, verdict: Column) -> Column:
+    """How a node of the tree is drawn: by its status until it is done, then by its verdict."""
+    return F.when(status.isin("failed", "error"), "failed").when(~status.isin("done", "complete"), "pending").when(verdict == FAIL, "fail").when(verdict == WORK, "work").otherwise("nocall")
+
+
 def skip_reason(labelled: Column, resistant: Column, susceptible: Column, with_features: Column) -> Column:
     """Why a drug can't be trained; the first that holds; null if it can."""
     return (

@@ -78,10 +78,12 @@ def class_counts(labels: DataFrame, entity: str, by: str, label: str = "label")
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group; ``order`` must say which that is."""
-    cols = rows.columns
-    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter("__rn = 1").select(*cols)
+    """The first row of each group by ``order``, columns in rising order, which must say which that is.
+    One aggregate that tasks combine first, so a group of any size is no burden."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__x")).select(*[c if c in keys else F.col(f"__x.{c}").alias(c) for c in rows.columns])
 
 
 def score_groups(rows: DataFrame, group: str, sub: str, entity: str, label: str, least_each: int, least_entities: int) -> DataFrame:
@@ -90,3 +92,21 @@ def score_groups(rows: DataFrame, group: str, sub: str, entity: str, label: str,
     good = ((F.col("r") >= least_each) & (F.col("s") >= least_each) & (F.col("e") >= least_entities)).cast("int")
     total = rows.groupBy(group).agg(F.countDistinct(entity).alias("n_entities"))
     return per.groupBy(group).agg(F.sum(good).alias("n_good")).join(total, group)
+
+
+def rank_groups(rows: DataFrame, group: str, sub: str, entity: str, label: str, priority: list[str], least_each: int = 50, least_entities: int = 200, size: tuple[int, int] = (0, 1 << 62)) -> DataFrame:
+    """``group, n_good, priority_rank, size_penalty, n_entities, good``, best first.
+
+    ``good`` are the subgroups with enough rows of both classes and enough entities, those with most
+    entities first. Groups are ordered by the number of good subgroups, by their place in
+    ``priority`` (999 if in none), by how far their number of entities is off ``size``, by entities, by name.
+    """
+    per = rows.groupBy(group, sub).agg(F.sum((F.col(label) == 1).cast("int")).alias("r"), F.sum((F.col(label) == 0).cast("int")).alias("s"), F.countDistinct(entity).alias("e"))
+    good = (F.col("r") >= least_each) & (F.col("s") >= least_each) & (F.col("e") >= least_entities)
+    listed = F.sort_array(F.collect_list(F.when(good, F.struct((-F.col("e")).alias("k"), F.col(sub).alias("name")))))
+    own = per.groupBy(group).agg(F.transform(listed, lambda x: x["name"]).alias("good"))
+    n = rows.groupBy(group).agg(F.countDistinct(entity).alias("n_entities"))
+    at = F.array_position(F.array(*[F.lit(x) for x in priority]).cast("array<string>"), F.col(group)) - 1
+    off = F.greatest(F.lit(size[0]) - F.col("n_entities"), F.col("n_entities") - F.lit(size[1]), F.lit(0))
+    out = own.join(n, group).select(group, F.size("good").alias("n_good"), F.when(at >= 0, at).otherwise(999).cast("int").alias("priority_rank"), off.cast("long").alias("size_penalty"), "n_entities", "good")
+    return out.orderBy(F.desc("n_good"), "priority_rank", "size_penalty", F.desc("n_entities"), group)

@@ -99,26 +99,136 @@ def with_groups(df: DataFrame, split: str, seen: tuple[str, ...] = ("train", "ca
     return df.withColumn("__m", F.explode(member)).select("*", "__m.kind", "__m.name").drop("__m")
 
 
-def bootstrap_ci(df: DataFrame, cluster: str, y: str = "y", p: str = "p", threshold: float = 0.5, draws: int = 1000, seed: int = 0) -> tuple[float, float] | None:
-    """95 % interval of balanced accuracy over resampled clusters.
+def bootstrap_ci(df: DataFrame, cluster: str, y: str = "y", p: str = "p", threshold: float = 0.5, draws: int = 1000, seed: int = 0, metric: str = "balanced_accuracy") -> tuple[float, float] | None:
+    """95 % interval of ``balanced_accuracy``, ``brier`` or ``auroc`` over resampled clusters; None
+    where it can't be told: fewer than two clusters, one class, or fewer than 20 draws with both.
 
-    Clusters are reduced to four counts first, and only those reach the driver.
+    A cluster is reduced to a few sums first, for the area under the curve to its counts of positives
+    and negatives at each distinct score; only those reach the driver.
     """
     hit = F.col(p) >= threshold
     n = lambda c: F.sum(c.cast("int"))
-    per = df.groupBy(cluster).agg(n((F.col(y) == 1) & hit).alias("tp"), n(F.col(y) == 1).alias("np"), n((F.col(y) == 0) & ~hit).alias("tn"), n(F.col(y) == 0).alias("nn"))
-    c = np.array([tuple(r)[1:] for r in per.orderBy(cluster).collect()], float).reshape(-1, 4)
-    if len(c) < 2 or not c[:, 1].sum() or not c[:, 3].sum():
-        return None
     rng = np.random.default_rng(seed)
-    s = np.stack([c[rng.integers(0, len(c), len(c))].sum(0) for _ in range(draws)])
-    s = s[(s[:, 1] > 0) & (s[:, 3] > 0)]
-    if len(s) < 20:
+    if metric == "auroc":
+        per = df.groupBy(F.col(cluster).alias("k"), F.col(p).alias("p")).agg(n(F.col(y) == 1).alias("pos"), n(F.col(y) == 0).alias("neg")).collect()
+        names = sorted({r.k for r in per})
+        scores = np.unique([r.p for r in per])
+        at = {k: i for i, k in enumerate(names)}
+        row, column = np.array([at[r.k] for r in per], int), np.searchsorted(scores, [r.p for r in per])
+        pos, neg = np.array([r.pos for r in per], float), np.array([r.neg for r in per], float)
+
+        def one(times: np.ndarray) -> float | None:
+            ps, ns = (np.bincount(column, x * times[row], len(scores)) for x in (pos, neg))
+            below = np.cumsum(ns) - ns
+            return float((ps * (below + ns / 2)).sum() / (ps.sum() * ns.sum())) if ps.sum() and ns.sum() else None
+
+        size, both = len(names), pos.sum() > 0 and neg.sum() > 0
+    else:
+        square = F.sum(F.pow(F.col(p) - F.col(y), F.lit(2)))
+        per = df.groupBy(cluster).agg(n((F.col(y) == 1) & hit).alias("tp"), n(F.col(y) == 1).alias("np"), n((F.col(y) == 0) & ~hit).alias("tn"), n(F.col(y) == 0).alias("nn"), square.alias("sq"))
+        c = np.array([tuple(r)[1:] for r in per.orderBy(cluster).collect()], float).reshape(-1, 5)
+
+        def one(times: np.ndarray) -> float | None:
+            tp, n1, tn, n0, sq = times @ c
+            if not n1 or not n0:
+                return None
+            return sq / (n1 + n0) if metric == "brier" else (tp / n1 + tn / n0) / 2
+
+        size, both = len(c), len(c) and c[:, 1].sum() > 0 and c[:, 3].sum() > 0
+    if metric not in ("balanced_accuracy", "brier", "auroc"):
+        raise ValueError(metric)
+    if size < 2 or not both:
+        return None
+    found = [one(np.bincount(rng.integers(0, size, size), minlength=size).astype(float)) for _ in range(draws)]
+    found = [x for x in found if x is not None]
+    if len(found) < 20:
         return None
-    lo, hi = np.percentile((s[:, 0] / s[:, 1] + s[:, 2] / s[:, 3]) / 2, [2.5, 97.5])
+    lo, hi = np.percentile(found, [2.5, 97.5])
     return float(lo), float(hi)
 
 
+SEEN = ("train", "calibration", "test")
+
+
+def evaluation_rows(probabilities: DataFrame, labels: DataFrame, splits: DataFrame, no_calls: DataFrame | None = None, drug: str = "drug", entity: str = "entity") -> DataFrame:
+    """``drug, entity, p, y, no_call, cluster, split``: what has both a probability and a label.
+
+    An entity without a split keeps a null one and counts in no split; a missing no-call is a call.
+    """
+    keys = [drug, entity]
+    rows = probabilities.select(*keys, "p").join(labels.select(*keys, "y"), keys)
+    if no_calls is not None:
+        rows = rows.join(no_calls.select(*keys, "no_call"), keys, "left")
+    else:
+        rows = rows.withColumn("no_call", F.lit(False))
+    rows = rows.join(splits.select(entity, "cluster", "split"), entity, "left").filter("p is not null and y is not null")
+    return rows.withColumn("no_call", F.coalesce("no_call", F.lit(False)))
+
+
+def evaluate(rows: DataFrame, drug: str = "drug", threshold: float = 0.5) -> DataFrame:
+    """A row for each drug and split and for each drug and group of splits (seen, held out): counts,
+    recalls, balanced accuracy, F1, Brier score, areas, no-call rate, and all of it again for what
+    was called. Null where a figure is undefined; splits without rows have no row."""
+    by = [drug, "kind", "name"]
+    member = with_groups(rows.filter("split is not null"), "split", SEEN)
+    # A held-out group that is also a split of that name stays in both.
+    member = member.withColumn("name", F.when((F.col("kind") == "group") & (F.col("name") == "heldout"), "heldout_group").otherwise(F.col("name")))
+    out = confusion(member, by, threshold=threshold)
+    for part in (auroc(member, by), average_precision(member, by), no_call_metrics(member, by, "no_call", threshold=threshold)):
+        out = out.join(part, by, "left")
+    called = confusion(member.filter(~F.col("no_call")), by, threshold=threshold)
+    return out.join(called.select(*by, *[F.col(c).alias(f"{c}_called") for c in called.columns if c not in by]), by, "left")
+
+
+def evaluate_all(probabilities: DataFrame, labels: DataFrame, splits: DataFrame, no_calls: DataFrame | None = None, drug: str = "drug", entity: str = "entity", draws: int = 1000, seed: int = 0, threshold: float = 0.5) -> dict:
+    """Everything about every drug as one nested dict, ready for JSON: for each split and group the
+    metrics, an interval over clusters, the reliability table and the risk-coverage curve."""
+    rows = evaluation_rows(probabilities, labels, splits, no_calls, drug, entity).cache()
+    out: dict = {r[drug]: {"n_labeled": r["count"], "splits": {}, "groups": {}} for r in rows.groupBy(drug).count().collect()}
+    try:
+        for r in evaluate(rows, drug, threshold).collect():  # a row a drug and split
+            names = SEEN if (r["kind"], r["name"]) == ("group", "seen") else (r["name"],)
+            part = rows.filter((F.col(drug) == r[drug]) & F.col("split").isin(*names))
+            block = {k: v for k, v in r.asDict().items() if k not in (drug, "kind", "name")}
+            for metric in ("balanced_accuracy", "auroc", "brier"):
+                block[f"{metric}_ci95_over_clusters"] = bootstrap_ci(part, "cluster", draws=draws, seed=seed, threshold=threshold, metric=metric)
+            block["reliability"] = [x.asDict() for x in reliability(part, []).orderBy("bin").collect()]
+            block["risk_coverage"] = [x.asDict() for x in risk_coverage(part, entity, threshold=threshold).orderBy("point").collect()]
+            out[r[drug]]["splits" if r["kind"] == "split" else "groups"][r["name"]] = block
+    finally:
+        rows.unpersist()
+    return out
+
+
+def benchmark_run(status: DataFrame) -> tuple[DataFrame, int]:
+    """Summary of benchmark_status() and the run's exit code: means of what isn't null, the worst
+    status of all drugs, 1 if any is blocked or failed. No drugs at all are blocked too."""
+    worst = F.when(F.col("n_drugs") == 0, "blocked").when(F.col("blocked") > 0, "blocked").when(F.col("fail") > 0, "fail").when(F.col("warn") > 0, "warn").otherwise("pass")
+    n = lambda s: F.count(F.when(F.col("status") == s, 1)).alias(s)
+    table = status.agg(F.count(F.lit(1)).alias("n_drugs"), F.avg("balanced_accuracy").alias("mean_balanced_accuracy"), *[n(s) for s in ("pass", "warn", "fail", "blocked")]).withColumn("status", worst)
+    return table, int(table.first().status in ("blocked", "fail"))
+
+
+def evaluation_report(per_drug: DataFrame, skipped: DataFrame, n_entities: int, least_entities: int = 100) -> DataFrame:
+    """A row per drug: trained ones with ``passes_eval``, ``quality_status`` and ``issues``, others with
+    why they were left out.
+
+    ``per_drug``: drug, n_train, train_r, n_test, test_r, test_s, recall_resistant. ``skipped``: drug,
+    skip_reason.
+    """
+    from phenospark.functions import scoring
+
+    c = F.col
+    enough = (c("test_r") >= 1) & (c("test_s") >= 1) & (c("n_test") >= 5)
+    blind = F.coalesce((c("recall_resistant") == 0.0) & (c("test_r") > 0), F.lit(False))
+    issues = scoring.quality_issues(c("n_test"), c("test_r"), c("test_s"), c("train_r"), c("recall_resistant"))
+    done = per_drug.select("drug", F.lit("trained").alias("training_status"), (enough & ~blind).alias("passes_eval"), issues.alias("issues"), F.lit(None).cast("string").alias("skip_reason"))
+    left = skipped.select("drug", F.lit("skipped").alias("training_status"), F.lit(False).alias("passes_eval"), F.array("skip_reason").alias("issues"), F.coalesce("skip_reason", F.lit("unknown")).alias("skip_reason"))
+    quality = F.when(c("training_status") == "skipped", F.lit(None).cast("string")).when(F.size("issues") > 0, "warn").otherwise("pass")
+    cohort = F.lit("few_entities" if n_entities < least_entities else None).cast("string")
+    return done.unionByName(left).withColumn("quality_status", quality).withColumn("cohort_issue", cohort)
+
+
 def compare_runs(now: DataFrame, before: DataFrame, keys: list[str], value: str, eps: float = 0.01) -> DataFrame:
     """Full join of two runs with ``delta`` and a verdict."""
     j = now.select(*keys, F.col(value).alias("now")).join(before.select(*keys, F.col(value).alias("before")), keys, "full")

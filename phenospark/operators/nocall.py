@@ -54,3 +54,28 @@ def gate_override(p: Column, q_s: Column, q_r: Column, mask: Column, status: Col
     """Struct ``mask, flipped``: a susceptible call whose target can't be seen becomes a no-call."""
     flip = (prediction_set(p, q_s, q_r) == 1) & ~mask & (status == "not_callable")
     return F.struct((mask | flip).alias("mask"), flip.alias("flipped"))
+
+
+BAND_FIELDS = ("q_s", "q_r", "low", "high", "alpha_s", "alpha_r", "distance_threshold")
+
+
+def save_bands(bands: DataFrame, path: str, key: str = "drug") -> None:
+    """Bands (and distance thresholds) as JSON lines, one a drug; what is there is replaced."""
+    bands.select(key, *[F.col(c).cast("double").alias(c) if c in bands.columns else F.lit(None).cast("double").alias(c) for c in BAND_FIELDS]).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def load_bands(spark, path: str, key: str = "drug") -> DataFrame:
+    """What save_bands() wrote, number by number."""
+    return spark.read.schema(f"{key} string, " + ", ".join(f"{c} double" for c in BAND_FIELDS)).json(path)
+
+
+def gate_envelope(status: DataFrame, drug: str = "drug", genome: str = "genome_id") -> DataFrame:
+    """``drug, value``: for each drug a JSON object from genome to gate status."""
+    from phenospark.sources.writers import as_nested_json
+
+    return as_nested_json(status, drug, genome, ["status"]).withColumnRenamed("key", drug)
+
+
+def read_envelope(lines: DataFrame, drug: str = "drug", genome: str = "genome_id") -> DataFrame:
+    """``drug, genome_id, status`` from gate_envelope()."""
+    return lines.select(drug, F.explode(F.from_json("value", "map<string,struct<status:string>>")).alias(genome, "x")).select(drug, genome, "x.status")

@@ -236,6 +236,41 @@ def minhash_signatures(rows: DataFrame, id_col: str, tokens: str, seeds: list[in
     return picked.mapInArrow(run, f"id {kind}, signature array<long>").withColumnRenamed("id", id_col)
 
 
+def genome_signatures(contigs: DataFrame, genome: str, order: str, seq: str, seeds: list[int], k: int = 31, most: int = 250_000) -> DataFrame:
+    """``genome, signature``: minima over the k-mers of A, C, G and T of a genome's records, in their
+    order up to and with the one that brings the number of k-mers to ``most`` or more.
+
+    How many k-mers a record has depends on its length alone, so which records count is one running
+    sum of lengths; the k-mers themselves stay in the task that has the record. Null for a genome
+    without a k-mer.
+    """
+    from pyspark.sql.window import Window
+
+    n = F.greatest(F.length(seq) - (k - 1), F.lit(0))
+    before = F.sum(n).over(Window.partitionBy(genome).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    counted = contigs.select(F.col(genome).alias("g"), F.upper(F.col(seq)).alias("s"), F.coalesce(before, F.lit(0)).alias("b")).filter(F.col("b") < most)
+    table = np.array(seeds, np.int64)
+    kind = dict(contigs.dtypes)[genome]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for s in b.column(1).to_pylist():
+                best, seen = np.full(len(table), np.iinfo(np.int64).max), set()
+                for i in range(len(s or "") - k + 1):
+                    w = s[i : i + k]
+                    if w not in seen and not w.strip("ACGT"):
+                        seen.add(w)
+                        best = np.minimum(best, int(hashlib.md5(w.encode()).hexdigest()[:15], 16) ^ table)
+                out.append(best if seen else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["g", "m"])
+
+    parts = counted.select("g", "s").mapInArrow(run, f"g {kind}, m array<long>")
+    minima = [F.min(F.col("m")[i]) for i in range(len(seeds))]
+    found = parts.groupBy("g").agg(F.count("m").alias("n"), F.array(*minima).alias("m"))
+    return found.select(F.col("g").alias(genome), F.when(F.col("n") > 0, F.col("m")).alias("signature"))
+
+
 def minhash_pairs(signatures: DataFrame, id_col: str, signature: str, bands: int, rows: int) -> DataFrame:
     """Candidate pairs ``a, b`` that agree in a whole band of their signatures."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(F.col(signature), i * rows + 1, rows)))

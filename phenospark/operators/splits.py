@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,25 +16,77 @@ def heldout_clusters(clusters: DataFrame, cluster: str, n: int = K.HELDOUT_CLUST
     return clusters.groupBy(cluster).agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), cluster).limit(n)
 
 
-def greedy_assign(sizes: list[tuple], shares: dict[str, float] | None = None) -> dict:
-    """Cluster -> split: the largest cluster first, to the split that is furthest below its share."""
+def greedy_assign(sizes: list[tuple], shares: dict[str, float] | None = None, have: dict[str, float] | None = None, total: float | None = None, seed: int | None = None) -> dict:
+    """Cluster -> split: the largest cluster first, to the split that is furthest below its share.
+
+    Deficits count relative to the share. Splits that are equally far below come in their order, or
+    with a ``seed`` in one drawn anew for each cluster. ``have`` are sizes that the splits hold already.
+    """
     shares = shares or K.SPLIT_SHARES
-    total, have, out = sum(n for _, n in sizes), dict.fromkeys(shares, 0), {}
+    have = dict.fromkeys(shares, 0.0) | (have or {})
+    total = sum(n for _, n in sizes) if total is None else total
+    rng, out = np.random.default_rng(seed), {}
     for c, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        best = max(shares, key=lambda s: ((shares[s] * total - have[s]) / shares[s], -list(shares).index(s)))
+        jitter = rng.random(len(shares)) if seed is not None else -np.arange(len(shares))
+        best = max(enumerate(shares), key=lambda x: ((shares[x[1]] * total - have[x[1]]) / shares[x[1]], jitter[x[0]]))[1]
         out[c] = best
         have[best] += n
     return out
 
 
-def stratified_assign(clusters: list[tuple], shares: dict[str, float] | None = None) -> dict:
-    """Cluster -> split from (cluster, size, majority label or None): the greedy rule within each class."""
-    out = {}
-    for label in sorted({x[2] for x in clusters}, key=str):
-        out |= greedy_assign([(c, n) for c, n, y in clusters if y == label], shares)
+def stratified_folds(clusters: list[tuple], k: int, seed: int = 0) -> dict:
+    """Cluster -> fold, from (cluster, majority label): each class is dealt round in an order by chance,
+    starting where the class before stopped, so folds have equally many clusters of each class, but
+    for one, and equally many in all."""
+    rng, out, at = np.random.default_rng(seed), {}, 0
+    for label in sorted({y for _, y in clusters}):
+        names = sorted(c for c, y in clusters if y == label)
+        for c in rng.permutation(len(names)):
+            out[names[c]] = at % k
+            at += 1
+    return out
+
+
+def peel_folds(fold_sizes: dict[int, int], shares: dict[str, float]) -> dict[int, str]:
+    """Fold -> split: the smallest split takes the smallest folds until it has its share, and so on;
+    the largest split takes what is left, however little the others left."""
+    total, left, out = sum(fold_sizes.values()), sorted(fold_sizes, key=lambda f: (fold_sizes[f], f)), {}
+    names = sorted(shares, key=lambda s: (shares[s], s))
+    for i, name in enumerate(names):
+        held = 0
+        while left and (i == len(names) - 1 or held < shares[name] * total and len(left) > len(names) - 1 - i):
+            f = left.pop(0)
+            out[f] = name
+            held += fold_sizes[f]
     return out
 
 
+def stratified_assign(clusters: list[tuple], shares: dict[str, float] | None = None, seed: int = 0) -> dict:
+    """Cluster -> split from (cluster, size, majority label or None).
+
+    Clusters with a label are dealt to folds by label, as many as the smallest share needs, and folds
+    to splits. Those without one go where sizes fall short. With too few labelled clusters or one class
+    all go by size.
+    """
+    shares = shares or K.SPLIT_SHARES
+    known = [x for x in clusters if x[2] is not None]
+    classes = [sum(y == v for *_, y in known) for v in {y for *_, y in known}]
+    k = max(2, round(1 / min(shares.values())))
+    if len(known) < k or len(classes) != 2 or min(classes) < k:
+        return greedy_assign([(c, n) for c, n, _ in clusters], shares, seed=seed)
+    fold = stratified_folds([(c, y) for c, _, y in known], k, seed)
+    sizes = dict.fromkeys(range(k), 0)
+    for c, n, _ in known:
+        sizes[fold[c]] += n
+    split_of = peel_folds(sizes, shares)
+    out = {c: split_of[f] for c, f in fold.items()}
+    have = dict.fromkeys(shares, 0.0)
+    for c, n, _ in known:
+        have[out[c]] += n
+    rest = [(c, n) for c, n, y in clusters if y is None]
+    return out | greedy_assign(rest, shares, have, sum(sizes.values()), seed + 1)
+
+
 def assign_splits(clusters: DataFrame, node: str, cluster: str, labels: DataFrame | None = None, label: str = "y", n_heldout: int = K.HELDOUT_CLUSTERS, shares: dict[str, float] | None = None, most_clusters: int = 1_000_000) -> DataFrame:
     """``node, cluster, split``: the largest clusters are held out, the others are split whole.
 

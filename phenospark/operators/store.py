@@ -50,3 +50,33 @@ def layout(tree_rows: DataFrame, group: str, order: list[Column], size: Column,
     w = Window.partitionBy(group).orderBy(*order)
     height = F.greatest(size, F.lit(1)) * unit
     return tree_rows.withColumn("height", height).withColumn("top", F.coalesce(F.sum(height).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def with_parent(children: DataFrame, parents: DataFrame, child_parent: str, parent_key: str, fields: list[str]) -> DataFrame:
+    """Children with fields of their parent, null where it is unknown. Keys of parents are unique."""
+    found = parents.select(F.col(parent_key).alias(child_parent), *fields)
+    return children.join(found, child_parent, "left")
+
+
+def attach(documents: DataFrame, reports: DataFrame, key: str, newest: str, field: str = "report") -> DataFrame:
+    """Documents with the newest report that names them under ``field``, and ``n_reports``."""
+    rest = [c for c in reports.columns if c != key]
+    last = reports.groupBy(key).agg(F.max_by(F.struct(*rest), newest).alias(field), F.count(F.lit(1)).alias("n_reports"))
+    return documents.join(last, key, "left").withColumn("n_reports", F.coalesce("n_reports", F.lit(0)))
+
+
+def history(events: DataFrame, key: str, order: str, fields: list[str], most: int = 20) -> DataFrame:
+    """The newest ``most`` entries of each key as an array, newest first; equal times by the fields. The
+    limit on the rank is applied in the tasks before the shuffle, however many entries a key has."""
+    entry = F.struct(F.col(order), *fields)
+    newest = Window.partitionBy(key).orderBy(F.desc("e"))
+    ranked = events.select(F.col(key), entry.alias("e")).withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= most)
+    return ranked.groupBy(key).agg(F.sort_array(F.collect_list("e"), asc=False).alias("history"))
+
+
+def stand_in_report(rows: DataFrame, key: str, drug: str, verdict: str) -> DataFrame:
+    """A report from verdicts alone, for where no other is at hand: one sentence and counts."""
+    n = lambda v: F.count(F.when(F.col(verdict) == v, 1))
+    g = rows.groupBy(key).agg(n("likely_to_fail").alias("n_fail"), n("likely_to_work").alias("n_work"), n("no_call").alias("n_no_call"), F.sort_array(F.collect_set(F.when(F.col(verdict) == "likely_to_work", F.col(drug)))).alias("work"))
+    text = F.concat(F.format_string("%d likely to fail, %d likely to work, %d without a call.", "n_fail", "n_work", "n_no_call"), F.when(F.size("work") > 0, F.concat(F.lit(" May work: "), F.array_join("work", ", "), F.lit("."))).otherwise(F.lit("")))
+    return g.withColumn("summary", text)

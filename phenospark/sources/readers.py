@@ -58,6 +58,52 @@ def annotation_hits(spark: SparkSession, path: str | list[str], required: list[s
     return require(df, HIT_COLUMNS if required is None else required)
 
 
+def checked_hits(spark: SparkSession, path: str | list[str], required: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, files): annotation hits of the files whose header has all required columns, and one row
+    per file: ``path, genome_id, ok, missing, rows``.
+
+    Files are told apart line by line, so one with another header spoils nothing but itself. The
+    symbol may be called 'Gene symbol'; a hit whose symbol and class are both missing ('', 'na') is
+    left out of the hits. Columns beyond the known ones are not read.
+    """
+    wanted = HIT_COLUMNS if required is None else required
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("value").alias("raw"))
+    fields = F.transform(F.split("raw", "\t"), lambda x: F.trim(F.regexp_replace(x, "\r", "")))
+    heads = lines.filter((F.col("start") == 0)).groupBy("path").agg(F.min_by(fields, "at").alias("head"), F.min("at").alias("first"))
+    renamed = F.transform("head", lambda x: F.when((x == "Gene symbol") & ~F.array_contains("head", "Element symbol"), "Element symbol").otherwise(x))
+    heads = heads.withColumn("head", renamed).withColumn("missing", F.array_except(F.array(*[F.lit(x) for x in wanted]), "head"))
+    body = lines.join(heads, "path").filter((F.col("at") != F.col("first")) & (F.trim("raw") != ""))
+    counted = body.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+    files = heads.join(counted, "path", "left").select("path", stem(F.col("path"), "tsv").alias("genome_id"), (F.size("missing") == 0).alias("ok"), "missing", F.coalesce("rows", F.lit(0)).alias("rows"))
+    good = body.filter(F.size("missing") == 0).withColumn("x", fields)
+    at = lambda c: F.coalesce(F.try_element_at("x", F.nullif(F.array_position("head", c), F.lit(0)).cast("int")), F.lit(""))
+    hits = good.select(stem(F.col("path"), "tsv").alias("genome_id"), *[at(c).alias(c) for c in dict.fromkeys([*HIT_COLUMNS, *wanted])])
+    none = lambda c: F.lower(F.col(f"`{c}`")).isin("", "na")
+    return hits.filter(~(none("Element symbol") & none("Class"))), files
+
+
+def first_ids(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """Distinct ids that aren't blank, sorted; the first ``n`` of them if asked for."""
+    ids = df.select(F.trim(F.col(f"`{column}`").cast("string")).alias(column)).filter(F.col(column) != "").distinct().orderBy(column)
+    return ids.limit(n) if n is not None else ids
+
+
+def split_table(spark: SparkSession, path: str) -> DataFrame:
+    """``genome_id, split`` of a TSV; other columns are left out."""
+    return require(text_table(spark, path, sep="\t"), ["genome_id", "split"]).select("genome_id", "split")
+
+
+def drug_targets(spark: SparkSession, path: str) -> DataFrame:
+    """``drug, target``: a row for each target of a JSON object from drug to a list of names."""
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("drug", "targets")).select("drug", F.explode("targets").alias("target"))
+
+
+def feature_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(long table, axis) that writers.feature_store() wrote."""
+    return spark.read.parquet(f"{path}/long"), spark.read.parquet(f"{path}/axis")
+
+
 def fasta(spark: SparkSession, path: str | list[str], ext: str = "fna") -> DataFrame:
     """``genome_id, contig, seq``: one row per record, however long the file is; the record mark is the line separator."""
     raw = spark.read.option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("path"))
