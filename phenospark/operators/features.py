@@ -41,6 +41,12 @@ def hit_counts(hits: DataFrame, columns: list[str]) -> DataFrame:
     return hits.select(F.explode(pairs).alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def hits_by_entity(entities: DataFrame, hits: DataFrame, entity: str, kind: str, kinds: list[str]) -> DataFrame:
+    """A row for each entity, those without a hit too: ``n_hits`` and ``n_`` of each kind."""
+    g = hits.groupBy(entity).agg(F.count(F.lit(1)).alias("n_hits"), *[F.count(F.when(F.col(kind) == k, 1)).alias(f"n_{k}") for k in kinds])
+    return entities.join(g, entity, "left").fillna(0, subset=["n_hits", *[f"n_{k}" for k in kinds]])
+
+
 def top_weighted(long: DataFrame, weights: DataFrame, entity: str, feature: str, k: int, positive_after: bool = False) -> DataFrame:
     """The k features of each entity with the largest absolute weight (ties by name).
 

@@ -177,7 +177,7 @@ def evaluate(rows: DataFrame, drug: str = "drug", threshold: float = 0.5) -> Dat
     for part in (auroc(member, by), average_precision(member, by), no_call_metrics(member, by, "no_call", threshold=threshold)):
         out = out.join(part, by, "left")
     called = confusion(member.filter(~F.col("no_call")), by, threshold=threshold)
-    return out.join(called.select(*by, *[F.col(c).alias(f"{c}_called") for c in called.columns if c not in by]), by, "left")
+    return out.join(called.select(*by, *[F.col(c).alias(f"{c}_called") for c in called.columns if c not in (*by, "n")]), by, "left")
 
 
 def evaluate_all(probabilities: DataFrame, labels: DataFrame, splits: DataFrame, no_calls: DataFrame | None = None, drug: str = "drug", entity: str = "entity", draws: int = 1000, seed: int = 0, threshold: float = 0.5) -> dict:

@@ -1036,3 +1036,6 @@ def linkage_clusters(spark, d):
     # Parts of different components are beyond the edges' distance, so no average below it joins them.
     roots = graph.connected_components(edges(spark, d), "a", "b", v, "node")
     return similarity.linkage_vectors(v.join(roots, "node"), "root", "node", "embedding", cut=0.62)
+
+
+from . import extended  # noqa: E402, F401  it registers more queries with what is above

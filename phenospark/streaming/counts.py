@@ -31,6 +31,14 @@ def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataF
     return spark.table(table)
 
 
+def progress(done: DataFrame, time: str, total: int) -> DataFrame:
+    """One row: how many are ``done`` of ``total``, ``per_hour`` and ``hours_left``; null rates for no time passed."""
+    hours = (F.unix_timestamp(F.max(time)) - F.unix_timestamp(F.min(time))) / 3600.0
+    g = done.agg(F.count(F.lit(1)).alias("done"), hours.alias("__h"))
+    rate = F.try_divide("done", "__h")
+    return g.select("done", F.lit(total).cast("long").alias("total"), F.round(rate, 3).alias("per_hour"), F.round(F.try_divide(F.lit(total) - F.col("done"), rate), 3).alias("hours_left"))
+
+
 def windowed(rows: DataFrame, time: str, size: str, key: str, late: str = "1 hour") -> DataFrame:
     """``start, key, n`` per tumbling window; on a stream, state older than the watermark goes."""
     base = rows.withWatermark(time, late) if rows.isStreaming else rows
