@@ -315,6 +315,25 @@ def _join_groups(rows: DataFrame, keys: list[str], join: Join, every: bool = Fal
     return sorted_.mapInArrow(run, "a binary, b binary, overlap long, size_a long, size_b long").filter("a != b")
 
 
+def _all_pairs(members: DataFrame, join: Join, every: bool = False) -> DataFrame:
+    """Every two blocks of a group meet, so a node travels once for each block."""
+    meet = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = members.select("node", "tokens", "root", F.col("at").alias("side"), meet)
+    pairs = pairs.select("node", "tokens", "side", "root", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+    return _join_groups(pairs, ["root", "low", "high"], join, every)
+
+
+def _large_groups(members: DataFrame, join: Join, every: bool = False) -> DataFrame:
+    """Links of groups of several blocks; ``members`` has ``node, tokens, root, blocks, at, label``.
+
+    All blocks of a group meet as long as they are no more than there are bands; in a larger group
+    nodes meet by bands. So a node travels ``bands`` times at most, however large its group is.
+    """
+    whole = _all_pairs(members.filter(F.col("blocks") <= join.bands), join, every)
+    wide = members.filter(F.col("blocks") > join.bands)
+    return whole if wide.isEmpty() else whole.unionByName(_bucket_pairs(wide, join, every))
+
+
 def _bucket_pairs(members: DataFrame, join: Join, every: bool = False) -> DataFrame:
     """Tree joins within the buckets of nodes that agree in a band, for groups too large to be joined
     as a whole: ``a, b, overlap, size_a, size_b`` of linked nodes with different ``label``.
@@ -354,8 +373,8 @@ def component_links(docs: DataFrame, members: DataFrame, id_col: str, text_col:
     is joined in itself, with some hubs that stand in all blocks. What hangs together then, mostly the
     group of copies around the hubs, needs no further comparison in itself. In the second, nodes
     outside their group's largest part, the strays, meet all blocks if they are few. If more than
-    half of a group are strays, its nodes meet in the buckets of their bands instead, those that hang
-    together left out. So the work follows a group's size, not its square.
+    half of a group are strays, all its blocks meet, and in a group of very many blocks the buckets
+    of bands instead (see _large_groups). So the work follows a group's size, not its square.
     """
     small = _with_tokens(docs, members.filter("blocks = 1"), id_col, text_col, join)
     first = _join_groups(small.select("node", "tokens", "root", F.lit(0).alias("side")), ["root"], join)
@@ -382,7 +401,7 @@ def component_links(docs: DataFrame, members: DataFrame, id_col: str, text_col:
     second = []
     if not scattered.isEmpty():
         mixed = named.join(scattered.select("root"), "root").select("node", "label")
-        second.append(_bucket_pairs(materialize(members.select("node", "tokens").join(mixed, "node"), "scattered"), join))
+        second.append(_large_groups(materialize(members.select("node", "tokens", "root", "blocks", "at").join(mixed, "node"), "scattered"), join))
     stray_blocks = F.ceil((F.col("k_all") - F.col("k_main")) / join.block).cast("int")
     known = named.join(groups.filter("few").select("root", "main", stray_blocks.alias("strays")), "root").select("node", "strays", (F.col("label") != F.col("main")).alias("stray"))
     known = tokens.join(known, "node")
@@ -454,8 +473,8 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets, nodes, near = _routed(docs, id_col, text_col, join)
         members = materialize(_with_tokens(docs, _members(near, nodes, join), id_col, text_col, join), "tokens")
         small = members.filter("blocks = 1").select("node", "tokens", "root", F.lit(0).alias("side"))
-        large = members.filter("blocks > 1").select("node", "tokens", F.col("node").alias("label"))
-        links = _join_groups(small, ["root"], join, every=True).unionByName(_bucket_pairs(large, join, every=True))
+        large = members.filter("blocks > 1").withColumn("label", F.col("node"))
+        links = _join_groups(small, ["root"], join, every=True).unionByName(_large_groups(large, join, True))
         links = materialize(links.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}), "links")
     links = links.dropDuplicates(["a", "b"])
     rep = nodes.select("node", "rep")

@@ -68,10 +68,12 @@ def test_components_against_brute_force(spark, seed, k, percent, block):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-def test_scattered_large_group(spark, monkeypatch):
+@pytest.mark.parametrize("by_bands", [False, True])
+def test_scattered_large_group(spark, monkeypatch, by_bands):
     """Texts of one template: routed to one group, most of them not linked, some pairs linked."""
     taken, buckets = [], N._bucket_pairs
-    monkeypatch.setattr(N, "_bucket_pairs", lambda *a, **k: taken.append(1) or buckets(*a, **k))
+    if by_bands:  # as in a group of more blocks than there are bands
+        monkeypatch.setattr(N, "_large_groups", lambda *a, **k: taken.append(1) or buckets(*a, **k))
     rng = random.Random(12)
     template = [f"t{i}" for i in range(90)]
     rows = []
@@ -84,7 +86,7 @@ def test_scattered_large_group(spark, monkeypatch):
     want, links = brute_components(rows, 2, 85)
     assert 10 < len({c for _, _, c in want}) < 110 and links
     assert sorted(tuple(r) for r in N.ngram_components(docs, join=join).collect()) == sorted(want)
-    assert taken
+    assert bool(taken) == by_bands
 
 
 def test_very_long_and_repetitive_texts(spark):
@@ -101,7 +103,10 @@ def test_session_is_left_as_it_was(spark):
     assert spark.conf.get(key) == before
 
 
-def test_all_links(spark):
+@pytest.mark.parametrize("bands", [64, 1])
+def test_all_links(spark, monkeypatch, bands):
+    large = N._large_groups
+    monkeypatch.setattr(N, "_large_groups", lambda m, j, e: large(m, j, e) if bands > 1 else N._bucket_pairs(m, j, e))
     rng = random.Random(9)
     texts = list(dict.fromkeys(near_copies(rng, 80)))
     rows = list(enumerate(texts))
