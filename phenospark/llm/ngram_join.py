@@ -434,7 +434,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFra
     """``id, text_hash, n, node, root, component_id`` of each row; node and root are null for empty sets."""
     with small_batches(docs.sparkSession):
         sets, nodes, near = _routed(docs, id_col, text_col, join)
-        linked = components(component_links(docs, _members(near, nodes, join), id_col, text_col, join))
+        # Written first, so that no task needs a Python worker for the trees and another for components.
+        links = materialize(component_links(docs, _members(near, nodes, join), id_col, text_col, join), "links")
+        linked = components(links)
     rooted = nodes.select("node", "rep", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Only nodes with a link, and the roots that they lead to, need to be grouped.
     grouped = rooted.join(linked.select("root").distinct(), "root", "left_semi")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize, slices
+from ._common import materialize, slices, small_batches
 
 
 @dataclass(frozen=True)
@@ -275,7 +275,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     longest = capacity.tokens
     while capacity.attention is not None and longest > 1 and longest**2 > capacity.attention:
         longest -= 1
-    cuts = materialize(pieces(docs, id_col, text_col, longest, tokenizer, end_id), "pieces")
+    with small_batches(docs.sparkSession):
+        cuts = materialize(pieces(docs, id_col, text_col, longest, tokenizer, end_id), "pieces")
     # Rank among all pieces of a length: the rank in the task that cut it, after those of earlier tasks.
     counts = cuts.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

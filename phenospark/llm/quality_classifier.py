@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import crc_mod, materialize, slices
+from ._common import crc_mod, materialize, slices, small_batches
 
 FEATURES = ("length", "upper", "symbols", "exclamations", "bars", "stops", "digits", "other", "echo", "distinct", "word_length", "lines")
 SHRINK, RIDGE = 0.1, 0.05
@@ -152,7 +152,8 @@ def training_rows(table: DataFrame, id_col: str) -> DataFrame:
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Nulls: a null text is empty. Repeated documents are scored, and learned from, each."""
-    stats = materialize(document_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet")), "statistics")
+    with small_batches(spark):
+        stats = materialize(document_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet")), "statistics")
     model = fit(stats, training_rows(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id"))
     return score_statistics(stats, model).select(
         F.col("id").alias("doc_id"), (crc_mod("id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
