@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phenospark.llm import decontamination, exact_dedup, ngram_join, packing, quality_classifier
 from phenospark.llm._common import materialize, small_batches
+from phenospark.storage import few_files
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,28 +19,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = quality_classifier.training_rows(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     with small_batches(spark):
         stats = materialize(quality_classifier.document_statistics(docs), "statistics")
-    return quality_classifier.keep_good(docs, quality_classifier.fit(stats, labels))
+    return few_files(quality_classifier.keep_good(docs, quality_classifier.fit(stats, labels)))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays; of rows equal in id and text one. Null counts as empty."""
-    return exact_dedup.drop_copies(docs)
+    return few_files(exact_dedup.drop_copies(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest id: 5-word shingles, Jaccard similarity
     of 0.8 or more. Texts without words stay."""
-    return ngram_join.drop_near_copies(docs, join=ngram_join.Join(shingle=5, percent=80))
+    return few_files(ngram_join.drop_near_copies(docs, join=ngram_join.Join(shingle=5, percent=80)))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; without items none does."""
-    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return few_files(decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their places in sequences. An empty or null text is one piece, its end."""
-    return packing.pack(docs, capacity=packing.Capacity(tokens=2048, documents=2048, attention=2048**2))
+    return few_files(packing.pack(docs, capacity=packing.Capacity(tokens=2048, documents=2048, attention=2048**2)))
 
 
 STAGES = [

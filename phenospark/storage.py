@@ -42,6 +42,11 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/phenospark/{spark.sparkContext.applicationId}"
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in at most FILES_PER_CORE partitions a core: those beyond are written by the same tasks, one after the other."""
+    return df.coalesce(max(1, FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def materialize(df: DataFrame, name: str, files_per_core: int = FILES_PER_CORE) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
