@@ -15,8 +15,9 @@ _own_dir: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 
 
-#: Files of a table for each core of the cluster, at most. More would be small files.
+#: A table has so many files for each core of the cluster, or one for so many bytes that its plan scans, if these are more.
 FILES_PER_CORE = 8
+FILE_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,21 +43,32 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/phenospark/{spark.sparkContext.applicationId}"
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """``df`` in at most FILES_PER_CORE partitions a core: those beyond are written by the same tasks, one after the other."""
-    return df.coalesce(max(1, FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism))
+def _most_files(df: DataFrame, files_per_core: int) -> int:
+    """Files by cores or, where that is more, by the bytes of the tables that ``df`` is made from.
+
+    The second keeps the stage that writes as wide as its input asks for: splits of a large table
+    (128 MB by default) are never put together, however few cores the cluster has at the moment.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(1, files_per_core * df.sparkSession.sparkContext.defaultParallelism, min(scanned // FILE_BYTES, 2**31 - 1))
+
+
+def few_files(df: DataFrame, files_per_core: int = FILES_PER_CORE) -> DataFrame:
+    """``df`` without small partitions: those beyond _most_files() go to the same tasks, one after the other."""
+    return df.coalesce(_most_files(df, files_per_core))
 
 
 def materialize(df: DataFrame, name: str, files_per_core: int = FILES_PER_CORE) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: an executor that is lost later costs no recomputation of what stands
-    above, and a result that is read several times is computed once. Partitions beyond
-    ``files_per_core`` for each core are written one after the other by the same tasks.
+    above, and a result that is read several times is computed once. Small partitions are put
+    together as in few_files(); a Python stage above sees several of them in one task.
     """
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.coalesce(max(1, files_per_core * spark.sparkContext.defaultParallelism)).write.parquet(path)
+    few_files(df, files_per_core).write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
