@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -193,11 +192,13 @@ _PLAIN = "ɏ"
 
 
 class _Encoder:
-    """Ids as the tokenizers library gives them. Its vocabulary's ranks in tiktoken give the same
-    ids several times faster; texts with rare scripts go to the slower library itself."""
+    """Ids as the tokenizers library gives them, added tokens included. Its vocabulary's ranks in
+    tiktoken give the same ids several times faster; texts with rare scripts, or with the content
+    of an added token, go to the slower library itself."""
 
     def __init__(self, name: str):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
@@ -205,6 +206,8 @@ class _Encoder:
         self.name, self._slow = name, None
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", ())]
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @property
@@ -217,11 +220,10 @@ class _Encoder:
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             self._slow = Tokenizer.from_file(public_tokenizers.path(f"{self.name}.json"))
-            self._slow.encode_special_tokens = True
         return self._slow
 
     def ids(self, text: str) -> np.ndarray:
-        if text and max(text) > _PLAIN:
+        if text and (max(text) > _PLAIN or any(t in text for t in self.added)):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
@@ -240,7 +242,7 @@ def cut(n: int, longest: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, longest: int, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, enc = TaskContext.get().partitionId(), {}, encoder(tokenizer)
+        seen, enc = {}, encoder(tokenizer)
         for b in slices(batches):
             row, piece, start, length, crc, rank = [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -255,11 +257,12 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, longest: int, tokenizer:
                     seen[n] = rank[-1] + 1
             longs = [pa.array(x, pa.int64()) for x in (start, length, crc, rank)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *longs, pa.array([part] * len(row), pa.int32())],
+                [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *longs, b.column(2).take(pa.array(row, pa.int64()))],
                 names=["id", "piece", "start", "length", "ids_crc32", "rank", "part"],
             )
 
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # The partition that run() is called for: one task calls it for several, where they are put together to few files.
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().alias("part"))
     return picked.mapInArrow(run, f"id {dict(picked.dtypes)['id']}, piece int, start long, length long, ids_crc32 long, rank long, part int")
 
 
@@ -277,7 +280,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         longest -= 1
     with small_batches(docs.sparkSession):
         cuts = materialize(pieces(docs, id_col, text_col, longest, tokenizer, end_id), "pieces")
-    # Rank among all pieces of a length: the rank in the task that cut it, after those of earlier tasks.
+    # Rank among all pieces of a length: the rank in the partition that it was cut from, after those of earlier ones.
     counts = cuts.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("length", "part", F.coalesce(earlier, F.lit(0)).alias("base"))

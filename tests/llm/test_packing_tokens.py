@@ -5,9 +5,11 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from phenospark.llm import packing, token_counts
 
@@ -115,11 +117,53 @@ def test_empty_and_too_long():
         packing.best_fit({3000: 1})
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.characters(max_codepoint=0x2FF, exclude_categories=["Cs"]), max_size=80))
-def test_fast_ids_equal_the_library(text):
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizer as its file says, nothing set."""
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.text(alphabet=st.characters(max_codepoint=0x2FF, exclude_categories=["Cs"]), max_size=40), st.sampled_from(["<|endoftext|>", "<|endoftext", " <|endoftext|> ", "日本"])), max_size=6))
+def test_ids_equal_the_library(library, parts):
+    text = "".join(parts)
+    assert packing.encoder("byte_bpe_50k").ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("partitions", [3, 17, 200])
+def test_no_two_pieces_share_a_place(spark, partitions):
+    """Also where one task cuts the pieces of several partitions, as with more of these than the table has files."""
+    rng = random.Random(partitions)
+    texts = [" ".join(rng.choice(["the", "of", "42"]) for _ in range(rng.choice([3, 3, 3, 40, 700]))) for _ in range(1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions)
+    check_places(packing.pack(docs, capacity=packing.Capacity(tokens=512)).collect(), texts, 512)
+
+
+def test_no_two_pieces_share_a_place_over_many_files(spark, tmp_path):
+    texts = [f"words of number {i} " * (1 + i % 7) for i in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(100).write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        assert spark.read.parquet(f"{tmp_path}/documents.parquet").rdd.getNumPartitions() == 100
+        check_places(packing.op1_best_fit_packing(spark, str(tmp_path)).collect(), texts, 2048)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def check_places(got, texts, tokens):
     enc = packing.encoder("byte_bpe_50k")
-    assert enc.ids(text).tolist() == enc.slow.encode(text, add_special_tokens=False).ids
+    want = {(i, k): x for i, t in enumerate(texts) for k, x in enumerate(packing.cut(len(enc.ids(t)) + 1, tokens))}
+    assert len(got) == len(want) and {(r.doc_id, r.piece): (r.start, r.length) for r in got} == want
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for content in by.values():
+        end = 0
+        for o, n in sorted(content):
+            assert o == end
+            end += n
+        assert end <= tokens
 
 
 def test_pack_round_trip(spark):
