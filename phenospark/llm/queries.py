@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op3_benchmark_decontamination
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .fill_in_middle import OP12_SQL, op12_fill_in_middle
 from .language_id import op10_language_id
 from .lm_scoring import op7_lm_scoring
 from .ngram_join import op9_ngram_join
 from .packing import op1_best_fit_packing
+from .piece_encoding import op11_piece_encoding
 from .quality_classifier import op5_quality_classifier
 from .secret_scan import op2_secret_scan
 from .token_counts import op6_token_counts
@@ -28,9 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_ngram_join": op9_ngram_join,
     "op10_language_id": op10_language_id,
+    "op11_piece_encoding": op11_piece_encoding,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op8_url_filter": OP8_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }

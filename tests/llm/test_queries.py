@@ -26,6 +26,8 @@ COLUMNS = {
     "op8": ["page_id", "host", "path", "rule", "verdict"],
     "op9": ["doc_id", "n_shingles", "component_id"],
     "op10": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op12": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
 }
 
 
