@@ -10,6 +10,7 @@ from .decontamination import op3_benchmark_decontamination
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .fill_in_middle import OP12_SQL, op12_fill_in_middle
 from .language_id import op10_language_id
+from .lexical_search import OP13_SQL, op13_lexical_search
 from .lm_scoring import op7_lm_scoring
 from .ngram_join import op9_ngram_join
 from .packing import op1_best_fit_packing
@@ -32,10 +33,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_piece_encoding": op11_piece_encoding,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": OP4_SQL,
     "op8_url_filter": OP8_SQL,
     "op12_fill_in_middle": OP12_SQL,
+    "op13_lexical_search": OP13_SQL,
 }
