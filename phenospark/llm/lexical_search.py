@@ -136,14 +136,15 @@ class DualSorted:
             b = np.add.reduceat(part * impacts[lev * self.size + start], new)
             up, lev_new = now[child[new] >> 1], lev[new]
             x = low.rows[up] + ((child[new] & 1) << (self.levels - lev_new))
-            leaf = lev_new == self.levels
+            good = (b > floor) | ((b == floor) & (x < floor_place))
+            leaf = good & (lev_new == self.levels)
             if leaf.any():  # one document: the bound is its score
                 places, scores = np.concatenate([places, x[leaf]]), np.concatenate([scores, b[leaf]])
                 order = np.lexsort((places, -scores))[:k]
                 places, scores = places[order], scores[order]
                 if len(places) == k and (scores[-1] > floor or scores[-1] == floor and places[-1] < floor_place):
                     floor, floor_place = int(scores[-1]), int(places[-1])
-            going = ~leaf & ((b > floor) | ((b == floor) & (x < floor_place)))
+            going = (lev_new < self.levels) & ((b > floor) | ((b == floor) & (x < floor_place)))
             if going.any():
                 size = np.diff(np.append(new, len(child)))
                 keep = np.repeat(going, size)
@@ -285,7 +286,7 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                     limit = (-kept[-1][0], bisect_left(order, kept[-1][1])) if len(kept) == ranking.k else (0, 0)
                     places, scores = tree.best(t, w, ranking.k, *limit)
                     if len(places):
-                        new = [(-s, order[p], ids[p]) for p, s in zip(places.tolist(), scores.tolist()) if s > 0]
+                        new = [(-s, order[p], ids[p]) for p, s in zip(places.tolist(), scores.tolist())]
                         best[j] = sorted(kept + new, key=lambda x: x[:2])[: ranking.k]
             flat = [(i, j, n, x[2], -x[0]) for j, (i, n, _, _) in enumerate(plan) for x in best[j]]
             kind = [to_arrow_type(item_type), pa.int32(), pa.int64(), to_arrow_type(id_type), pa.int64()]
