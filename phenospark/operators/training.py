@@ -7,8 +7,8 @@ reaches the driver are counts, a threshold or a model.
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass, field, fields
+from urllib.parse import quote
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -124,38 +124,60 @@ def train_all(rows: DataFrame, features: list[str], drug: str = "drug", y: str =
     return fitted, scores, spark.createDataFrame(summary, "drug string, status string, calibration string, n long, n_r long")
 
 
-def _safe(name: str) -> str:
-    return re.sub("[^A-Za-z0-9_.-]+", "_", name)
+def bundle_name(drug: str) -> str:
+    """The folder of a drug's bundle: a different one for each name."""
+    return quote(drug, safe="").replace(".", "%2E") or "%"
 
 
 def save_bundle(model: DrugModel, spark: SparkSession, folder: str) -> None:
     """The pipeline and a JSON document with all else, over what is there."""
-    path = f"{folder}/{_safe(model.drug)}"
+    path = f"{folder}/{bundle_name(model.drug)}"
     model.model.write().overwrite().save(f"{path}/model")
     spark.createDataFrame([(json.dumps(model.meta()),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _meta(spark: SparkSession, path: str) -> dict | None:
+    """The document of a bundle; None for anything else that may be at ``path``."""
+    fs, p = _fs(spark, f"{path}/meta")
+    if not fs.exists(p) or not fs.getFileStatus(p).isDirectory():
+        return None
+    try:
+        lines = spark.read.text(f"{path}/meta").take(2)
+        meta = json.loads(lines[0].value) if len(lines) == 1 else None
+    except ValueError:
+        return None
+    return meta if isinstance(meta, dict) and {f.name for f in fields(DrugModel)} - {"model"} == set(meta) else None
+
+
 def load_bundle(spark: SparkSession, path: str) -> DrugModel:
-    meta = json.loads(spark.read.text(f"{path}/meta").first().value)
+    meta = _meta(spark, path)
+    if meta is None:
+        raise ValueError(f"no bundle at {path}")
     return DrugModel(model=PipelineModel.load(f"{path}/model"), **meta)
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+def _bundles(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Path of each drug's bundle. What else lies in the folder is none of ours."""
+    fs, path = _fs(spark, folder)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    found = {f"{folder}/{n}": _meta(spark, f"{folder}/{n}") for n in names}
+    return {m["drug"]: p for p, m in found.items() if m is not None}
 
 
 def load_all(spark: SparkSession, folder: str) -> dict[str, DrugModel]:
     """All bundles of a folder by drug; one with other features than wanted is the caller's to refuse."""
-    found = [load_bundle(spark, f"{folder}/{n}") for n in sorted(_names(spark, folder))]
-    return {m.drug: m for m in found}
+    return {drug: load_bundle(spark, path) for drug, path in _bundles(spark, folder).items()}
 
 
 def delete_stale(spark: SparkSession, folder: str, drugs: list[str]) -> list[str]:
-    """Delete the bundles of other drugs; returns their names."""
-    gone = sorted(set(_names(spark, folder)) - {_safe(d) for d in drugs})
-    for n in gone:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return gone
+    """Delete the bundles of other drugs, and nothing that is no bundle; returns these drugs."""
+    gone = {d: p for d, p in _bundles(spark, folder).items() if d not in drugs}
+    for path in gone.values():
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+    return sorted(gone)

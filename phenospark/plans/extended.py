@@ -3,8 +3,6 @@ and sinks by a round trip through the shared folder."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +11,13 @@ from phenospark.functions import scoring as S
 from phenospark.functions import sequence as Q
 from phenospark.operators import cleaning, evidence, features, gates, labels, metrics, nocall, similarity, splits, store, training
 from phenospark.sources import readers, writers
-from phenospark.storage import tables_dir
+from phenospark.storage import scratch
 from phenospark.streaming import counts
 
 from .queries import query, r6
 from .tables import SCORED_SQL, scored, table
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- training and evaluation
 
 _SPLIT = "CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'calibration' WHEN doc_id % 10 = 8 THEN 'test' ELSE 'heldout_group' END"
@@ -407,14 +401,14 @@ def annotation_progress(spark, d):
 
 @query("labels_csv_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality AS VARCHAR) AS quality, '' AS note FROM labels")
 def labels_csv_round_trip(spark, d):
-    path = _folder(spark, "labels-csv")
+    path = scratch(spark, "labels-csv")
     writers.sorted_csv(table(spark, d, "labels").select("doc_id", "quality"), path, ["doc_id"])
     return readers.backfill(readers.text_table(spark, path), ["note"])[0]
 
 
 @query("annotation_tsv_round_trip", "SELECT CAST(p_partkey AS VARCHAR) AS symbol, p_type AS class, 'AMR' AS subtype FROM part")
 def annotation_tsv_round_trip(spark, d):
-    path = _folder(spark, "hits-tsv")
+    path = scratch(spark, "hits-tsv")
     p = table(spark, d, "part")
     rows = p.select(F.col("p_partkey").cast("string").alias("Gene symbol"), F.col("p_name").alias("Element name"), F.lit("AMR").alias("Subtype"), F.col("p_type").alias("Class"), F.lit("").alias("Subclass"), F.lit("EXACTX").alias("Method"))
     rows.write.option("header", True).option("sep", "\t").csv(path)
@@ -424,7 +418,7 @@ def annotation_tsv_round_trip(spark, d):
 
 @query("fasta_round_trip", "SELECT 'c' || CAST(doc_id AS VARCHAR) AS contig, upper(s) AS seq FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS s FROM documents)")
 def fasta_round_trip(spark, d):
-    path = _folder(spark, "fasta")
+    path = scratch(spark, "fasta")
     seq = F.regexp_replace("text", "[^A-Za-z]", "")
     lines = F.regexp_replace(seq, "(.{70})", "$1\n")
     table(spark, d, "documents").select(F.concat(F.lit(">c"), F.col("doc_id").cast("string"), F.lit(" prose\n"), lines).alias("value")).write.text(path)
@@ -433,7 +427,7 @@ def fasta_round_trip(spark, d):
 
 @query("edge_list_round_trip", "SELECT 'g.' || CAST(l_orderkey AS VARCHAR) AS ref, 'h' || CAST(l_partkey AS VARCHAR) AS query, l_discount * 100 + 0.0 AS ani, l_tax * 1000 + 0.0 AS af_ref, l_quantity * 2 + 0.0 AS af_query FROM lineitem WHERE l_linenumber = 7")
 def edge_list_round_trip(spark, d):
-    path = _folder(spark, "edges-tsv")
+    path = scratch(spark, "edges-tsv")
     l = table(spark, d, "lineitem").filter("l_linenumber = 7")
     l.select(
         F.concat(F.lit("/x/g."), F.col("l_orderkey").cast("string"), F.lit(".fna")).alias("Ref_file"), F.concat(F.lit("h"), F.col("l_partkey").cast("string"), F.lit(".fa.gz")).alias("Query_file"),
@@ -445,7 +439,7 @@ def edge_list_round_trip(spark, d):
 
 @query("splits_json_round_trip", "SELECT CAST(n_nationkey AS VARCHAR) AS key, CAST(n_regionkey AS BIGINT) AS cluster_id, CASE WHEN n_nationkey % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM nation")
 def splits_json_round_trip(spark, d):
-    path = _folder(spark, "splits-json")
+    path = scratch(spark, "splits-json")
     n = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("cluster_id"), F.when(F.col("n_nationkey") % 3 == 0, "test").otherwise("train").alias("split"))
     writers.json_document(writers.as_json_map(n, "n_nationkey", ["cluster_id", "split"]), path)
     return readers.json_map(spark, path, "struct<cluster_id:bigint,split:string>")
@@ -455,7 +449,7 @@ def splits_json_round_trip(spark, d):
 def gate_envelope_round_trip(spark, d):
     n, r = table(spark, d, "nation"), table(spark, d, "region")
     s = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("drug"), F.col("n_name").alias("genome_id"), F.when(F.col("n_nationkey") % 2 == 0, "pass").otherwise("not_callable").alias("status"))
-    path = _folder(spark, "gates-json")
+    path = scratch(spark, "gates-json")
     nocall.gate_envelope(s).write.json(path)
     return nocall.read_envelope(spark.read.schema("drug string, value string").json(path))
 
@@ -463,7 +457,7 @@ def gate_envelope_round_trip(spark, d):
 @query("bands_round_trip", "SELECT p_brand AS drug, avg(p_retailprice) / 10000 AS q_s, min(p_size) / 100.0 AS q_r FROM part GROUP BY p_brand")
 def bands_round_trip(spark, d):
     b = table(spark, d, "part").groupBy(F.col("p_brand").alias("drug")).agg((F.avg("p_retailprice") / 10000).alias("q_s"), (F.min("p_size") / 100.0).alias("q_r"))
-    path = _folder(spark, "bands-json")
+    path = scratch(spark, "bands-json")
     nocall.save_bands(b, path)
     return nocall.load_bands(spark, path).select("drug", "q_s", "q_r")
 
@@ -471,21 +465,21 @@ def bands_round_trip(spark, d):
 @query("feature_store_round_trip", "SELECT p_brand, count(DISTINCT p_size) AS n_entities FROM part GROUP BY p_brand")
 def feature_store_round_trip(spark, d):
     long = table(spark, d, "part").select("p_size", "p_brand").distinct()
-    path = _folder(spark, "features")
+    path = scratch(spark, "features")
     writers.feature_store(long, table(spark, d, "part"), path, "p_size", "p_brand", ["p_type"])
     return readers.feature_store(spark, path)[1]
 
 
 @query("label_table_round_trip", "SELECT CAST(doc_id AS VARCHAR) AS genome_id, CAST(quality AS INT) AS y FROM labels")
 def label_table_round_trip(spark, d):
-    path = _folder(spark, "cohort-tsv")
+    path = scratch(spark, "cohort-tsv")
     table(spark, d, "labels").select(F.col("doc_id").alias("genome_id"), F.lit("x").alias("antibiotic"), F.when(F.col("quality") == 1, S.FAIL).otherwise(S.WORK).alias("label")).write.option("header", True).option("sep", "\t").csv(path)
     return readers.label_table(spark, path).select("genome_id", "y")
 
 
 @query("line_list_round_trip", "SELECT n_name AS value FROM nation WHERE n_nationkey % 2 = 0")
 def line_list_round_trip(spark, d):
-    path = _folder(spark, "lines")
+    path = scratch(spark, "lines")
     table(spark, d, "nation").select(F.concat(F.when(F.col("n_nationkey") % 2 == 1, "# ").otherwise(" "), "n_name", F.lit("\n")).alias("value")).write.text(path)
     return readers.line_list(spark, path)
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from phenospark.functions.normalize import composite_id
+
 
 class MissingColumns(ValueError):
     """A file lacks columns that its kind must have."""
@@ -63,8 +65,8 @@ def checked_hits(spark: SparkSession, path: str | list[str], required: list[str]
     per file: ``path, genome_id, ok, missing, rows``.
 
     Files are told apart line by line, so one with another header spoils nothing but itself. The
-    symbol may be called 'Gene symbol'; a hit whose symbol and class are both missing ('', 'na') is
-    left out of the hits. Columns beyond the known ones are not read.
+    symbol may be called 'Gene symbol'; a hit without symbol, name, subtype and method (each '' or
+    'na') names no feature and is left out of the hits. Columns beyond the known ones are not read.
     """
     wanted = HIT_COLUMNS if required is None else required
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"), F.col("value").alias("raw"))
@@ -78,8 +80,8 @@ def checked_hits(spark: SparkSession, path: str | list[str], required: list[str]
     good = body.filter(F.size("missing") == 0).withColumn("x", fields)
     at = lambda c: F.coalesce(F.try_element_at("x", F.nullif(F.array_position("head", c), F.lit(0)).cast("int")), F.lit(""))
     hits = good.select(stem(F.col("path"), "tsv").alias("genome_id"), *[at(c).alias(c) for c in dict.fromkeys([*HIT_COLUMNS, *wanted])])
-    none = lambda c: F.lower(F.col(f"`{c}`")).isin("", "na")
-    return hits.filter(~(none("Element symbol") & none("Class"))), files
+    named = composite_id(*[F.col(f"`{c}`") for c in ("Element symbol", "Element name", "Subtype", "Method")])
+    return hits.filter(named != "na|na|na|na"), files
 
 
 def first_ids(df: DataFrame, column: str, n: int | None = None) -> DataFrame:

@@ -43,6 +43,13 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/phenospark/{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with what operators wrote."""
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def _most_files(df: DataFrame, files_per_core: int) -> int:
     """Files by cores or, where that is more, by the bytes of the tables that ``df`` is made from.
 
@@ -67,9 +74,8 @@ def materialize(df: DataFrame, name: str, files_per_core: int = FILES_PER_CORE)
     together as in few_files(); a Python stage above sees several of them in one task.
     """
     spark = df.sparkSession
-    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     few_files(df, files_per_core).write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

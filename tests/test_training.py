@@ -41,7 +41,19 @@ def test_train_save_load_score_and_delete_stale(spark, rows, tmp_path):
     assert one == two and {r for _, r in one.values()} >= {"called", "ani_ood"}
     test = scores.filter("drug = 'a/b' and split = 'test'")
     assert metrics.auroc(test, ["drug"]).first().auroc > 0.8
-    assert training.delete_stale(spark, folder, ["few"]) == ["a_b"] and set(training.load_all(spark, folder)) == {"few"}
+    (tmp_path / "models" / "metrics.json").write_text("{}")
+    other = tmp_path / "models" / "my_other_data" / "meta"
+    other.mkdir(parents=True)
+    (other / "part-0.txt").write_text('{"drug": "a/b"}\n')
+    twin = training.load_bundle(spark, f"{folder}/{training.bundle_name('a/b')}")
+    twin.drug = "a_b"
+    training.save_bundle(twin, spark, folder)
+    assert set(training.load_all(spark, folder)) == {"a/b", "a_b", "few"}
+    assert training.delete_stale(spark, folder, ["few", "a_b"]) == ["a/b"] and set(training.load_all(spark, folder)) == {"few", "a_b"}
+    assert (tmp_path / "models" / "metrics.json").exists() and (other / "part-0.txt").exists()
+    with pytest.raises(ValueError):
+        training.load_bundle(spark, f"{folder}/my_other_data")
+    assert len({training.bundle_name(d) for d in ("a/b", "a_b", "a b", "a%2Fb", ".", "..", "", "A/B")}) == 8
     assert training.train_all(rows.limit(0), ["x1", "x2"])[1].count() == 0
 
 
@@ -185,12 +197,12 @@ def test_rank_groups(spark):
 
 def test_checked_hits_sets_bad_files_apart(spark, tmp_path):
     head = "\t".join(readers.HIT_COLUMNS)
-    (tmp_path / "562.10.tsv").write_text(head + "\nblaX\tn\tAMR\tBETA\tB\tEXACTX\nNA\tn\tAMR\tna\tB\tHMM\n")
+    (tmp_path / "562.10.tsv").write_text(head + "\nblaX\tn\tAMR\tBETA\tB\tEXACTX\nNA\tn\tAMR\tna\tB\tHMM\nNA\t\t na \tBETA\tB\tNa\n\tna\t\tBETA\tB\tHMM\n")
     (tmp_path / "562.2.tsv").write_text(head.replace("Element symbol", "Gene symbol") + "\ngyrA_S83L\tn\tPOINT\tQ\tQ\tPOINTX\n")
     (tmp_path / "bad.tsv").write_text("a\tb\n1\t2\n3\t4\n")
     hits, files = readers.checked_hits(spark, str(tmp_path))
-    assert sorted((r.genome_id, r["Element symbol"], r.Class) for r in hits.collect()) == [("562.10", "blaX", "BETA"), ("562.2", "gyrA_S83L", "Q")]
-    assert sorted((r.genome_id, r.ok, r.rows) for r in files.collect()) == [("562.10", True, 2), ("562.2", True, 1), ("bad", False, 2)]
+    assert sorted((r.genome_id, r["Element symbol"], r.Class) for r in hits.collect()) == [("562.10", "", "BETA"), ("562.10", "NA", "na"), ("562.10", "blaX", "BETA"), ("562.2", "gyrA_S83L", "Q")]
+    assert sorted((r.genome_id, r.ok, r.rows) for r in files.collect()) == [("562.10", True, 4), ("562.2", True, 1), ("bad", False, 2)]
 
 
 def test_small_readers(spark, tmp_path):
