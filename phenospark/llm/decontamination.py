@@ -12,17 +12,17 @@ from __future__ import annotations
 import heapq
 import string
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import WordHashes, rolling, slices
+from ._common import WordHashes, materialize, rolling, slices, small_batches
 
 _PUNCTUATION = string.punctuation.encode()
 #: Characters of benchmark text in one index; a larger benchmark is taken in several blocks, one scan each.
@@ -72,11 +72,7 @@ class _Sums:
 
 
 class Index:
-    """The runs of ``seed`` words of all items of a block; places are those in all items' words.
-
-    Runs that are equal are sorted by the word before them. So where a match with a document begins,
-    which is where the words before differ, is found without a look at where it goes on.
-    """
+    """The runs of ``seed`` words of all items of a block; places are those in all items' words."""
 
     def __init__(self, items: list[tuple[object, str]], tiling: Tiling, hashes: WordHashes):
         self.tiling = tiling
@@ -95,85 +91,110 @@ class Index:
                 self.short[b" ".join(w)].append(item)
         self.words = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.ends = np.array(ends, np.int64)
-        self.sums = _Sums(self.words)
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64) if ends else self.ends
+        self.need = np.array([tiling.need(n) for n in (self.ends - self.starts).tolist()], np.int64)
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        runs, before = rolling(self.words, tiling.seed)[at], self._before(self.words)[at]
-        before[np.isin(at, np.concatenate([[0], self.ends]))] = 0  # no word is before an item's first
-        order = np.lexsort((at, before, runs))
-        self.at, runs, before = at[order].astype(np.int32), runs[order], before[order]
+        runs = rolling(self.words, tiling.seed)[at]
+        order = np.argsort(runs, kind="stable")
+        self.at, runs = at[order].astype(np.int32), runs[order]
         self.runs, first = np.unique(runs, return_index=True)
         self.first = np.append(first, len(runs))
-        self.befores, rank = np.unique(before, return_inverse=True)
-        self.both = (np.repeat(np.arange(len(self.runs)), np.diff(self.first)) << 32) | rank
         self.bits = max(16, int(np.ceil(np.log2(len(runs) * 8 + 1))))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.runs >> np.uint64(64 - self.bits)] = True
 
-    @staticmethod
-    def _before(h: np.ndarray) -> np.ndarray:
-        """The word before each place; 0 before the first."""
-        return np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
+    def candidates(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the document's runs that the block has, the runs, items that they could cover enough of).
 
-    def matches(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the document, place in the items, words) of all maximal matches of ``seed`` words or more."""
+        Takes time and memory in proportion to the document's words and the items' places, however
+        often a run stands in either.
+        """
         none = np.zeros(0, np.int64)
         r = rolling(h, self.tiling.seed)
         p = np.flatnonzero(self.seen[r >> np.uint64(64 - self.bits)])
+        if not len(p) or not len(self.runs):
+            return none, none, none
         k = np.searchsorted(self.runs, r[p])
         k[k == len(self.runs)] = 0
-        hit = self.runs[k] == r[p] if len(self.runs) else np.zeros(len(p), bool)
-        p, k = p[hit], k[hit]
+        hit = self.runs[k] == r[p]
+        p, met = p[hit], np.unique(k[hit])
         if not len(p):
             return none, none, none
-        before = self._before(h)[p]
-        rank = np.searchsorted(self.befores, before)
-        rank[rank == len(self.befores)] = 0
-        same = (self.befores[rank] == before) & (p > 0)  # these go on from a place before
-        low, high = self.first[k], self.first[k + 1]
-        key = (k << 32) | rank
-        skip_low = np.where(same, np.searchsorted(self.both, key, "left"), high)
-        skip_high = np.where(same, np.searchsorted(self.both, key, "right"), high)
-        starts, ends, own = np.concatenate([low, skip_high]), np.concatenate([skip_low, high]), np.concatenate([p, p])
+        n = self.first[met + 1] - self.first[met]
+        q = np.sort(self.at[np.repeat(self.first[met] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        owner = np.searchsorted(self.ends, q, "right")
+        step = np.full(len(q), self.tiling.seed)  # words that a run covers before the next one does
+        near = np.flatnonzero(owner[1:] == owner[:-1])
+        step[near] = np.minimum(step[near], q[near + 1] - q[near])
+        start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        owner = owner[start]
+        return p, r[p], owner[np.add.reduceat(step, start) >= self.need[owner]]
+
+    def matches(self, h: np.ndarray, sums: _Sums, p: np.ndarray, runs: np.ndarray, item: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the document, place in the item, words) of all maximal matches with one item.
+
+        The item's equal runs are sorted by the word before them. So where a match begins, which is
+        where the words before differ, is found without a look at where it goes on.
+        """
+        start, end = int(self.starts[item]), int(self.ends[item])
+        own = self.words[start:end]
+        mine, before = rolling(own, self.tiling.seed), _before(own)[: end - start - self.tiling.seed + 1]
+        order = np.lexsort((before, mine))
+        mine, before = mine[order], before[order]
+        kinds, first = np.unique(mine, return_index=True)
+        first = np.append(first, len(mine))
+        k = np.searchsorted(kinds, runs)
+        k[k == len(kinds)] = 0
+        hit = kinds[k] == runs
+        p, k = p[hit], k[hit]
+        befores, rank = np.unique(before, return_inverse=True)
+        both = (np.repeat(np.arange(len(kinds)), np.diff(first)) << 32) | rank
+        word = _before(h)[p]
+        rank = np.searchsorted(befores, word)
+        rank[rank == len(befores)] = 0
+        same = (befores[rank] == word) & (p > 0)  # these go on from a place before
+        low, high, key = first[k], first[k + 1], (k << 32) | rank
+        skip_low = np.where(same, np.searchsorted(both, key, "left"), high)
+        skip_high = np.where(same, np.searchsorted(both, key, "right"), high)
+        starts, ends, at = np.concatenate([low, skip_high]), np.concatenate([skip_low, high]), np.concatenate([p, p])
         n = ends - starts
-        p = np.repeat(own, n)
-        q = self.at[np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())].astype(np.int64)
-        return p, q, self._lengths(h, p, q)
+        p = np.repeat(at, n)
+        q = order[np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return p, q, self._lengths(sums, len(h), _Sums(own), len(own), p, q)
 
-    def _lengths(self, h: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def _lengths(self, doc: _Sums, doc_words: int, item: _Sums, item_words: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """How many words match from (p, q) on: bisection by hashes."""
-        sums = _Sums(h)
         low = np.full(len(p), self.tiling.seed, np.int64)
-        high = np.minimum(len(h) - p, self.ends[np.searchsorted(self.ends, q, "right")] - q)
+        high = np.minimum(doc_words - p, item_words - q)
         while (open_ := np.flatnonzero(low < high)).size:
             mid = (low[open_] + high[open_] + 1) // 2
-            fits = sums.of(p[open_], mid) == self.sums.of(q[open_], mid)
+            fits = doc.of(p[open_], mid) == item.of(q[open_], mid)
             low[open_] = np.where(fits, mid, low[open_])
             high[open_] = np.where(fits, high[open_], mid - 1)
         return low
 
     def found(self, words: list[bytes], hashes: WordHashes) -> Iterator[tuple[object, int, int, list[tuple[int, int, int]]]]:
-        """(item, its words, marked words, tiles) of the items that the document holds."""
+        """(item, its words, marked words, tiles) of the items that the document holds, one item at a time."""
         if len(words) < self.tiling.seed:
             for item in self.short.get(b" ".join(words), ()) if words else ():
                 yield item, len(words), len(words), [(0, 0, len(words))]
             return
-        p, q, n = self.matches(hashes.of(words))
-        owner = np.searchsorted(self.ends, q, "right")
-        order = np.lexsort((q, p, -n, owner))
-        cuts = np.flatnonzero(np.diff(owner[order])) + 1
-        for rows in np.split(order, cuts) if len(order) else ():
-            k = int(owner[rows[0]])
-            start = int(self.ends[k - 1]) if k else 0
-            size = int(self.ends[k]) - start
-            need = self.tiling.need(size)
-            edge = np.zeros(size + 1, np.int64)  # what any tiling can cover at most
-            np.add.at(edge, q[rows] - start, 1)
-            np.add.at(edge, q[rows] - start + n[rows], -1)
-            if (np.cumsum(edge) > 0).sum() >= need:
-                tiles = greedy_tiles(p[rows], q[rows] - start, n[rows], len(words), size, self.tiling.seed)
-                covered = sum(t[2] for t in tiles)
-                if covered >= need:
-                    yield self.ids[k], size, covered, tiles
+        h = hashes.of(words)
+        places, runs, items = self.candidates(h)
+        sums = _Sums(h) if len(items) else None
+        for k in items.tolist():
+            p, q, n = self.matches(h, sums, places, runs, k)
+            order = np.lexsort((q, p, -n))
+            size = int(self.ends[k] - self.starts[k])
+            tiles = greedy_tiles(p[order], q[order], n[order], len(words), size, self.tiling.seed)
+            covered = sum(t[2] for t in tiles)
+            if covered >= self.need[k]:
+                yield self.ids[k], size, covered, tiles
+
+
+def _before(h: np.ndarray) -> np.ndarray:
+    """The word before each place; 0 before the first."""
+    return np.concatenate([np.zeros(1, np.uint64), h[:-1]]) if len(h) else h
 
 
 def _longest(used: np.ndarray) -> int:
@@ -211,71 +232,93 @@ def greedy_tiles(p: np.ndarray, q: np.ndarray, n: np.ndarray, doc_words: int, it
     return tiles
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of about ``block_chars``; that is what the driver and a worker hold at once."""
-    total = benchmark.agg(F.sum(F.length(text_col))).first()[0] or 0
+def benchmark_blocks(benchmark: DataFrame, item_id: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[tuple[object, int], str]]]:
+    """((id, how often), text) of the different items in blocks of about ``block_chars``: what the driver and a worker hold at once."""
+    kinds = benchmark.select(F.col(item_id).alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null").groupBy("i", "t").agg(F.count(F.lit(1)).alias("n"))
+    total = kinds.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for k in range(blocks):
-        part = benchmark.filter(F.pmod(F.xxhash64(text_col), F.lit(blocks)) == k) if blocks > 1 else benchmark
-        yield [(r[0], r[1]) for r in part.select(item_id, text_col).collect()]
+        part = kinds.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else kinds
+        yield [((r.i, r.n), r.t) for r in part.collect()]
+
 
+def _block_by_block(docs: DataFrame, blocks: Iterator[list], tiling: Tiling, step: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:
+    """``step`` of each block's index, which is built once and sent to the executors: about 30 bytes a word.
 
-def _indexes(spark: SparkSession, benchmark: DataFrame, item_id: str, text_col: str, tiling: Tiling, block_chars: int) -> Iterator[Broadcast]:
-    """The blocks' indexes, each built once and sent to the executors: about 30 bytes for each word of a block."""
-    for items in benchmark_blocks(benchmark, item_id, text_col, block_chars):
-        yield spark.sparkContext.broadcast(Index(items, tiling, WordHashes()))
+    Every result but the last is written before the next block's index is made, and its index
+    freed: a worker and the driver hold one, however many blocks there are.
+    """
+    waiting: tuple[DataFrame, Broadcast] | None = None
+    for items in blocks:
+        if waiting:
+            with small_batches(docs.sparkSession):
+                done = materialize(waiting[0], "block")
+            waiting[1].destroy()
+            yield done
+        index = docs.sparkSession.sparkContext.broadcast(Index(items, tiling, WordHashes()))
+        waiting = step(index), index
+    if waiting:
+        yield waiting[0]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tiling: Tiling = Tiling(), block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per document and item that it holds: ids, ``item_words, covered, coverage, tiles``.
 
     A null or empty text, of a document or an item, holds and is nothing; an empty benchmark gives
-    no rows. Repeated documents or items give repeated rows. Other columns are not read. Very long and
-    repetitive texts take memory in proportion to their words.
+    no rows. Repeated documents or items give repeated rows. Other columns are not read. A document
+    takes memory in proportion to its words and the items' places in the block; items that its words
+    could cover enough of are then matched one by one.
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kinds = dict(picked.dtypes)["doc_id"], dict(benchmark.dtypes)[item_id]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, item_words int, covered int, coverage double, tiles array<struct<doc_start:int,item_start:int,words:int>>"
-    out = docs.sparkSession.createDataFrame([], schema)
-    item_type = benchmark.schema[item_id].dataType
-    for index in _indexes(docs.sparkSession, benchmark, item_id, item_text, tiling, block_chars):
+    item_type = to_arrow_type(benchmark.schema[item_id].dataType)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    def step(index: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             tile = pa.list_(pa.struct([("doc_start", pa.int32()), ("item_start", pa.int32()), ("words", pa.int32())]))
             for b in slices(batches):
                 row, item, size, covered, tiles = [], [], [], [], []
                 for i, text in enumerate(b.column(1).to_pylist()):
-                    for k, m, n, t in index.value.found(normal_words(text or ""), hashes):
-                        row.append(i)
-                        item.append(k)
-                        size.append(m)
-                        covered.append(n)
-                        tiles.append([dict(zip(("doc_start", "item_start", "words"), x)) for x in sorted(t)])
+                    for (k, times), m, n, t in index.value.found(normal_words(text or ""), hashes):
+                        for _ in range(times):
+                            row.append(i)
+                            item.append(k)
+                            size.append(m)
+                            covered.append(n)
+                            tiles.append([dict(zip(("doc_start", "item_start", "words"), x)) for x in sorted(t)])
                 share = [n / m for n, m in zip(covered, size)]
-                cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(item, to_arrow_type(item_type)), pa.array(size, pa.int32()), pa.array(covered, pa.int32()), pa.array(share, pa.float64()), pa.array(tiles, tile)]
+                cols = [b.column(0).take(pa.array(row, pa.int64())), pa.array(item, item_type), pa.array(size, pa.int32()), pa.array(covered, pa.int32()), pa.array(share, pa.float64()), pa.array(tiles, tile)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "item_id", "item_words", "covered", "coverage", "tiles"])
 
-        out = out.unionByName(picked.mapInArrow(run, schema))
+        return picked.mapInArrow(run, schema)
+
+    out = docs.sparkSession.createDataFrame([], schema)
+    for part in _block_by_block(docs, benchmark_blocks(benchmark, item_id, item_text, block_chars), tiling, step):
+        out = out.unionByName(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tiling: Tiling = Tiling(), block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns, in one pass over them.
+    """The rows of ``docs`` that hold no item, with all their columns; one pass for each block of items.
 
     Nulls, empty texts and repeated rows are as in contamination(): they stay if they hold nothing.
     """
-    at = docs.columns.index(text_col)
-    for index in _indexes(docs.sparkSession, benchmark, item_id, item_text, tiling, block_chars):
+    at, left = docs.columns.index(text_col), docs
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    def step(index: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
             for b in slices(batches):
                 clean = [not any(True for _ in index.value.found(normal_words(t or ""), hashes)) for t in b.column(at).cast(pa.string()).to_pylist()]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return left.mapInArrow(run, docs.schema)
+
+    for left in _block_by_block(docs, benchmark_blocks(benchmark, item_id, item_text, block_chars), tiling, step):  # noqa: B007  step() goes on from it
+        pass
+    return left
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -202,11 +202,45 @@ def test_a_million_repeated_words_take_memory_in_proportion():
     tiling, hashes = D.Tiling(), D.WordHashes()
     index = D.Index([(0, "la " * 60), (1, "la la la " * 20 + "end " * 30), (2, "none of these words is there at all " * 3)], tiling, hashes)
     h = hashes.of([b"la"] * 1_000_000)
-    p, q, n = index.matches(h)
-    assert len(p) < 2 * 1_000_200 and n.max() == 60
+    places, runs, items = index.candidates(h)
+    p, q, n = index.matches(h, D._Sums(h), places, runs, 0)
+    assert items.tolist() == [0, 1] and len(p) < 2 * 1_000_200 and n.max() == 60
     assert {k: n for k, _, n, _ in index.found([b"la"] * 1_000_000, hashes)} == {0: 60, 1: 60}
 
 
+def test_a_run_that_many_items_share_costs_no_pairs():
+    """A template of ten words in each of thousands of items, hundreds of times in a document: none is covered
+    by it, so no pair of places is made. One item that is there whole is found."""
+    import tracemalloc
+
+    template = " ".join(f"t{k}" for k in range(10))
+    items = [(k, template + " " + " ".join(f"i{k}w{j}" for j in range(16))) for k in range(4000)]
+    tiling, hashes = D.Tiling(), D.WordHashes()
+    index = D.Index(items, tiling, hashes)
+    text = " x ".join([template] * 400) + " y " + items[77][1]
+    words = D.normal_words(text)
+    assert index.candidates(hashes.of(words))[2].tolist() == [77]
+    tracemalloc.start()
+    assert [(k, n) for k, _, n, _ in index.found(words, hashes)] == [(77, 26)]
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
+def test_blocks_are_taken_one_after_the_other(spark):
+    """No worker holds two indexes: a stage has one Python step, whatever the number of blocks; repeated items repeat rows."""
+    rng = random.Random(8)
+    items = [(k % 30, " ".join(f"w{rng.randrange(300)}" for _ in range(25))) for k in range(40)]
+    items += [items[3]] * 3 + [(99, items[4][1])] * 2
+    docs = [(i, " ".join(["lead"] * i) + " " + items[i % 40][1]) for i in range(60)] + [(60, None), (61, "clean")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = D.contamination(d, b), D.contamination(d, b, block_chars=600)
+    rows = lambda df: sorted((r.doc_id, r.item_id, r.item_words, r.covered) for r in df.collect())
+    assert rows(one) == rows(many) and len(rows(one)) == 60 + 2 * 3 + 2 * 2
+    kept = D.drop_contaminated(d, b, block_chars=600)
+    assert sorted(r.doc_id for r in kept.collect()) == [60, 61]
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_short_items_are_found_whole():
     tiling, hashes = D.Tiling(), D.WordHashes()
     index = D.Index([(7, "Yes, indeed."), (8, ""), (9, None)], tiling, hashes)
