@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenospark.functions import constants as K
+from phenospark.storage import materialize
 
 
 def cosine_edges(vectors: DataFrame, id_col: str, vector: str, least: float, block: int = 2048) -> DataFrame:
@@ -86,18 +87,19 @@ def average_linkage(distances: np.ndarray, cut: float) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def vector_average_linkage(vectors: np.ndarray, cut: float) -> np.ndarray:
+def vector_average_linkage(vectors: np.ndarray, cut: float, size: np.ndarray | None = None) -> np.ndarray:
     """average_linkage() over cosine distances of all pairs of rows, without their matrix.
 
-    The mean distance of two clusters is 1 minus the product of their mean unit vectors, so a cluster
+    With ``size`` rows are clusters already, with the mean of their unit vectors. The mean distance of two clusters is 1 minus the product of their mean unit vectors, so a cluster
     is its mean and its size. Chains of nearest neighbours give the same tree as always merging the
     nearest pair, as a merge never brings a cluster nearer to a third. Memory is in proportion to the
     rows, time to their square.
     """
-    x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300) if size is None else vectors.copy()
     n = len(x)
     # Rows 0 to live-1 are the clusters that can still merge; ``of`` is the label of each.
-    size, of, parent, live = np.ones(n), np.arange(n), np.arange(n), n
+    size = np.ones(n) if size is None else size.astype(float)
+    of, parent, live = np.arange(n), np.arange(n), n
     chain: list[int] = []
     while live > 1:
         if not chain:
@@ -191,12 +193,17 @@ def linkage_clusters(pairs: DataFrame, group: str, a: str, b: str, distance: str
     return pairs.groupBy(group).applyInArrow(run, f"{group} {gkind}, node {kind}, cluster int")
 
 
-def linkage_vectors(rows: DataFrame, group: str, node: str, vector: str, cut: float) -> DataFrame:
+def linkage_vectors(rows: DataFrame, group: str, node: str, vector: str, cut: float, largest: int = 5000) -> DataFrame:
     """``group, node, cluster`` of every row by average linkage over the cosine distances of all pairs
     of a group. Groups that are connected components of pairs below a cut no tighter than ``cut``
-    give the clusters of the whole table. A null vector is a cluster of its own."""
+    give the clusters of the whole table. A null vector is a cluster of its own. Clusters of a group
+    are numbered from 0. A group of more than ``largest`` nodes is never one task: its clusters come
+    from linkage.by_rounds()."""
+    from . import linkage
+
     kind, gkind = dict(rows.dtypes)[node], dict(rows.dtypes)[group]
     picked = rows.select(F.col(group).alias(group), F.col(node).alias("node"), F.col(vector).cast("array<double>").alias("v"))
+    large = materialize(picked.groupBy(group).count().filter(F.col("count") > largest).select(group), "large-groups")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("node")
@@ -209,7 +216,12 @@ def linkage_vectors(rows: DataFrame, group: str, node: str, vector: str, cut: fl
         found = np.unique(found, return_inverse=True)[1]
         return pa.table({group: t[group], "node": t["node"], "cluster": pa.array(found, pa.int32())})
 
-    return picked.groupBy(group).applyInArrow(run, f"{group} {gkind}, node {kind}, cluster int")
+    if not large.head(1):
+        return picked.groupBy(group).applyInArrow(run, f"{group} {gkind}, node {kind}, cluster int")
+    same = F.col(group).eqNullSafe(F.col("__large"))
+    large = large.withColumnRenamed(group, "__large")
+    small = picked.join(large, same, "left_anti").groupBy(group).applyInArrow(run, f"{group} {gkind}, node {kind}, cluster int")
+    return small.unionByName(linkage.numbered(linkage.by_rounds(picked.join(large, same, "left_semi"), group, "node", "v", cut, tail=largest), group))
 
 
 def minhash_signatures(rows: DataFrame, id_col: str, tokens: str, seeds: list[int]) -> DataFrame:
