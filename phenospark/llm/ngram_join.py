@@ -364,6 +364,8 @@ def _bucket_pairs(members: DataFrame, join: Join, every: bool = False) -> DataFr
 
 #: About so many nodes of a large group stand in each of its blocks, to connect them.
 HUBS = 8
+#: Blocks of a very large group that are put together where its strays meet all of them.
+WIDE = 16
 
 
 def component_links(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
@@ -372,9 +374,12 @@ def component_links(docs: DataFrame, members: DataFrame, id_col: str, text_col:
     A group of one block is joined as it is. A larger one takes two rounds. In the first, each block
     is joined in itself, with some hubs that stand in all blocks. What hangs together then, mostly the
     group of copies around the hubs, needs no further comparison in itself. In the second, nodes
-    outside their group's largest part, the strays, meet all blocks if they are few. If more than
-    half of a group are strays, all its blocks meet, and in a group of very many blocks the buckets
-    of bands instead (see _large_groups). So the work follows a group's size, not its square.
+    outside their group's largest part, the strays, meet all blocks if they are at most half of the
+    group, s of n nodes: each node goes to every block of strays, each stray to every block of nodes.
+    In a group of more blocks than there are bands, up to ``WIDE`` of them are put together for that,
+    as tokens allow; so a node travels s / (WIDE * block) times, and the rows that move grow with
+    s * n / (WIDE * block). If more than half are strays, all the group's blocks meet, and in a group
+    of very many blocks the buckets of bands instead (see _large_groups).
     """
     small = _with_tokens(docs, members.filter("blocks = 1"), id_col, text_col, join)
     first = _join_groups(small.select("node", "tokens", "root", F.lit(0).alias("side")), ["root"], join)
@@ -402,9 +407,12 @@ def component_links(docs: DataFrame, members: DataFrame, id_col: str, text_col:
     if not scattered.isEmpty():
         mixed = named.join(scattered.select("root"), "root").select("node", "label")
         second.append(_large_groups(materialize(members.select("node", "tokens", "root", "blocks", "at").join(mixed, "node"), "scattered"), join))
-    stray_blocks = F.ceil((F.col("k_all") - F.col("k_main")) / join.block).cast("int")
-    known = named.join(groups.filter("few").select("root", "main", stray_blocks.alias("strays")), "root").select("node", "strays", (F.col("label") != F.col("main")).alias("stray"))
-    known = tokens.join(known, "node")
+    size = members.filter(F.col("blocks") > join.bands).groupBy("root").agg(F.sum(F.length("tokens") / 8 / F.col("blocks")).alias("in_block"), F.max("blocks").alias("all"))
+    room = F.floor(F.least(F.lit(WIDE), F.col("all") / join.bands, F.lit(2 * join.block_tokens) / F.col("in_block")))
+    few = groups.filter("few").join(size.select("root", F.greatest(F.lit(1), room).cast("int").alias("wide")), "root", "left").withColumn("wide", F.coalesce("wide", F.lit(1)))
+    stray_blocks = F.ceil((F.col("k_all") - F.col("k_main")) / (join.block * F.col("wide"))).cast("int")
+    known = named.join(few.select("root", "main", "wide", stray_blocks.alias("strays")), "root").select("node", "strays", "wide", (F.col("label") != F.col("main")).alias("stray"))
+    known = tokens.join(known, "node").withColumns({"at": F.floor(F.col("at") / F.col("wide")).cast("int"), "blocks": F.ceil(F.col("blocks") / F.col("wide")).cast("int")})
     every_stray = known.select("node", "tokens", "root", F.lit(0).alias("side"), "at", F.explode(F.sequence(F.lit(0), F.col("strays") - 1)).alias("with"))
     strays = known.filter("stray").select("node", "tokens", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("at"), F.pmod(F.xxhash64("node", F.lit(2)), F.col("strays")).cast("int").alias("with"))
     second.append(_join_groups(every_stray.unionByName(strays), ["root", "at", "with"], join))

@@ -326,3 +326,26 @@ def test_large_groups_in_rounds(spark, seed, percent, block):
     got = [tuple(r) for r in N.ngram_components(docs, join=N.Join(shingle=3, percent=percent, block=block, leaf=4, fan=2)).collect()]
     assert sorted(got) == sorted(want)
     assert len({c for _, _, c in want}) > 5
+
+
+@pytest.mark.parametrize("bands,copies", [(64, 25), (6, 12)])
+def test_copies_of_a_node_are_bounded(spark, monkeypatch, bands, copies):
+    """A group of many blocks of which 40 % hang on late or not at all. With few bands its blocks count as
+    too many, and several are put together where strays meet them."""
+    rng = random.Random(6)
+    base = [f"h{i}" for i in range(60)]
+    texts = []
+    for i in range(200):
+        w = list(base)
+        for _ in range(rng.choice([0, 1]) if i < 120 else rng.choice([4, 5])):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    sent = []
+    join_groups = N._join_groups
+    monkeypatch.setattr(N, "_join_groups", lambda df, *a, **k: (sent.append(df.count()), join_groups(df, *a, **k))[1])
+    join = N.Join(shingle=1, percent=86, block=8, bands=bands, miss=1e-8 if bands == 64 else 1e-3, leaf=4, fan=2)
+    got = [tuple(r) for r in N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), join=join).collect()]
+    want, _ = brute_components(rows, 1, 86)
+    assert sorted(got) == sorted(want)
+    assert sent[-1] <= copies * len(set(texts)), sent
