@@ -25,19 +25,23 @@ _BASES = np.full(256, 4, np.uint64)
 _BASES[[ord(c) for c in "ACGT"]] = np.arange(4)
 
 
-def kmer_codes(seq: bytes, k: int) -> np.ndarray:
-    """Two bits a base for every k-mer of A, C, G, T (k up to 32), by doubling: log k vector steps."""
+def all_codes(seq: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(two bits a base for the k-mer at every place, whether it has A, C, G and T only); k up to 32, by doubling."""
     x = _BASES[np.frombuffer(seq, np.uint8)]
-    n = len(x) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+    if len(x) < k:
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
     bad = np.concatenate(([0], np.cumsum(x == 4)))
-    good = bad[k:] == bad[:-k]
     code, width = x & np.uint64(3), 1
     for bit in bin(k)[3:]:
         code, width = code[:-width] << np.uint64(2 * width) | code[width:], 2 * width
         if bit == "1":
             code, width = code[:-1] << np.uint64(2) | (x & np.uint64(3))[width:], width + 1
+    return code, bad[k:] == bad[:-k]
+
+
+def kmer_codes(seq: bytes, k: int) -> np.ndarray:
+    """The codes of every k-mer of A, C, G and T."""
+    code, good = all_codes(seq, k)
     return code[good]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from phenospark.operators import linkage, pivots, similarity
+from phenospark.operators import gates, linkage, minimizers, pivots, signature_join, similarity
 
 
 def clustered(seed, n, dims, centres, spread):
@@ -105,3 +105,82 @@ def test_large_groups_are_no_task(spark):
             numbers.setdefault(r.g, set()).add(r.cluster)
         assert all(s == set(range(len(s))) for s in numbers.values())
     assert similarity.linkage_vectors(df.limit(0), "g", "n", "e", 0.2).count() == 0
+
+
+# ---------------------------------------------------------------- signatures, probes
+
+
+def signatures(seed, n, size):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 60, (6, size))
+    x = base[rng.integers(0, 6, n)]
+    change = rng.random((n, size)) < rng.choice([0.02, 0.1, 0.4], n)[:, None]
+    x = np.where(change, rng.integers(0, 1 << 60, (n, size)), x)
+    x[:, 0] = 7  # a token that all have
+    x[10:50] = x[10]
+    return x
+
+
+@pytest.mark.parametrize("seed, least, block", [(1, 26, 512), (2, 20, 9), (3, 32, 16), (4, 1, 64)])
+def test_prefix_join_equals_all_pairs(spark, seed, least, block):
+    x = signatures(seed, 220, 32)
+    df = spark.createDataFrame([(f"g{i:03}", row.tolist()) for i, row in enumerate(x)] + [("none", None)], "g string, sig array<long>").repartition(5)
+    of = signature_join.classes(df, "g", "sig")
+    got = {(r.a, r.b): r.agree for r in signature_join.agreeing_pairs(of, least, block).collect()}
+    reps = {}
+    for i, row in enumerate(x):
+        reps.setdefault(tuple(row), f"g{i:03}")
+    items = list(reps.items())
+    want = {}
+    for i, (s, a) in enumerate(items):
+        for t, b in items[i + 1 :]:
+            n = sum(p == q for p, q in zip(s, t))
+            if n >= least:
+                want[a, b] = n
+    assert got == want
+    assert {(r.rep, r.id) for r in signature_join.members(df, "g", "sig", of).collect()} == {(reps[tuple(row)], f"g{i:03}") for i, row in enumerate(x)}
+
+
+def test_prefix_join_of_nothing(spark):
+    of = signature_join.classes(spark.createDataFrame([(1, None)], "g long, sig array<long>"), "g", "sig")
+    assert signature_join.agreeing_pairs(of, 3).count() == 0
+    assert signature_join.least_agreement(0.01, 21, 128) == next(n for n in range(129) if n and -np.log(2 * n / 128 / (1 + n / 128)) / 21 <= 0.01)
+
+
+@pytest.mark.parametrize("group_bytes, group_probes", [(4_000_000, 200_000), (300, 20)])
+def test_probes_by_minimizers(spark, monkeypatch, group_bytes, group_probes):
+    monkeypatch.setattr(minimizers, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(minimizers, "GROUP_PROBES", group_probes)
+    rng = np.random.default_rng(3)
+    dna = lambda n: "".join(rng.choice(list("ACGT"), n))
+    loci = [dna(120) for _ in range(6)] + ["A" * 90]
+    seqs = [dna(200) + loci[i % 7][: 40 + 10 * (i % 6)] + dna(50) for i in range(40)] + ["A" * 5000, "N" * 100, "ACGT", "", None, loci[0].lower(), loci[1][:60] + "N" + loci[1][60:]]
+    contigs = spark.createDataFrame([(i // 2, s) for i, s in enumerate(seqs)] + [(0, seqs[0])], "genome long, seq string").repartition(4)
+    comp = str.maketrans("ACGT", "TGCA")
+    ref = sorted({(f"l{j}", strand, k) for j, s in enumerate(loci) for i in range(0, len(s) - 20, 7) for strand, k in (("fwd", s[i : i + 21]), ("rc", s[i : i + 21].translate(comp)[::-1]))})
+    panel = spark.createDataFrame(ref, "locus string, strand string, kmer string")
+    want = {(i // 2, x, strand, k) for i, s in enumerate(seqs) for x, strand, k in ref if k in (s or "")}
+    assert {tuple(r) for r in minimizers.probe_hits(contigs, "genome", panel).collect()} == want and len(want) > 100
+    dense = {(r.genome, r.locus): r.share for r in gates.kmer_share(contigs, "genome", panel).collect() if r.share}
+    assert {(r.genome, r.locus): r.share for r in minimizers.kmer_shares(contigs, "genome", panel).collect()} == dense
+
+
+def test_minimizers_are_those_of_the_windows():
+    rng = np.random.default_rng(1)
+    s = "".join(rng.choice(list("ACGTN"), 400, p=[0.24, 0.24, 0.24, 0.24, 0.04])).encode()
+    least, good = minimizers.minimizers(s, 21)
+    for i in range(len(s) - 20):
+        assert good[i] == (b"N" not in s[i : i + 21])
+        if good[i]:
+            assert least[i] == minimizers.minimizers(s[i : i + 21], 21)[0][0]
+    wanted = np.ones(4**11, bool)
+    covered = [p for a, b, x in minimizers.runs(s, 21, wanted) for p in range(a, b - 20)]
+    assert covered == np.flatnonzero(good).tolist()
+
+
+def test_probes_of_another_kind_are_refused(spark):
+    contigs = spark.createDataFrame([(1, "ACGT" * 20)], "genome long, seq string")
+    for kmers in (["ACG"], ["ACGTACGTACGTN"], ["ACGTACGTACGT", "ACGTACGTACGTA"]):
+        with pytest.raises(ValueError):
+            minimizers.probe_hits(contigs, "genome", spark.createDataFrame([("l", "fwd", k) for k in kmers], "locus string, strand string, kmer string"))
+    assert minimizers.probe_hits(contigs, "genome", spark.createDataFrame([], "locus string, strand string, kmer string")).count() == 0
