@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -268,13 +269,14 @@ def genome_signatures(contigs: DataFrame, genome: str, order: str, seq: str, see
         for b in batches:
             out = []
             for s in b.column(1).to_pylist():
-                best, seen = np.full(len(table), np.iinfo(np.int64).max), set()
-                for i in range(len(s or "") - k + 1):
-                    w = s[i : i + k]
-                    if w not in seen and not w.strip("ACGT"):
-                        seen.add(w)
-                        best = np.minimum(best, int(hashlib.md5(w.encode()).hexdigest()[:15], 16) ^ table)
-                out.append(best if seen else None)
+                best, whole = np.full(len(table), np.iinfo(np.int64).max), [p.encode() for p in re.findall("[ACGT]+", s or "") if len(p) >= k]
+                for p in whole:
+                    for at in range(0, len(p) - k + 1, 50_000):  # so many k-mers are hashed at once
+                        kmers = {p[i : i + k] for i in range(at, min(at + 50_000, len(p) - k + 1))}
+                        first = np.frombuffer(b"".join(hashlib.md5(w).digest()[:8] for w in kmers), ">u8")
+                        h = (first >> np.uint64(4)).astype(np.int64)
+                        best = np.minimum(best, np.array([(h ^ x).min() for x in table]))
+                out.append(best if whole else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["g", "m"])
 
     parts = counted.select("g", "s").mapInArrow(run, f"g {kind}, m array<long>")

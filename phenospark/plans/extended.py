@@ -146,7 +146,7 @@ def stratified_folds_split(spark, d):
 @query("genome_signatures")
 def genome_signatures(spark, d):
     doc = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("contig", "line"))
-    return similarity.genome_signatures(doc.select("doc_id", "contig", Q.to_dna(F.col("line")).alias("seq")), "doc_id", "contig", "seq", [0, 1234567, 1 << 40], k=31, most=2000)
+    return similarity.genome_signatures(doc.select("doc_id", "contig", Q.to_dna(F.col("line")).alias("seq")), "doc_id", "contig", "seq", [0, 1234567, 1 << 40], k=31)
 
 
 # ---------------------------------------------------------------- labels

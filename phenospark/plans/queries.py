@@ -16,6 +16,7 @@ from phenospark.functions import scoring as S
 from phenospark.functions import sequence as Q
 from phenospark.operators import evidence, features, gates, graph, labels, metrics, models, nocall, serving, similarity, splits, store
 from phenospark.sources import readers
+from phenospark.storage import materialize
 from phenospark.streaming import counts
 
 from .tables import EDGES_SQL, MEASUREMENTS_SQL, PRESENCE_SQL, SCORED_SQL, edges, measurements, presence, scored, table
@@ -385,8 +386,8 @@ _SPLIT_SQL = f"""{_COMPONENTS_SQL}, sizes AS (SELECT root, count(*) AS size FROM
 split AS (SELECT node, root, CASE WHEN root IN (SELECT root FROM held) THEN 'heldout_group' WHEN root % 10 < 7 THEN 'train' ELSE 'test' END AS split FROM comp)"""
 
 
-def _splits(spark, d):
-    c = graph.connected_components(edges(spark, d), "a", "b", table(spark, d, "embeddings"), "vec_id")
+def _splits(spark, d, e=None):
+    c = graph.connected_components(edges(spark, d) if e is None else e, "a", "b", table(spark, d, "embeddings"), "vec_id")
     held = splits.heldout_clusters(c, "root", 5).select("root", F.lit(True).alias("held"))
     s = F.when(F.col("held"), "heldout_group").when(F.col("root") % 10 < 7, "train").otherwise("test")
     return c.join(held, "root", "left").select("node", "root", s.alias("split"))
@@ -404,7 +405,8 @@ SELECT (SELECT sum(CAST(k > 1 AS INT)) FROM (SELECT root, count(DISTINCT split)
   coalesce(sum(CAST(cosine >= 0.4 AS INT)), 0) AS violations, round(max(CASE WHEN sa IN ('train', 'heldout_group') AND sb IN ('train', 'heldout_group') THEN cosine END), 6) AS max_train_heldout FROM x""",
 )
 def leakage_audit(spark, d):
-    a = splits.leakage_audit(edges(spark, d), _splits(spark, d), "a", "b", "cosine", "node", "root", "split", 0.4)
+    e = materialize(edges(spark, d), "similar")
+    a = splits.leakage_audit(e, _splits(spark, d, e), "a", "b", "cosine", "node", "root", "split", 0.4)
     return a.select("spanning_clusters", r6("max_cross", "max_cross"), "violations", r6("max_train_heldout", "max_train_heldout"))
 
 
@@ -1038,4 +1040,4 @@ def linkage_clusters(spark, d):
     return similarity.linkage_vectors(v.join(roots, "node"), "root", "node", "embedding", cut=0.62)
 
 
-from . import extended  # noqa: E402, F401  it registers more queries with what is above
+from . import extended, similar  # noqa: E402, F401  they register more queries with what is above
