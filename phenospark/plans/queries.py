@@ -773,7 +773,7 @@ def assembly_qc(spark, d):
     return gates.assembly_qc(c, "doc_id", F.length("line"), 500, 5000, 8)
 
 
-SEEDS = [(i * 2654435761) % (1 << 60) for i in range(128)]
+SEEDS = [(i * 0x9E3779B97F4A7C15) % (1 << 60) for i in range(128)]
 _SEEDS_SQL = "[" + ",".join(map(str, SEEDS)) + "]::BIGINT[]"
 _SIGNATURE_SQL = f"""w AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS ws FROM documents),
 h AS (SELECT doc_id, list_transform(ws, lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT) AS hs FROM w),
