@@ -28,12 +28,16 @@ def least_agreement(distance: float, k: int, size: int) -> int:
     return max(1, math.ceil(j * size - 1e-9))
 
 
-def _tokens(signatures: np.ndarray) -> np.ndarray:
-    x = signatures.astype(np.uint64) ^ (np.arange(signatures.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(31))
 
 
+def _tokens(signatures: np.ndarray) -> np.ndarray:
+    """A number for each place and what stands there; a clash only brings more signatures together."""
+    return _mix(_mix(signatures.astype(np.uint64)) + np.arange(signatures.shape[1], dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
@@ -81,9 +85,9 @@ def agreeing_pairs(of: DataFrame, least: int, block: int = 512) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["rep", "signature", "prefix"])
 
     chosen = materialize(of.select("rep", "signature").mapInArrow(choose, f"rep {kind}, signature array<bigint>, prefix array<bigint>"), "prefixes")
-    shared = chosen.select(F.explode("prefix").alias("token")).groupBy("token").count().filter("count > 1")
+    shared = chosen.select(F.explode(F.array_distinct("prefix")).alias("token")).groupBy("token").count().filter("count > 1")
     shared = shared.select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    dealt = chosen.select("*", F.explode("prefix").alias("token")).join(shared, "token")
+    dealt = chosen.select("*", F.explode(F.array_distinct("prefix")).alias("token")).join(shared, "token")
     dealt = dealt.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "signature", "prefix", "token", "at", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"))
 

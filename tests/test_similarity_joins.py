@@ -121,8 +121,11 @@ def signatures(seed, n, size):
     return x
 
 
+@pytest.mark.parametrize("clash", [False, True])
 @pytest.mark.parametrize("seed, least, block", [(1, 26, 512), (2, 20, 9), (3, 32, 16), (4, 1, 64)])
-def test_prefix_join_equals_all_pairs(spark, seed, least, block):
+def test_prefix_join_equals_all_pairs(spark, monkeypatch, seed, least, block, clash):
+    if clash:  # places have the same tokens, also within a signature
+        monkeypatch.setattr(signature_join, "_tokens", lambda x: x.astype(np.uint64) % np.uint64(50))
     x = signatures(seed, 220, 32)
     df = spark.createDataFrame([(f"g{i:03}", row.tolist()) for i, row in enumerate(x)] + [("none", None)], "g string, sig array<long>").repartition(5)
     of = signature_join.classes(df, "g", "sig")
