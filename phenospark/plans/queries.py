@@ -1040,4 +1040,4 @@ def linkage_clusters(spark, d):
     return similarity.linkage_vectors(v.join(roots, "node"), "root", "node", "embedding", cut=0.62)
 
 
-from . import extended, similar  # noqa: E402, F401  they register more queries with what is above
+from . import durable, extended, similar  # noqa: E402, F401  they register more queries with what is above
