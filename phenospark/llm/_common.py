@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 
 from phenospark.storage import discard, materialize, shared_dir
 
-__all__ = ["WordHashes", "crc_mod", "discard", "materialize", "per_batch", "rolling", "shared_dir", "slices", "small_batches", "words"]
+__all__ = ["WordHashes", "crc_mod", "discard", "materialize", "per_batch", "rolling", "shared_dir", "slices", "small_batches", "words", "write_few"]
+
+
+def write_few(df: DataFrame, name: str) -> DataFrame:
+    """materialize() in fewer files, for operators that write many small tables one after the other.
+
+    Each file that is written to a local folder makes the executor start a process; where very many
+    are, these weigh more than some width of the stage.
+    """
+    return materialize(df, name, files_per_core=3)
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
-from ._common import WordHashes, discard, materialize, rolling, slices, small_batches, words
+from ._common import WordHashes, discard, rolling, slices, small_batches, words, write_few
 from .components import UnionFind, components
 
 
@@ -235,7 +235,7 @@ def _routes(sets: DataFrame) -> DataFrame:
     """
     keyed = sets.select("short", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("short").alias("first"), F.max("short").alias("last")).filter("first != last").select("key", "first")
-    shared = materialize(shared, "bands")
+    shared = write_few(shared, "bands")
     bits = bitmaps.filter_bits(shared.count())
     hits = bitmaps.probe(keyed, F.col("key"), bitmaps.member_filter(shared, "key", bits), bits).filter("__hit").drop("__hit").distinct()
     return hits.join(shared, "key").filter("short != first").select(F.col("short").alias("a"), F.col("first").alias("b"))
@@ -253,7 +253,7 @@ def _members(near: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("size") / join.block), F.ceil(F.col("__t") / join.block_tokens)).cast("int")
     groups = groups.select("root", "size", blocks.alias("blocks"))
     dealt = members.join(groups, "root")
-    return materialize(dealt.select("node", "rep", "root", "size", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at")), "members")
+    return write_few(dealt.select("node", "rep", "root", "size", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at")), "members")
 
 
 def _with_tokens(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
@@ -352,10 +352,10 @@ def _bucket_pairs(members: DataFrame, join: Join, every: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column("node").take(at), b.column("label").take(at), keys, size], names=["node", "label", "key", "n"])
 
     keyed = members.select("node", "label", "tokens").mapInArrow(run, "node binary, label binary, key long, n long")
-    keyed = materialize(keyed, "buckets")
+    keyed = write_few(keyed, "buckets")
     mixed = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
     blocks = F.greatest(F.ceil(F.col("c") / join.block), F.ceil(F.col("t") / join.block_tokens)).cast("int")
-    mixed = materialize(mixed.select("key", blocks.alias("blocks")), "mixed")
+    mixed = write_few(mixed.select("key", blocks.alias("blocks")), "mixed")
     dealt = keyed.join(mixed, "key").select("node", "label", "key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("at"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", F.col("label").alias("side"), "key", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"))
@@ -383,22 +383,22 @@ def component_links(docs: DataFrame, members: DataFrame, id_col: str, text_col:
     """
     small = _with_tokens(docs, members.filter("blocks = 1"), id_col, text_col, join)
     first = _join_groups(small.select("node", "tokens", "root", F.lit(0).alias("side")), ["root"], join)
-    first = materialize(first.select("a", "b"), "links")
+    first = write_few(first.select("a", "b"), "links")
     large = members.filter("blocks > 1")
     if large.isEmpty():
         return first
-    members = materialize(_with_tokens(docs, large, id_col, text_col, join), "tokens")
+    members = write_few(_with_tokens(docs, large, id_col, text_col, join), "tokens")
     hub = (F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < HUBS)
     places = F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("at"))
     own = _join_groups(members.select("node", "tokens", "root", F.lit(0).alias("side"), F.explode(places).alias("at")), ["root", "at"], join)
-    own = materialize(own.select("a", "b"), "links")
+    own = write_few(own.select("a", "b"), "links")
     first = first.unionByName(own)
     label = components(own).withColumnRenamed("root", "label")
     named = large.join(label, "node", "left").select("node", "root", "blocks", "at", F.coalesce("label", "node").alias("label"))
-    named = materialize(named, "parts")
+    named = write_few(named, "parts")
     sizes = named.groupBy("root", "label").agg(F.count(F.lit(1)).alias("k"))
     groups = sizes.groupBy("root").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("k_main"), F.sum("k").alias("k_all"))
-    groups = materialize(groups.filter("k_main < k_all").withColumn("few", F.expr("2 * (k_all - k_main) <= k_all")), "groups")
+    groups = write_few(groups.filter("k_main < k_all").withColumn("few", F.expr("2 * (k_all - k_main) <= k_all")), "groups")
     if groups.isEmpty():
         return first
     tokens = members.select("node", "tokens", "root", "blocks", "at")
@@ -406,7 +406,7 @@ def component_links(docs: DataFrame, members: DataFrame, id_col: str, text_col:
     second = []
     if not scattered.isEmpty():
         mixed = named.join(scattered.select("root"), "root").select("node", "label")
-        second.append(_large_groups(materialize(members.select("node", "tokens", "root", "blocks", "at").join(mixed, "node"), "scattered"), join))
+        second.append(_large_groups(write_few(members.select("node", "tokens", "root", "blocks", "at").join(mixed, "node"), "scattered"), join))
     size = members.filter(F.col("blocks") > join.bands).groupBy("root").agg(F.sum(F.length("tokens") / 8 / F.col("blocks")).alias("in_block"), F.max("blocks").alias("all"))
     room = F.floor(F.least(F.lit(WIDE), F.col("all") / join.bands, F.lit(2 * join.block_tokens) / F.col("in_block")))
     few = groups.filter("few").join(size.select("root", F.greatest(F.lit(1), room).cast("int").alias("wide")), "root", "left").withColumn("wide", F.coalesce("wide", F.lit(1)))
@@ -431,11 +431,11 @@ HEAVY_SHARE, HEAVY_ROWS = 1 / 1000, 64
 
 def _routed(docs: DataFrame, id_col: str, text_col: str, join: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
     """document_sets() without bands, document_nodes(), and (short name, root) of nodes in a group."""
-    full = materialize(document_sets(docs, id_col, text_col, join), "sets")
-    sets = materialize(full.drop("bands"), "sets")
+    full = write_few(document_sets(docs, id_col, text_col, join), "sets")
+    sets = write_few(full.drop("bands"), "sets")
     near = components(_routes(full))
     discard(full)  # the bands take more room than all else
-    return sets, materialize(document_nodes(sets), "nodes"), near
+    return sets, write_few(document_nodes(sets), "nodes"), near
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFrame:
@@ -443,14 +443,14 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, join: Join) -> DataFra
     with small_batches(docs.sparkSession):
         sets, nodes, near = _routed(docs, id_col, text_col, join)
         # Written first, so that no task needs a Python worker for the trees and another for components.
-        links = materialize(component_links(docs, _members(near, nodes, join), id_col, text_col, join), "links")
+        links = write_few(component_links(docs, _members(near, nodes, join), id_col, text_col, join), "links")
         linked = components(links)
     rooted = nodes.select("node", "rep", "copies").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Only nodes with a link, and the roots that they lead to, need to be grouped.
     grouped = rooted.join(linked.select("root").distinct(), "root", "left_semi")
     least = grouped.groupBy("root").agg(F.min("rep").alias("least"))
     named = rooted.join(least, "root", "left").select("node", "root", F.coalesce("least", "rep").alias("component_id"), "copies")
-    named = materialize(named, "named")
+    named = write_few(named, "named")
     most = max(HEAVY_ROWS, int(sets.count() * HEAVY_SHARE))
     own = sets.select("id", "text_hash", "n", "node")
     heavy = F.broadcast(named.filter(F.col("copies") > most).drop("copies"))  # fewer than 1 / HEAVY_SHARE rows
@@ -481,11 +481,11 @@ def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     with small_batches(docs.sparkSession):
         sets, nodes, near = _routed(docs, id_col, text_col, join)
-        members = materialize(_with_tokens(docs, _members(near, nodes, join), id_col, text_col, join), "tokens")
+        members = write_few(_with_tokens(docs, _members(near, nodes, join), id_col, text_col, join), "tokens")
         small = members.filter("blocks = 1").select("node", "tokens", "root", F.lit(0).alias("side"))
         large = members.filter("blocks > 1").withColumn("label", F.col("node"))
         links = _join_groups(small, ["root"], join, every=True).unionByName(_large_groups(large, join, True))
-        links = materialize(links.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}), "links")
+        links = write_few(links.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}), "links")
     links = links.dropDuplicates(["a", "b"])
     rep = nodes.select("node", "rep")
     pairs = links.join(rep.toDF("a", "rep_a"), "a").join(rep.toDF("b", "rep_b"), "b")
@@ -499,12 +499,12 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     If several texts have that id, one of the texts stays; rows that are the same in id and text
     stay or go together. Texts with the empty set stay.
     """
-    rows = materialize(_classes(docs, id_col, text_col, join), "classes").filter("node is not null")
+    rows = write_few(_classes(docs, id_col, text_col, join), "classes").filter("node is not null")
     heads = rows.filter(F.col("id").eqNullSafe(F.col("component_id")))
     one = heads.groupBy("root").agg(F.min("text_hash").alias("stays"))
     doubled = heads.select("root", "id", "text_hash").join(one, "root").filter("text_hash != stays").select("id", "text_hash")
     gone = rows.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "text_hash").unionByName(doubled).distinct()
-    gone = materialize(gone.select(F.xxhash64("id", "text_hash").alias("__k"), F.col("id").alias("__id"), F.col("text_hash").alias("__text")), "gone")
+    gone = write_few(gone.select(F.xxhash64("id", "text_hash").alias("__k"), F.col("id").alias("__id"), F.col("text_hash").alias("__text")), "gone")
     bits = bitmaps.filter_bits(gone.count())
     text = F.xxhash64(F.col(text_col).cast("string"))
     keyed = docs.withColumn("__own", text).withColumn("__key", F.xxhash64(F.col(id_col), F.col("__own")))

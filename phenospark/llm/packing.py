@@ -196,18 +196,15 @@ class _Encoder:
     tiktoken give the same ids several times faster; texts with rare scripts, or with the content
     of an added token, go to the slower library itself."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, added: tuple[str, ...]):
         import base64
-        import json
 
         import public_tokenizers
         import tiktoken
 
-        self.name, self._slow = name, None
+        self.name, self.added, self._slow = name, added, None
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
-            self.added = [t["content"] for t in json.load(f).get("added_tokens", ())]
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @property
@@ -228,9 +225,20 @@ class _Encoder:
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
 
-def encoder(name: str) -> _Encoder:
+def added_tokens(name: str) -> tuple[str, ...]:
+    """What a tokenizer's file says of tokens that stand for themselves; it takes some tens of MB to read."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        return tuple(t["content"] for t in json.load(f).get("added_tokens", ()))
+
+
+def encoder(name: str, added: tuple[str, ...] | None = None) -> _Encoder:
+    """``added`` spares the worker the reading of added_tokens()."""
     if name not in _encoders:
-        _encoders[name] = _Encoder(name)
+        _encoders[name] = _Encoder(name, added_tokens(name) if added is None else added)
     return _encoders[name]
 
 
@@ -241,8 +249,10 @@ def cut(n: int, longest: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, longest: int, tokenizer: str, end_id: int) -> DataFrame:
+    added = added_tokens(tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, enc = {}, encoder(tokenizer)
+        seen, enc = {}, encoder(tokenizer, added)
         for b in slices(batches):
             row, piece, start, length, crc, rank = [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
