@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phenospark.operators import metrics, trees
+from phenospark.operators import metrics, name_index, trees
 from phenospark.sources import feature_store
 from phenospark.storage import scratch
 from phenospark.streaming import counts, durable, status
@@ -87,3 +87,22 @@ def resampled_ci(spark, d):
     """Documents as clusters, each metric: far more clusters than a driver would want a row of."""
     rows = [(m, *(metrics.resampled_ci(scored(spark, d), "doc_id", metric=m, draws=300) or (None, None))) for m in ("balanced_accuracy", "brier", "auroc")]
     return spark.createDataFrame(rows, "metric string, low double, high double")
+
+
+@query(
+    "name_search",
+    """WITH now AS (SELECT c_custkey, CASE WHEN c_custkey % 10 = 3 THEN 'Renamed ' || c_name ELSE c_name END AS c_name FROM customer),
+q AS (SELECT * FROM (VALUES ('cust 00000001', 'cust', '00000001'), ('renamed', 'renamed', 'renamed'), ('99', '99', '99'), ('nobody here', 'nobody', 'here')) v(text, one, two)),
+named AS (SELECT text, c_custkey, c_name, row_number() OVER (PARTITION BY text ORDER BY c_custkey) AS k FROM now, q
+  WHERE EXISTS (SELECT 1 FROM unnest(regexp_split_to_array(lower(c_name), '[^a-z0-9]+')) w(x) WHERE starts_with(x, one)) AND EXISTS (SELECT 1 FROM unnest(regexp_split_to_array(lower(c_name), '[^a-z0-9]+')) w(x) WHERE starts_with(x, two)))
+SELECT text, c_custkey, c_name FROM named WHERE k <= 20 UNION SELECT text, c_custkey, c_name FROM now, q WHERE contains(CAST(c_custkey AS VARCHAR), text)""",
+)
+def name_search(spark, d):
+    """Searches from postings of all customers, a tenth of which got another name in an upsert."""
+    index = name_index.NameIndex(scratch(spark, "name-index"), "c_custkey", "c_name", buckets=16)
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    changed = c.filter("c_custkey % 10 = 3")
+    index.add(c, 0)
+    index.add(changed.withColumn("c_name", F.concat(F.lit("Renamed "), "c_name")), 1, changed)
+    found = [index.search(spark, text).select(F.lit(text).alias("text"), "c_custkey", "c_name") for text in ("cust 00000001", "renamed", "99", "nobody here")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
