@@ -37,23 +37,35 @@ def audit_counts(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
     return rows.select(F.explode(pairs).alias("x")).groupBy("x.key", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ballots(rows: DataFrame, keys: list[str], submitted: str, rederived: str, year: str, first: Column) -> DataFrame:
+    """A row for each kind of vote of a group: ``__s, __r, __y``, how many rows cast it (``__k``) and the
+    smallest ``first`` of them (``__first``); with what counts in the group: ``__has, __all, __call, __last``.
+
+    Kinds are counted where the rows are, so a group with very many rows is a few rows from then on,
+    and the windows see no others.
+    """
+    kinds = rows.select(*keys, F.col(submitted).alias("__s"), F.col(rederived).alias("__r"), F.col(year).alias("__y"), first.alias("__f"))
+    kinds = kinds.groupBy(*keys, "__s", "__r", "__y").agg(F.count(F.lit(1)).alias("__k"), F.min("__f").alias("__first"))
+    w = Window.partitionBy(*keys)
+    pool = kinds.withColumn("__has", F.max(F.col("__r").isNotNull()).over(w)).withColumn("__all", F.sum("__k").over(w))
+    pool = pool.withColumn("__call", F.when(F.col("__has"), F.col("__r")).otherwise(F.col("__s")))
+    return pool.withColumn("__last", F.max(F.when(F.col("__call").isNotNull(), F.col("__y"))).over(w))
+
+
 def resolve_conflicts(rows: DataFrame, keys: list[str], submitted: str, rederived: str, year: str, position: str, standard: str | None = None) -> DataFrame:
     """One row per group of ``keys``, or none where its votes are tied or empty.
 
     If a call has been derived anew for any row of the group, only such calls count, else the
     submitted ones. If any of them has a year, those of the last year count. The majority wins. The
     standard and year are those of the winner's first row by ``position``. ``n_source_rows`` counts
-    all rows of the group. All windows and the aggregate share one shuffle.
+    all rows of the group.
     """
-    w = Window.partitionBy(*keys)
     std = F.col(standard) if standard else F.lit(None).cast("string")
-    pool = rows.select(*keys, F.col(submitted).alias("__s"), F.col(rederived).alias("__r"), F.col(year).alias("__y"), F.col(position).alias("__p"), std.alias("__std"))
-    pool = pool.withColumn("__has", F.max(F.col("__r").isNotNull()).over(w)).withColumn("__all", F.count(F.lit(1)).over(w))
-    pool = pool.withColumn("__call", F.when(F.col("__has"), F.col("__r")).otherwise(F.col("__s"))).filter("__call is not null")
-    pool = pool.withColumn("__last", F.max("__y").over(w)).filter("__last is null or __y = __last")
-    first = lambda k: F.min(F.when(F.col("__call") == k, F.struct("__p", "__std", "__y")))
+    of_row = F.struct(F.col(position).alias("__p"), std.alias("__std"), F.col(year).alias("__y"))
+    pool = _ballots(rows, keys, submitted, rederived, year, of_row).filter("__call is not null and (__last is null or __y = __last)")
+    first = lambda k: F.min(F.when(F.col("__call") == k, F.col("__first")))
     votes = pool.groupBy(*keys).agg(
-        F.sum("__call").alias("__n1"), F.count(F.lit(1)).alias("__n"), F.first("__has").alias("__has"), F.first("__all").alias("n_source_rows"), first(1).alias("__one"), first(0).alias("__zero")
+        F.sum(F.col("__call") * F.col("__k")).alias("__n1"), F.sum("__k").alias("__n"), F.first("__has").alias("__has"), F.first("__all").alias("n_source_rows"), first(1).alias("__one"), first(0).alias("__zero")
     )
     votes = votes.filter("2 * __n1 != __n").withColumn("label", (F.col("__n1") * 2 > F.col("__n")).cast("int"))
     won = F.when(F.col("label") == 1, F.col("__one")).otherwise(F.col("__zero"))
@@ -63,12 +75,9 @@ def resolve_conflicts(rows: DataFrame, keys: list[str], submitted: str, rederive
 
 def conflict_stats(rows: DataFrame, keys: list[str], submitted: str, rederived: str, year: str) -> DataFrame:
     """How groups were decided: counts by ``outcome`` (empty, tie, unanimous, majority)."""
-    w = Window.partitionBy(*keys)
-    pool = rows.withColumn("__has", F.max(F.col(rederived).isNotNull()).over(w))
-    pool = pool.withColumn("__call", F.when(F.col("__has"), F.col(rederived)).otherwise(F.col(submitted)))
-    pool = pool.withColumn("__last", F.max(F.when(F.col("__call").isNotNull(), F.col(year))).over(w))
-    counted = F.col("__call").isNotNull() & (F.col("__last").isNull() | (F.col(year) == F.col("__last")))
-    g = pool.groupBy(*keys).agg(F.sum(F.when(counted, F.col("__call"))).alias("n1"), F.count(F.when(counted, 1)).alias("n"))
+    pool = _ballots(rows, keys, submitted, rederived, year, F.lit(0))
+    counted = F.when(F.col("__call").isNotNull() & (F.col("__last").isNull() | (F.col("__y") == F.col("__last"))), F.col("__k")).otherwise(0)
+    g = pool.groupBy(*keys).agg(F.sum(F.col("__call") * counted).alias("n1"), F.sum(counted).alias("n"))
     outcome = F.when(F.col("n") == 0, "empty").when(F.col("n1") * 2 == F.col("n"), "tie").when(F.col("n1").isin(0) | (F.col("n1") == F.col("n")), "unanimous").otherwise("majority")
     return g.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -258,3 +258,45 @@ def test_texts_and_documents(spark):
     v = spark.createDataFrame([(1, "cip", S.WORK), (1, "amp", S.FAIL), (2, "cip", S.NO_CALL)], "id int, drug string, verdict string")
     got = {r.id: r.summary for r in store.stand_in_report(v, "id", "drug", "verdict").collect()}
     assert got == {1: "1 likely to fail, 1 likely to work, 0 without a call. May work: cip.", 2: "0 likely to fail, 0 likely to work, 1 without a call."}
+
+
+@pytest.mark.parametrize("name", ["stratified_group_split", "stratified_folds_split"])
+def test_split_queries_keep_their_promises(spark, name):
+    """Every node once, no cluster in two splits, the largest held out, all splits there, the same again."""
+    from phenospark.functions import constants as K
+    from phenospark.plans import queries as plans
+
+    df = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    node, cluster, _ = df.columns
+    got = [tuple(r) for r in df.collect()]
+    assert len({n for n, _, _ in got}) == len(got) == plans.scored(spark, "/root/testdata/sf0.001").select("doc_id").distinct().count()
+    of, size = {}, {}
+    for _, c, s in got:
+        assert of.setdefault(c, s) == s
+        size[c] = size.get(c, 0) + 1
+    held = sorted((size[c] for c, s in of.items() if s == "heldout_group"), reverse=True)
+    assert held == sorted(size.values(), reverse=True)[: len(held)] and len(held) == min(K.HELDOUT_CLUSTERS, len(size))
+    assert {"train", "calibration", "test", "heldout_group"} >= set(of.values()) >= {"train", "heldout_group"}
+    assert sorted(got) == sorted(tuple(r) for r in plans.QUERIES[name](spark, "/root/testdata/sf0.001").collect())
+
+
+def test_conflicts_against_brute_force(spark):
+    """Groups of very different sizes, with nulls, ties and repeated rows."""
+    rng = random.Random(9)
+    rows = [(f"g{min(int(rng.expovariate(0.3)), 30)}", rng.choice([0, 1, None]), rng.choice([0, 1, None, None, None]), rng.choice([2020, 2021, None]), i, rng.choice(["A", "B", None])) for i in range(400)]
+    rows += rows[:50]
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        has = any(r[2] is not None for r in own)
+        pool = [(r[2] if has else r[1], *r[3:]) for r in own if (r[2] if has else r[1]) is not None]
+        years = [y for _, y, _, _ in pool if y is not None]
+        pool = [x for x in pool if not years or x[1] == max(years)]
+        n1 = sum(x[0] for x in pool)
+        if 2 * n1 != len(pool):
+            label = int(2 * n1 > len(pool))
+            _, y, _, std = min((x for x in pool if x[0] == label), key=lambda x: x[2])
+            want[g] = (label, "rederived" if has else "submitted", std, y, len(own))
+    df = spark.createDataFrame(rows, "g string, s int, r int, y int, p int, std string").repartition(4)
+    got = {r[0]: tuple(r)[1:] for r in labels.resolve_conflicts(df, ["g"], "s", "r", "y", "p", "std").collect()}
+    assert got == want and len(want) > 10
