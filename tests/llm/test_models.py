@@ -135,6 +135,54 @@ def test_scores_against_brute_force(spark):
     assert held.score.sum() > held.base_score.sum() and (got.score < 0).all()
 
 
+@data
+def test_op7_scores_from_the_trained_model(spark, monkeypatch):
+    """score of the query, token by token from the model's vectors: softmax over all symbols, then the token's share of its class."""
+    kept = {}
+    train = M._train
+
+    def keep(rows, model, index, rounds):
+        train(rows, model, index, rounds)
+        kept.update(model=model, index=index.value)
+
+    monkeypatch.setattr(M, "_train", keep)
+    got = {r.doc_id: r.score for r in queries.QUERIES["op7_lm_scoring"](spark, SF).collect()}
+    docs = {r.doc_id: (r.text or "").encode().lower().split() + [b""] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    c = Counter(x for i, ts in docs.items() if mod(i, 5) != 1 for x in ts)
+    model, index = kept["model"], kept["index"]
+    r, q, mats, bias = (np.asarray(x, np.float64) for x in (model.r, model.q, model.c, model.b))
+    total, kinds = Counter(), Counter()
+    for t, n in c.items():
+        if index[t] < M.CLASSES:
+            total[index[t]] += n
+            kinds[index[t]] += 1
+    some = [i for i in sorted(docs) if len(docs[i]) < 250][:40]
+    assert len(some) == 40
+    for i in some:
+        a = b = len(bias)
+        want = 0.0
+        for t in docs[i]:
+            k = index[t]
+            z = (r[a] @ mats[0] + r[b] @ mats[1]) @ q.T + bias
+            want += (z[k] - np.logaddexp.reduce(z)) / np.log(10)
+            if k < M.CLASSES:
+                want += math.log10(c[t] + 0.5) - math.log10(total[k] + 0.5 * (kinds[k] + 1))
+            a, b = b, k
+        assert math.isclose(got[i], want, rel_tol=2e-4, abs_tol=2e-3), i
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    rng = np.random.default_rng(5)
+    long = " ".join(rng.choice(["the", "of", "and", "x1", "x2"], 200_000))
+    docs = spark.createDataFrame([(1, long), (2, "the of"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in M.score_texts(docs, docs).collect()}
+    c = Counter(long.split() + ["", "the", "of", "", ""])
+    n, v = sum(c.values()), len(c)
+    assert got[1].n_tokens == got[1].n_known == 200_001 and got[1].train_tokens == n
+    assert math.isclose(got[1].base_score, sum(k * math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t, k in Counter(long.split() + [""]).items()), rel_tol=1e-9)
+    assert got[1].score < 0
+
+
 def test_small_head_changes_nothing(spark):
     docs = spark.createDataFrame([(i, f"the a{i % 7} b{i % 3} " * (i % 5), "x") for i in range(60)] + [(None, None, "x"), (5, "The", "x")], "doc_id long, text string, n string")
     key = lambda df: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 9)) for r in df.collect())
@@ -142,3 +190,21 @@ def test_small_head_changes_nothing(spark):
     nothing = M.score_texts(docs, docs.limit(0)).collect()
     assert all(r.n_known == 0 and abs(r.base_score) < 1e-9 and r.train_tokens == 0 for r in nothing)
     assert M.score_texts(docs.limit(0), docs).count() == 0
+
+
+def test_statistics_against_counting():
+    """Each of the twelve, by going over the characters and words one by one."""
+    from phenospark.llm import quality_classifier as Q
+
+    for text in ["", "Hello, World. The the THE cat!!", "É À é ß | # $ 12 34\n\nx x x", "日本 日本 a", " \t\n ", "AAAA|" * 50]:
+        raw = text.encode()
+        words = raw.split()
+        n, k = len(raw), len(words)
+        upper = sum(65 <= x <= 90 for x in raw) + sum(a == 0xC3 and 0x80 <= b < 0x9F for a, b in zip(raw, raw[1:]))
+        count = {
+            "upper": (upper, 0.02, n), "symbols": (sum(chr(x) in "#$%&*^~<>{}[]\\@_=+/`" for x in raw), 0.002, n), "exclamations": (raw.count(b"!"), 0.001, n), "bars": (raw.count(b"|"), 0.001, n),
+            "stops": (raw.count(b".") + raw.count(b","), 0.02, n), "digits": (sum(48 <= x <= 57 for x in raw), 0.002, n), "other": (sum(x > 127 for x in raw), 0.05, n),
+            "echo": (sum(a == b for a, b in zip(words, words[1:])), 0.01, k), "distinct": (len(set(words)), 0.7, k), "word_length": (n - k, 5.0, k), "lines": (raw.count(b"\n"), 0.003, n),
+        }
+        want = [math.log(n + 60)] + [math.log((count[f][0] + 60 * count[f][1]) / (count[f][2] + 60)) for f in Q.FEATURES[1:]]
+        assert np.allclose(Q.statistics(raw), want, atol=1e-12), text
