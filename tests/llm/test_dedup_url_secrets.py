@@ -240,3 +240,16 @@ def test_url_filter_empty_tables(spark):
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert [tuple(r) for r in url_filter.filter_urls(pages, none).collect()] == [(1, "a.net", "/", None, "allow")]
     assert url_filter.filter_urls(pages.limit(0), none).count() == 0
+
+
+def test_very_long_urls(spark):
+    """Hosts and paths of a hundred thousand characters, near a rule and beside it."""
+    long = "a" * 100_000
+    urls = [f"http://{long}.example.net/en/{long}", f"http://{'x.' * 20_000}net/{long}?{long}", f"http://example.net/{long}/en/", f"{long}://EXAMPLE.com/de/{long}#x", long, f"http://{long}"]
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    rules = spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")
+    got = {r.page_id: (r.rule, r.verdict, len(r.host), len(r.path)) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {
+        0: ("example.net/en/", "allow", 100_012, 100_004), 1: ("net/", "block", 40_003, 100_001), 2: ("net/", "block", 11, 100_005),
+        3: ("example.com/de/", "block", 11, 100_004), 4: (None, "allow", 0, 0), 5: (None, "allow", 100_000, 0),
+    }

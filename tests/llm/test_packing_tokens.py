@@ -233,7 +233,8 @@ def test_bounds_change_nothing(monkeypatch):
 
 
 def test_count_tokens(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, " the  of\tthe "), (3, "x" * 3000), (None, "日本")], "doc_id long, text string")
+    rows = [(1, None), (2, ""), (3, " the  of\tthe "), (3, "x" * 3000), (None, "日本")]
+    docs = spark.createDataFrame([(*r, 7, "w", [1]) for r in rows], "doc_id long, text string, tokens long, words string, id array<int>")
     got = token_counts.count_tokens(docs).collect()
     scores = token_counts.zipf_scores()
     counter = token_counts.TrieCounter(scores)
