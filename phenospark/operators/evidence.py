@@ -55,3 +55,22 @@ def resolve_drug(c, aliases: dict | None = None, drugs: list[str] | None = None)
 def citation_family(c):
     """First clause of a citation."""
     return F.trim(F.split_part(c, F.lit(";"), F.lit(1)))
+
+
+def rule_citations(rules: DataFrame, sources: DataFrame) -> DataFrame:
+    """``drug, rule, citations`` of ``rules`` (``drug, rule, refs``): for each reference, in their order, the
+    first clause of its citation, else of its title, else the reference itself.
+
+    ``sources`` has ``ref, cite, title``; of a reference given twice the smallest citation counts.
+    A rule without references has an empty list.
+    """
+    one = sources.groupBy("ref").agg(F.min(F.nullif("cite", F.lit(""))).alias("cite"), F.min(F.nullif("title", F.lit(""))).alias("title"))
+    each = rules.select("drug", "rule", F.posexplode_outer("refs").alias("place", "ref"))
+    named = each.join(one, "ref", "left").withColumn("family", citation_family(F.coalesce("cite", "title", "ref")))
+    found = named.groupBy("drug", "rule").agg(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "family")))).alias("x"))
+    return found.select("drug", "rule", F.transform("x", lambda x: x["family"]).alias("citations"))
+
+
+def with_citations(hits: DataFrame, rules: DataFrame, sources: DataFrame) -> DataFrame:
+    """``hits`` (with ``drug, rule``) with their rule's ``citations``; an unknown rule has none."""
+    return hits.join(rule_citations(rules, sources), ["drug", "rule"], "left").withColumn("citations", F.coalesce("citations", F.array().cast("array<string>")))

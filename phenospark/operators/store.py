@@ -80,3 +80,22 @@ def stand_in_report(rows: DataFrame, key: str, drug: str, verdict: str) -> DataF
     g = rows.groupBy(key).agg(n("likely_to_fail").alias("n_fail"), n("likely_to_work").alias("n_work"), n("no_call").alias("n_no_call"), F.sort_array(F.collect_set(F.when(F.col(verdict) == "likely_to_work", F.col(drug)))).alias("work"))
     text = F.concat(F.format_string("%d likely to fail, %d likely to work, %d without a call.", "n_fail", "n_work", "n_no_call"), F.when(F.size("work") > 0, F.concat(F.lit(" May work: "), F.array_join("work", ", "), F.lit("."))).otherwise(F.lit("")))
     return g.withColumn("summary", text)
+
+
+def genome_documents(genomes: DataFrame, parts: dict[str, tuple[DataFrame, str | None, list[str]]], key: str, fields: list[str]) -> DataFrame:
+    """``key, value``: one JSON document for each genome, to be written as lines or files of their own.
+
+    A document has the genome's ``fields``, and for each of ``parts`` (name -> rows with ``key``, an
+    inner key, fields) an object from inner key to fields, or without an inner key a list, sorted.
+    A genome without rows of a part has an empty one; a null field is left out. Rows of a part are
+    put together where they are before they travel, one part at a time.
+    """
+    out, named = genomes.select(F.col(key).alias("__k"), *fields), []
+    for name, (rows, inner, columns) in parts.items():
+        value = F.struct(*columns)
+        entry = F.struct(F.col(inner).cast("string").alias("key"), value.alias("value")) if inner else value
+        listed = F.array_sort(F.collect_list(entry))
+        got = rows.groupBy(F.col(key).alias("__k")).agg((F.map_from_entries(listed) if inner else listed).alias(name))
+        out = out.join(got, "__k", "left").withColumn(name, F.coalesce(name, (F.create_map() if inner else F.array()).cast(dict(got.dtypes)[name])))
+        named.append(name)
+    return out.select(F.col("__k").alias(key), F.to_json(F.struct(*fields, *named)).alias("value"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from phenospark.operators import metrics, name_index, trees
+from phenospark.operators import evidence, metrics, name_index, store, trees
 from phenospark.sources import feature_store
 from phenospark.storage import scratch
 from phenospark.streaming import counts, durable, status
 
-from .queries import query
+from .queries import PART_RULES, query
 from .tables import PRESENCE_SQL, presence, scored, table
 
 
@@ -106,3 +106,38 @@ def name_search(spark, d):
     index.add(changed.withColumn("c_name", F.concat(F.lit("Renamed "), "c_name")), 1, changed)
     found = [index.search(spark, text).select(F.lit(text).alias("text"), "c_custkey", "c_name") for text in ("cust 00000001", "renamed", "99", "nobody here")]
     return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+#: Rules of PART_RULES with the references that back them; one is in no list of sources.
+_RULE_REFS = [("a", "brand_1_small", ["s1", "s2"]), ("a", "any_brand_2", ["s3"]), ("a", "promo", []), ("b", "large", ["s2", "lost", "s1"])]
+_SOURCES = [("s1", "First et al. 2020; a journal", "A title"), ("s2", "", "Second; with a clause"), ("s3", " Third ;", "")]
+
+
+@query(
+    "citations",
+    """WITH r(p_partkey, drug, rule) AS (
+SELECT p_partkey, 'a', CASE WHEN p_brand = 'Brand#15' THEN NULL WHEN starts_with(p_brand, 'Brand#1') AND contains(p_type, 'SMALL') THEN 'brand_1_small' WHEN starts_with(p_brand, 'Brand#2') THEN 'any_brand_2' WHEN starts_with(p_type, 'PROMO') THEN 'promo' END FROM part
+UNION ALL SELECT p_partkey, 'b', CASE WHEN p_type = 'LARGE' THEN 'large' WHEN regexp_matches(p_brand, '^Brand#[0-9][135]$') THEN 'brand_odd' END FROM part)
+SELECT p_partkey, drug, rule, CASE drug || rule WHEN 'abrand_1_small' THEN 'First et al. 2020; Second' WHEN 'aany_brand_2' THEN 'Third' WHEN 'blarge' THEN 'Second; lost; First et al. 2020' ELSE '' END AS citations FROM r WHERE rule IS NOT NULL""",
+)
+def citations(spark, d):
+    hits = evidence.map_hits(table(spark, d, "part"), PART_RULES, "p_brand", None, "p_type", None).select("p_partkey", "drug", "rule")
+    rules = spark.createDataFrame(_RULE_REFS, "drug string, rule string, refs array<string>")
+    sources = spark.createDataFrame(_SOURCES, "ref string, cite string, title string")
+    return evidence.with_citations(hits, rules, sources).withColumn("citations", F.array_join("citations", "; "))
+
+
+@query(
+    "genome_documents",
+    f"""WITH {PRESENCE_SQL}, n AS (SELECT s_suppkey, s_name, s_nationkey FROM supplier),
+g AS (SELECT l_suppkey, list({{'brand': p_brand}} ORDER BY p_brand) AS evidence FROM presence GROUP BY ALL),
+t AS (SELECT l_suppkey, l_returnflag, count(*) AS n, max(l_linenumber) AS most FROM lineitem GROUP BY ALL),
+f AS (SELECT l_suppkey, '{{' || string_agg('"' || l_returnflag || '":' || CAST(to_json({{'n': n, 'most': most}}) AS VARCHAR), ',' ORDER BY l_returnflag) || '}}' AS flags FROM t GROUP BY ALL)
+SELECT s_suppkey, '{{"s_name":"' || s_name || '","s_nationkey":' || s_nationkey || ',"evidence":' || coalesce(CAST(to_json(evidence) AS VARCHAR), '[]') || ',"flags":' || coalesce(flags, '{{}}') || '}}' AS value
+FROM n LEFT JOIN g ON g.l_suppkey = s_suppkey LEFT JOIN f ON f.l_suppkey = s_suppkey""",
+)
+def genome_documents(spark, d):
+    key = F.col("l_suppkey").alias("s_suppkey")
+    counted = table(spark, d, "lineitem").groupBy(key, "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.max("l_linenumber").alias("most"))
+    parts = {"evidence": (presence(spark, d).select(key, F.col("p_brand").alias("brand")), None, ["brand"]), "flags": (counted, "l_returnflag", ["n", "most"])}
+    return store.genome_documents(table(spark, d, "supplier"), parts, "s_suppkey", ["s_name", "s_nationkey"])

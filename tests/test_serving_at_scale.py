@@ -118,3 +118,19 @@ def test_draws_are_poisson_of_mean_one():
     share = [(t == k).mean() for k in range(4)]
     assert np.allclose(share, [0.3679, 0.3679, 0.1839, 0.0613], atol=0.01)
     assert abs(np.corrcoef(t[:, 0], t[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(t[:-1, 0], t[1:, 0])[0, 1]) < 0.06
+
+
+def test_documents_and_citations_of_little(spark):
+    import json
+
+    from phenospark.operators import evidence, store
+
+    genomes = spark.createDataFrame([("g1", "train"), ("g2", None)], "g string, split string")
+    drugs = spark.createDataFrame([("g1", "b", 0.5), ("g1", "a", None), ("x", "a", 1.0)], "g string, drug string, p double")
+    hits = spark.createDataFrame([], "g string, sym string")
+    got = {r.g: json.loads(r.value) for r in store.genome_documents(genomes, {"drugs": (drugs, "drug", ["p"]), "hits": (hits, None, ["sym"])}, "g", ["split"]).collect()}
+    assert got == {"g1": {"split": "train", "drugs": {"a": {}, "b": {"p": 0.5}}, "hits": []}, "g2": {"drugs": {}, "hits": []}}
+    rules = spark.createDataFrame([("d", "one", ["r2", "r1", "r9"]), ("d", "none", []), ("d", "null", None)], "drug string, rule string, refs array<string>")
+    sources = spark.createDataFrame([("r1", None, "T; x"), ("r2", " C ;y", "T"), ("r2", "D", None)], "ref string, cite string, title string")
+    rows = spark.createDataFrame([(1, "d", "one"), (2, "d", "none"), (3, "d", "null"), (4, "e", "one")], "i int, drug string, rule string")
+    assert {r.i: r.citations for r in evidence.with_citations(rows, rules, sources).collect()} == {1: ["C", "T", "r9"], 2: [], 3: [], 4: []}
