@@ -87,3 +87,16 @@ assert e.queries() and not any(n.startswith("op1") for n in e.queries()) and "pi
         shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), copy)
         env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
         subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=env)
+
+
+def test_a_separate_package_that_fails_takes_nothing_else_along(tmp_path):
+    import shutil
+
+    shutil.copytree(os.path.join(ROOT, "phenospark"), tmp_path / "phenospark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    (tmp_path / "phenospark" / "llm").mkdir()
+    (tmp_path / "phenospark" / "llm" / "__init__.py").write_text("raise ImportError('broken on purpose')")
+    (tmp_path / "corpus_pipeline.py").write_text("from phenospark.llm import packing")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 100"], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0 and "broken on purpose" in done.stderr
