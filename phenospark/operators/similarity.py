@@ -222,7 +222,9 @@ def linkage_vectors(rows: DataFrame, group: str, node: str, vector: str, cut: fl
     same = F.col(group).eqNullSafe(F.col("__large"))
     large = large.withColumnRenamed(group, "__large")
     small = picked.join(large, same, "left_anti").groupBy(group).applyInArrow(run, f"{group} {gkind}, node {kind}, cluster int")
-    return small.unionByName(linkage.numbered(linkage.by_rounds(picked.join(large, same, "left_semi"), group, "node", "v", cut, tail=largest), group))
+    # by_rounds() names a column root, which may be the group's name as well.
+    many = picked.join(large, same, "left_semi").withColumnRenamed(group, "__group")
+    return small.unionByName(linkage.numbered(linkage.by_rounds(many, "__group", "node", "v", cut, tail=largest), "__group").withColumnRenamed("__group", group))
 
 
 def minhash_signatures(rows: DataFrame, id_col: str, tokens: str, seeds: list[int]) -> DataFrame:

@@ -107,6 +107,14 @@ def test_large_groups_are_no_task(spark):
     assert similarity.linkage_vectors(df.limit(0), "g", "n", "e", 0.2).count() == 0
 
 
+def test_large_groups_may_be_named_root(spark):
+    x = clustered(4, 120, 6, 8, 0.4)
+    df = spark.createDataFrame([(i % 2, i, v.tolist()) for i, v in enumerate(x)], "root int, node long, e array<double>")
+    one = similarity.linkage_vectors(df, "root", "node", "e", 0.2).collect()
+    two = similarity.linkage_vectors(df, "root", "node", "e", 0.2, largest=50)
+    assert two.columns == ["root", "node", "cluster"] and parts(map(tuple, one)) == parts(map(tuple, two.collect()))
+
+
 # ---------------------------------------------------------------- signatures, probes
 
 
