@@ -158,7 +158,7 @@ def test_signatures_travel_as_a_byte_a_place(spark):
     bands = signature_join._Bands(x, 7)
     rows = signature_join.dealt(of, bands, 4096, 3).collect()
     assert len(rows) == 7 * of.count() and all(len(r.codes) == 32 and r.low == r.high == 0 for r in rows)
-    few = signature_join.dealt(of, bands, 20, 3).collect()
+    few = signature_join.dealt(of, bands, 3, 3).collect()
     assert {(r.rep, r.key) for r in few} == {(r.rep, r.key) for r in rows} and max(r.high for r in few) > 0
 
 
