@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,15 +19,22 @@ def locus(seq: Column, start: Column, stop: Column) -> Column:
 
 def kmers(seq: Column, k: int, step: Column | int = 1) -> Column:
     """Distinct substrings of length k, one every ``step`` positions; none if the sequence is shorter."""
-    step = F.lit(step) if isinstance(step, int) else step
-    last = F.length(seq) - k + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)), step)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(seq, i, F.lit(k))))
+    return _kmers(seq, k, lambda s: F.lit(step) if isinstance(step, int) else step)
+
+
+def _kmers(seq: Column, k: int, step: Callable[[Column], Column]) -> Column:
+    def of(s: Column) -> Column:
+        last = F.length(s) - k + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)), step(s))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.substr(s, i, F.lit(k))))
+
+    # As a lambda's variable the sequence is made once; as a column, its whole expression would be run again for each k-mer.
+    return F.transform(F.array(seq), of)[0]
 
 
 def spaced_kmers(seq: Column, k: int = 31, about: int = 48) -> Column:
     """About ``about`` k-mers spread evenly over the sequence."""
-    return kmers(seq, k, F.greatest(F.lit(1), F.floor((F.length(seq) - k) / about).cast("int")))
+    return _kmers(seq, k, lambda s: F.greatest(F.lit(1), F.floor((F.length(s) - k) / about).cast("int")))
 
 
 def clean_kmers(seq: Column, k: int) -> Column:

@@ -505,6 +505,15 @@ def test_linkage_of_vectors_and_pairs_equals_the_matrix(spark):
     assert by() == by(largest=2)
 
 
+def test_kmers_make_their_sequence_once(spark):
+    plan = lambda c: spark.range(1).select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    text = F.concat(F.col("id").cast("string"), F.lit("the quick brown fox jumps over the lazy dog again"))
+    for found in (Q.spaced_kmers(Q.to_dna(text)), Q.kmers(Q.to_dna(text), 5), Q.clean_kmers(Q.to_dna(text), 5)):
+        assert plan(found).count("regexp_replace") == 1
+    none = F.when(F.col("id") > 5, "x")
+    assert [spark.range(1).select(c).first()[0] for c in (Q.kmers(none, 5), Q.spaced_kmers(none))] == [[], []]
+
+
 def same_parts(one, two) -> bool:
     return len(set(zip(one.tolist(), two.tolist()))) == len(set(one.tolist())) == len(set(two.tolist()))
 
