@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,39 +16,75 @@ from phenospark.functions import constants as K
 from phenospark.storage import materialize
 
 
-def cosine_edges(vectors: DataFrame, id_col: str, vector: str, least: float, block: int = 2048) -> DataFrame:
+#: Blocks of a join of all with all. So many make enough groups for a cluster; more only where a block would be beyond BLOCK_BYTES.
+BLOCKS, BLOCK_BYTES = 16, 32 << 20
+
+
+def blocks_of(rows: int, width: int, block: int) -> int:
+    """How many blocks ``rows`` vectors of ``width`` numbers are dealt to, of about ``block`` rows or more."""
+    return max(1, min(-(-rows // block), max(BLOCKS, -(-rows * width * 8 // BLOCK_BYTES))))
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``a``, row of ``b``, dot product) of the pairs that reach ``least``; rows have at most length 1.
+
+    Single precision finds those that may, with room for its rounding; their products are then made in double.
+    """
+    room = 1e-6 * (a.shape[1] + 10)
+    i, j = np.nonzero(a.astype(np.float32) @ b.astype(np.float32).T >= np.float32(least - room))
+    dot = np.empty(len(i))
+    for s in range(0, len(i), 100_000):
+        dot[s : s + 100_000] = np.einsum("ij,ij->i", a[i[s : s + 100_000]], b[j[s : s + 100_000]])
+    keep = dot >= least
+    return i[keep], j[keep], dot[keep]
+
+
+def cosine_edges(vectors: DataFrame, id_col: str, vector: str, least: float, block: int = 2048, keep: Sequence[str] = ()) -> DataFrame:
     """``a, b, cosine`` with a < b for all pairs that reach ``least``.
 
     Exact all-pairs work is quadratic; here it is matrix products of blocks. Rows are dealt to blocks
     by hash, each pair of blocks is one group, and only pairs that reach the threshold leave it. So
-    a task holds two blocks, and a row travels once for each block.
+    a task holds two blocks, and a row travels once for each block, of which there are at most
+    ``BLOCKS`` until they are large. Each of ``keep`` gives two columns, ``c_a`` and ``c_b``, so what
+    is known of the ends need not be joined to the pairs.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("v").isNotNull())
-    blocks = max(1, -(-rows.count() // block))
+    kinds = dict(vectors.dtypes)
+    exact = F.col(vector) if kinds[vector] == "array<float>" else F.col(vector).cast("array<double>")  # single numbers are half the bytes
+    rows = vectors.select(F.col(id_col).alias("id"), exact.alias("v"), *(F.col(c).alias(f"keep_{c}") for c in keep)).filter(F.col("v").isNotNull())
+    n, different, width = rows.agg(F.count(F.lit(1)), F.count_distinct("id"), F.max(F.size("v"))).first()
+    blocks = blocks_of(n, width or 1, block)
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     dealt = rows.withColumn("at", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("id", "v", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
-    kind = dict(rows.dtypes)["id"]
+    dealt = dealt.select(*rows.columns, "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+    kind = kinds[id_col]
+    ends = [(f"keep_{c}", kinds[c]) for c in keep]
 
-    def pairs(key: tuple, t: pa.Table) -> pa.Table:
-        x = np.array(t["v"].to_pylist(), np.float64)
+    def pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        at, ids = t["at"].to_numpy(), t["id"]
+        at = t["at"].to_numpy()
         left = np.flatnonzero(at == key[0].as_py())
         right = left if key[0] == key[1] else np.flatnonzero(at == key[1].as_py())
-        found_a, found_b, found_c = [], [], []
-        for s in range(0, len(left), 256):
-            c = x[left[s : s + 256]] @ x[right].T
-            p, q = np.nonzero(c >= least)
-            found_a.append(left[s + p])
-            found_b.append(right[q])
-            found_c.append(c[p, q])
-        a, b = np.concatenate(found_a or [np.zeros(0, int)]), np.concatenate(found_b or [np.zeros(0, int)])
-        out = pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "cosine": pa.array(np.concatenate(found_c or [np.zeros(0)]))})
-        return out
-
-    raw = dealt.groupBy("i", "j").applyInArrow(pairs, f"a {kind}, b {kind}, cosine double").filter("a != b")
-    return raw.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").dropDuplicates(["a", "b"])
+        step = max(1, (1 << 21) // max(1, len(right)))
+        for s in range(0, len(left), step):
+            after = s + 1 if right is left else 0  # of two rows of a block the pair counts once
+            p, q, dot = near_pairs(x[left[s : s + step]], x[right[after:]], least)
+            if right is left:
+                p, q, dot = p[q >= p], q[q >= p], dot[q >= p]
+            a, b = pa.array(left[s + p]), pa.array(right[after + q])
+            for u in range(0, len(p), 500_000):
+                o, w = a.slice(u, 500_000), b.slice(u, 500_000)
+                cols = [t["id"].take(o), t["id"].take(w), pa.chunked_array([pa.array(dot[u : u + 500_000])]), *(t[c].take(k) for c, _ in ends for k in (o, w))]
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in cols], names=["a", "b", "cosine", *(f"{c}_{k}" for c, _ in ends for k in "ab")])
+
+    raw = dealt.groupBy("i", "j").applyInArrow(pairs, ", ".join([f"a {kind}, b {kind}, cosine double", *(f"`{c}_{k}` {t}" for c, t in ends for k in "ab")]))
+    if different != n:
+        raw = raw.filter("a != b")
+    less = F.col("a") < F.col("b")
+    sides = [F.when(less, F.col(f"keep_{c}_{k}")).otherwise(F.col(f"keep_{c}_{m}")).alias(f"{c}_{k}") for c in keep for k, m in ("ab", "ba")]
+    found = raw.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine", *sides)
+    return found if different == n else found.dropDuplicates(["a", "b"])
 
 
 def strong_edges(edges: DataFrame, ref: str, query: str, ani: str, af_ref: str, af_query: str, least_ani: float = K.ANI, least_af: float = K.ALIGNED_FRACTION) -> DataFrame:
@@ -66,6 +102,13 @@ def nearest_in_train(edges: DataFrame, train: DataFrame, nodes: DataFrame, a: st
     return nodes.select(F.col(node).alias("node")).join(best, F.col("node") == F.col("g"), "left").select("node", (F.lit(far) - F.coalesce("s", F.lit(0.0))).alias("distance"))
 
 
+def nearest_of_marked(edges: DataFrame, nodes: DataFrame, a: str, b: str, score: str, mark: str, node: str, far: float = 100.0) -> DataFrame:
+    """nearest_in_train() of edges, none from a node to itself, that know of both ends if they are training nodes: ``mark_a, mark_b``."""
+    ends = F.array(F.struct(F.col(a).alias("g"), F.col(f"{mark}_b").alias("t")), F.struct(F.col(b).alias("g"), F.col(f"{mark}_a").alias("t")))
+    best = edges.select(F.explode(ends).alias("x"), F.col(score).alias("s")).filter("x.t").groupBy(F.col("x.g").alias("g")).agg(F.max("s").alias("s"))
+    return nodes.select(F.col(node).alias("node")).join(best, F.col("node") == F.col("g"), "left").select("node", (F.lit(far) - F.coalesce("s", F.lit(0.0))).alias("distance"))
+
+
 def average_linkage(distances: np.ndarray, cut: float) -> np.ndarray:
     """Cluster numbers of an average-linkage tree cut at ``cut``; for one bounded matrix."""
     n = len(distances)

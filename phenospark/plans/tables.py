@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +63,10 @@ presence AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_par
 EDGE_COSINE = 0.35
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     from phenospark.operators.similarity import cosine_edges
 
-    return cosine_edges(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", EDGE_COSINE)
+    return cosine_edges(table(spark, sf_dir, "embeddings") if vectors is None else vectors, "vec_id", "embedding", EDGE_COSINE, keep=keep)
 
 
 EDGES_SQL = f"""
