@@ -2,11 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phenospark.storage import materialize
 
+#: Edges that a task contracts at once, and nodes that it remembers meanwhile.
+CONTRACT_EDGES, CONTRACT_NODES = 1_000_000, 1_000_000
+
+
+def _star(a: pa.ChunkedArray, b: pa.ChunkedArray) -> pa.Table:
+    """The same components as stars: each node but one of a component with that one."""
+    coded = pa.chunked_array([*a.chunks, *b.chunks], a.type).combine_chunks().dictionary_encode()
+    ends = coded.indices.to_numpy()
+    x, y = ends[: len(a)], ends[len(a) :]
+    to = np.arange(len(coded.dictionary))
+    while len(x):
+        low, high = np.minimum(to[x], to[y]), np.maximum(to[x], to[y])
+        apart = low != high
+        x, y = x[apart], y[apart]
+        to[high[apart]] = low[apart]
+        while (to[to] != to).any():
+            to = to[to]
+    node = np.flatnonzero(to != np.arange(len(to)))
+    return pa.table({"a": coded.dictionary.take(pa.array(node)), "b": coded.dictionary.take(pa.array(to[node]))})
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """Each task's edges as stars, so that no more of them leave it than it has nodes, however many pairs are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        fresh = 0
+        for b in batches:
+            held.append(b)
+            fresh += b.num_rows
+            if fresh >= CONTRACT_EDGES:
+                star, fresh = pa.Table.from_batches(held), 0
+                held = _star(star["a"], star["b"]).to_batches()
+                if sum(h.num_rows for h in held) > CONTRACT_NODES:
+                    yield from held
+                    held = []
+        if held:
+            star = pa.Table.from_batches(held)
+            yield from _star(star["a"], star["b"]).to_batches()
+
+    return edges.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in edges.dtypes))
+
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One round over edges (a, b) with a > b.
@@ -28,6 +74,7 @@ def connected_components(edges: DataFrame, a: str, b: str, nodes: DataFrame | No
     Each round halves distances to the roots; it ends when the edges are stars and stay the same.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a != b")
+    e = _contract(e)
     e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
     def mark(df: DataFrame) -> tuple:
