@@ -180,11 +180,17 @@ def oversample(rows: DataFrame, label: str) -> DataFrame:
 def leakage_audit(edges: DataFrame, splits: DataFrame, a: str, b: str, score: str, node: str, cluster: str, split: str, least: float) -> DataFrame:
     """One row: clusters in more than one split, highest score across splits, edges across that reach
     ``least``, highest score between train and held-out nodes."""
+    s1 = splits.select(F.col(node).alias(a), F.col(split).alias("__s_a"))
+    s2 = splits.select(F.col(node).alias(b), F.col(split).alias("__s_b"))
+    return audit_of_marked(edges.join(s1, a).join(s2, b), splits, score, "__s", cluster, split, least)
+
+
+def audit_of_marked(edges: DataFrame, splits: DataFrame, score: str, mark: str, cluster: str, split: str, least: float) -> DataFrame:
+    """leakage_audit() of edges that know the splits of both ends, ``mark_a, mark_b``: they are added up where they are."""
     spans = splits.groupBy(cluster).agg(F.countDistinct(split).alias("k")).agg(F.sum((F.col("k") > 1).cast("int")).alias("spanning_clusters"))
-    s1 = splits.select(F.col(node).alias(a), F.col(split).alias("__sa"))
-    s2 = splits.select(F.col(node).alias(b), F.col(split).alias("__sb"))
-    cross = edges.join(s1, a).join(s2, b).filter("__sa != __sb")
-    th = F.array_sort(F.array("__sa", "__sb")) == F.array(F.lit("heldout_group"), F.lit("train"))
+    one, two = f"{mark}_a", f"{mark}_b"
+    cross = edges.filter(F.col(one) != F.col(two))
+    th = F.array_sort(F.array(one, two)) == F.array(F.lit("heldout_group"), F.lit("train"))
     agg = cross.agg(F.max(score).alias("max_cross"), F.coalesce(F.sum((F.col(score) >= least).cast("int")), F.lit(0)).alias("violations"), F.max(F.when(th, F.col(score))).alias("max_train_heldout"))
     return spans.crossJoin(agg)  # one row each
 

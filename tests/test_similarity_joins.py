@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from phenospark.operators import gates, linkage, minimizers, pivots, signature_join, similarity
+from phenospark.operators import gates, graph, linkage, minimizers, pivots, signature_join, similarity, splits
 
 
 def clustered(seed, n, dims, centres, spread):
@@ -59,6 +60,42 @@ def test_nearest_by_pivots(spark):
             assert abs(got[i][1] - top) < 1e-12 and dot[i][got[i][0]] >= top - 1e-12
 
 
+def test_blocks_of_all_with_all_do_not_grow_with_the_rows():
+    assert [similarity.blocks_of(n, 64, 2048) for n in (0, 5000, 60_000, 600_000)] == [1, 3, 16, 16]
+    assert similarity.blocks_of(6_000_000, 64, 2048) == 92  # of 32 MB each
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_edges_know_their_ends(spark, repeated):
+    x = clustered(8, 200, 6, 9, 0.5)
+    rows = [(i // 2 if repeated else 199 - i, f"s{i % 3}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id int, split string, v array<float>").repartition(5)
+    e = similarity.cosine_edges(df, "id", "v", 0.6, block=40, keep=["split"])
+    u = np.array([r[2] for r in rows], np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = {(min(rows[i][0], rows[j][0]), max(rows[i][0], rows[j][0])) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.6, 1))) if rows[i][0] != rows[j][0]}
+    got = e.collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 100
+    if not repeated:
+        split = {k: s for k, s, _ in rows}
+        assert all((r.split_a, r.split_b) == (split[r.a], split[r.b]) for r in got)
+        plain = similarity.cosine_edges(df, "id", "v", 0.6)
+        s = df.withColumn("group", df.id % 7).select("id", "group", "split")
+        assert splits.audit_of_marked(e, s, "cosine", "split", "group", "split", 0.8).first() == splits.leakage_audit(plain, s, "a", "b", "cosine", "id", "group", "split", 0.8).first()
+        near = similarity.nearest_of_marked(similarity.cosine_edges(df.withColumn("t", F.col("split") == "s0"), "id", "v", 0.6, keep=["t"]), df, "a", "b", "cosine", "t", "id")
+        assert sorted(near.collect()) == sorted(similarity.nearest_in_train(plain, df.filter("split = 's0'"), df, "a", "b", "cosine", "id").collect())
+
+
+def test_a_task_contracts_its_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CONTRACT_EDGES", 50)
+    rng = np.random.default_rng(2)
+    pairs = [(f"n{g}-{a}", f"n{g}-{b}") for g in range(5) for a, b in rng.integers(0, 40, (400, 2))]
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    assert graph._contract(df).count() <= 200
+    roots = {r.node: r.root for r in graph.connected_components(df, "a", "b").collect()}
+    assert len(roots) == len({n for p in pairs for n in p}) and all(roots[n] == min(m for m in roots if m[:3] == n[:3]) for n in roots)
+
+
 # ---------------------------------------------------------------- average linkage in rounds
 
 
