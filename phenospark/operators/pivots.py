@@ -12,7 +12,8 @@ The largest Euclidean distance of a pair that can reach the least dot product is
 5. In a group rows are sorted by distance to the pivot, and blocks of them are multiplied with the
    window of rows that are near enough.
 
-How often a row travels depends on how far the data fall into clusters; travel() measures it.
+How often a row travels depends on how far the data fall into clusters; travel() measures it. Where
+it would be more often than with blocks against blocks (some rows tell), all are one unit of few parts.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ from pyspark.sql import functions as F
 
 from phenospark.storage import materialize
 
+from .similarity import blocks_of, near_pairs
+
 #: Most pivots, and slices of a cell: their product bounds the table of units that tasks hold.
 MOST_PIVOTS, SLICES = 2048, 8
 _SLACK = 1e-6  # rounding of distances
+#: Rows, those with the smallest hashes, that tell how often rows will travel; any way gives all pairs.
+TRIED = 2000
 
 
 def unit_vectors(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -81,14 +86,14 @@ class _Space:
         return row[goes], target[goes]
 
 
-def _placed(rows: DataFrame, radius: float, block: int) -> tuple[DataFrame, _Space] | None:
-    """(``id, v, unit, own, visits`` and what else ``rows`` has, the space); rows are written once for it."""
-    n = rows.count()
+def _placed(rows: DataFrame, radius: float, block: int) -> tuple[DataFrame, _Space, int] | None:
+    """(``id, v, unit, own, visits`` and what else ``rows`` has, the space, rows of a part); rows are written once for it."""
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if not n:
         return None
     many = min(MOST_PIVOTS, max(1, -(-n // block)))
-    chosen = rows.select("v").orderBy(F.xxhash64("v"), F.xxhash64("id")).limit(many).collect()
-    space = _Space(np.unique(np.array([r.v for r in chosen], np.float64), axis=0), radius)
+    chosen = np.array([r.v for r in rows.select("v").orderBy(F.xxhash64("v"), F.xxhash64("id")).limit(max(many, TRIED)).collect()], np.float64)
+    space = _Space(np.unique(chosen[:many], axis=0), radius)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,7 +109,11 @@ def _placed(rows: DataFrame, radius: float, block: int) -> tuple[DataFrame, _Spa
     ranges = rows.mapInArrow(_with_units(space, False), f"{_ddl(rows)}, unit int, own double").groupBy("unit").agg(F.min("own").alias("low"), F.max("own").alias("high"))
     for r in ranges.collect():
         space.low[r.unit // SLICES, r.unit % SLICES], space.high[r.unit // SLICES, r.unit % SLICES] = r.low, r.high
-    return materialize(rows.mapInArrow(_with_units(space, True), f"{_ddl(rows)}, unit int, own double, visits array<int>"), "placed"), space
+    d, cell, own = space.home(chosen)
+    blocks = blocks_of(n, width, block)
+    if len(space.visits(d, cell, own, space.units(cell, own))[0]) / len(chosen) + 1 > blocks:
+        space, block = _Space(space.pivots[:1], radius), -(-n // blocks)
+    return materialize(rows.mapInArrow(_with_units(space, True), f"{_ddl(rows)}, unit int, own double, visits array<int>"), "placed"), space, block
 
 
 def _ddl(rows: DataFrame) -> str:
@@ -168,8 +177,8 @@ def _dealt(placed: DataFrame, space: _Space, block: int) -> DataFrame:
     return hashed.mapInArrow(run, "unit int, p int, q int, left boolean, right boolean, near double, " + ", ".join(f"{c} {kinds[c]}" for c in keep))
 
 
-def _meetings(t: pa.Table, radius: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, window, dot products, which of them count): blocks of the left by windows of the right.
+def _meetings(t: pa.Table, radius: float, same: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, rows, dot products) of the pairs that reach ``least``: blocks of the left by windows of the right.
 
     With ``same`` left and right are the same rows, and of two of them the pair counts once.
     """
@@ -178,15 +187,16 @@ def _meetings(t: pa.Table, radius: float, same: bool) -> Iterator[tuple[np.ndarr
     left, right = left[np.argsort(near[left], kind="stable")], right[np.argsort(near[right], kind="stable")]
     for s in range(0, len(left), 256):
         a = left[s : s + 256]
-        low, high = np.searchsorted(near[right], [near[a[0]] - radius, near[a[-1]] + radius], "left")
-        if same:
-            low = s
-        while high < len(right) and near[right[high]] <= near[a[-1]] + radius:
-            high += 1
+        low = s if same else np.searchsorted(near[right], near[a[0]] - radius, "left")
+        high = np.searchsorted(near[right], near[a[-1]] + radius, "right")
         for w in range(low, high, 4096):
             b = right[w : min(w + 4096, high)]
-            counts = np.arange(s, s + len(a))[:, None] < np.arange(w, w + len(b)) if same else np.ones((len(a), len(b)), bool)
-            yield a, b, x[a] @ x[b].T, counts
+            i, j, dot = near_pairs(x[a], x[b], least)
+            if same:
+                once = s + i < w + j
+                i, j, dot = i[once], j[once], dot[once]
+            if len(i):
+                yield a[i], b[j], dot
 
 
 def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, block: int = 2048) -> DataFrame:
@@ -204,16 +214,16 @@ def similar_pairs(vectors: DataFrame, id_col: str, vector: str, least: float, bl
     if placed is None:
         return vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, cosine double")
 
-    def join(key: tuple, t: pa.Table) -> pa.Table:
-        a, b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for rows_, window, dot, counts in _meetings(t, radius + 2 * _SLACK, key[1] == key[2]):
-            i, j = np.nonzero(counts & (dot >= least))
-            a.append(rows_[i]), b.append(window[j]), c.append(dot[i, j])
-        ids = t["id"]
-        return pa.table({"a": ids.take(pa.array(np.concatenate(a))), "b": ids.take(pa.array(np.concatenate(b))), "cosine": pa.array(np.concatenate(c))})
+    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        ids = t["id"].combine_chunks()
+        for a, b, dot in _meetings(t, radius + 2 * _SLACK, key[1] == key[2], least):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(dot)], names=["a", "b", "cosine"])
 
-    found = _dealt(*placed, block).groupBy("unit", "p", "q").applyInArrow(join, f"a {kind}, b {kind}, cosine double").filter("a != b")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine").dropDuplicates(["a", "b"])
+    found = _dealt(*placed).groupBy("unit", "p", "q").applyInArrow(join, f"a {kind}, b {kind}, cosine double").filter("a != b")
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
+    # Two rows meet once, so only repeated ids give a pair again.
+    return found.dropDuplicates(["a", "b"]) if placed[0].groupBy("id").count().filter("count > 1").head(1) else found
 
 
 def nearest(rows: DataFrame, least: float, block: int = 2048) -> DataFrame:
@@ -233,24 +243,19 @@ def nearest(rows: DataFrame, least: float, block: int = 2048) -> DataFrame:
         order = np.argsort(np.argsort(np.array(t["id"].to_pylist())))  # ids as numbers
         g, ids, n = t["g"].to_numpy(), t["id"], t.num_rows
         best, partner = np.full(n, -np.inf), np.full(n, -1)
-
-        def offer(to: np.ndarray, other: np.ndarray, dot: np.ndarray) -> None:
-            """Each row of ``to`` gets the best of its row of ``dot``."""
-            top = dot.max(1)
-            for i in np.flatnonzero(top > -np.inf).tolist():
-                equal = other[dot[i] == top[i]]
-                pick, row = equal[np.argmin(order[equal])], to[i]
-                if top[i] > best[row] or top[i] == best[row] and order[pick] < order[partner[row]]:
-                    best[row], partner[row] = top[i], pick
-
-        for a, b, dot, counts in _meetings(t, radius + 2 * _SLACK, key[1] == key[2]):
-            dot = np.where(counts & (dot >= least) & (g[a][:, None] == g[b]), dot, -np.inf)
-            offer(a, b, dot)
-            offer(b, a, dot.T)
+        for a, b, dot in _meetings(t, radius + 2 * _SLACK, key[1] == key[2], least):
+            own = g[a] == g[b]
+            a, b, dot = a[own], b[own], dot[own]
+            to, other, dot = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([dot, dot])
+            rank = np.lexsort((order[other], -dot, to))
+            first = rank[np.flatnonzero(np.diff(to[rank], prepend=-1))]  # each row's best of these
+            to, other, dot = to[first], other[first], dot[first]
+            better = (dot > best[to]) | ((dot == best[to]) & (order[other] < order[partner[to]]))
+            best[to[better]], partner[to[better]] = dot[better], other[better]
         has = np.flatnonzero(partner >= 0)
         return pa.table({"id": ids.take(pa.array(has)), "best": ids.take(pa.array(partner[has])), "dot": pa.array(best[has])})
 
-    found = _dealt(*placed, block).groupBy("unit", "p", "q").applyInArrow(join, schema)
+    found = _dealt(*placed).groupBy("unit", "p", "q").applyInArrow(join, schema)
     # The smaller partner of equally good ones: pairs (least, greatest) then compare like partners do.
     return found.groupBy("id").agg(F.max("dot").alias("dot"), F.min_by("best", F.struct(-F.col("dot"), F.col("best"))).alias("best")).select("id", "best", "dot")
 
@@ -259,4 +264,4 @@ def travel(vectors: DataFrame, id_col: str, vector: str, least: float, block: in
     """How many times a row travels in similar_pairs(), on average; the blocked join sends it once for each block."""
     rows = unit_vectors(vectors, id_col, vector)
     placed = _placed(rows, float(np.sqrt(2 - 2 * least)), block)
-    return 0.0 if placed is None else _dealt(*placed, block).count() / rows.count()
+    return 0.0 if placed is None else _dealt(*placed).count() / rows.count()

@@ -60,6 +60,14 @@ def test_nearest_by_pivots(spark):
             assert abs(got[i][1] - top) < 1e-12 and dot[i][got[i][0]] >= top - 1e-12
 
 
+def test_rows_without_clusters_travel_as_blocks_do(spark):
+    x = np.random.default_rng(6).normal(size=(2400, 48))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, v array<double>")
+    assert pivots.travel(df, "id", "v", 0.35, block=40) <= similarity.BLOCKS + 1
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert pivots.similar_pairs(df, "id", "v", 0.35, block=40).count() == (np.triu(u @ u.T, 1) >= 0.35).sum() > 0
+
+
 def test_blocks_of_all_with_all_do_not_grow_with_the_rows():
     assert [similarity.blocks_of(n, 64, 2048) for n in (0, 5000, 60_000, 600_000)] == [1, 3, 16, 16]
     assert similarity.blocks_of(6_000_000, 64, 2048) == 92  # of 32 MB each
