@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -294,6 +295,47 @@ def minhash_signatures(rows: DataFrame, id_col: str, tokens: str, seeds: list[in
     return picked.mapInArrow(run, f"id {kind}, signature array<long>").withColumnRenamed("id", id_col)
 
 
+_MD5_SHIFTS = np.repeat(np.array([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]]), 4, 0).reshape(4, 4, 4).reshape(64)
+_MD5_ADD = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def kmer_md5(seq: bytes, k: int) -> np.ndarray:
+    """The first 64 bits of the md5 of the k-mer at each place, all at once; k is 55 at most, so that one block holds it."""
+    n = len(seq) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    if k > 55:
+        return np.frombuffer(b"".join(hashlib.md5(seq[i : i + k]).digest()[:8] for i in range(n)), ">u8").astype(np.uint64)
+    x = np.frombuffer(seq + bytes(4), np.uint8).astype(np.uint32)
+    four = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)  # from each place on, little end first
+    message = []
+    for w in range(16):
+        left = k - 4 * w  # bytes of the k-mer from here on; then a bit that ends it, and its length in bits
+        if left >= 4:
+            message.append(four[4 * w : 4 * w + n])
+        elif left >= 0:
+            message.append((four[4 * w : 4 * w + n] & np.uint32((1 << 8 * left) - 1) if left else np.zeros(n, np.uint32)) | np.uint32(0x80 << 8 * left))
+        else:
+            message.append(np.uint32(8 * k if w == 14 else 0))
+    start = [np.uint32(v) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(n, v) for v in start)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += message[g]
+        f += np.uint32(_MD5_ADD[i])
+        turn = np.uint32(_MD5_SHIFTS[i])
+        a, d, c, b = d, c, b, b + (f << turn | f >> (np.uint32(32) - turn))
+    return (a + start[0]).byteswap().astype(np.uint64) << np.uint64(32) | (b + start[1]).byteswap().astype(np.uint64)
+
+
 def genome_signatures(contigs: DataFrame, genome: str, order: str, seq: str, seeds: list[int], k: int = 31, most: int = 250_000) -> DataFrame:
     """``genome, signature``: minima over the k-mers of A, C, G and T of a genome's records, in their
     order up to and with the one that brings the number of k-mers to ``most`` or more.
@@ -304,6 +346,7 @@ def genome_signatures(contigs: DataFrame, genome: str, order: str, seq: str, see
     """
     from pyspark.sql.window import Window
 
+    contigs = contigs.withColumn(seq, F.explode_outer(F.array(seq)))  # made once, where a column's expression would be run for each use
     n = F.greatest(F.length(seq) - (k - 1), F.lit(0))
     before = F.sum(n).over(Window.partitionBy(genome).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     counted = contigs.select(F.col(genome).alias("g"), F.upper(F.col(seq)).alias("s"), F.coalesce(before, F.lit(0)).alias("b")).filter(F.col("b") < most)
@@ -312,17 +355,34 @@ def genome_signatures(contigs: DataFrame, genome: str, order: str, seq: str, see
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for s in b.column(1).to_pylist():
-                best, whole = np.full(len(table), np.iinfo(np.int64).max), [p.encode() for p in re.findall("[ACGT]+", s or "") if len(p) >= k]
-                for p in whole:
-                    for at in range(0, len(p) - k + 1, 50_000):  # so many k-mers are hashed at once
-                        kmers = {p[i : i + k] for i in range(at, min(at + 50_000, len(p) - k + 1))}
-                        first = np.frombuffer(b"".join(hashlib.md5(w).digest()[:8] for w in kmers), ">u8")
-                        h = (first >> np.uint64(4)).astype(np.int64)
-                        best = np.minimum(best, np.array([(h ^ x).min() for x in table]))
-                out.append(best if whole else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["g", "m"])
+            best, found = np.full((b.num_rows, len(table)), np.iinfo(np.int64).max), np.zeros(b.num_rows, bool)
+            held: list[tuple[int, bytes]] = []
+
+            def hashed() -> None:
+                """The k-mers of what is held, all at once; those that reach over an end don't count."""
+                size = np.array([len(p) for _, p in held])
+                start = np.cumsum(size) - size
+                h = (kmer_md5(b"".join(p for _, p in held), k) >> np.uint64(4)).astype(np.int64)
+                ends = np.stack([start, start + size - k + 1], 1).ravel()
+                rows = np.array([i for i, _ in held])
+                for j, x in enumerate(table):
+                    np.minimum.at(best[:, j], rows, np.minimum.reduceat(np.append(h ^ x, np.iinfo(np.int64).max), ends)[::2])
+                found[rows] = True
+                held.clear()
+
+            fresh = 0
+            for i, s in enumerate(b.column(1).to_pylist()):
+                for p in (p.encode() for p in re.findall("[ACGT]+", s or "") if len(p) >= k):
+                    for at in range(0, len(p) - k + 1, 8192):
+                        held.append((i, p[at : at + 8192 + k - 1]))
+                        fresh += len(held[-1][1])
+                        if fresh >= 16_384:
+                            hashed()
+                            fresh = 0
+            if held:
+                hashed()
+            out = pa.array([m if f else None for m, f in zip(best, found)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), out], names=["g", "m"])
 
     parts = counted.select("g", "s").mapInArrow(run, f"g {kind}, m array<long>")
     minima = [F.min(F.col("m")[i]) for i in range(len(seeds))]

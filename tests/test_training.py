@@ -218,6 +218,15 @@ def test_small_readers(spark, tmp_path):
     assert sorted(back.collect()) == sorted(long.collect()) and [tuple(r) for r in axis.collect()] == [("f", 2)]
 
 
+@pytest.mark.parametrize("k", [5, 8, 31, 32, 55, 56])
+def test_md5_of_all_kmers_at_once(k):
+    import hashlib
+
+    s = bytes(np.random.default_rng(k).choice(list(b"ACGT"), 200).astype(np.uint8))
+    want = [int(hashlib.md5(s[i : i + k]).hexdigest()[:16], 16) for i in range(201 - k)]
+    assert similarity.kmer_md5(s, k).tolist() == want and len(similarity.kmer_md5(s[: k - 1], k)) == 0
+
+
 def test_genome_signatures_against_brute_force(spark):
     import hashlib
 
