@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -120,3 +121,37 @@ def test_states_equal_the_latest_events(spark, tmp_path):
     status.run(status.machine(stream, "job", "status", "t", F.col("i"), any_step, late="10 days"), f"{tmp_path}/log", f"{tmp_path}/checkpoint")
     want = store.latest(spark.createDataFrame(rows, EVENTS), "job", [F.col("t"), F.col("i")], ["status", "i"])
     assert {(r.key, r.status, r.place) for r in status.current(spark.read.parquet(f"{tmp_path}/log")).collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_python_is_called_for_shards_of_jobs(spark, tmp_path, monkeypatch):
+    """Before, once for each job. Jobs of one shard keep their own states and deadlines, over restarts."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    plain = status._Machine.handleInputRows
+
+    def counted(self, key, rows, timerValues):
+        (calls / uuid.uuid4().hex).touch()
+        return plain(self, key, rows, timerValues)
+
+    monkeypatch.setattr(status._Machine, "handleInputRows", counted)
+    monkeypatch.setattr(status._Machine, "__module__", "__main__")  # so that workers get the class as it is here
+    begun = [(f"j{i}", "processing", at(i), i) for i in range(300)]
+    ended = [(f"j{i}", "complete", at(310 + i % 3), 1000 + i) for i in range(0, 300, 3)]
+    batches = [begun, ended, [("k", "processing", at(500), 2000)], [("k", "failed", at(501), 2001)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream = counts.stream_folder(spark, f"{tmp_path}/in/*", spark.createDataFrame([], EVENTS).schema, files=1)
+        made = status.machine(stream, "job", "status", "t", F.col("i"), after=timedelta(minutes=400), late="400 minutes", shards=2)
+        status.run(made, f"{tmp_path}/log", f"{tmp_path}/checkpoint")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    # the watermark is at 101 minutes, and before the end no deadline (400 to 699 minutes) is met
+    now = {r.key: r.status for r in status.current(log).collect()}
+    assert now == {"k": "failed", **{f"j{i}": "processing" if i % 3 else "complete" for i in range(300)}}
+    assert 3 <= len(list(calls.iterdir())) <= 2 * len(batches)
+    rows = [("l", "processing", at(950), 3000)]  # the watermark is at 550 after it
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{len(batches)}")
+    stream = counts.stream_folder(spark, f"{tmp_path}/in/*", spark.createDataFrame([], EVENTS).schema, files=1)
+    status.run(status.machine(stream, "job", "status", "t", F.col("i"), after=timedelta(minutes=400), late="400 minutes", shards=2), f"{tmp_path}/log", f"{tmp_path}/checkpoint")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    got = {r.key: r["at"] for r in log.filter("reason = 'stuck in processing'").collect()}
+    assert got == {f"j{i}": at(400 + i) for i in range(150) if i % 3}
