@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from phenospark.functions import constants as K
 from phenospark.functions.sequence import locus, reverse_complement, spaced_kmers
+from phenospark.storage import materialize
 
 
 def reference_kmers(contigs: DataFrame, loci: DataFrame, k: int = K.KMER, about: int = K.KMERS_PER_LOCUS) -> DataFrame:
@@ -45,16 +46,72 @@ def kmer_codes(seq: bytes, k: int) -> np.ndarray:
     return code[good]
 
 
-def kmer_share(contigs: DataFrame, genome: str, ref: DataFrame, most: int = 20_000) -> DataFrame:
+#: Bases that are looked up at once: their codes stay in a core's cache, and memory doesn't follow the sequences.
+SLICE = 1 << 18
+
+
+def _slices(seqs: list[bytes | None], k: int, most: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(places in ``seqs``, sequences or overlapping parts of long ones) of about ``most`` bases together."""
+    row, part, size = [], [], 0
+    for i, s in enumerate(seqs):
+        for at in range(0, max(1, len(s or b"") - k + 1), most):
+            row.append(i)
+            part.append((s or b"")[at : at + most + k - 1])
+            size += len(part[-1])
+            if size >= most:
+                yield row, part
+                row, part, size = [], [], 0
+    if row:
+        yield row, part
+
+
+class Probes:
+    """Which of a panel's k-mers, of A, C, G and T and up to 32 bases, stand in which sequence."""
+
+    def __init__(self, kmers: list[str], k: int):
+        codes = np.array([kmer_codes(x.encode(), k)[0] for x in kmers], np.uint64)
+        self.k, self.order = k, np.argsort(codes, kind="stable")
+        self.codes, self.first, self.n = np.unique(codes[self.order], return_index=True, return_counts=True)
+        self.shift = np.uint64(64 - min(24, max(12, len(kmers).bit_length() + 6)))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[self._slot(self.codes)] = True
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, seqs: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``seqs``, place in the panel) of each probe that is there, at least once.
+
+        Nearly all k-mers end at one look at a table of flags; the rest are searched for in the sorted codes.
+        """
+        rows, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row, part in _slices(seqs, self.k, SLICE) if len(self.codes) else ():
+            codes, good = all_codes(b"N".join(part), self.k)
+            place = np.flatnonzero(self.maybe[self._slot(codes)] & good)
+            at = np.minimum(np.searchsorted(self.codes, codes[place]), len(self.codes) - 1)
+            same = self.codes[at] == codes[place]
+            start = np.cumsum([0] + [len(x) + 1 for x in part[:-1]])
+            owner = np.array(row, np.int64)[np.searchsorted(start, place[same], "right") - 1]
+            pair = np.unique(owner * len(self.codes) + at[same])
+            owner, at = np.divmod(pair, len(self.codes))
+            n = self.n[at]
+            rows.append(np.repeat(owner, n))
+            hits.append(self.order[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        return np.concatenate(rows), np.concatenate(hits)
+
+
+def kmer_share(contigs: DataFrame, genome: str, ref: DataFrame, most: int = 200_000) -> DataFrame:
     """``genome, locus, share`` of the reference k-mers found, on the better strand.
 
     The probes are taken in blocks of whole loci, of about ``most`` probes each, one scan a block. A
-    contig's k-mers become numbers and are looked up in the sorted probes, all at once, where the
-    contig is read; only matches leave the scan. Searching a sequence for hundreds of probes one by
-    one, or making a row of each k-mer, took 20 times as long.
+    contig's k-mers become numbers and are looked up all at once where the contig is read; only
+    matches leave the scan. Searching a sequence for hundreds of probes one by one, or making a row of
+    each k-mer, took 20 times as long.
     """
     ref = ref.select("locus", "strand", "kmer").distinct()
     blocks = max(1, -(-ref.count() // most))
+    if blocks > 1:
+        ref = materialize(ref, "probes")
     empty = contigs.select(genome, F.lit(None).cast("string").alias("locus"), F.lit(None).cast("double").alias("share")).limit(0)
     out = None
     for i in range(blocks):
@@ -76,32 +133,29 @@ def _probe_share(contigs: DataFrame, genome: str, probes: list[tuple[str, str, s
     plain = [p for p in probes if len(p[0]) == k <= 32 and set(p[0]) <= set("ACGT")]
     known = set(plain)
     odd = [p for p in probes if p not in known]
-    codes = np.array([kmer_codes(p[0].encode(), k)[0] for p in plain], np.uint64)
-    order = np.argsort(codes, kind="stable")
-    plain, codes = [plain[i] for i in order], codes[order]
-    distinct = np.unique(codes)
-    first, last = np.searchsorted(codes, distinct, "left"), np.searchsorted(codes, distinct, "right")
+    loci, strands = pa.array([p[1] for p in plain + odd], pa.string()), pa.array([p[2] for p in plain + odd], pa.string())
+    shared = contigs.sparkSession.sparkContext.broadcast((Probes([p[0] for p in plain], k), [p[0].encode() for p in odd], loci, strands))
     kind = dict(contigs.dtypes)[genome]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        panel, odd, loci, strands = shared.value
         for b in batches:
-            row, hit = [], []
-            for i, seq in enumerate(b.column(1).to_pylist()):
-                at = np.flatnonzero(np.isin(distinct, kmer_codes(seq or b"", k)))
-                found = [plain[j] for a in at for j in range(first[a], last[a])] + [p for p in odd if p[0].encode() in (seq or b"")]
-                row += [i] * len(found)
-                hit += found
-            cols = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array([h[c] for h in hit], pa.string()) for c in (1, 2, 0))]
-            yield pa.RecordBatch.from_arrays(cols, names=["g", "locus", "strand", "kmer"])
+            seqs = b.column(1).to_pylist()
+            row, hit = panel.find(seqs)
+            also = [(i, len(panel.order) + j) for i, seq in enumerate(seqs) for j, x in enumerate(odd) if x in (seq or b"")] if odd else []
+            row, hit = np.concatenate([row, np.array([x for x, _ in also], np.int64)]), np.concatenate([hit, np.array([x for _, x in also], np.int64)])
+            at = pa.array(hit)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), loci.take(at), strands.take(at), at], names=["g", "locus", "strand", "probe"])
 
     picked = contigs.select(F.col(genome).alias("g"), F.col("seq").cast("binary").alias("seq"))
-    found = picked.mapInArrow(run, f"g {kind}, locus string, strand string, kmer string").withColumnRenamed("g", genome)
-    n = found.groupBy(genome, "locus", "strand").agg(F.countDistinct("kmer").alias("n")).groupBy(genome, "locus").agg(F.max("n").alias("n"))
+    found = picked.mapInArrow(run, f"g {kind}, locus string, strand string, probe long").withColumnRenamed("g", genome)
+    n = found.groupBy(genome, "locus", "strand").agg(F.countDistinct("probe").alias("n")).groupBy(genome, "locus").agg(F.max("n").alias("n"))
     # A genome's matches travel as one map, so its row for each locus is made after the join.
     n = n.groupBy(genome).agg(F.map_from_entries(F.collect_list(F.struct("locus", "n"))).alias("hits"))
     sizes = F.array(*[F.struct(F.lit(k).alias("locus"), F.lit(v).alias("size")) for k, v in size.items()])
     j = contigs.select(genome).distinct().join(n, genome, "left").select(genome, "hits", F.explode(sizes).alias("x"))
-    return j.select(genome, "x.locus", F.round(F.coalesce(F.try_element_at("hits", F.col("x.locus")), F.lit(0)) / F.col("x.size"), 4).alias("share"))
+    at = F.try_element_at("hits", F.col("x.locus"))
+    return j.select(genome, "x.locus", F.when(at.isNull(), 0.0).otherwise(F.round(at / F.col("x.size"), 4)).alias("share"))
 
 
 def locus_evidence(hits: DataFrame, genome: str, symbol: str, name: str, subtype: str, loci: list[str]) -> DataFrame:

@@ -464,6 +464,26 @@ def test_kmer_share_goes_through_the_panel_in_blocks(spark):
     assert got == {(g, x): float(g == x) for g in seqs for x in seqs}
 
 
+def test_a_panel_of_many_probes_is_one_scan_and_long_sequences_are_cut(spark, monkeypatch):
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    items = {f"l{i}": some(80) for i in range(500)}
+    ref = spark.createDataFrame([(x, "fwd", s[j : j + 31]) for x, s in items.items() for j in range(50)], "locus string, strand string, kmer string")
+    seqs = ["N".join([items["l3"], some(500), items["l4"][:60], "acgt", items["l3"]]), "", None, some(31), items["l5"][:31]]
+    wide = spark.createDataFrame(list(enumerate(seqs)), "genome long, seq string")
+    got = gates.kmer_share(wide, "genome", ref)  # 25,000 probes; before, two scans of the sequences
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {(r.genome, r.locus): r.share for r in got.collect()}
+    assert len(got) == 5 * 500 and {k: v for k, v in got.items() if v} == {(0, "l3"): 1.0, (0, "l4"): 0.6, (4, "l5"): 0.02}
+    raw = [None if s is None else s.encode() for s in seqs]
+    kmers = [seqs[0][i : i + 31] for i in range(0, 50, 3)] * 2 + ["A" * 31]
+    for most in (7, 100, 1 << 18):
+        monkeypatch.setattr(gates, "SLICE", most)
+        assert max(len(x) for _, part in gates._slices(raw, 31, most) for x in part) <= most + 30
+        row, hit = gates.Probes(kmers, 31).find(raw)
+        assert set(zip(row.tolist(), hit.tolist())) == {(0, j) for j in range(len(kmers) - 1)}
+
+
 def test_out_of_fold_returns_every_row_once(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(i, i % 2, f"s{i % 23}", rng.random() + 0.3 * (i % 2)) for i in range(230)], "i int, y int, g string, x double")
