@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from phenospark.functions import constants as K
 from phenospark.functions.sequence import locus, reverse_complement, spaced_kmers
-from phenospark.storage import materialize
+from phenospark.storage import materialize, spread
 
 
 def reference_kmers(contigs: DataFrame, loci: DataFrame, k: int = K.KMER, about: int = K.KMERS_PER_LOCUS) -> DataFrame:
@@ -153,7 +153,7 @@ def _probe_share(contigs: DataFrame, genome: str, probes: list[tuple[str, str, s
     # A genome's matches travel as one map, so its row for each locus is made after the join.
     n = n.groupBy(genome).agg(F.map_from_entries(F.collect_list(F.struct("locus", "n"))).alias("hits"))
     sizes = F.array(*[F.struct(F.lit(k).alias("locus"), F.lit(v).alias("size")) for k, v in size.items()])
-    j = contigs.select(genome).distinct().join(n, genome, "left").select(genome, "hits", F.explode(sizes).alias("x"))
+    j = spread(contigs.select(genome).distinct().join(n, genome, "left"), genome, contigs).select(genome, "hits", F.explode(sizes).alias("x"))
     at = F.try_element_at("hits", F.col("x.locus"))
     return j.select(genome, "x.locus", F.when(at.isNull(), 0.0).otherwise(F.round(at / F.col("x.size"), 4)).alias("share"))
 

@@ -66,6 +66,16 @@ def few_files(df: DataFrame, files_per_core: int = FILES_PER_CORE) -> DataFrame:
     return df.coalesce(_most_files(df, files_per_core))
 
 
+def spread(df: DataFrame, key: str, source: DataFrame, files_per_core: int = 3) -> DataFrame:
+    """``df`` dealt by ``key`` to as many tasks as a table made from ``source`` has files, for rows that soon become many.
+
+    Left to itself, Spark puts small partitions together before it is known what they grow to. Where it
+    doesn't know the size of ``source``, tasks go by cores alone.
+    """
+    n = _most_files(source, files_per_core)
+    return df.repartition(n if n < 2**31 - 1 else files_per_core * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def materialize(df: DataFrame, name: str, files_per_core: int = FILES_PER_CORE) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

@@ -484,6 +484,13 @@ def test_a_panel_of_many_probes_is_one_scan_and_long_sequences_are_cut(spark, mo
         assert set(zip(row.tolist(), hit.tolist())) == {(0, j) for j in range(len(kmers) - 1)}
 
 
+def test_rows_for_each_genome_and_locus_are_made_by_many_tasks(spark):
+    ref = spark.createDataFrame([(f"l{i}", "fwd", "ACGT" * 7 + f"{i:03d}".translate(str.maketrans("0123456789", "ACGTACGTAC"))) for i in range(20)], "locus string, strand string, kmer string")
+    genomes = spark.range(2000).select(F.col("id").alias("genome"), F.lit("ACGT").alias("seq"))
+    per = gates.kmer_share(genomes, "genome", ref).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per) == 40_000 and max(r["count"] for r in per) < 20_000  # before, all in one task
+
+
 def test_out_of_fold_returns_every_row_once(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(i, i % 2, f"s{i % 23}", rng.random() + 0.3 * (i % 2)) for i in range(230)], "i int, y int, g string, x double")
