@@ -15,19 +15,23 @@ from phenospark.storage import materialize
 CONTRACT_EDGES, CONTRACT_NODES = 1_000_000, 1_000_000
 
 
-def _star(a: pa.ChunkedArray, b: pa.ChunkedArray) -> pa.Table:
-    """The same components as stars: each node but one of a component with that one."""
-    coded = pa.chunked_array([*a.chunks, *b.chunks], a.type).combine_chunks().dictionary_encode()
-    ends = coded.indices.to_numpy()
-    x, y = ends[: len(a)], ends[len(a) :]
-    to = np.arange(len(coded.dictionary))
+def link(to: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Puts the parts of x and y together; ``to`` has the root of each node, the smallest of its part."""
     while len(x):
         low, high = np.minimum(to[x], to[y]), np.maximum(to[x], to[y])
         apart = low != high
         x, y = x[apart], y[apart]
-        to[high[apart]] = low[apart]
+        np.minimum.at(to, high[apart], low[apart])  # the least of all: with any other a hub would take a round for each neighbour
         while (to[to] != to).any():
-            to = to[to]
+            to[:] = to[to]
+
+
+def _star(a: pa.ChunkedArray, b: pa.ChunkedArray) -> pa.Table:
+    """The same components as stars: each node but one of a component with that one."""
+    coded = pa.chunked_array([*a.chunks, *b.chunks], a.type).combine_chunks().dictionary_encode()
+    ends = coded.indices.to_numpy()
+    to = np.arange(len(coded.dictionary))
+    link(to, ends[: len(a)], ends[len(a) :])
     node = np.flatnonzero(to != np.arange(len(to)))
     return pa.table({"a": coded.dictionary.take(pa.array(node)), "b": coded.dictionary.take(pa.array(to[node]))})
 

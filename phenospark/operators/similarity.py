@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from phenospark.functions import constants as K
 from phenospark.storage import materialize
 
+from . import graph
 
 #: Blocks of a join of all with all. So many make enough groups for a cluster; more only where a block would be beyond BLOCK_BYTES.
 BLOCKS, BLOCK_BYTES = 16, 32 << 20
@@ -40,52 +41,126 @@ def near_pairs(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray,
     return i[keep], j[keep], dot[keep]
 
 
-def cosine_edges(vectors: DataFrame, id_col: str, vector: str, least: float, block: int = 2048, keep: Sequence[str] = ()) -> DataFrame:
+def near_links(x: np.ndarray, one: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows ``a`` and ``b`` of ``x`` that near_pairs() finds; ``one`` is ``x`` in single precision.
+
+    Products are made in double only where single precision can't tell.
+    """
+    room = 1e-6 * (x.shape[1] + 10)
+    dot = (one[a] @ one[b].T).ravel()
+    at = np.flatnonzero(dot >= np.float32(least - room))
+    i, j = a[at // len(b)], b[at % len(b)]
+    sure = dot[at] >= np.float32(least + room)
+    unsure = np.flatnonzero(~sure)
+    for s in range(0, len(unsure), 100_000):
+        u = unsure[s : s + 100_000]
+        sure[u] = np.einsum("ij,ij->i", x[i[u]], x[j[u]]) >= least
+    return i[sure], j[sure]
+
+
+def linked_parts(x: np.ndarray, left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """For each row of ``x`` the first row of its part, by the pairs of ``left`` and ``right`` that reach ``least``.
+
+    Both are all different rows, or they are the same. Strips of either side meet what is left of the other. Two
+    rows of the largest part so far need not be compared, so where most rows hang together, few strips are enough.
+    """
+    to, one, same, width = np.arange(len(x)), x.astype(np.float32), left is right, 256
+    for s in range(0, max(len(left), len(right)), width):
+        turns = [(left[s : s + width], right[s:])] if same else [(left[s : s + width], right[s:]), (right[s : s + width], left[s + width :])]
+        for strip, others in turns:
+            largest = np.bincount(to).argmax()
+            inside = to[strip] == largest
+            for a, b in ((strip[inside], others[to[others] != largest]), (strip[~inside], others)):
+                for w in range(0, len(b) if len(a) else 0, 8192):
+                    graph.link(to, *near_links(x, one, a, b[w : w + 8192], least))
+    return to
+
+
+def _in_blocks(vectors: DataFrame, id_col: str, vector: str, block: int, keep: Sequence[str] = ()) -> tuple[DataFrame, bool]:
+    """(``id, v, keep_c, at, i, j``: rows once for each pair of blocks (i, j) that they go to, whether ids are repeated)."""
+    exact = F.col(vector) if dict(vectors.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")  # single numbers are half the bytes
+    rows = vectors.select(F.col(id_col).alias("id"), exact.alias("v"), *(F.col(c).alias(f"keep_{c}") for c in keep)).filter(F.col("v").isNotNull())
+    n, different, width = rows.agg(F.count(F.lit(1)), F.count_distinct("id"), F.max(F.size("v"))).first()
+    blocks = blocks_of(n, width or 1, block)
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("at", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return dealt.select(*rows.columns, "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j")), different != n
+
+
+def _sides(key: tuple[pa.Scalar, ...], t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors of length 1, rows of the one block, rows of the other) of a group of _in_blocks(); of a block with itself the same array twice."""
+    x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    at = t["at"].to_numpy()
+    left = np.flatnonzero(at == key[0].as_py())
+    return x, left, left if key[0] == key[1] else np.flatnonzero(at == key[1].as_py())
+
+
+def cosine_links(vectors: DataFrame, id_col: str, vector: str, least: float, block: int = 2048) -> DataFrame:
+    """``a, b``: links that leave the same connected components as all pairs of cosine_edges().
+
+    Each pair of blocks gives stars of what hangs together in it, fewer than it has rows, however many pairs there are.
+    """
+    dealt, _ = _in_blocks(vectors, id_col, vector, block)
+    kind = dict(vectors.dtypes)[id_col]
+
+    def stars(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches).combine_chunks()
+        to = linked_parts(*_sides(key, t), least)
+        node = np.flatnonzero(to != np.arange(len(to)))
+        yield pa.RecordBatch.from_arrays([t["id"].take(pa.array(k)).combine_chunks() for k in (node, to[node])], names=["a", "b"])
+
+    return dealt.groupBy("i", "j").applyInArrow(stars, f"a {kind}, b {kind}").filter("a != b")
+
+
+def cosine_edges(vectors: DataFrame, id_col: str, vector: str, least: float, block: int = 2048, keep: Sequence[str] = (), apart: str | None = None) -> DataFrame:
     """``a, b, cosine`` with a < b for all pairs that reach ``least``.
 
     Exact all-pairs work is quadratic; here it is matrix products of blocks. Rows are dealt to blocks
     by hash, each pair of blocks is one group, and only pairs that reach the threshold leave it. So
     a task holds two blocks, and a row travels once for each block, of which there are at most
     ``BLOCKS`` until they are large. Each of ``keep`` gives two columns, ``c_a`` and ``c_b``, so what
-    is known of the ends need not be joined to the pairs.
+    is known of the ends need not be joined to the pairs. With ``apart``, one of ``keep``, only pairs
+    whose ends differ in it are compared; null differs from nothing.
     """
     kinds = dict(vectors.dtypes)
-    exact = F.col(vector) if kinds[vector] == "array<float>" else F.col(vector).cast("array<double>")  # single numbers are half the bytes
-    rows = vectors.select(F.col(id_col).alias("id"), exact.alias("v"), *(F.col(c).alias(f"keep_{c}") for c in keep)).filter(F.col("v").isNotNull())
-    n, different, width = rows.agg(F.count(F.lit(1)), F.count_distinct("id"), F.max(F.size("v"))).first()
-    blocks = blocks_of(n, width or 1, block)
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("at", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select(*rows.columns, "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+    dealt, repeated = _in_blocks(vectors, id_col, vector, block, keep)
     kind = kinds[id_col]
     ends = [(f"keep_{c}", kinds[c]) for c in keep]
 
+    def meetings(t: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(rows, rows, whether these are the same and of two of them the pair counts once)."""
+        if apart is None:
+            yield left, right, right is left
+            return
+        mark = t[f"keep_{apart}"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        for m in np.unique(mark[left][mark[left] >= 0]):
+            other = mark[right] > m if right is left else (mark[right] != m) & (mark[right] >= 0)
+            yield left[mark[left] == m], right[other], False
+
     def pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).combine_chunks()
-        x = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        at = t["at"].to_numpy()
-        left = np.flatnonzero(at == key[0].as_py())
-        right = left if key[0] == key[1] else np.flatnonzero(at == key[1].as_py())
-        step = max(1, (1 << 21) // max(1, len(right)))
-        for s in range(0, len(left), step):
-            after = s + 1 if right is left else 0  # of two rows of a block the pair counts once
-            p, q, dot = near_pairs(x[left[s : s + step]], x[right[after:]], least)
-            if right is left:
-                p, q, dot = p[q >= p], q[q >= p], dot[q >= p]
-            a, b = pa.array(left[s + p]), pa.array(right[after + q])
-            for u in range(0, len(p), 500_000):
-                o, w = a.slice(u, 500_000), b.slice(u, 500_000)
-                cols = [t["id"].take(o), t["id"].take(w), pa.chunked_array([pa.array(dot[u : u + 500_000])]), *(t[c].take(k) for c, _ in ends for k in (o, w))]
-                yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in cols], names=["a", "b", "cosine", *(f"{c}_{k}" for c, _ in ends for k in "ab")])
+        x, *sides = _sides(key, t)
+        for left, right, same in meetings(t, *sides):
+            step = max(1, (1 << 21) // max(1, len(right)))
+            for s in range(0, len(left) if len(right) else 0, step):
+                after = s + 1 if same else 0
+                p, q, dot = near_pairs(x[left[s : s + step]], x[right[after:]], least)
+                if same:
+                    p, q, dot = p[q >= p], q[q >= p], dot[q >= p]
+                a, b = pa.array(left[s + p]), pa.array(right[after + q])
+                for u in range(0, len(p), 500_000):
+                    o, w = a.slice(u, 500_000), b.slice(u, 500_000)
+                    cols = [t["id"].take(o), t["id"].take(w), pa.chunked_array([pa.array(dot[u : u + 500_000])]), *(t[c].take(k) for c, _ in ends for k in (o, w))]
+                    yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in cols], names=["a", "b", "cosine", *(f"{c}_{k}" for c, _ in ends for k in "ab")])
 
     raw = dealt.groupBy("i", "j").applyInArrow(pairs, ", ".join([f"a {kind}, b {kind}, cosine double", *(f"`{c}_{k}` {t}" for c, t in ends for k in "ab")]))
-    if different != n:
+    if repeated:
         raw = raw.filter("a != b")
     less = F.col("a") < F.col("b")
     sides = [F.when(less, F.col(f"keep_{c}_{k}")).otherwise(F.col(f"keep_{c}_{m}")).alias(f"{c}_{k}") for c in keep for k, m in ("ab", "ba")]
     found = raw.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine", *sides)
-    return found if different == n else found.dropDuplicates(["a", "b"])
+    return found.dropDuplicates(["a", "b"]) if repeated else found
 
 
 def strong_edges(edges: DataFrame, ref: str, query: str, ani: str, af_ref: str, af_query: str, least_ani: float = K.ANI, least_af: float = K.ALIGNED_FRACTION) -> DataFrame:

@@ -63,10 +63,17 @@ presence AS (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_par
 EDGE_COSINE = 0.35
 
 
-def edges(spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, vectors: DataFrame | None = None, keep: Sequence[str] = (), apart: str | None = None) -> DataFrame:
     from phenospark.operators.similarity import cosine_edges
 
-    return cosine_edges(table(spark, sf_dir, "embeddings") if vectors is None else vectors, "vec_id", "embedding", EDGE_COSINE, keep=keep)
+    return cosine_edges(table(spark, sf_dir, "embeddings") if vectors is None else vectors, "vec_id", "embedding", EDGE_COSINE, keep=keep, apart=apart)
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fewer edges, with the same components."""
+    from phenospark.operators.similarity import cosine_links
+
+    return cosine_links(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", EDGE_COSINE)
 
 
 EDGES_SQL = f"""

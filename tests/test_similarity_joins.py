@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,38 @@ def test_a_task_contracts_its_edges(spark, monkeypatch):
     assert len(roots) == len({n for p in pairs for n in p}) and all(roots[n] == min(m for m in roots if m[:3] == n[:3]) for n in roots)
 
 
+def test_a_hub_is_contracted_in_few_rounds():
+    import time
+
+    node, hub = pa.chunked_array([np.arange(1, 60_000)]), pa.chunked_array([np.zeros(59_999, np.int64)])
+    began = time.time()
+    star = graph._star(node, hub)
+    assert star.num_rows == 59_999 and time.time() - began < 5  # a minute with a round for each neighbour
+
+
+@pytest.mark.parametrize(("clusters", "noise"), [(1, 9.0), (4, 0.2), (30, 0.4)])
+def test_links_of_blocks_give_the_components_of_all_pairs(spark, clusters, noise):
+    x = clustered(11, 700, 8, clusters, noise)
+    df = spark.createDataFrame([(f"n{i:03}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>").repartition(5)
+    links = similarity.cosine_links(df, "id", "v", 0.9, block=120)
+    blocks = similarity.blocks_of(700, 8, 120)
+    assert links.count() < 700 * blocks
+    of = lambda e: {(r.node, r.root) for r in graph.connected_components(e, "a", "b", df, "id").collect()}
+    assert of(links) == of(similarity.cosine_edges(df, "id", "v", 0.9, block=120))
+
+
+def test_parts_of_blocks_of_many_strips():
+    x = np.random.default_rng(4).normal(size=(1500, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = np.arange(1500)
+    for left, right, least in ((rows, None, 0.75), (rows[:400], rows[400:], 0.75), (rows[:1100], rows[1100:], 0.8), (rows[:300], rows[300:], 2.0)):
+        hit = x @ x.T >= least
+        right = left if right is None else right
+        want = np.arange(1500)
+        graph.link(want, *(side[k] for side, k in zip((left, right), np.nonzero(hit[np.ix_(left, right)]))))
+        assert similarity.linked_parts(x, left, right, least).tolist() == want.tolist()
+
+
 # ---------------------------------------------------------------- average linkage in rounds
 
 
