@@ -411,20 +411,21 @@ def kmer_md5(seq: bytes, k: int) -> np.ndarray:
     return (a + start[0]).byteswap().astype(np.uint64) << np.uint64(32) | (b + start[1]).byteswap().astype(np.uint64)
 
 
-def genome_signatures(contigs: DataFrame, genome: str, order: str, seq: str, seeds: list[int], k: int = 31, most: int = 250_000) -> DataFrame:
-    """``genome, signature``: minima over the k-mers of A, C, G and T of a genome's records, in their
-    order up to and with the one that brings the number of k-mers to ``most`` or more.
+def genome_signatures(contigs: DataFrame, genome: str, order: str, seq: str, seeds: list[int], k: int = 31, most: int | None = None) -> DataFrame:
+    """``genome, signature``: minima over the k-mers of A, C, G and T of all of a genome's records.
 
-    How many k-mers a record has depends on its length alone, so which records count is one running
-    sum of lengths; the k-mers themselves stay in the task that has the record. Null for a genome
-    without a k-mer.
+    The k-mers stay in the task that has the record. Null for a genome without a k-mer. Only a given
+    ``most`` ends a genome early: records count in their order up to and with the one that brings the
+    number of k-mers, a running sum of lengths, to ``most`` or more.
     """
     from pyspark.sql.window import Window
 
     contigs = contigs.withColumn(seq, F.explode_outer(F.array(seq)))  # made once, where a column's expression would be run for each use
-    n = F.greatest(F.length(seq) - (k - 1), F.lit(0))
-    before = F.sum(n).over(Window.partitionBy(genome).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    counted = contigs.select(F.col(genome).alias("g"), F.upper(F.col(seq)).alias("s"), F.coalesce(before, F.lit(0)).alias("b")).filter(F.col("b") < most)
+    counted = contigs.select(F.col(genome).alias("g"), F.upper(F.col(seq)).alias("s"))
+    if most is not None:
+        n = F.greatest(F.length(seq) - (k - 1), F.lit(0))
+        before = F.sum(n).over(Window.partitionBy(genome).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        counted = contigs.select(F.col(genome).alias("g"), F.upper(F.col(seq)).alias("s"), F.coalesce(before, F.lit(0)).alias("b")).filter(F.col("b") < most)
     table = np.array(seeds, np.int64)
     kind = dict(contigs.dtypes)[genome]
 

@@ -249,6 +249,23 @@ def test_genome_signatures_against_brute_force(spark):
     assert {r.genome: r.signature for r in got.collect()} == want
 
 
+def test_genome_signatures_query_uses_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from phenospark.functions import sequence as Q
+    from phenospark.plans import extended
+
+    rng = random.Random(5)
+    text = "\n".join("".join(rng.choices("abcdefghij klm", k=n)) for n in (290_000, 400_000))
+    spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lines = spark.createDataFrame([(x,) for x in text.split("\n")], "x string").select(Q.to_dna(F.col("x")).alias("s"))
+    first, rest = ([int(hashlib.md5(s[i : i + 31].encode()).hexdigest()[:15], 16) for i in range(len(s) - 30)] for (s,) in lines.collect())
+    minima = lambda h: [min(x ^ t for x in h) for t in (0, 1234567, 1 << 40)]
+    got = {r.doc_id: r.signature for r in extended.genome_signatures(spark, str(tmp_path)).collect()}
+    assert len(first) > 250_000 and minima(first) != minima(first + rest)
+    assert got == {1: minima(first + rest), 2: None}
+
+
 def test_texts_and_documents(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     lit, none = F.lit, F.array().cast("array<string>")
